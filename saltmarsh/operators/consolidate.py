@@ -288,12 +288,13 @@ def active(findings: DataFrame) -> DataFrame:
 def summarize(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Totals and counts by severity, quantum risk and language, in long form."""
     live = ~F.col("suppressed")
+    named = lambda metric, item: F.struct(metric.alias("metric"), item.alias("item"))
     facts = F.array(
-        F.struct(F.lit("total_findings").alias("metric"), F.lit("").alias("item")),
-        F.struct(F.when(live, "active_findings").otherwise("suppressed_findings"), F.lit("")),
-        F.struct(F.when(live, "by_severity"), F.col("severity")),
-        F.struct(F.when(live, "by_quantum_risk"), F.col("quantum_risk")),
-        F.struct(F.when(live, "by_language"), F.col("language")),
+        named(F.lit("total_findings"), F.lit("")),
+        named(F.when(live, "active_findings").otherwise("suppressed_findings"), F.lit("")),
+        named(F.when(live, "by_severity"), F.col("severity")),
+        named(F.when(live, "by_quantum_risk"), F.col("quantum_risk")),
+        named(F.when(live, "by_language"), F.col("language")),
     )
     return (
         findings.select(*by, F.explode(facts).alias("m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
@@ -39,13 +39,15 @@ def fleet_totals(counted: DataFrame) -> DataFrame:
 
     ``counted`` is every scan with its counts.
     """
-    latest = latest_scans(counted)
-    totals = latest.agg(
-        *[F.sum(c).alias(c) for c in COUNTS],
+    newest = F.struct("created_at", "scan_id")
+    per_repo = counted.groupBy("repo_id").agg(
+        F.max_by(F.struct(*COUNTS, "created_at", "scan_id"), newest).alias("s"),
+        F.count(F.lit(1)).alias("_scans")).select("s.*", "_scans")
+    return per_repo.agg(
+        F.sum("_scans").alias("scans"), *[F.sum(c).alias(c) for c in COUNTS],
         F.max_by(
-            F.greatest(F.lit(0), 100 - F.col("critical") * 5 - F.col("findings")),
-            F.struct("created_at", "scan_id")).alias("security_score"))
-    return totals.crossJoin(F.broadcast(counted.agg(F.count(F.lit(1)).alias("scans"))))
+            F.greatest(F.lit(0), 100 - F.col("critical") * 5 - F.col("findings")), newest
+        ).alias("security_score"))
 
 
 def readiness(totals: DataFrame) -> DataFrame:
@@ -125,10 +127,8 @@ def top_algorithms(findings: DataFrame, k: int = 5) -> DataFrame:
     """The k most used algorithms with their share of the largest."""
     top = findings.groupBy("algorithm").agg(F.count(F.lit(1)).alias("usages")).orderBy(
         F.desc("usages"), "algorithm").limit(k)
-    # the maximum is that of the k rows themselves
-    peak = top.agg(F.max("usages").alias("_peak"))
-    return top.crossJoin(F.broadcast(peak)).select(
-        "algorithm", "usages", (F.col("usages") / F.col("_peak") * 100).alias("pct_of_max"))
+    peak = F.max("usages").over(Window.partitionBy(F.lit(0)))  # over the k rows alone
+    return top.select("algorithm", "usages", (F.col("usages") / peak * 100).alias("pct_of_max"))
 
 
 def _newest_first() -> list[Column]:
@@ -157,16 +157,21 @@ def trend(counted: DataFrame, k: int = 14) -> DataFrame:
 
 
 # --- access, search, updates --------------------------------------------------
-def visible_repos(repos: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, repo) pairs a user may see: elevated roles all, others their own.
+def visible_repos(repos: DataFrame, user_id: str, role: str) -> DataFrame:
+    """Repositories a user may see: elevated roles all of them, others their own."""
+    return repos.filter(can_access(F.lit(role), F.lit(user_id), F.col("owner_id")))
 
-    Ask for the users in question: each elevated user sees every repository, so the result
-    has that many copies by definition.
+
+def access_grants(repos: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, repo_id) grants of many users at once; ``*`` stands for every repository.
+
+    An elevated user gets one row, not one per repository.
     """
     elevated = F.col("role").isin(fv.ELEVATED_ROLES)
-    own = repos.join(users.filter(~elevated), F.col("owner_id") == F.col("user_id"))
-    everything = repos.join(users.filter(elevated), F.lit(True))
-    return own.unionByName(everything)
+    everything = users.filter(elevated).select("user_id", F.lit("*").alias("repo_id"))
+    own = users.filter(~elevated).join(
+        repos.select("repo_id", F.col("owner_id").alias("user_id")), "user_id")
+    return everything.unionByName(own.select("user_id", "repo_id"))
 
 
 def can_access(role: Column, user_id: Column, owner_id: Column) -> Column:

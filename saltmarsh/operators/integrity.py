@@ -52,7 +52,7 @@ def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int) ->
     """
     runs = nodes.groupBy(*group, F.shiftright("pos", bits).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("_run"))
-    runs = runs.join(sizes, group) if group else runs.crossJoin(F.broadcast(sizes))
+    runs = runs.join(sizes, group)
     start = F.struct(
         F.array(F.transform("_run", lambda x: x["hash"])).alias("levels"),
         F.col("size").cast("long").alias("left"))
@@ -67,9 +67,16 @@ def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int) ->
     return runs.select(*group, "block", "size", levels.alias("levels"))
 
 
+ONE_TREE = "_tree"
+
+
+def _trees(leaves: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns of the trees; without any, all leaves form one tree."""
+    return (leaves, list(group)) if group else (leaves.withColumn(ONE_TREE, F.lit(0)), [ONE_TREE])
+
+
 def _stages(leaves: DataFrame, group: list[str], bits: int) -> list[DataFrame]:
     """One table of blocks per ``bits`` levels, bottom first."""
-    # a global tree has one size row, so attaching it is a broadcast of one row
     sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.agg(F.max("size")).first()[0]
     if largest is None:
@@ -97,18 +104,18 @@ def merkle_root(
 
     Work is keyed by (group, block), so one group with most of the leaves still spreads.
     """
-    group = list(group)
+    leaves, group = _trees(leaves, group)
     top = _stages(leaves, group, bits)[-1]
     sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("leaf_count"))
     root = top.select(*group, F.get(F.element_at("levels", -1), F.lit(0)).alias("root"))
-    return root.join(sizes, group) if group else root.crossJoin(F.broadcast(sizes))
+    return root.join(sizes, group).drop(ONE_TREE)
 
 
 def merkle_nodes(
     leaves: DataFrame, group: Sequence[str] = (), bits: int = BLOCK_BITS
 ) -> DataFrame:
     """(group, level, pos, hash) of every node of every tree."""
-    group = list(group)
+    leaves, group = _trees(leaves, group)
     out = None
     stages = _stages(leaves, group, bits)
     for number, blocks in enumerate(stages):
@@ -126,7 +133,7 @@ def merkle_nodes(
             part = part.filter(F.col("lv") < bits)
         part = part.drop("lv")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.drop(ONE_TREE)
 
 
 def merkle_proofs(
@@ -136,7 +143,7 @@ def merkle_proofs(
 
     A proof is the path inside the leaf's block followed by the path of that block's top.
     """
-    group = list(group)
+    leaves, group = _trees(leaves, group)
     stages = _stages(leaves, group, bits)
     above = None
     for blocks in reversed(stages):
@@ -170,7 +177,7 @@ def merkle_proofs(
                 F.col("proof").alias("_tail"))
             above = rows.join(tail, [*group, "block"]).select(
                 *group, "pos", "hash", "root", F.concat("proof", "_tail").alias("proof"))
-    return above
+    return above.drop(ONE_TREE)
 
 
 def proof_holds(leaf: Column, proof: Column, root: Column) -> Column:

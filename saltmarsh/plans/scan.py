@@ -13,15 +13,21 @@ from saltmarsh.operators.detect_calls import detect_javascript, detect_python
 from saltmarsh.operators.detect_config import detect_config, detect_infra
 from saltmarsh.operators.detect_dependencies import detect_dependencies
 from saltmarsh.operators.detect_secrets import detect_entropy_secrets
-from saltmarsh.sources.corpus import layers_of, prune_paths
+from saltmarsh.session import durable
+from saltmarsh.sources.corpus import KINDS_OF_LAYER, layers_of, prune_paths
 
 
 def raw_findings(files: DataFrame, profile: str = "pipeline") -> DataFrame:
-    """Union of all layers. Each layer filters on the path before it touches the text."""
+    """Union of all layers. Each layer filters on the path before it touches the text.
+
+    A corpus stored by ``store_corpus`` carries its ``kind`` as a partition column; then each
+    layer reads only the folders of the kinds it looks at.
+    """
     kept = prune_paths(files)
 
     def of(layer: str) -> DataFrame:
-        return kept.filter(F.array_contains(layers_of(F.col("path"), profile), layer))
+        own = kept.filter(F.col("kind").isin(KINDS_OF_LAYER[layer])) if "kind" in kept.columns else kept
+        return own.drop("kind").filter(F.array_contains(layers_of(F.col("path"), profile), layer))
 
     return c.union_layers(
         detect_dependencies(of("manifest")),
@@ -39,7 +45,9 @@ def scan_files(
 ) -> DataFrame:
     """Detect, fold duplicates, merge layers, correlate, apply the allow-list."""
     found = c.exact_dedup(raw_findings(files, profile))
-    found = c.merge_layers(c.drop_generic(found))
+    # Findings are tiny next to the texts and are read several times below, so they are
+    # written once: the corpus is then read once, whatever happens to an executor.
+    found = durable(c.merge_layers(c.drop_generic(found)))
     found = c.correlate_dependencies(found)
     found = found.withColumn(
         "fingerprint", fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("snippet")))

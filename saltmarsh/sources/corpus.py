@@ -74,6 +74,37 @@ def layers_of(path: Column, profile: str = "pipeline") -> Column:
     ))
 
 
+KINDS_OF_LAYER = {
+    "manifest": ["manifest", "structured", "plain"],
+    "infra": ["structured", "terraform", "plain"],
+    "python": ["python"], "javascript": ["javascript"],
+    "config": ["structured", "terraform", "plain", "manifest"],
+    "entropy": ["python", "javascript", "structured", "terraform", "plain", "manifest"],
+}
+
+
+def file_class(path: Column) -> Column:
+    """Coarse kind of a file, the partition column of a stored corpus."""
+    ext = p.extension(path)
+    return (
+        F.when(ext == ".py", "python")
+        .when(ext.isin(".js", ".mjs", ".cjs", ".jsx"), "javascript")
+        .when(ext == ".tf", "terraform")
+        .when(ext.isin(".json", ".xml", ".txt"), "manifest")
+        .when(ext.isin(".yml", ".yaml"), "structured")
+        .otherwise("plain")
+    )
+
+
+def store_corpus(files: DataFrame, path: str) -> None:
+    """Write a corpus once, one folder per kind, dropping files no layer looks at."""
+    kept = prune_paths(files).filter(
+        (F.size(layers_of(F.col("path"), "pipeline")) > 0)
+        | (F.size(layers_of(F.col("path"), "cli")) > 0))
+    kept.withColumn("kind", file_class(F.col("path"))).write.partitionBy("kind").mode(
+        "append").parquet(path)
+
+
 def route_layers(
     files: DataFrame, profile: str = "pipeline", exts: list[str] | None = None
 ) -> DataFrame:
