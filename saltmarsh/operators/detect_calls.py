@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions import text as tx
-from saltmarsh.schemas import explode_findings, finding, some
+from saltmarsh.schemas import LAYER_ORDER, finding
 
 PYTHON_MAYBE = (
     r"(?i)md5|sha1|sha256|sha3_256|sha512|hashlib|\bAES\b|\bDES3?\b|TDES|\bRC[24]\b|ARC4|Blowfish|"
@@ -138,7 +138,66 @@ def call_sites(scoped: DataFrame, language: str) -> DataFrame:
     ).select("scan_id", "repo_id", "path", "c.*")
 
 
-# --- shared profiles ----------------------------------------------------------
+# --- hits ---------------------------------------------------------------------
+# What a rule says about a call, before it becomes a finding row. Inputs and profiles are
+# columns of their own stage, so each is worked out once per call however many rules read it.
+HIT = (
+    "struct<rule_id:string,rule_name:string,category:string,label:string,severity:string,"
+    "risk:string,advice:string,specificity:int,generic:boolean,tags:array<string>,message:string>"
+)
+PROFILE_FIELDS = ("label", "severity", "risk", "advice")
+
+
+def _lit(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _fixed(profile) -> dict[str, Column]:
+    return dict(zip(PROFILE_FIELDS, (F.lit(v) for v in profile)))
+
+
+def _of(column: str) -> dict[str, Column]:
+    return {k: F.col(column)[k] for k in PROFILE_FIELDS}
+
+
+def hit(
+    condition, rule_id, rule_name, category, profile, specificity=1, generic=False, tags=None,
+    message=None, **changed,
+) -> Column:
+    """The rule's statement when the condition holds, else null."""
+    said = {**profile, **changed}
+    none_tags = F.lit(None).cast("array<string>")
+    return F.when(condition, F.struct(
+        _lit(rule_id).alias("rule_id"), _lit(rule_name).alias("rule_name"),
+        _lit(category).alias("category"), *[said[k].alias(k) for k in PROFILE_FIELDS],
+        _lit(specificity).alias("specificity"), _lit(generic).alias("generic"),
+        (none_tags if tags is None else tags).alias("tags"),
+        F.lit(message).cast("string").alias("message") if message is None else message.alias("message"),
+    ))
+
+
+def explode_hits(rows: DataFrame, hits: list[Column], language: str) -> DataFrame:
+    """Findings as rows in emission order."""
+    found = F.array_compact(F.array(*[h.cast(HIT) for h in hits]))
+    flat = rows.select(
+        "scan_id", "repo_id", "path", "line", "snippet", F.posexplode(found).alias("_n", "h"))
+    h = F.col("h")
+    row = finding(
+        F.col("line"), language, h["rule_id"], h["rule_name"], h["category"], h["label"],
+        h["severity"], h["risk"], h["advice"], F.col("snippet"),
+        F.coalesce(h["message"], F.concat(
+            h["rule_name"], F.lit(" at line "), F.col("line").cast("string"), F.lit("."))),
+        specificity=h["specificity"], generic=h["generic"],
+        tags=F.coalesce(h["tags"], F.array().cast("array<string>")),
+    )
+    return flat.select("scan_id", "repo_id", "path", "_n", row.alias("f")).select(
+        "scan_id", "repo_id", "path", "f.*",
+        F.struct(
+            F.lit(LAYER_ORDER["code"]).alias("layer"), F.col("f.line").alias("line"),
+            F.col("_n").alias("n"), F.col("f.rule_id").alias("rule_id")).alias("emit_seq"))
+
+
+# --- literals -----------------------------------------------------------------
 _PY_LITERAL = r"^[bBrRuU]{0,2}(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+')$"
 _JS_LITERAL = r"^(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+')$"
 
@@ -150,8 +209,7 @@ def is_literal(value: Column) -> Column:
 def literal_text(value: Column) -> Column:
     """Contents of a string literal, null for anything else."""
     return F.when(
-        is_literal(value), F.regexp_replace(value, r"^[bBrRuU]{0,2}[\"']|[\"']$", "")
-    )
+        is_literal(value), F.regexp_replace(value, r"^[bBrRuU]{0,2}[\"']|[\"']$", ""))
 
 
 def literal_int(value: Column) -> Column:
@@ -164,53 +222,45 @@ def key_bits(value: Column) -> Column:
     name = F.regexp_extract(value, r"^([\w.]+)\(", 1)
     drawn = F.when(
         name.isin(fv.PY_RANDOM_BYTE_CALLS),
-        F.regexp_extract(value, r"^[\w.]+\(\s*(\d+)\s*[,)]", 1).try_cast("int"),
-    )
-    n = F.coalesce(chars, drawn)
-    return F.when(n > 0, n * 8)
+        F.regexp_extract(value, r"^[\w.]+\(\s*(\d+)\s*[,)]", 1).try_cast("int"))
+    return F.nullif(F.coalesce(chars, drawn), F.lit(0)) * 8
 
 
+# --- profiles -----------------------------------------------------------------
 def symmetric_profile(algo: Column, mode: Column, bits: Column) -> Column:
-    """(label, severity, quantum risk, advice) of a symmetric cipher use."""
+    """(label, severity, risk, advice) of a symmetric cipher use."""
     algo, mode = F.upper(algo), F.coalesce(F.upper(mode), F.lit(""))
-    label = (
-        F.when(F.coalesce(bits, F.lit(0)) != 0, F.concat_ws("-", algo, bits.cast("string"), mode))
-        .when(mode != "", F.concat_ws("-", algo, mode)).otherwise(algo)
-    )
+    sized = F.coalesce(bits, F.lit(0)) != 0
+    label = F.when(sized, F.concat_ws("-", algo, bits.cast("string"), mode)).when(
+        mode != "", F.concat_ws("-", algo, mode)).otherwise(algo)
     short = F.coalesce(bits, F.lit(256)) < 256
-    wide = F.coalesce(bits >= 256, F.lit(False))
-
-    def profile(severity, risk, advice):
-        return F.struct(
-            label.alias("label"), _lit(severity).alias("severity"), _lit(risk).alias("risk"),
-            _lit(advice).alias("advice"),
-        )
-
-    low = F.when(wide, "Low").otherwise("Medium")
-    return (
-        F.when(algo.isin(fv.BROKEN_CIPHERS),
-               profile("Critical", fv.CLASSICAL, F.concat(algo, F.lit(fv.REC_BROKEN_CIPHER))))
-        .when(mode == "ECB", profile("Critical", fv.CLASSICAL, fv.REC_ECB))
-        .when(mode.isin(fv.AEAD_MODES) & short, profile("Medium", fv.WEAKENED, fv.REC_AEAD_SHORT))
-        .when(mode.isin(fv.AEAD_MODES), profile("Informational", fv.SAFE, fv.REC_AEAD_OK))
-        .when(mode.isin(fv.UNAUTHENTICATED_MODES),
-              profile(low, fv.WEAKENED, F.concat(mode, F.lit(fv.REC_UNAUTHENTICATED))))
-        .otherwise(profile(low, fv.WEAKENED, fv.REC_VERIFY_MODE))
+    case = (
+        F.when(algo.isin(fv.BROKEN_CIPHERS), "broken").when(mode == "ECB", "ecb")
+        .when(mode.isin(fv.AEAD_MODES), F.when(short, "aead-short").otherwise("aead"))
+        .when(mode.isin(fv.UNAUTHENTICATED_MODES), "plain").otherwise("other"))
+    low = F.when(F.coalesce(bits >= 256, F.lit(False)), "Low").otherwise("Medium")
+    return F.struct(
+        label.alias("label"),
+        F.when(case.isin("broken", "ecb"), "Critical").when(case == "aead-short", "Medium")
+        .when(case == "aead", "Informational").otherwise(low).alias("severity"),
+        F.when(case.isin("broken", "ecb"), fv.CLASSICAL).when(case == "aead", fv.SAFE)
+        .otherwise(fv.WEAKENED).alias("risk"),
+        F.when(case == "broken", F.concat(algo, F.lit(fv.REC_BROKEN_CIPHER)))
+        .when(case == "ecb", fv.REC_ECB).when(case == "aead-short", fv.REC_AEAD_SHORT)
+        .when(case == "aead", fv.REC_AEAD_OK)
+        .when(case == "plain", F.concat(mode, F.lit(fv.REC_UNAUTHENTICATED)))
+        .otherwise(fv.REC_VERIFY_MODE).alias("advice"),
     )
 
 
-def _lit(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def rsa_profile(bits: Column) -> Column:
     """(label, severity, risk, advice, tags) of an RSA key."""
     small = F.coalesce(bits < 2048, F.lit(False))
-    severity = F.when(bits < 1024, "Critical").when(small, "High").otherwise("Medium")
     return F.struct(
         F.when(F.coalesce(bits, F.lit(0)) != 0, F.concat(F.lit("RSA-"), bits.cast("string")))
         .otherwise("RSA").alias("label"),
-        severity.alias("severity"), F.lit(fv.BROKEN).alias("risk"),
+        F.when(bits < 1024, "Critical").when(small, "High").otherwise("Medium").alias("severity"),
+        F.lit(fv.BROKEN).alias("risk"),
         F.when(small, fv.REC_RSA_SHORT + fv.REC_RSA).otherwise(fv.REC_RSA).alias("advice"),
         F.when(small, F.array(F.lit("undersized-classical-key")))
         .otherwise(F.array().cast("array<string>")).alias("tags"),
@@ -218,6 +268,7 @@ def rsa_profile(bits: Column) -> Column:
 
 
 def ecc_profile(curve: Column, purpose: str = "signature") -> Column:
+    """(label, severity, risk, advice) of a curve key (P10)."""
     word = "ECDSA (" if purpose == "signature" else "ECDH ("
     return F.struct(
         F.concat(F.lit(word), curve, F.lit(")")).alias("label"), F.lit("Medium").alias("severity"),
@@ -234,193 +285,177 @@ def dsa_profile(bits: Column) -> Column:
     )
 
 
-def _fixed(profile) -> Column:
-    return F.struct(*[
-        F.lit(v).alias(k) for k, v in zip(("label", "severity", "risk", "advice"), profile)
+def hash_profile(algo: Column) -> Column:
+    """Profile of a hash by its key, null when it is not a known one."""
+    known = F.create_map(*[
+        x for key, profile in fv.HASH_PROFILES.items()
+        for x in (F.lit(key), F.struct(*[v.alias(k) for k, v in _fixed(profile).items()]))
     ])
-
-
-def _from_profile(language, profile: Column, rule_id, name, category, **extra) -> Column:
-    return finding(
-        F.col("line"), language, rule_id, name, category, profile["label"], profile["severity"],
-        profile["risk"], profile["advice"], F.col("snippet"), **extra,
+    return F.try_element_at(known, algo)
+
+
+def _hash_hit(language: str) -> Column:
+    """Weak hash, or any raw hash of a password (D01, D11); reads _hash, _hash_profile, _password."""
+    password, label = F.col("_password"), F.col("_hash_profile")["label"]
+    strong = F.col("_hash").isin("sha256", "sha3", "sha512")
+    message = F.concat(
+        label, F.lit(" used"), F.when(password, " for password hashing").otherwise(""),
+        F.lit(" at line "), F.col("line").cast("string"), F.lit("."))
+    kind = F.when(password, "weak-password-hash").otherwise("hashing")
+    return hit(
+        F.col("_hash_profile").isNotNull() & (password | ~strong),
+        F.concat(F.col("_hash"), F.lit("-"), kind), F.concat(label, F.lit(" "), kind), "hash",
+        _of("_hash_profile"), specificity=F.when(password, 3).otherwise(2),
+        message=message if language == "python" else None,
     )
 
 
-def _hash_finding(language: str, algo: Column, password: Column) -> Column:
-    """Weak hash, or any raw hash of a password."""
-    chain = None
-    for key, profile in fv.HASH_PROFILES.items():
-        suffix = F.when(password, "-weak-password-hash").otherwise("-hashing")
-        label = F.lit(profile[0])
-        text = F.concat(
-            label, F.lit(" used"), F.when(password, " for password hashing").otherwise(""),
-            F.lit(" at line "), F.col("line").cast("string"), F.lit("."),
-        )
-        found = _from_profile(
-            language, _fixed(profile), F.concat(F.lit(key), suffix),
-            F.concat(label, F.lit(" "), F.when(password, "weak-password-hash").otherwise("hashing")),
-            "hash", specificity=F.when(password, 3).otherwise(2),
-            **({"message": text} if language == "python" else {}),
-        )
-        wanted = (algo == key) & (password if key in ("sha256", "sha3", "sha512") else F.lit(True))
-        chain = F.when(wanted, found) if chain is None else chain.when(wanted, found)
-    return chain
-
-
-def _aes_findings(language, bits, bits_text, mode, hard_key, static_iv, other_name, iv_given):
-    """The up-to-four findings of one AES construction."""
-    label = lambda tail: F.concat(F.lit("AES-"), bits_text, F.lit("-"), tail)
-    mode_text = F.coalesce(mode, F.lit("?"))
-    profile = symmetric_profile(F.lit("AES"), mode, bits)
-    plain = mode.isin(fv.UNAUTHENTICATED_MODES)
+def _aes_stage(rows: DataFrame) -> DataFrame:
+    """Red flags and label text of one AES construction; reads _bits, _mode, _hard, _fixed_iv."""
     flags = F.array_compact(F.array(
-        F.when(hard_key, "hardcoded-key"), F.when(iv_given & static_iv, "static-iv"),
-    ))
-    flagged = F.size(flags) > 0
-    missing = finding(
-        F.col("line"), language, "aes-missing-aead", label(F.concat(mode, F.lit(" missing-aead"))),
-        "symmetric-cipher", profile["label"],
-        F.when(flagged, "Critical").otherwise(profile["severity"]), profile["risk"],
-        F.when(flagged, F.concat(
-            F.lit("Combined with "), F.array_join(flags, ", "), F.lit(", " + fv.REC_RED_FLAGS),
-            profile["advice"],
-        )).otherwise(profile["advice"]),
-        F.col("snippet"), specificity=2, generic=~flagged,
-    )
-    by_mode = (
-        F.when(mode == "ECB", _from_profile(
-            language, profile, "aes-ecb-mode", label(F.lit("ECB")), "symmetric-cipher",
-            specificity=3))
-        .when(plain, missing)
-        .when(mode.isin("GCM", "CCM"), _from_profile(
-            language, profile, "aes-aead-mode", label(mode), "symmetric-cipher", generic=True))
-        .otherwise(_from_profile(
-            language, profile, "aes-encryption", other_name, "symmetric-cipher", generic=True))
-    )
+        F.when(F.col("_hard"), "hardcoded-key"), F.when(F.col("_fixed_iv"), "static-iv")))
+    return rows.withColumns({
+        "_aes": symmetric_profile(F.lit("AES"), F.col("_mode"), F.col("_bits")),
+        "_flags": F.array_join(flags, ", "),
+        "_size": F.concat(
+            F.lit("AES-"), F.coalesce(F.col("_bits").cast("string"), F.lit("None")), F.lit("-")),
+    })
+
+
+def _aes_hits(is_aes: Column, other_name) -> list[Column]:
+    """The findings of one AES construction."""
+    mode, size, flags = F.col("_mode"), F.col("_size"), F.col("_flags")
+    plain = F.coalesce(mode.isin(fv.UNAUTHENTICATED_MODES), F.lit(False))
+    flagged = flags != ""
+    profile = _of("_aes")
+    aead = F.coalesce(mode.isin("GCM", "CCM"), F.lit(False))
+    ecb = F.coalesce(mode == "ECB", F.lit(False))
+    sym = "symmetric-cipher"
     return [
-        F.when(hard_key, _from_profile(
-            language, _fixed(fv.HARDCODED_KEY), "aes-hardcoded-key",
-            label(F.concat(mode_text, F.lit(" hardcoded-key"))), "hardcoded-secret",
-            specificity=4)),
-        F.when(iv_given & static_iv & (plain | (mode == "GCM")), _from_profile(
-            language, _fixed(fv.STATIC_IV), "aes-static-iv-reuse",
-            label(F.concat(mode, F.lit(" static-iv-reuse"))), "symmetric-cipher", specificity=4)),
-        by_mode,
+        hit(is_aes & F.col("_hard"), "aes-hardcoded-key",
+            F.concat(size, F.coalesce(mode, F.lit("?")), F.lit(" hardcoded-key")),
+            "hardcoded-secret", _fixed(fv.HARDCODED_KEY), 4),
+        hit(is_aes & F.col("_fixed_iv") & (plain | (mode == "GCM")), "aes-static-iv-reuse",
+            F.concat(size, mode, F.lit(" static-iv-reuse")), sym, _fixed(fv.STATIC_IV), 4),
+        hit(is_aes & ecb, "aes-ecb-mode", F.concat(size, F.lit("ECB")), sym, profile, 3),
+        hit(is_aes & plain, "aes-missing-aead", F.concat(size, mode, F.lit(" missing-aead")), sym,
+            profile, 2, generic=~flagged,
+            severity=F.when(flagged, "Critical").otherwise(profile["severity"]),
+            advice=F.when(flagged, F.concat(
+                F.lit("Combined with "), flags, F.lit(", " + fv.REC_RED_FLAGS),
+                profile["advice"])).otherwise(profile["advice"])),
+        hit(is_aes & aead, "aes-aead-mode", F.concat(size, mode), sym, profile, 1, True),
+        hit(is_aes & ~ecb & ~plain & ~aead, "aes-encryption", other_name, sym, profile, 1, True),
     ]
 
 
-def _when_all(condition: Column, findings: list[Column]) -> list[Column]:
-    return [F.when(condition, f) for f in findings]
+def _deprecated(condition: Column, algo: Column, profile: str) -> Column:
+    return hit(
+        condition, F.concat(F.lower(algo), F.lit("-deprecated-cipher")),
+        F.concat(algo, F.lit(" deprecated-cipher")), "symmetric-cipher", _of(profile), 3)
 
 
 def _mentions_password(snippet: Column) -> Column:
     return F.lower(snippet).rlike("password|pwd|passwd")
 
 
+def _assigned_name(snippet: Column, drop: str | None = None) -> Column:
+    """Identifier left of the first = of the line, if it is just that."""
+    left = F.substring_index(snippet, "=", 1)
+    left = p.strip(left if drop is None else F.regexp_replace(left, drop, ""))
+    return F.when(snippet.contains("=") & left.rlike(r"^[^\W\d]\w*$"), left)
+
+
+def _dotted_head(call: Column) -> Column:
+    """Last part of the name of a nested call, '' when the text is not a call."""
+    return F.substring_index(F.regexp_extract(call, r"^([\w.]+)\(", 1), ".", -1)
+
+
 # --- Python -------------------------------------------------------------------
+PYTHON_CALLEE = (
+    r"^(?:hashlib\.)?(?:md5|sha1|sha256|sha3_256|sha512)$|^hashlib\.new$|^hmac\.new$|"
+    r"^(?:AES|DES|DES3|TDES|RC2|RC4|ARC4|Blowfish|Crypto|Cryptodome)\b.*\.new$|"
+    r"^Cipher$|^Fernet$|^RSA\.generate$|newkeys$|generate_private_key$|^DSA\.generate$|^random\."
+)
+
+
 def python_call_findings(calls: DataFrame) -> DataFrame:
     name, snippet = F.col("callee"), F.col("snippet")
-    arg0, mode_arg, iv = F.col("arg0_value"), F.col("mode_arg"), F.col("iv_value")
-    bits0 = literal_int(arg0)
-    size = literal_int(F.col("size_value"))
+    arg0, mode_arg = F.col("arg0_value"), F.col("mode_arg")
     tail = F.substring_index(name, ".", -1)
     head = F.substring_index(name, ".", 1)
-
-    hashed = F.when(
-        name.isin(fv.PY_HASH_CALLS), F.when(tail == "sha3_256", "sha3").otherwise(tail)
-    ).when(name == "hashlib.new", F.lower(literal_text(arg0)))
-    password = p.is_secret_name(snippet) & _mentions_password(snippet)
-
-    is_new = name.endswith(".new") & head.isin(fv.PY_CIPHER_HEADS)
     dotted = F.split(name, r"\.")
-    cipher = F.when(head.isin("Crypto", "Cryptodome"), F.get(dotted, F.size(dotted) - 2)).otherwise(head)
-    mode = F.nullif(F.regexp_extract(mode_arg, r"^[\w.]*\.MODE_(\w+)$", 1), F.lit(""))
-    bits = key_bits(arg0)
-    legacy = is_new & cipher.isin(fv.PY_LEGACY_CIPHERS)
-    none = F.lit(None).cast("int")
-
-    def deprecated(algo, mode_of):
-        return _from_profile(
-            "python", symmetric_profile(algo, mode_of, none),
-            F.concat(F.lower(algo), F.lit("-deprecated-cipher")),
-            F.concat(algo, F.lit(" deprecated-cipher")), "symmetric-cipher", specificity=3)
-
-    composed = (name == "Cipher") & F.col("arg0").rlike(r"^[\w.]+\(")
-    algo = F.substring_index(F.regexp_extract("arg0", r"^([\w.]+)\(", 1), ".", -1)
-    composed_mode = F.upper(F.substring_index(
-        F.nullif(F.regexp_extract(mode_arg, r"^([\w.]+)\(", 1), F.lit("")), ".", -1))
-    inner_bits = key_bits(F.col("inner_value"))
-    aes_label = F.concat(F.lit("AES-"), F.coalesce(inner_bits.cast("string"), F.lit("?")), F.lit("-"))
-    profile = symmetric_profile(F.lit("AES"), composed_mode, inner_bits)
-    composed_found = (
-        F.when(F.upper(algo).isin(fv.PY_COMPOSED_LEGACY), deprecated(algo, composed_mode))
-        .when(F.upper(algo) != "AES", None)
-        .when(composed_mode == "ECB", _from_profile(
-            "python", profile, "aes-ecb-mode", F.concat(aes_label, F.lit("ECB")),
-            "symmetric-cipher", specificity=3))
-        .when(composed_mode.isin(fv.UNAUTHENTICATED_MODES), _from_profile(
-            "python", profile, "aes-missing-aead",
-            F.concat(aes_label, composed_mode, F.lit(" missing-aead")), "symmetric-cipher",
-            specificity=2, generic=True))
-        .when(composed_mode.isin("GCM", "CCM"), _from_profile(
-            "python", profile, "aes-aead-mode", F.concat(aes_label, composed_mode),
-            "symmetric-cipher", generic=True))
-    )
-
-    digest = F.coalesce(
-        F.concat(F.lit("hashlib."), F.lower(literal_text(F.col("digest")))), F.col("digest"))
-    mac = F.when(digest == "hashlib.md5", "md5").when(digest == "hashlib.sha1", "sha1")
-    mac_found = None
-    for key in ("md5", "sha1"):
-        found = _from_profile(
-            "python", _fixed(fv.HASH_PROFILES[key]), f"{key}-hmac-weak-digest",
-            f"HMAC-{fv.HASH_PROFILES[key][0]} weak-digest", "hash", specificity=3)
-        mac_found = F.when(mac == key, found) if mac_found is None else mac_found.when(mac == key, found)
-
-    def rsa(bits_of):
-        profile = rsa_profile(bits_of)
-        return _from_profile("python", profile, "rsa-key-generation", "RSA key_generation",
-                             "asymmetric", specificity=2, tags=profile["tags"])
-
-    curve = F.when(
-        F.col("arg0").rlike(r"^[\w.]+\("),
-        F.substring_index(F.regexp_extract("arg0", r"^([\w.]+)\(", 1), ".", -1),
-    ).otherwise("unknown-curve")
-
-    left = p.strip(F.substring_index(snippet, "=", 1))
-    target = F.when(
-        snippet.contains("=") & ~snippet.startswith("if") & left.rlike(r"^[^\W\d]\w*$"), left)
-    risky_random = name.isin(fv.PY_RANDOM_CALLS) & (
-        p.is_secret_name(target) | p.is_secret_name(F.col("function")))
-
-    return explode_findings(calls, some(
-        _hash_finding("python", hashed, password),
-        F.when(legacy, deprecated(cipher, mode)),
-        *_when_all(is_new & (cipher == "AES"), _aes_findings(
-            "python", bits, F.coalesce(bits.cast("string"), F.lit("None")), mode,
-            bits.isNotNull() & is_literal(arg0), is_literal(iv), F.lit("AES encryption"),
-            iv.isNotNull())),
-        F.when(composed, composed_found),
-        F.when(name == "Fernet", _from_profile(
-            "python", _fixed(fv.FERNET), "fernet-aes128-cbc-hmac", "Fernet symmetric encryption",
-            "symmetric-cipher", specificity=2)),
-        F.when(name == "hmac.new", mac_found),
-        F.when(name.isin("RSA.generate", "rsa.newkeys", "newkeys"), rsa(bits0)),
-        F.when(
-            (name == "rsa.generate_private_key")
-            | ((name == "generate_private_key") & (size > 0)), rsa(size)),
-        F.when(name == "ec.generate_private_key", _from_profile(
-            "python", ecc_profile(curve), "ecdsa-key-generation",
-            F.concat(F.lit("ECDSA key_generation ("), curve, F.lit(")")), "asymmetric",
-            specificity=2)),
-        F.when(name.isin("dsa.generate_private_key", "DSA.generate"), _from_profile(
-            "python", dsa_profile(F.coalesce(size, bits0)), "dsa-key-generation",
-            "DSA key_generation", "asymmetric", specificity=2)),
-        F.when(risky_random, _from_profile(
-            "python", _fixed(fv.INSECURE_RNG), "insecure-rng", "random module insecure-rng", "rng",
-            specificity=3)),
-    ), "code")
+    null_int = F.lit(None).cast("int")
+    rows = calls.filter(name.rlike(PYTHON_CALLEE)).withColumns({
+        "_hash": F.when(
+            name.isin(fv.PY_HASH_CALLS), F.when(tail == "sha3_256", "sha3").otherwise(tail)
+        ).when(name == "hashlib.new", F.lower(literal_text(arg0))),
+        "_password": p.is_secret_name(snippet) & _mentions_password(snippet),
+        "_new": name.endswith(".new") & head.isin(fv.PY_CIPHER_HEADS),
+        "_cipher": F.when(head.isin("Crypto", "Cryptodome"), F.get(dotted, F.size(dotted) - 2))
+        .otherwise(head),
+        "_mode": F.nullif(F.regexp_extract(mode_arg, r"^[\w.]*\.MODE_(\w+)$", 1), F.lit("")),
+        "_bits": key_bits(arg0),
+        "_hard": is_literal(arg0) & key_bits(arg0).isNotNull(),
+        "_fixed_iv": is_literal(F.col("iv_value")),
+        "_algo": _dotted_head(F.col("arg0")),
+        "_algo_mode": F.upper(F.nullif(_dotted_head(mode_arg), F.lit(""))),
+        "_inner_bits": key_bits(F.col("inner_value")),
+        "_digest": F.regexp_extract(F.coalesce(
+            F.concat(F.lit("hashlib."), F.lower(literal_text(F.col("digest")))), F.col("digest")),
+            r"^hashlib\.(md5|sha1)$", 1),
+        "_bits0": literal_int(arg0),
+        "_key_size": literal_int(F.col("size_value")),
+        "_secret_place": p.is_secret_name(
+            F.when(~snippet.startswith("if"), _assigned_name(snippet)))
+        | p.is_secret_name(F.col("function")),
+    })
+    generated = name.isin("rsa.generate_private_key", "generate_private_key")
+    curve = F.when(F.col("_algo") != "", F.col("_algo")).otherwise("unknown-curve")
+    rows = _aes_stage(rows).withColumns({
+        "_hash_profile": hash_profile(F.col("_hash")),
+        "_mac_profile": hash_profile(F.col("_digest")),
+        "_legacy": symmetric_profile(F.col("_cipher"), F.col("_mode"), null_int),
+        "_composed": symmetric_profile(
+            F.col("_algo"), F.col("_algo_mode"),
+            F.when(F.upper("_algo") == "AES", F.col("_inner_bits"))),
+        "_rsa": rsa_profile(F.when(generated, F.col("_key_size")).otherwise(F.col("_bits0"))),
+        "_ecc": ecc_profile(curve),
+        "_dsa": dsa_profile(F.coalesce("_key_size", "_bits0")),
+        "_inner_size": F.concat(
+            F.lit("AES-"), F.coalesce(F.col("_inner_bits").cast("string"), F.lit("?")), F.lit("-")),
+    })
+    new, cipher, mode = F.col("_new"), F.col("_cipher"), F.col("_algo_mode")
+    composed = (name == "Cipher") & (F.col("_algo") != "")
+    aes = composed & (F.upper("_algo") == "AES")
+    inner, sym = F.col("_inner_size"), "symmetric-cipher"
+    return explode_hits(rows, [
+        _hash_hit("python"),
+        _deprecated(new & cipher.isin(fv.PY_LEGACY_CIPHERS), cipher, "_legacy"),
+        *_aes_hits(new & (cipher == "AES"), "AES encryption"),
+        _deprecated(composed & F.upper("_algo").isin(fv.PY_COMPOSED_LEGACY), F.col("_algo"), "_composed"),
+        hit(aes & (mode == "ECB"), "aes-ecb-mode", F.concat(inner, F.lit("ECB")), sym, _of("_composed"), 3),
+        hit(aes & mode.isin(fv.UNAUTHENTICATED_MODES), "aes-missing-aead",
+            F.concat(inner, mode, F.lit(" missing-aead")), sym, _of("_composed"), 2, True),
+        hit(aes & mode.isin("GCM", "CCM"), "aes-aead-mode", F.concat(inner, mode), sym,
+            _of("_composed"), 1, True),
+        hit(name == "Fernet", "fernet-aes128-cbc-hmac", "Fernet symmetric encryption", sym,
+            _fixed(fv.FERNET), 2),
+        hit((name == "hmac.new") & F.col("_mac_profile").isNotNull(),
+            F.concat(F.col("_digest"), F.lit("-hmac-weak-digest")),
+            F.concat(F.lit("HMAC-"), F.col("_mac_profile")["label"], F.lit(" weak-digest")), "hash",
+            _of("_mac_profile"), 3),
+        hit(name.isin("RSA.generate", "rsa.newkeys", "newkeys") | (name == "rsa.generate_private_key")
+            | ((name == "generate_private_key") & (F.col("_key_size") > 0)),
+            "rsa-key-generation", "RSA key_generation", "asymmetric", _of("_rsa"), 2,
+            tags=F.col("_rsa")["tags"]),
+        hit(name == "ec.generate_private_key", "ecdsa-key-generation",
+            F.concat(F.lit("ECDSA key_generation ("), curve, F.lit(")")), "asymmetric", _of("_ecc"), 2),
+        hit(name.isin("dsa.generate_private_key", "DSA.generate"), "dsa-key-generation",
+            "DSA key_generation", "asymmetric", _of("_dsa"), 2),
+        hit(name.isin(fv.PY_RANDOM_CALLS) & F.col("_secret_place"), "insecure-rng",
+            "random module insecure-rng", "rng", _fixed(fv.INSECURE_RNG), 3),
+    ], "python")
 
 
 def comparison_findings(scoped: DataFrame, language: str) -> DataFrame:
@@ -444,17 +479,16 @@ def comparison_findings(scoped: DataFrame, language: str) -> DataFrame:
     def trivial(side: str) -> Column:
         return F.col(side).isin("''", '""', "0", "0.0", constants[0], constants[2])
 
-    left, right = name_of("left"), name_of("right")
-    secret = p.is_secret_name(left) | p.is_secret_name(right)
+    rows = rows.withColumns({"_left": name_of("left"), "_right": name_of("right")})
+    secret = p.is_secret_name(F.col("_left")) | p.is_secret_name(F.col("_right"))
     if language == "javascript":
         secret = secret | p.is_secret_name(F.col("function"))
-    hit = (
-        secret & ~F.lower(left).isin(fv.NON_SECRET_PROPS)
-        & ~F.lower(right).isin(fv.NON_SECRET_PROPS) & ~trivial("left") & ~trivial("right")
-    )
-    return explode_findings(rows.filter(hit), F.array(_from_profile(
-        language, _fixed(fv.TIMING_COMPARE), "timing-unsafe-compare",
-        "Non-constant-time secret comparison", "comparison", specificity=3)), "code")
+    risky = (
+        ~F.lower("_left").isin(fv.NON_SECRET_PROPS) & ~F.lower("_right").isin(fv.NON_SECRET_PROPS)
+        & ~trivial("left") & ~trivial("right") & secret)
+    return explode_hits(rows.filter(risky), [hit(
+        F.lit(True), "timing-unsafe-compare", "Non-constant-time secret comparison", "comparison",
+        _fixed(fv.TIMING_COMPARE), 3)], language)
 
 
 def detect_python(files: DataFrame) -> DataFrame:
@@ -480,88 +514,76 @@ def _js_fixed(value: Column, strings_only: bool) -> Column:
 
 def javascript_call_findings(calls: DataFrame) -> DataFrame:
     name, snippet, path = F.col("callee"), F.col("snippet"), F.lower("path")
-    arg0 = _js_literal(F.col("arg0"))
     options = F.col("arg1_value")
-    upper = F.upper(snippet)
-
-    parsed = tx.split_cipher(arg0)
-    algo, bits, mode = parsed["algo"], parsed["bits"], parsed["mode"]
-    iv = F.col("iv_value")
-    is_cipher = name.isin("crypto.createCipheriv", "crypto.createDecipheriv")
-    direction = F.when(name == "crypto.createCipheriv", "encryption").otherwise("decryption")
-    legacy = is_cipher & algo.isin(fv.JS_LEGACY_CIPHERS)
-
-    is_pair = name.isin("crypto.generateKeyPairSync", "crypto.generateKeyPair")
-    modulus = F.regexp_extract(options, r"modulusLength[\"']?\s*:\s*(\d+)", 1).try_cast("int")
-    curve = F.coalesce(
-        F.nullif(F.regexp_extract(options, r"namedCurve\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit("")),
-        F.lit("unknown-curve"))
-    pair_rsa = rsa_profile(modulus)
-
-    is_sign = name.isin("crypto.createSign", "createSign", "crypto.createVerify", "createVerify")
-    action = F.when(F.lower(name).contains("sign"), "sign").otherwise("verify")
-    scheme = F.upper(F.coalesce(arg0, F.lit("")))
+    rows = calls.withColumn("_arg0", _js_literal(F.col("arg0")))
+    rows = rows.withColumn("_parsed", tx.split_cipher(F.col("_arg0")))
+    scheme = F.upper(F.coalesce("_arg0", F.lit("")))
     by_rsa = scheme.contains("RSA") | (path.contains("auth") & ~scheme.contains("EC"))
     by_ec = scheme.contains("EC") | path.contains("payment")
-    sign_rsa = by_rsa | ~by_ec
-
-    is_library = name.contains("CryptoJS") | name.startswith("algo.")
     library = None
-    for markers, rule_id, title, category, label, severity, risk, advice, spec in fv.JS_LIBRARY_CALLS:
-        hit = F.upper(name).rlike("|".join(markers))
-        found = _from_profile(
-            "javascript", _fixed((label, severity, risk, advice)), rule_id, title, category,
-            specificity=spec)
-        library = F.when(hit, found) if library is None else library.when(hit, found)
-
+    for markers, *said in fv.JS_LIBRARY_CALLS:
+        value = F.struct(*[F.lit(v).alias(k) for k, v in zip(
+            ("rule_id", "rule_name", "category", *PROFILE_FIELDS, "specificity"), said)])
+        found = F.upper(name).rlike("|".join(markers))
+        library = F.when(found, value) if library is None else library.when(found, value)
+    rows = rows.withColumns({
+        "_algo": F.col("_parsed.algo"), "_bits": F.col("_parsed.bits"), "_mode": F.col("_parsed.mode"),
+        "_hash": F.lower("_arg0"), "_password": _mentions_password(snippet),
+        "_hard": _js_fixed(options, True), "_fixed_iv": _js_fixed(F.col("iv_value"), False),
+        "_modulus": F.regexp_extract(
+            options, r"modulusLength[\"']?\s*:\s*(\d+)", 1).try_cast("int"),
+        "_curve": F.coalesce(F.nullif(F.regexp_extract(
+            options, r"namedCurve\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit("")),
+            F.lit("unknown-curve")),
+        "_sign_rsa": by_rsa | ~by_ec,
+        "_action": F.when(F.lower(name).contains("sign"), "sign").otherwise("verify"),
+        "_library": F.when(name.contains("CryptoJS") | name.startswith("algo."), library),
+        "_upper": F.upper(snippet),
+        "_secret_place": p.is_secret_name(_assigned_name(snippet, r"(?:const|let|var) "))
+        | p.is_secret_name(F.col("function")),
+    })
+    rows = _aes_stage(rows).withColumns({
+        "_hash_profile": F.when(name == "crypto.createHash", hash_profile(F.col("_hash"))),
+        "_legacy": symmetric_profile(F.col("_algo"), F.lit(""), F.lit(None).cast("int")),
+        "_rsa": rsa_profile(F.when(F.col("_arg0") == "rsa", F.col("_modulus"))),
+        "_ecc": ecc_profile(F.col("_curve")),
+        "_sign_profile_rsa": rsa_profile(F.lit(2048)),
+        "_sign_profile_ec": ecc_profile(F.lit("secp256k1")),
+    })
+    is_cipher = name.isin("crypto.createCipheriv", "crypto.createDecipheriv")
+    is_pair = name.isin("crypto.generateKeyPairSync", "crypto.generateKeyPair")
+    is_sign = name.isin("crypto.createSign", "createSign", "crypto.createVerify", "createVerify")
     is_signature = (
-        name.contains("KJUR") | name.contains("Signature") | name.contains("jsrsasign"))
-    signature = F.when(upper.contains("SHA1"), _from_profile(
-        "javascript", _fixed(fv.JS_SIGNATURE_SHA1), "jsrsasign-sha1withrsa-weak-signature",
-        "jsrsasign SHA1withRSA digital signature", "signature", specificity=3)
-    ).when(upper.contains("MD5WITHRSA"), _from_profile(
-        "javascript", _fixed(fv.JS_SIGNATURE_MD5), "jsrsasign-md5withrsa-weak-signature",
-        "jsrsasign MD5withRSA digital signature", "signature", specificity=3))
-
-    left = p.strip(F.regexp_replace(F.substring_index(snippet, "=", 1), r"(?:const|let|var) ", ""))
-    target = F.when(snippet.contains("=") & left.rlike(r"^[^\W\d]\w*$"), left)
-    risky_random = (name == "Math.random") & (
-        p.is_secret_name(target) | p.is_secret_name(F.col("function")))
-
-    return explode_findings(calls, some(
-        F.when(name == "crypto.createHash",
-               _hash_finding("javascript", F.lower(arg0), _mentions_password(snippet))),
-        F.when(legacy, _from_profile(
-            "javascript", symmetric_profile(algo, F.lit(""), F.lit(None).cast("int")),
-            F.concat(F.lower(algo), F.lit("-deprecated-cipher")),
-            F.concat(algo, F.lit(" deprecated-cipher")), "symmetric-cipher", specificity=3)),
-        *_when_all(is_cipher & (algo == "AES"), _aes_findings(
-            "javascript", bits, F.coalesce(bits.cast("string"), F.lit("None")), mode,
-            _js_fixed(options, True), _js_fixed(iv, False),
-            F.concat(F.lit("AES "), direction), iv.isNotNull())),
-        F.when(is_pair & (arg0 == "rsa"), _from_profile(
-            "javascript", pair_rsa, "rsa-key-generation", "RSA key_generation", "asymmetric",
-            specificity=2, tags=pair_rsa["tags"])),
-        F.when(is_pair & (arg0 == "ec"), _from_profile(
-            "javascript", ecc_profile(curve), "ecdsa-key-generation",
-            F.concat(F.lit("ECDSA key_generation ("), curve, F.lit(")")), "asymmetric",
-            specificity=2)),
-        F.when(is_sign & sign_rsa, _from_profile(
-            "javascript", rsa_profile(F.lit(2048)),
-            F.concat(F.lit("rsa-digital-signature-"), action),
+        F.col("_library").isNull()
+        & (name.contains("KJUR") | name.contains("Signature") | name.contains("jsrsasign")))
+    sha1 = F.col("_upper").contains("SHA1")
+    action, lib = F.col("_action"), F.col("_library")
+    direction = F.when(name == "crypto.createCipheriv", "AES encryption").otherwise("AES decryption")
+    return explode_hits(rows, [
+        _hash_hit("javascript"),
+        _deprecated(is_cipher & F.col("_algo").isin(fv.JS_LEGACY_CIPHERS), F.col("_algo"), "_legacy"),
+        *_aes_hits(is_cipher & (F.col("_algo") == "AES"), direction),
+        hit(is_pair & (F.col("_arg0") == "rsa"), "rsa-key-generation", "RSA key_generation",
+            "asymmetric", _of("_rsa"), 2, tags=F.col("_rsa")["tags"]),
+        hit(is_pair & (F.col("_arg0") == "ec"), "ecdsa-key-generation",
+            F.concat(F.lit("ECDSA key_generation ("), F.col("_curve"), F.lit(")")), "asymmetric",
+            _of("_ecc"), 2),
+        hit(is_sign & F.col("_sign_rsa"), F.concat(F.lit("rsa-digital-signature-"), action),
             F.concat(F.lit("RSA-2048 digital signature ("), action, F.lit(")")), "asymmetric",
-            specificity=2)),
-        F.when(is_sign & ~sign_rsa, _from_profile(
-            "javascript", ecc_profile(F.lit("secp256k1")),
-            F.concat(F.lit("ecdsa-signature-"), action),
+            _of("_sign_profile_rsa"), 2),
+        hit(is_sign & ~F.col("_sign_rsa"), F.concat(F.lit("ecdsa-signature-"), action),
             F.concat(F.lit("ECDSA signature ("), action, F.lit(")")), "asymmetric",
-            specificity=2)),
-        F.when(is_library, library),
-        F.when(is_signature, signature),
-        F.when(risky_random, _from_profile(
-            "javascript", _fixed(fv.INSECURE_RNG), "insecure-rng", "Math.random insecure-rng",
-            "rng", specificity=3)),
-    ), "code")
+            _of("_sign_profile_ec"), 2),
+        hit(lib.isNotNull(), lib["rule_id"], lib["rule_name"], lib["category"],
+            {k: lib[k] for k in PROFILE_FIELDS}, lib["specificity"]),
+        hit(is_signature & sha1, "jsrsasign-sha1withrsa-weak-signature",
+            "jsrsasign SHA1withRSA digital signature", "signature", _fixed(fv.JS_SIGNATURE_SHA1), 3),
+        hit(is_signature & ~sha1 & F.col("_upper").contains("MD5WITHRSA"),
+            "jsrsasign-md5withrsa-weak-signature", "jsrsasign MD5withRSA digital signature",
+            "signature", _fixed(fv.JS_SIGNATURE_MD5), 3),
+        hit((name == "Math.random") & F.col("_secret_place"), "insecure-rng",
+            "Math.random insecure-rng", "rng", _fixed(fv.INSECURE_RNG), 3),
+    ], "javascript")
 
 
 def detect_javascript(files: DataFrame) -> DataFrame:

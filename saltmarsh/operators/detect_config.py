@@ -29,90 +29,92 @@ def _quoted(*parts) -> Column:
     return F.concat(*[part if isinstance(part, Column) else F.lit(part) for part in parts])
 
 
-def _tls(fmt: str, raw: Column, line: Column) -> Column:
-    """One finding per disabled-check pattern on the line."""
-    start = ("TLS/SSL certificate verification is explicitly disabled (" if fmt == "docker"
-             else "TLS certificate verification disabled in config (")
-    return F.transform(
-        F.when(is_code(raw, fmt), p.tls_disabled_labels(raw)).otherwise(
-            F.array().cast("array<string>")
-        ),
-        lambda label: finding(
-            line, "config", "tls-verification-disabled", "TLS verification disabled", "tls",
-            "Disabled TLS verification", "Critical", fv.CLASSICAL, TLS_ADVICE[fmt],
-            p.strip(raw), _quoted(start, label, ")."), confidence="Possible", tags=TAGS[fmt][0],
-        ),
-    )
+def _by_kind(values: dict[str, Column]) -> Column:
+    chain = None
+    for fmt, value in values.items():
+        own = F.col("kind") == fmt
+        chain = F.when(own, value) if chain is None else chain.when(own, value)
+    return chain
+
+
+def _texts(values: dict[str, str]) -> Column:
+    return _by_kind({fmt: F.lit(v) for fmt, v in values.items()})
 
 
-def _messages(fmt: str, word: Column, key: Column, value: Column, path: Column):
-    weak = {
+def _tag_sets(place: int) -> Column:
+    return _by_kind({fmt: F.array(*[F.lit(x) for x in tags[place]]).cast("array<string>")
+                     for fmt, tags in TAGS.items()})
+
+
+def _messages() -> tuple[Column, Column]:
+    word, key, value = F.col("kv.word"), F.col("kv.key"), F.col("kv.value")
+    weak = _by_kind({
         "docker": _quoted("Dockerfile ", word, " sets '", key, "' to weak algorithm '", value, "'."),
         "env": _quoted("Environment variable '", key, "' configures weak algorithm '", value, "'."),
         "yaml": _quoted("Config key '", key, "' sets weak/deprecated algorithm '", value, "'."),
         "ini": _quoted("Configuration '", key, "' specifies weak algorithm '", value, "'."),
-    }[fmt]
-    secret = {
+    })
+    secret = _by_kind({
         "docker": _quoted("Dockerfile ", word, " sets '", key, "' to a plaintext literal secret."),
         "env": _quoted("Variable '", key, "' in committed .env file holds a plaintext secret."),
         "yaml": _quoted("Config key '", key, "' holds a plaintext literal secret."),
-        "ini": _quoted("Configuration '", key, "' in ", p.basename(path), " holds plaintext secret."),
-    }[fmt]
+        "ini": _quoted("Configuration '", key, "' in ", p.basename(F.col("path")),
+                       " holds plaintext secret."),
+    })
     return weak, secret
 
 
-def _setting(fmt: str, raw: Column, line: Column, path: Column, kv: Column) -> Column:
-    """A weak algorithm, else a plaintext secret, else null."""
-    key, value = kv["key"], kv["value"]
-    weak = p.classify_algorithm(value)
-    weak_message, secret_message = _messages(fmt, kv["word"], key, value, path)
-    snippet = p.strip(raw)
-    secret = (
-        p.is_secret_name(key) & ~p.is_placeholder(value, "config")
-        & ~p.is_known_algorithm(value) & (F.length(value) >= 4)
-    )
-    if fmt == "yaml":
-        secret = secret & ~value.startswith("{") & ~value.startswith("[")
-    rule_id, rule_name = {
-        "docker": ("dockerfile-hardcoded-secret", "Dockerfile hardcoded secret"),
-        "env": ("config-plaintext-secret", "Plaintext secret in .env file"),
-    }.get(fmt, ("config-plaintext-secret", "Plaintext secret in config file"))
-    advice = (
-        "Remove .env from version control, use a secrets manager, and rotate credentials."
-        if fmt == "env" else fv.HARDCODED_KEY[3]
-    )
-    return F.when(
-        weak.isNotNull(),
-        finding(
-            line, "config", "config-weak-algorithm", weak["rule_name"], weak["category"],
-            weak["algorithm"], weak["severity"], fv.CLASSICAL, weak["recommendation"], snippet,
-            weak_message, confidence="Possible", tags=TAGS[fmt][1],
-        ),
-    ).when(
-        secret,
-        finding(
-            line, "config", rule_id, rule_name, "hardcoded-secret", "Hardcoded key material",
-            "High", fv.CLASSICAL, advice, snippet, secret_message, confidence="Possible",
-            tags=TAGS[fmt][2],
-        ),
-    )
-
-
 def detect_config(files: DataFrame) -> DataFrame:
-    """Disabled TLS checks, weak algorithms and secrets, by the format of the file."""
+    """Disabled TLS checks, weak algorithms and secrets, by the format of the file.
+
+    Each line is taken apart once; the key, the algorithm profile and the secret test are
+    columns of their own, whatever the format.
+    """
+    kind, raw, line = F.col("kind"), F.col("raw"), F.col("line")
     lines = to_lines(
-        files.withColumn("kind", file_kind(F.col("path"))).filter(F.col("kind").isNotNull())
-    )
-    raw, line, path, kind = F.col("raw"), F.col("line"), F.col("path"), F.col("kind")
-    for fmt in TAGS:
-        lines = lines.withColumn(f"kv_{fmt}", F.when(kind == fmt, key_value(raw, fmt)))
-    found = None
-    for fmt in TAGS:
-        hits = some(_setting(fmt, raw, line, path, F.col(f"kv_{fmt}")))
-        if fmt in TLS_ADVICE:
-            hits = F.concat(_tls(fmt, raw, line), hits)
-        found = F.when(kind == fmt, hits) if found is None else found.when(kind == fmt, hits)
-    return explode_findings(lines, found, "config")
+        files.withColumn("kind", file_kind(F.col("path"))).filter(kind.isNotNull()))
+    none = F.array().cast("array<string>")
+    lines = lines.withColumns({
+        "kv": _by_kind({fmt: key_value(raw, fmt) for fmt in TAGS}),
+        "off": F.when(
+            kind.isin(list(TLS_ADVICE)) & _by_kind({f: is_code(raw, f) for f in TAGS}),
+            p.tls_disabled_labels(raw)).otherwise(none),
+    }).filter(F.col("kv").isNotNull() | (F.size("off") > 0))
+    key, value = F.col("kv.key"), F.col("kv.value")
+    opened = (kind == "yaml") & (value.startswith("{") | value.startswith("["))
+    lines = lines.withColumns({
+        "weak": p.classify_algorithm(value),
+        "secret": p.is_secret_name(key) & ~p.is_placeholder(value, "config")
+        & ~p.is_known_algorithm(value) & (F.length(value) >= 4) & ~opened,
+        "snippet": p.strip(raw),
+    })
+    weak, snippet = F.col("weak"), F.col("snippet")
+    weak_message, secret_message = _messages()
+    setting = F.when(weak.isNotNull(), finding(
+        line, "config", "config-weak-algorithm", weak["rule_name"], weak["category"],
+        weak["algorithm"], weak["severity"], fv.CLASSICAL, weak["recommendation"], snippet,
+        weak_message, confidence="Possible", tags=_tag_sets(1),
+    )).when(F.col("secret"), finding(
+        line, "config",
+        F.when(kind == "docker", "dockerfile-hardcoded-secret").otherwise("config-plaintext-secret"),
+        F.when(kind == "docker", "Dockerfile hardcoded secret")
+        .when(kind == "env", "Plaintext secret in .env file")
+        .otherwise("Plaintext secret in config file"),
+        "hardcoded-secret", "Hardcoded key material", "High", fv.CLASSICAL,
+        F.when(kind == "env", "Remove .env from version control, use a secrets manager, and "
+               "rotate credentials.").otherwise(fv.HARDCODED_KEY[3]),
+        snippet, secret_message, confidence="Possible", tags=_tag_sets(2),
+    ))
+    start = _texts({
+        "docker": "TLS/SSL certificate verification is explicitly disabled (",
+        "yaml": "TLS certificate verification disabled in config (",
+    })
+    off = F.transform("off", lambda label: finding(
+        line, "config", "tls-verification-disabled", "TLS verification disabled", "tls",
+        "Disabled TLS verification", "Critical", fv.CLASSICAL, _texts(TLS_ADVICE), snippet,
+        _quoted(start, label, ")."), confidence="Possible", tags=_tag_sets(0),
+    ))
+    return explode_findings(lines, F.concat(off, some(setting)), "config")
 
 
 # --- infrastructure -----------------------------------------------------------
