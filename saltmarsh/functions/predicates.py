@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
 
-EMPTY = F.lit("")
 
 
 def strip(col: Column) -> Column:
@@ -38,7 +37,7 @@ def shannon_entropy(value: Column) -> Column:
     n = F.length(value).cast("double")
 
     def bits(c: Column) -> Column:
-        p = (F.length(value) - F.length(F.replace(value, c, EMPTY))) / n
+        p = (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / n
         return -p * F.log2(p)
 
     chars = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))

@@ -122,10 +122,9 @@ def merkle_nodes(
         rows = blocks.select(
             *group, "block", F.posexplode("levels").alias("lv", "nodes")
         ).select(*group, "block", "lv", F.posexplode("nodes").alias("i", "hash"))
-        width = F.greatest(F.shiftleft(F.lit(1), F.lit(bits)).cast("long"), F.lit(1))
         part = rows.select(
             *group, (F.col("lv") + number * bits).alias("level"),
-            (F.col("block") * F.floor(width / F.pow(F.lit(2.0), F.col("lv"))).cast("long")
+            (F.col("block") * F.floor(F.lit(2.0 ** bits) / F.pow(F.lit(2.0), F.col("lv"))).cast("long")
              + F.col("i")).alias("pos"),
             "hash", "lv")
         if number < len(stages) - 1:

@@ -140,21 +140,22 @@ def _(t: Tables):
 def _sql_secrets(table: str, key: str, text: str, pattern: str, groups: int, name_group: int = 1) -> str:
     """Assignments line by line, then the same signals, in SQL."""
     from saltmarsh import fixed_values as fv
-    value = " || ".join(f"regexp_extract(hit, p, {name_group + 1 + g})" for g in range(groups))
+    quoted = pattern.replace("'", "''")
+    value = " || ".join(
+        f"regexp_extract(hit, '{quoted}', {name_group + 1 + g})" for g in range(groups))
     single = "|".join(fv.SINGLE_SECRET_HINTS)
     compound = "|".join(fv.COMPOUND_SECRET_HINTS)
     holders = ", ".join(f"'{w}'" for w in fv.PLACEHOLDERS)
-    quoted = pattern.replace("'", "''")
     return f"""
-WITH pat AS (SELECT '{quoted}' AS p),
-lines AS (SELECT {key}, unnest(list_zip(l, range(1, len(l) + 1))) AS z
+WITH lines AS (SELECT {key}, unnest(list_zip(l, range(1, len(l) + 1))) AS z
   FROM (SELECT {key}, string_split({text}, chr(10)) AS l FROM {table})),
-hits AS (SELECT {key}, CAST(z[2] AS INTEGER) AS line, unnest(regexp_extract_all(z[1], p, 0)) AS hit, p FROM lines, pat),
-vals AS (SELECT {key}, line, regexp_extract(hit, p, {name_group}) AS name, {value} AS value FROM hits),
-named AS (SELECT *, regexp_matches(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')),
+hits AS MATERIALIZED (SELECT {key}, CAST(z[2] AS INTEGER) AS line,
+  unnest(regexp_extract_all(z[1], '{quoted}', 0)) AS hit FROM lines),
+vals AS MATERIALIZED (SELECT {key}, line, regexp_extract(hit, '{quoted}', {name_group}) AS name, {value} AS value FROM hits),
+named AS MATERIALIZED (SELECT *, regexp_matches(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')),
     '(?:^|[^a-z0-9])(?:{single})(?:[^a-z0-9]|$)') OR regexp_matches(lower(name), '{compound}') AS name_hit
   FROM vals WHERE length(value) > 0),
-clean AS (SELECT * FROM named WHERE NOT (lower(trim(value)) IN ({holders})
+clean AS MATERIALIZED (SELECT * FROM named WHERE NOT (lower(trim(value)) IN ({holders})
     OR regexp_matches(value, '^\\$\\{{[^}}]*\\}}$|^%[^%]+%$|^\\{{\\{{[^}}]+\\}}\\}}$|^\\$\\([^)]+\\)$')
     OR regexp_matches(value, '(?i)^\\d+\\.\\d+(\\.\\d+)?([.-][a-z0-9]+)*$')
     OR (regexp_matches(value, '(?i)^https?://[^\\s]+$') AND NOT regexp_matches(value, '(?i)^https?://[^@/]*:[^@/]*@'))
