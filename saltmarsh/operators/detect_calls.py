@@ -95,47 +95,80 @@ def _enclosing(line: Column, indent: Column) -> Column:
     return _last(inside)["name"]
 
 
-def call_sites(scoped: DataFrame, language: str) -> DataFrame:
-    """One row per call with its resolved name and arguments."""
+SITE = (
+    "struct<line:int,callee:string,snippet:string,function:string,arg0:string,arg0_value:string,"
+    "arg1_value:string,mode_arg:string,iv_value:string,size_value:string,digest:string,"
+    "inner_value:string,left:string,right:string>"
+)
+EQUALITY = "=="
+
+
+def _let(value: Column, build) -> Column:
+    """``build`` of a value that is worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def call_sites(
+    scoped: DataFrame, language: str, callees: str | None = None, comparisons: bool = False
+) -> DataFrame:
+    """One row per call with its resolved name and arguments.
+
+    ``callees`` keeps the calls whose resolved name matches, before their arguments are looked
+    at. With ``comparisons`` equality tests come along as rows named ``==``, so one pass over
+    the texts serves both.
+    """
     raw, aliases, constants = F.col("raw"), F.col("aliases"), F.col("constants")
 
     def of_statement(s: Column) -> Column:
-        return F.transform(tx.calls_in(s["code"]), lambda c: F.struct(
+        found = F.transform(tx.calls_in(s["code"]), lambda c: F.struct(
             s["line"].alias("line"), _indent(s["code"]).alias("indent"),
-            _resolve_alias(c["callee"], aliases).alias("callee"),
-            tx.split_arguments(c["args"]).alias("args"),
+            _resolve_alias(c["callee"], aliases).alias("callee"), c["args"].alias("args"),
         ))
-
-    calls = F.flatten(F.transform("code", of_statement))
-    if language == "javascript":
-        calls = F.filter(calls, lambda c: c["callee"].rlike(JS_CALLEE))
+        return found if callees is None else F.filter(found, lambda c: c["callee"].rlike(callees))
 
     def resolved(c: Column) -> Column:
-        pos = tx.positional_arguments(c["args"])
-        mode = F.coalesce(tx.keyword_argument(c["args"], "mode"), F.get(pos, F.lit(1)))
-        iv = F.coalesce(
-            tx.keyword_argument(c["args"], "(?:iv|nonce)"), F.get(pos, F.lit(2))
-        )
-        size = tx.keyword_argument(c["args"], "key_size")
-        digest = F.coalesce(tx.keyword_argument(c["args"], "digestmod"), F.get(pos, F.lit(2)))
-        first = F.get(pos, F.lit(0))
-        inner = F.regexp_extract(first, r"^[\w.]+\((.*)\)$", 1)
-        return F.struct(
-            c["line"].alias("line"), c["callee"].alias("callee"),
-            F.trim(F.get(raw, c["line"] - 1)).alias("snippet"),
-            _enclosing(c["line"], c["indent"]).alias("function"),
-            F.size(pos).alias("n_pos"), first.alias("arg0"),
-            _resolve(first, constants).alias("arg0_value"),
-            _resolve(F.get(pos, F.lit(1)), constants).alias("arg1_value"),
-            mode.alias("mode_arg"), _resolve(iv, constants).alias("iv_value"),
-            _resolve(size, constants).alias("size_value"),
-            _resolve_alias(_resolve(digest, constants), aliases).alias("digest"),
-            _resolve(F.get(tx.split_arguments(inner), F.lit(0)), constants).alias("inner_value"),
-        )
+        def with_args(args: Column) -> Column:
+            return _let(tx.positional_arguments(args), lambda pos: with_positions(args, pos))
+
+        def with_positions(args: Column, pos: Column) -> Column:
+            named = lambda word, place: F.coalesce(
+                tx.keyword_argument(args, word), F.get(pos, F.lit(place)))
+            value = lambda x: _resolve(x, constants)
+            first = F.get(pos, F.lit(0))
+            inner = F.regexp_extract(first, r"^[\w.]+\((.*)\)$", 1)
+            text = lambda x: x.cast("string")
+            return F.struct(
+                c["line"].alias("line"), c["callee"].alias("callee"),
+                F.trim(F.get(raw, c["line"] - 1)).alias("snippet"),
+                _enclosing(c["line"], c["indent"]).alias("function"),
+                first.alias("arg0"), value(first).alias("arg0_value"),
+                value(F.get(pos, F.lit(1))).alias("arg1_value"),
+                named("mode", 1).alias("mode_arg"), value(named("(?:iv|nonce)", 2)).alias("iv_value"),
+                value(tx.keyword_argument(args, "key_size")).alias("size_value"),
+                _resolve_alias(value(named("digestmod", 2)), aliases).alias("digest"),
+                value(F.get(tx.split_arguments(inner), F.lit(0))).alias("inner_value"),
+                text(F.lit(None)).alias("left"), text(F.lit(None)).alias("right"),
+            )
+
+        return _let(tx.split_arguments(c["args"]), with_args)
 
-    return scoped.select(
-        "scan_id", "repo_id", "path", F.explode(F.transform(calls, resolved)).alias("c")
-    ).select("scan_id", "repo_id", "path", "c.*")
+    calls = F.flatten(F.transform("code", of_statement))
+    sites = F.transform(calls, resolved).cast(f"array<{SITE}>")
+    if comparisons:
+        none = F.lit(None).cast("string")
+        tests = F.flatten(F.transform("code", lambda s: F.transform(
+            tx.comparisons_in(s["code"], language), lambda t: F.struct(
+                s["line"].alias("line"), F.lit(EQUALITY).alias("callee"),
+                F.trim(F.get(raw, s["line"] - 1)).alias("snippet"),
+                _enclosing(s["line"], _indent(s["code"])).alias("function"),
+                *[none.alias(k) for k in (
+                    "arg0", "arg0_value", "arg1_value", "mode_arg", "iv_value", "size_value",
+                    "digest", "inner_value")],
+                t["left"].alias("left"), t["right"].alias("right"),
+            ))))
+        sites = F.concat(sites, tests.cast(f"array<{SITE}>"))
+    return scoped.select("scan_id", "repo_id", "path", F.explode(sites).alias("c")).select(
+        "scan_id", "repo_id", "path", "c.*")
 
 
 # --- hits ---------------------------------------------------------------------
@@ -379,14 +412,14 @@ PYTHON_CALLEE = (
 )
 
 
-def python_call_findings(calls: DataFrame) -> DataFrame:
+def python_findings(sites: DataFrame) -> DataFrame:
     name, snippet = F.col("callee"), F.col("snippet")
     arg0, mode_arg = F.col("arg0_value"), F.col("mode_arg")
     tail = F.substring_index(name, ".", -1)
     head = F.substring_index(name, ".", 1)
     dotted = F.split(name, r"\.")
     null_int = F.lit(None).cast("int")
-    rows = calls.filter(name.rlike(PYTHON_CALLEE)).withColumns({
+    rows = sites.withColumns({
         "_hash": F.when(
             name.isin(fv.PY_HASH_CALLS), F.when(tail == "sha3_256", "sha3").otherwise(tail)
         ).when(name == "hashlib.new", F.lower(literal_text(arg0))),
@@ -455,20 +488,12 @@ def python_call_findings(calls: DataFrame) -> DataFrame:
             "DSA key_generation", "asymmetric", _of("_dsa"), 2),
         hit(name.isin(fv.PY_RANDOM_CALLS) & F.col("_secret_place"), "insecure-rng",
             "random module insecure-rng", "rng", _fixed(fv.INSECURE_RNG), 3),
+        _comparison_hit("python"),
     ], "python")
 
 
-def comparison_findings(scoped: DataFrame, language: str) -> DataFrame:
-    """Equality tests on secret-named operands."""
-    raw = F.col("raw")
-    tests = F.flatten(F.transform("code", lambda s: F.transform(
-        tx.comparisons_in(s["code"], language), lambda t: F.struct(
-            s["line"].alias("line"), t["left"].alias("left"), t["right"].alias("right"),
-            F.trim(F.get(raw, s["line"] - 1)).alias("snippet"),
-            _enclosing(s["line"], _indent(s["code"])).alias("function"),
-        ))))
-    rows = scoped.select("scan_id", "repo_id", "path", F.explode(tests).alias("t")).select(
-        "scan_id", "repo_id", "path", "t.*")
+def _comparison_hit(language: str) -> Column:
+    """Equality test on a secret-named operand."""
     constants = ["None", "True", "False"] if language == "python" else ["null", "true", "false"]
 
     def name_of(side: str) -> Column:
@@ -476,26 +501,22 @@ def comparison_findings(scoped: DataFrame, language: str) -> DataFrame:
         plain = c.rlike(r"^[A-Za-z_$][\w$.]*$") & ~c.isin(constants)
         return F.when(plain, F.substring_index(c, ".", -1)).otherwise("")
 
-    def trivial(side: str) -> Column:
-        return F.col(side).isin("''", '""', "0", "0.0", constants[0], constants[2])
+    def quiet(side: str) -> Column:
+        trivial = F.col(side).isin("''", '""', "0", "0.0", constants[0], constants[2])
+        return trivial | F.lower(name_of(side)).isin(fv.NON_SECRET_PROPS)
 
-    rows = rows.withColumns({"_left": name_of("left"), "_right": name_of("right")})
-    secret = p.is_secret_name(F.col("_left")) | p.is_secret_name(F.col("_right"))
+    secret = p.is_secret_name(name_of("left")) | p.is_secret_name(name_of("right"))
     if language == "javascript":
         secret = secret | p.is_secret_name(F.col("function"))
-    risky = (
-        ~F.lower("_left").isin(fv.NON_SECRET_PROPS) & ~F.lower("_right").isin(fv.NON_SECRET_PROPS)
-        & ~trivial("left") & ~trivial("right") & secret)
-    return explode_hits(rows.filter(risky), [hit(
-        F.lit(True), "timing-unsafe-compare", "Non-constant-time secret comparison", "comparison",
-        _fixed(fv.TIMING_COMPARE), 3)], language)
+    return hit(
+        (F.col("callee") == EQUALITY) & ~quiet("left") & ~quiet("right") & secret,
+        "timing-unsafe-compare", "Non-constant-time secret comparison", "comparison",
+        _fixed(fv.TIMING_COMPARE), 3)
 
 
 def detect_python(files: DataFrame) -> DataFrame:
     own = files.filter(F.lower("path").endswith(".py") & F.col("text").rlike(PYTHON_MAYBE))
-    scoped = with_scope(own, "python")
-    return python_call_findings(call_sites(scoped, "python")).unionByName(
-        comparison_findings(scoped, "python"))
+    return python_findings(call_sites(with_scope(own, "python"), "python", PYTHON_CALLEE, True))
 
 
 # --- JavaScript ---------------------------------------------------------------
@@ -512,10 +533,10 @@ def _js_fixed(value: Column, strings_only: bool) -> Column:
     return F.coalesce(literal | buffered, F.lit(False))
 
 
-def javascript_call_findings(calls: DataFrame) -> DataFrame:
+def javascript_findings(sites: DataFrame) -> DataFrame:
     name, snippet, path = F.col("callee"), F.col("snippet"), F.lower("path")
     options = F.col("arg1_value")
-    rows = calls.withColumn("_arg0", _js_literal(F.col("arg0")))
+    rows = sites.withColumn("_arg0", _js_literal(F.col("arg0")))
     rows = rows.withColumn("_parsed", tx.split_cipher(F.col("_arg0")))
     scheme = F.upper(F.coalesce("_arg0", F.lit("")))
     by_rsa = scheme.contains("RSA") | (path.contains("auth") & ~scheme.contains("EC"))
@@ -583,12 +604,12 @@ def javascript_call_findings(calls: DataFrame) -> DataFrame:
             "signature", _fixed(fv.JS_SIGNATURE_MD5), 3),
         hit((name == "Math.random") & F.col("_secret_place"), "insecure-rng",
             "Math.random insecure-rng", "rng", _fixed(fv.INSECURE_RNG), 3),
+        _comparison_hit("javascript"),
     ], "javascript")
 
 
 def detect_javascript(files: DataFrame) -> DataFrame:
     own = files.filter(
         F.lower("path").rlike(r"\.(?:js|mjs|cjs|jsx)$") & F.col("text").rlike(JS_MAYBE))
-    scoped = with_scope(own, "javascript")
-    return javascript_call_findings(call_sites(scoped, "javascript")).unionByName(
-        comparison_findings(scoped, "javascript"))
+    return javascript_findings(
+        call_sites(with_scope(own, "javascript"), "javascript", JS_CALLEE, True))

@@ -51,24 +51,33 @@ def _dependency(library: Column, version: Column, line: Column, snippet: Column)
     )
 
 
+def _let(value: Column, build) -> Column:
+    """``build`` of a value that is worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def npm_dependencies(text: Column) -> Column:
     """dependencies, then devDependencies; the latter's version wins for a shared name."""
     parsed = F.from_json(
-        text, "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
-    )
+        text, "struct<dependencies:map<string,string>,devDependencies:map<string,string>>")
     empty = F.array().cast("array<struct<key:string,value:string>>")
-    main = F.coalesce(F.map_entries(parsed["dependencies"]), empty)
-    dev = F.coalesce(F.map_entries(parsed["devDependencies"]), empty)
-    names = F.array_distinct(F.transform(F.concat(main, dev), lambda e: e["key"]))
-    lines = F.split(text, LINE_BREAK)
+    entries = _let(parsed, lambda x: F.concat(
+        F.coalesce(F.map_entries(x["dependencies"]), empty),
+        F.coalesce(F.map_entries(x["devDependencies"]), empty)))
+
+    def build(all_entries: Column, lines: Column) -> Column:
+        names = F.array_distinct(F.transform(all_entries, lambda e: e["key"]))
+        known = F.filter(names, lambda n: F.lower(n).isin(_names("npm")))
 
-    def build(name: Column) -> Column:
-        version = F.element_at(F.filter(F.concat(main, dev), lambda e: e["key"] == name), -1)
-        line = locate_line(lines, name)
-        return _dependency(F.lower(name), version["value"], line, F.get(lines, line - 1))
+        def one(name: Column) -> Column:
+            last = F.element_at(F.filter(all_entries, lambda e: e["key"] == name), -1)
+            return _let(locate_line(lines, name), lambda line: _dependency(
+                F.lower(name), last["value"], line, F.get(lines, line - 1)))
 
-    known = F.filter(names, lambda n: F.lower(n).isin(_names("npm")))
-    return F.transform(known, build)
+        return F.transform(known, one)
+
+    return _let(F.split(text, LINE_BREAK), lambda lines: _let(
+        entries, lambda all_entries: build(all_entries, lines)))
 
 
 def pip_dependencies(text: Column) -> Column:
@@ -88,23 +97,20 @@ def pip_dependencies(text: Column) -> Column:
 def maven_dependencies(text: Column) -> Column:
     """Every dependency element; its fields are read from the element's own text."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
-    lines = F.split(text, LINE_BREAK)
 
     def field(block: Column, tag: str) -> Column:
         return p.strip(F.regexp_extract(block, rf"(?s)<{tag}>([^<]*)</{tag}>", 1))
 
-    def build(block: Column) -> Column:
+    def build(block: Column, lines: Column) -> Column:
         group, artifact = F.lower(field(block, "groupId")), F.lower(field(block, "artifactId"))
         library = F.when(artifact.isin(_names("maven")), artifact).when(
-            group.contains("bouncycastle") | artifact.contains("bouncycastle"), "bouncycastle"
-        )
-        line = locate_line(lines, F.when(artifact == "", "dependency").otherwise(artifact))
-        return F.when(
-            library.isNotNull(),
-            _dependency(library, field(block, "version"), line, F.get(lines, line - 1)),
-        )
+            group.contains("bouncycastle") | artifact.contains("bouncycastle"), "bouncycastle")
+        target = F.when(artifact == "", "dependency").otherwise(artifact)
+        return F.when(library.isNotNull(), _let(locate_line(lines, target), lambda line: _dependency(
+            library, field(block, "version"), line, F.get(lines, line - 1))))
 
-    return F.array_compact(F.transform(blocks, build))
+    return _let(F.split(text, LINE_BREAK), lambda lines: F.array_compact(
+        F.transform(blocks, lambda block: build(block, lines))))
 
 
 def extract_dependencies(files: DataFrame) -> DataFrame:

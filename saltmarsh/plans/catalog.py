@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from saltmarsh.session import spread
+
 
 @dataclass
 class Tables:
@@ -23,6 +25,10 @@ class Tables:
             self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._seen[name]
 
+    def wide(self, name: str) -> DataFrame:
+        """A table whose rows are expensive to work on, over at least as many tasks as cores."""
+        return spread(getattr(self, name))
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -35,7 +35,7 @@ def _pick(values: list, index: Column, kind: str = "string") -> Column:
 
 
 def finding_facts(t: Tables) -> DataFrame:
-    li = t.lineitem
+    li = t.wide("lineitem")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     part, supp, num = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     primitive = _pick(ALGORITHMS, part % 8)

@@ -129,7 +129,7 @@ def _(t: Tables):
     parts = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text")]
     texts = None
     for name, key, text in parts:
-        rows = getattr(t, name).select(
+        rows = t.wide(name).select(
             F.lit(name).alias("origin"), F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
         texts = rows if texts is None else texts.unionByName(rows)
     return detect_line_rules(texts).groupBy("origin", "item", "rule_id").agg(
@@ -192,12 +192,12 @@ def _secrets(rows, suffix: str, key: str):
 
 @query("d21_entropy_in_documents", _sql_secrets("documents", "doc_id", "text", PY_SQL, 2))
 def _(t: Tables):
-    return _secrets(t.documents.select("doc_id", "text"), ".py", "doc_id")
+    return _secrets(t.wide("documents").select("doc_id", "text"), ".py", "doc_id")
 
 
 @query("d21_entropy_in_pages", _sql_secrets("pages", "page_id", "html", JS_SQL, 3))
 def _(t: Tables):
-    return _secrets(t.pages.select("page_id", F.col("html").alias("text")), ".js", "page_id")
+    return _secrets(t.wide("pages").select("page_id", F.col("html").alias("text")), ".js", "page_id")
 
 
 # --- routing and path rules ---------------------------------------------------

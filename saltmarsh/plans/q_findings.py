@@ -8,6 +8,7 @@ from saltmarsh.functions import severity as sv
 from saltmarsh.operators import consolidate as c
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.facts import finding_facts, with_ctes
+from saltmarsh.session import durable
 from saltmarsh.sources.tables import parse_suppressions, split_confidence, to_finding_rows
 
 COLS = ["scan_id", "path", "line", "rule_id", "language", "algorithm", "severity", "confidence"]
@@ -118,7 +119,7 @@ CORRELATE_CTES = {
 
 @query("j04_correlate_dependencies", with_ctes(["dedup"], CORRELATE_SQL, **CORRELATE_CTES))
 def _(t: Tables):
-    found = c.exact_dedup(finding_facts(t))
+    found = durable(c.exact_dedup(finding_facts(t)))  # read several times below
     return c.correlate_dependencies(found).select(
         "scan_id", "path", "line", "rule_id", "algorithm", "confidence")
 
@@ -172,7 +173,7 @@ SELECT scan_id, path, line, rule_id, algorithm,
   OR (rule_id = 'aes-hardcoded-key' AND path = 'p1') AS suppressed
 FROM dedup""", sevenths="SELECT DISTINCT p_partkey % 8 AS k, p_partkey % 4 AS n FROM part"))
 def _(t: Tables):
-    found = c.exact_dedup(finding_facts(t))
+    found = durable(c.exact_dedup(finding_facts(t)))  # read twice below
     out = c.apply_suppressions(found, parse_suppressions(allow_lines(t)))
     return out.select("scan_id", "path", "line", "rule_id", "algorithm", "suppressed")
 

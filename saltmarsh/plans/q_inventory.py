@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from saltmarsh.operators import inventory as inv
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.facts import finding_facts, scans, with_ctes
+from saltmarsh.session import durable
 
 
 def _occ(t: Tables):
@@ -165,8 +166,9 @@ DIFF = {
 
 def _diff(t: Tables):
     occ = _occ(t)
+    components = durable(inv.build_components(occ))  # read as current and as previous
     return inv.diff_inventories(
-        inv.build_components(occ), occ, inv.with_previous(inv.with_versions(scans(t))))
+        components, occ, inv.with_previous(inv.with_versions(scans(t))))
 
 
 @query("j07_j09_u03_diff", with_ctes(["components", "versions"], "SELECT * FROM statused", **DIFF))
@@ -199,7 +201,7 @@ FROM cur c FULL JOIN prev p ON c.pair = p.pair AND c.key = p.key""",
     prev="SELECT v.scan_id AS pair, k.* FROM versions v JOIN keyed k ON k.scan_id = v.previous_scan_id"))
 def _(t: Tables):
     return inv.diff_versions(
-        inv.build_components(_occ(t)), inv.with_previous(inv.with_versions(scans(t))))
+        durable(inv.build_components(_occ(t))), inv.with_previous(inv.with_versions(scans(t))))
 
 
 @query("s12_cbom_parts", with_ctes(["components", "scans"], """

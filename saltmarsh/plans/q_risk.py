@@ -124,7 +124,7 @@ def _keyword_sql() -> str:
 def _(t: Tables):
     """Keyword hits over whole document texts decide the purpose."""
     found = s.detect_purpose(F.lit(None).cast("string"), F.col("text"))
-    return t.documents.select("doc_id", found["purpose"].alias("purpose"))
+    return t.wide("documents").select("doc_id", found["purpose"].alias("purpose"))
 
 
 @query("p28_subscores", with_ctes(["facts"], f"""
@@ -156,7 +156,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(win AS INTEGER) AS e
 FROM w""")
 def _(t: Tables):
     years = F.when(F.col("l_linenumber") == 1, None).otherwise(F.col("l_suppkey") % 30).cast("int")
-    rows = t.lineitem.withColumn("y", years)
+    rows = t.wide("lineitem").withColumn("y", years)
     window = s.exposure_window(F.col("y"))
     purpose = F.lit("digital_signature")
     return rows.select(

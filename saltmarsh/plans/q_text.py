@@ -56,14 +56,14 @@ LINES = (f"SELECT doc_id, unnest(list_zip(range(1, len(l) + 1), l)) AS z FROM "
 
 @query("x01_lines", f"SELECT doc_id, CAST(z[1] AS INTEGER) AS line, z[2] AS raw FROM ({LINES})")
 def _(t: Tables):
-    return tx.to_lines(t.documents.select("doc_id", "text"))
+    return tx.to_lines(t.wide("documents").select("doc_id", "text"))
 
 
 @query("x02_drop_comments", f"""
 SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, z[2] AS raw FROM ({LINES}))
 WHERE regexp_matches(raw, '\\S') AND NOT regexp_matches(raw, '^\\s*(?://|/\\*|\\*)') GROUP BY doc_id""")
 def _(t: Tables):
-    lines = tx.drop_comments(tx.to_lines(t.documents.select("doc_id", "text")), "javascript")
+    lines = tx.drop_comments(tx.to_lines(t.wide("documents").select("doc_id", "text")), "javascript")
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -80,13 +80,13 @@ SELECT {key}, line, regexp_extract(hit, '{quoted}', 1) AS name, {value} AS value
 
 @query("x03_python_assignments", _assignment_sql("documents", "doc_id", "text", PY_SQL, 2))
 def _(t: Tables):
-    files = t.documents.select("doc_id", F.lit("a.py").alias("path"), "text")
+    files = t.wide("documents").select("doc_id", F.lit("a.py").alias("path"), "text")
     return tx.assignments(files).select("doc_id", "line", "name", "value")
 
 
 @query("x04_javascript_assignments", _assignment_sql("pages", "page_id", "html", JS_SQL, 3))
 def _(t: Tables):
-    files = t.pages.select("page_id", F.lit("a.js").alias("path"), F.col("html").alias("text"))
+    files = t.wide("pages").select("page_id", F.lit("a.js").alias("path"), F.col("html").alias("text"))
     return tx.assignments(files).select("page_id", "line", "name", "value")
 
 
@@ -97,7 +97,7 @@ sums AS (SELECT doc_id, sum(n) AS total FROM chars GROUP BY doc_id)
 SELECT doc_id, round(-sum(n / CAST(total AS DOUBLE) * log2(n / CAST(total AS DOUBLE))), 6) AS entropy
 FROM chars JOIN sums USING (doc_id) GROUP BY doc_id""")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.round(p.shannon_entropy(F.col("text")), 6).alias("entropy"))
+    return t.wide("documents").select("doc_id", F.round(p.shannon_entropy(F.col("text")), 6).alias("entropy"))
 
 
 # --- configuration lines ------------------------------------------------------

@@ -194,7 +194,7 @@ def source_files(t: Tables) -> DataFrame:
         picked = F.element_at(F.array(*[F.lit(x) for x in texts]), kind + 1)
         return F.replace(F.replace(picked, F.lit("{n}"), n), F.lit("{b}"), bits)
 
-    return t.orders.select(
+    return t.wide("orders").select(
         n.alias("scan_id"), F.col("o_custkey").cast("string").alias("repo_id"),
         fill([k[0] for k in KINDS]).alias("path"), fill([k[1] for k in KINDS]).alias("text"))
 
