@@ -16,10 +16,10 @@ def read_corpus(
 
     With ``exts`` the file name filter reaches the listing, before any byte is read.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if exts:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
-    return reader.text(root).select(
+    return reader.text(root, wholetext=True).select(
         F.lit(scan_id).alias("scan_id"), F.lit(repo_id).alias("repo_id"),
         relative_path(F.col("_metadata.file_path"), root).alias("path"),
         F.col("value").alias("text"),

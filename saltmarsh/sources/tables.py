@@ -119,7 +119,7 @@ def parse_truth(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return parse_truth(spark.read.option("wholetext", "true").text(path), "value")
+    return parse_truth(spark.read.text(path, wholetext=True), "value")
 
 
 # --- out ----------------------------------------------------------------------
