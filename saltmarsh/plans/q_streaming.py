@@ -76,10 +76,10 @@ def _(t: Tables):
     return ingest.latch_metadata(rows).select("scan_id", "repo_id", "language")
 
 
-def _drain(t: Tables, df: DataFrame, mode: str) -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    ingest.run_to_memory(df, name, mode, f"{_work_dir(t)}/log")
-    return t.spark.table(name)
+def _drain(t: Tables, df: DataFrame, key: str) -> DataFrame:
+    home = _work_dir(t)
+    ingest.store_updates(df, f"{home}/out", f"{home}/log").awaitTermination()
+    return ingest.latest_updates(t.spark, f"{home}/out", key)
 
 
 @query("r02_scan_status", f"""
@@ -88,7 +88,7 @@ SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(CASE event_type {_cases} END
 def _(t: Tables):
     rows = _events(t).select(
         F.col("user_id").cast("string").alias("scan_id"), _status().alias("status"), "ts", "event_id")
-    return _drain(t, ingest.scan_status(rows), "complete")
+    return _drain(t, ingest.scan_status(rows), "scan_id")
 
 
 @query("r03_fleet_counters", """
@@ -98,4 +98,4 @@ def _(t: Tables):
     rows = _events(t).select(
         "event_type", F.when(F.col("value") > 20, "Critical").otherwise("Low").alias("severity"),
         (F.col("user_id") % 2 == 0).alias("quantum_vulnerable"))
-    return _drain(t, ingest.fleet_counters(rows, "event_type"), "complete")
+    return _drain(t, ingest.fleet_counters(rows, "event_type"), "event_type")

@@ -54,14 +54,26 @@ def fleet_counters(findings: DataFrame, *by: str) -> DataFrame:
         F.count_if(F.col("quantum_vulnerable")).alias("quantum"))
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Drain a stream into a memory table; for small keyed results only."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return query
+def store_updates(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the changed keys of every micro-batch to a folder of its own.
+
+    A batch that runs again after a failure replaces its folder, so nothing is counted twice,
+    and nothing passes through the driver however many keys there are.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(write).trigger(availableNow=True).start()
+    )
+
+
+def latest_updates(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """Current row of every key written by ``store_updates``."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
