@@ -16,7 +16,8 @@ from saltmarsh.operators.detect_secrets import (
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.scan import scan_files
 from saltmarsh.plans.sources import expected_sql, source_files
-from saltmarsh.sources.corpus import layers_of, prune_paths, reject_unsafe_paths
+from saltmarsh.sources.corpus import layers_of, prune_paths, reject_unsafe_paths, route_layers
+from saltmarsh.sources.tables import explode_batches, parse_truth
 
 COLS = ["scan_id", "path", "line", "rule_id", "algorithm", "severity", "confidence"]
 
@@ -223,3 +224,61 @@ def _(t: Tables):
         F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("o_orderkey") % 7 + 1).cast("int")),
         F.lit("{n}"), F.col("o_orderkey").cast("string"))
     return reject_unsafe_paths(prune_paths(t.orders.withColumn("path", path))).select("o_orderkey")
+
+
+@query("s04_extension_filter", """
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, count(*) AS layers FROM orders JOIN (VALUES
+  (0, 2), (1, 2), (2, 2), (3, 2), (6, 2), (7, 2), (8, 3), (9, 2), (10, 3), (11, 3), (12, 3), (13, 3), (14, 1), (15, 3))
+  v(kind, n) ON o_orderkey % 16 = kind, unnest(range(n)) GROUP BY o_orderkey""")
+def _(t: Tables):
+    """Only Python among the plain sources; configuration and manifests stay regardless."""
+    routed = route_layers(source_files(t), "cli", [".py"])
+    return routed.groupBy("scan_id").agg(F.count(F.lit(1)).alias("layers"))
+
+
+@query("s07_explode_batches", """
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, 'r' || o_custkey AS "repoId", CAST(i AS INTEGER) AS seq,
+  'f' || i AS id, CASE i WHEN 0 THEN 'RSA' ELSE 'MD5' END AS primitive FROM orders, (VALUES (0), (1)) v(i)
+WHERE o_orderkey % 3 <> 0""")
+def _(t: Tables):
+    """One row per finding of every batch; a third of the batches are empty."""
+    one = lambda i, name: F.struct(F.lit(f"f{i}").alias("id"), F.lit(name).alias("primitive"))
+    pair = F.array(one(0, "RSA"), one(1, "MD5"))
+    batches = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("scan_id"),
+        F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repoId"),
+        F.when(F.col("o_orderkey") % 3 != 0, pair).otherwise(F.slice(pair, 1, 0)).alias("findings"))
+    return explode_batches(batches)
+
+
+@query("s15_truth", """
+SELECT 'doc' || doc_id AS path, rule_id, quality + toxic AS min_count FROM labels
+JOIN (SELECT doc_id AS d, unnest(CASE WHEN quality = 0 AND toxic = 0 THEN [NULL] ELSE
+  list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) END)
+  AS rule_id FROM labels) ON d = doc_id""")
+def _(t: Tables):
+    """Expected rules written as JSON from the labels; a document may expect nothing."""
+    names = F.array_compact(F.array(
+        F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))
+    doc = F.to_json(F.create_map(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")),
+        F.struct(names.alias("expected_rule_ids"),
+                 (F.col("quality") + F.col("toxic")).alias("expected_min_count"))))
+    return parse_truth(t.labels.select(doc.alias("text")))
+
+
+@query("j02_constant_chains", """
+SELECT p_partkey, CASE WHEN p_partkey % 8 <= 5 THEN '"v' || p_partkey || '"' WHEN p_partkey % 8 = 6 THEN 'K0' ELSE 'K1' END
+  AS key_value FROM part""")
+def _(t: Tables):
+    """A name six steps from its literal is followed, a longer chain is not."""
+    n = F.col("p_partkey").cast("string")
+    chain = "".join(f"K{i} = K{i - 1}\n" for i in range(1, 8))
+    text = F.concat(
+        F.lit('K0 = "v'), n, F.lit('"\n' + chain + "c = AES.new(K"),
+        (F.col("p_partkey") % 8).cast("string"), F.lit(", AES.MODE_ECB)\n"))
+    files = t.part.select(
+        n.alias("scan_id"), F.lit("r").alias("repo_id"), F.lit("a.py").alias("path"), text.alias("text"))
+    calls = call_sites(with_scope(files, "python"), "python", r"^AES\.new$")
+    return calls.select(
+        F.col("scan_id").cast("long").alias("p_partkey"), F.col("arg0_value").alias("key_value"))

@@ -11,6 +11,8 @@ import __spark_entry__ as entry_point
 from saltmarsh.operators import inventory as inv
 from saltmarsh.operators import quality
 from saltmarsh.sources.tables import read_findings_json, write_findings, write_report
+from saltmarsh.sources.tables import append_accuracy_log
+from saltmarsh.streaming import ingest
 from saltmarsh.streaming.ingest import latch_metadata
 
 FOLDER = "/root/testdata/sf0.001"
@@ -113,3 +115,44 @@ def test_metadata_is_latched(spark):
     old = spark.createDataFrame([("s", "r1", "python", 1)], schema)
     new = spark.createDataFrame([("s", "", None, 2), ("s", "r2", "", 3)], schema)
     assert tuple(latch_metadata(new, old).first()) == ("s", "r2", "python", 3)
+
+
+def test_updates_over_several_batches_give_the_current_state(spark, tmp_path):
+    schema = "scan_id string, status string, ts timestamp, event_id long"
+    for i, rows in enumerate([[("a", "PENDING", 1), ("b", "PENDING", 2)], [("a", "RUNNING", 3)], [("a", "FAILED", 4)]]):
+        spark.createDataFrame(rows, "scan_id string, status string, event_id long").withColumn(
+            "ts", F.timestamp_seconds("event_id")).select("scan_id", "status", "ts", "event_id").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    stream = ingest.replay(spark, str(tmp_path / "in"), schema)
+    query = ingest.store_updates(ingest.scan_status(stream), str(tmp_path / "out"), str(tmp_path / "log"))
+    query.awaitTermination()
+    got = {r.scan_id: (r.status, r.events) for r in ingest.latest_updates(spark, str(tmp_path / "out"), "scan_id").collect()}
+    assert got == {"a": ("FAILED", 3), "b": ("PENDING", 1)}
+    assert len(list((tmp_path / "out").glob("batch=*"))) > 1
+
+
+def test_accuracy_history_grows(spark, tmp_path):
+    row = spark.createDataFrame([(1, 0, 0, 1.0)], "tp long, fp long, fn long, f1 double")
+    append_accuracy_log(row, str(tmp_path / "log"))
+    append_accuracy_log(row, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_document_parts_hold_every_occurrence(spark, tmp_path):
+    from saltmarsh.sources.tables import write_cbom
+
+    rows = spark.range(25).select(
+        F.lit("s").alias("scan_id"), F.lit("r").alias("repo_id"), F.lit("RSA").alias("primitive"),
+        F.lit(2048).alias("key_size"), F.lit(None).cast("string").alias("mode"), F.lit("HIGH").alias("severity"),
+        F.col("id").alias("emit_seq"), F.lit(False).alias("suppressed"), F.lit("a.py").alias("path"),
+        F.col("id").cast("int").alias("line"), F.col("id").cast("string").alias("finding_id"),
+        F.lit("x").alias("usage"), F.lit("y").alias("quantum_status"), F.lit("z").alias("recommendation"))
+    occ = inv.occurrences(rows)
+    scans = spark.createDataFrame([("s", "r", 1, "CBOM-v1")], "scan_id string, repo_id string, version int, version_label string")
+    scans = scans.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    parts = inv.cbom_parts(scans, inv.build_components(occ), occ, chunk=10)
+    write_cbom(parts, str(tmp_path / "cbom"))
+    written = spark.read.json(str(tmp_path / "cbom"))
+    assert {r.part: r["count"] for r in written.groupBy("part").count().collect()} == {
+        "header": 1, "component": 1, "occurrences": 3}
+    assert written.select(F.explode("occurrences.items").alias("i")).select("i.line").distinct().count() == 25
