@@ -284,6 +284,14 @@ LINE_RULES = [
      "Compliant with FIPS 140-3."),
 ]
 
+# every line rule needs at least one of these words, in lower case
+LINE_RULE_WORDS = [
+    "rsa.generate(", "key_size", "generate_private_key(", "createhash(", "hashlib.",
+    "messagedigest.", "md5_init", "crypto.md5", "sha1_init", "des.newcipher", "des_ecb_encrypt",
+    "cipher.", "cryptojs.des", "tripledes", "secp256", "prime256v1", "createecdh",
+    "ec_key_new_by_curve_name", "aes/cbc/", "modes.", "aes-256-gcm", "aes/gcm/",
+]
+
 # --- Fixed values: how specific each rule is when layers agree on one secret --
 RULE_QUALITY = {
     "infra-k8s-secret-plaintext": 120,

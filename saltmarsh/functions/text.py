@@ -19,6 +19,11 @@ TAG = OPEN + r"(\d++)(c?)" + CLOSE
 ANY_TAG = OPEN + r"\d++c?" + CLOSE
 
 
+def let(value: Column, build) -> Column:
+    """``build`` of a value that is worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 # --- lines --------------------------------------------------------------------
 def to_lines(files: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, numbered from 1."""

@@ -103,11 +103,6 @@ SITE = (
 EQUALITY = "=="
 
 
-def _let(value: Column, build) -> Column:
-    """``build`` of a value that is worked out once, however often it is read."""
-    return F.get(F.transform(F.array(value), build), F.lit(0))
-
-
 def call_sites(
     scoped: DataFrame, language: str, callees: str | None = None, comparisons: bool = False
 ) -> DataFrame:
@@ -128,7 +123,7 @@ def call_sites(
 
     def resolved(c: Column) -> Column:
         def with_args(args: Column) -> Column:
-            return _let(tx.positional_arguments(args), lambda pos: with_positions(args, pos))
+            return tx.let(tx.positional_arguments(args), lambda pos: with_positions(args, pos))
 
         def with_positions(args: Column, pos: Column) -> Column:
             named = lambda word, place: F.coalesce(
@@ -150,7 +145,7 @@ def call_sites(
                 text(F.lit(None)).alias("left"), text(F.lit(None)).alias("right"),
             )
 
-        return _let(tx.split_arguments(c["args"]), with_args)
+        return tx.let(tx.split_arguments(c["args"]), with_args)
 
     calls = F.flatten(F.transform("code", of_statement))
     sites = F.transform(calls, resolved).cast(f"array<{SITE}>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions.severity import bump_severity
-from saltmarsh.functions.text import LINE_BREAK, is_code
+from saltmarsh.functions.text import LINE_BREAK, is_code, let
 from saltmarsh.schemas import explode_findings, finding
 
 LIBRARY_SCHEMA = (
@@ -51,17 +51,12 @@ def _dependency(library: Column, version: Column, line: Column, snippet: Column)
     )
 
 
-def _let(value: Column, build) -> Column:
-    """``build`` of a value that is worked out once, however often it is read."""
-    return F.get(F.transform(F.array(value), build), F.lit(0))
-
-
 def npm_dependencies(text: Column) -> Column:
     """dependencies, then devDependencies; the latter's version wins for a shared name."""
     parsed = F.from_json(
         text, "struct<dependencies:map<string,string>,devDependencies:map<string,string>>")
     empty = F.array().cast("array<struct<key:string,value:string>>")
-    entries = _let(parsed, lambda x: F.concat(
+    entries = let(parsed, lambda x: F.concat(
         F.coalesce(F.map_entries(x["dependencies"]), empty),
         F.coalesce(F.map_entries(x["devDependencies"]), empty)))
 
@@ -71,12 +66,12 @@ def npm_dependencies(text: Column) -> Column:
 
         def one(name: Column) -> Column:
             last = F.element_at(F.filter(all_entries, lambda e: e["key"] == name), -1)
-            return _let(locate_line(lines, name), lambda line: _dependency(
+            return let(locate_line(lines, name), lambda line: _dependency(
                 F.lower(name), last["value"], line, F.get(lines, line - 1)))
 
         return F.transform(known, one)
 
-    return _let(F.split(text, LINE_BREAK), lambda lines: _let(
+    return let(F.split(text, LINE_BREAK), lambda lines: let(
         entries, lambda all_entries: build(all_entries, lines)))
 
 
@@ -106,10 +101,10 @@ def maven_dependencies(text: Column) -> Column:
         library = F.when(artifact.isin(_names("maven")), artifact).when(
             group.contains("bouncycastle") | artifact.contains("bouncycastle"), "bouncycastle")
         target = F.when(artifact == "", "dependency").otherwise(artifact)
-        return F.when(library.isNotNull(), _let(locate_line(lines, target), lambda line: _dependency(
+        return F.when(library.isNotNull(), let(locate_line(lines, target), lambda line: _dependency(
             library, field(block, "version"), line, F.get(lines, line - 1))))
 
-    return _let(F.split(text, LINE_BREAK), lambda lines: F.array_compact(
+    return let(F.split(text, LINE_BREAK), lambda lines: F.array_compact(
         F.transform(blocks, lambda block: build(block, lines))))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions.severity import redact_literal
-from saltmarsh.functions.text import assignments, to_lines
-from saltmarsh.schemas import explode_findings, finding, some
+from saltmarsh.functions.text import assignments, let, to_lines
+from saltmarsh.schemas import explode_findings, finding
 
 
 def secret_candidates(files: DataFrame) -> DataFrame:
@@ -65,10 +65,12 @@ def detect_entropy_secrets(files: DataFrame) -> DataFrame:
 def detect_line_rules(files: DataFrame) -> DataFrame:
     """Lines × the seven generic rules, as one array per line instead of a join.
 
-    A file that no rule matches anywhere is dropped before its text is split.
+    Every pattern needs one of a few words, so a file without any of them is dropped by a plain
+    substring search before its text is split or a pattern runs.
     """
-    union = "|".join("(?:" + rule[5].removeprefix("(?i)") + ")" for rule in fv.LINE_RULES)
-    lines = to_lines(files.filter(F.col("text").rlike("(?i)" + union)))
+    words = F.array(*[F.lit(w) for w in fv.LINE_RULE_WORDS])
+    maybe = let(F.lower("text"), lambda low: F.exists(words, lambda w: F.contains(low, w)))
+    lines = to_lines(files.filter(maybe))
     hits = F.array_compact(F.array(*[
         F.when(
             F.col("raw").rlike(pattern),
@@ -85,5 +87,3 @@ def detect_line_rules(files: DataFrame) -> DataFrame:
         *keep, F.trim("raw").alias("snippet"), F.explode(hits).alias("r")
     ).select(*keep, "snippet", "r.*")
 
-
-__all__ = ["detect_entropy_secrets", "detect_line_rules", "secret_candidates", "some"]

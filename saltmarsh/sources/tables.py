@@ -81,6 +81,8 @@ def parse_suppressions(lines: DataFrame, line: str = "line", seq: str = "seq") -
             as_string(sub).alias("sub"),
         )
 
+    # a rule whose third part is empty names nothing
+    rows = rows.filter(~((F.size(bars) >= 3) & (third == "")))
     has_bar = text.contains("|")
     pinned = (F.size(colons) == 2) & F.get(colons, F.lit(1)).rlike(r"^\d+$")
     parsed = (
