@@ -120,17 +120,20 @@ def merkle_nodes(
     stages = _stages(leaves, group, bits)
     for number, blocks in enumerate(stages):
         rows = blocks.select(
-            *group, "block", F.posexplode("levels").alias("lv", "nodes")
-        ).select(*group, "block", "lv", F.posexplode("nodes").alias("i", "hash"))
+            *group, "block", "size", F.posexplode("levels").alias("lv", "nodes")
+        ).select(*group, "block", "size", "lv", F.posexplode("nodes").alias("i", "hash"))
         part = rows.select(
             *group, (F.col("lv") + number * bits).alias("level"),
             (F.col("block") * F.floor(F.lit(2.0 ** bits) / F.pow(F.lit(2.0), F.col("lv"))).cast("long")
              + F.col("i")).alias("pos"),
-            "hash", "lv")
+            "hash", "lv", "size")
         if number < len(stages) - 1:
-            # the last level of a full stage is the first level of the next one
-            part = part.filter(F.col("lv") < bits)
-        part = part.drop("lv")
+            # the top of a stage is the first level of the next one, unless the tree ends here
+            part = part.filter((F.col("lv") < bits) | (F.col("size") <= 1 << bits))
+        if number > 0:
+            # a tree that has ended only passes through
+            part = part.filter(F.col("size") > 1)
+        part = part.drop("lv", "size")
         out = part if out is None else out.unionByName(part)
     return out.drop(ONE_TREE)
 

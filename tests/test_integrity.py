@@ -81,7 +81,7 @@ def test_positions_survive_one_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, v long").repartition(8)
     got = with_position(df, ["v"], ["g"], "n", start=0).filter("g = 'hot'").collect()
     assert sorted((r.v, r.n) for r in got) == [(i, i) for i in range(5000)]
-    tasks = df.repartitionByRange("g", "v").withColumn("t", F.spark_partition_id()).filter("g = 'hot'")
+    tasks = df.repartitionByRange(4, "g", "v").withColumn("t", F.spark_partition_id()).filter("g = 'hot'")
     assert tasks.select("t").distinct().count() > 1
 
 
