@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import as_bytes, batch_column, free_name
+from saltmarsh.llm.common import as_bytes, batch_column, free_name, share, shared
 
 #: White space as the tokenizer's pattern language has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -179,8 +179,8 @@ class Encoder:
 
 def _worker(automaton, digests_only: bool):
     def start():
-        encoder = Encoder(automaton.value)
-        special = automaton.value.special
+        tables = shared(automaton)
+        encoder, special = Encoder(tables), tables.special
         split = regex.compile(SPLIT).findall
         cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split \
             if special else lambda text: [text]
@@ -229,7 +229,7 @@ def bpe_round_trip(
     of the new names are replaced. A word's cost grows in proportion to its length.
     """
     spark = docs.sparkSession
-    automaton = spark.sparkContext.broadcast(compile_automaton(*load_vocabulary(vocabulary)))
+    automaton = share(spark, compile_automaton(*load_vocabulary(vocabulary)))
     kind = pa.string() if digests_only else pa.list_(pa.int32())
     run = batch_column(spark, _worker(automaton, digests_only),
                        {"n_tokens": pa.int64(), "ids": kind, "decoded": pa.string()})

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,16 @@ _SQL_TYPES = {
 }
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of bounded size; its class travels with it, as functions do."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(handle: Broadcast) -> object:
+    """The value that ``share`` was given, on a worker."""
+    return pickle.loads(handle.value)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

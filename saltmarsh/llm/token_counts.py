@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.bpe import SPACE, byte_alphabet
-from saltmarsh.llm.common import as_bytes, batch_column, free_name
+from saltmarsh.llm.common import as_bytes, batch_column, free_name, share, shared
 
 #: Words that a task remembers; when there are more it starts afresh.
 REMEMBERED_WORDS = 400_000
@@ -105,8 +105,8 @@ class TokenCounter:
 
 def _worker(merges):
     def start():
-        counter = TokenCounter(merges.value)
-        special = merges.value.special
+        tables = shared(merges)
+        counter, special = TokenCounter(tables), tables.special
         words_of = regex.compile(WORD).findall
         cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))).split
         known: dict[str, int] = {}
@@ -144,7 +144,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", limit:
     nothing, and an empty table gives an empty table. Columns of ``docs`` that have one of the new names are replaced.
     """
     spark = docs.sparkSession
-    merges = spark.sparkContext.broadcast(load_merges(vocabulary))
+    merges = share(spark, load_merges(vocabulary))
     run = batch_column(spark, _worker(merges), {"n_bytes": pa.int64(), "n_tokens": pa.int64()})
     made = free_name(docs, "made")
     return docs.withColumn(made, run(as_bytes(text))).withColumns({
