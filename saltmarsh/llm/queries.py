@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.bpe import bpe_round_trip
 from saltmarsh.llm.common import table
 from saltmarsh.llm.decontaminate import find_contamination
+from saltmarsh.llm.line_dedup import find_repeated_lines
 from saltmarsh.llm.simhash import simhash_components
 from saltmarsh.llm.token_counts import count_tokens
 
@@ -23,6 +24,38 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"),
+        F.array_join(F.array_sort(F.concat("exact", "near")), ",").alias("removed_lines"))
+
+
+SQL["op1_line_dedup"] = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i - 1 AS line_no,
+             list_filter(regexp_split_to_array(lower(a[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM s)),
+e AS (SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5),
+d AS (SELECT t, any_value(w) AS w, min(place) AS place FROM e GROUP BY t),
+k AS (SELECT place, md5(i || ':' || array_to_string(list_concat(w[1:i], w[i + 2:]), ' ')) AS k
+      FROM (SELECT place, w, unnest(range(0, len(w))) AS i FROM d)
+      UNION ALL
+      SELECT place, md5(i || ':' || t) FROM (SELECT place, t, unnest(range(0, len(w) + 1)) AS i FROM d)),
+g AS (SELECT k, min(place) AS hub FROM k GROUP BY k),
+near AS (SELECT DISTINCT place FROM k JOIN g USING (k) WHERE place > hub),
+m AS (SELECT e.doc_id, e.line_no, e.place <> d.place AS exact, e.place = d.place AND near.place IS NOT NULL AS near
+      FROM e JOIN d USING (t) LEFT JOIN near ON near.place = e.place),
+r AS (SELECT doc_id, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+             string_agg(line_no, ',' ORDER BY line_no) FILTER (exact OR near) AS removed_lines
+      FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+       coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, coalesce(removed_lines, '') AS removed_lines
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
