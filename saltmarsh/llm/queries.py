@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.bpe import bpe_round_trip
 from saltmarsh.llm.common import table
 from saltmarsh.llm.decontaminate import find_contamination
+from saltmarsh.llm.license_scan import PHRASES, TEMPLATES, need, scan_licenses
 from saltmarsh.llm.line_dedup import find_repeated_lines
 from saltmarsh.llm.simhash import simhash_components
 from saltmarsh.llm.token_counts import count_tokens
@@ -56,6 +57,47 @@ FROM documents LEFT JOIN r USING (doc_id)
 """
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct("places.label"))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label")))
+    best = F.greatest(F.lit(0.0), F.array_max("matches.containment"), F.when(F.size("places") > 0, F.lit(1.0)))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.place").alias("first_word"), F.array_max("places.place").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), best.alias("score"))
+
+
+_WORDS_SQL = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_PHRASES_SQL = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES.items())
+_TEMPLATES_SQL = ", ".join(
+    f"({i}, '{label}', {sorted(set(words.split()))}, {need(len(set(words.split())))})"
+    for i, (label, words) in enumerate(TEMPLATES))
+SQL["op3_license_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, {_WORDS_SQL.format("text")} AS w FROM d),
+p AS (SELECT * FROM (VALUES {_PHRASES_SQL}) AS p(phrase, label, n)),
+t AS (SELECT * FROM (VALUES {_TEMPLATES_SQL}) AS t(template, label, words, need)),
+b AS (SELECT doc_id, i - 1 AS place, label
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), p
+      WHERE array_to_string(w[i : i + n - 1], ' ') = phrase),
+bs AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+              string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct({_WORDS_SQL.format("line")}) AS w
+      FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS score
+      FROM l, t WHERE len(w) >= need AND len(list_intersect(w, words)) >= need),
+ms AS (SELECT doc_id, max(score) AS score FROM m GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+      FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM b) GROUP BY doc_id)
+SELECT doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(ms.score, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN ms USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
