@@ -15,6 +15,7 @@ from saltmarsh.llm.license_scan import PHRASES, TEMPLATES, need, scan_licenses
 from saltmarsh.llm.line_dedup import find_repeated_lines
 from saltmarsh.llm.simhash import simhash_components
 from saltmarsh.llm.token_counts import count_tokens
+from saltmarsh.llm.warc import captured_payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +58,22 @@ FROM documents LEFT JOIN r USING (doc_id)
 """
 
 
+@query
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captured_payloads(table(spark, sf_dir, "pages"))
+
+
+SQL["op2_warc_transactions"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+             min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
