@@ -61,7 +61,7 @@ def batch_column(
 _SQL_TYPES = {
     pa.int64(): "bigint", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean",
     pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>",
-    pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>",
+    pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>", pa.list_(pa.float64()): "array<double>",
 }
 
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.bpe import bpe_round_trip
 from saltmarsh.llm.common import table
 from saltmarsh.llm.decontaminate import find_contamination
+from saltmarsh.llm.language_id import identify_languages
 from saltmarsh.llm.license_scan import PHRASES, TEMPLATES, need, scan_licenses
 from saltmarsh.llm.line_dedup import find_repeated_lines
+from saltmarsh.llm.quality_model import classify
+from saltmarsh.llm.quality_rules import judge
 from saltmarsh.llm.simhash import simhash_components
 from saltmarsh.llm.token_counts import count_tokens
 from saltmarsh.llm.warc import captured_payloads
@@ -121,6 +124,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -130,6 +138,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"), "found.contaminated")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
