@@ -158,6 +158,17 @@ def find_contamination(
     return out.withColumn(name, F.col(name).withField("contaminated", (hit > 0) & (20 * hit >= words)))
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = 13,
+) -> DataFrame:
+    """``docs`` without contaminated documents, with the same columns."""
+    found = free_name(docs, "found")
+    marked = find_contamination(
+        docs, benchmark, text=text, item_id=item_id, item_text=item_text, window=window, name=found)
+    return marked.where(~F.col(f"{found}.contaminated")).drop(found)
+
+
 def _search_in_blocks(docs: DataFrame, blocks: list, text: str, name: str) -> DataFrame:
     """One pass over the texts per block; the spans of a text then meet by the text's digest."""
     spark, key = docs.sparkSession, free_name(docs, "text_key")
