@@ -138,7 +138,8 @@ def repeated_lines(
              .where(F.size("words") >= min_words))
     texts = scratch.write(taken.select(place.alias("place"), "words").dropDuplicates(["place"]), "texts")
 
-    keys = texts.select("place", F.explode(deletion_keys(F.col("words"))).alias("key"))
+    # written once, as both sides of the join below read them
+    keys = scratch.write(texts.select("place", F.explode(deletion_keys(F.col("words"))).alias("key")), "keys")
     earliest = keys.groupBy("key").agg(F.min("place").alias("hub"), F.count("*").alias("n")).where("n > 1")
     pairs = (keys.join(earliest.select("key", "hub"), "key").where("place > hub").select("place", "hub").distinct())
     near = scratch.write(
