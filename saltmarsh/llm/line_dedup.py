@@ -44,6 +44,10 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _WORD_GAPS), "")
 
 
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -105,20 +109,21 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def repeated_lines(
     docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """Per document id with a line of ``min_words`` words or more: the numbers of its lines that go.
+    """Per document with a line of ``min_words`` words or more: the numbers of its lines that go.
 
-    Columns doc_id, exact and near (sorted arrays of line numbers from 0). Places are ordered by (doc_id, line number), a null id
-    first. Repeated rows share their places, so that neither removes the other.
+    Columns doc_id, text_key (a hash of the text, which tells rows of one id apart), exact and near (sorted arrays of line numbers
+    from 0). Places are ordered by (doc_id, text_key, line number), a null id first. Repeated rows share their places, so that
+    neither removes the other.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(_lines(F.col(text))).alias("line_no", "line"))
-    words = (rows.select("doc_id", "line_no", F.explode(F.array(line_words(F.col("line")))).alias("words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"),
+                       F.posexplode(_lines(F.col(text))).alias("line_no", "line"))
+    words = (rows.select("doc_id", "text_key", "line_no", F.explode(F.array(line_words(F.col("line")))).alias("words"))
              .where(F.size("words") >= min_words))
     joined = F.array_join("words", " ")
     lines = scratch.write(
-        words.select("doc_id", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
+        words.select("doc_id", "text_key", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
                      _halves(F.col("words")).alias("halves")), "lines")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "text_key", "line_no")
     distinct = scratch.write(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct")
 
@@ -126,15 +131,16 @@ def repeated_lines(
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     wanted = scratch.write(
         halves.join(shared, "half", "left_semi").select("h1", "h2", "place").distinct()
-        .groupBy(F.col("place.doc_id").alias("in_doc")).agg(F.collect_list("place.line_no").alias("numbers")), "wanted")
+        .groupBy(F.col("place.doc_id").alias("in_doc"), F.col("place.text_key").alias("in_text"))
+        .agg(F.collect_list("place.line_no").alias("numbers")), "wanted")
     few = wanted.agg(F.count("*"), F.sum(F.size("numbers"))).first()
-    side = F.broadcast(wanted) if 40 * few[0] + 4 * (few[1] or 0) <= BROADCAST_BYTES else wanted
-    taken = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-             .join(side, F.col("doc_id").eqNullSafe(F.col("in_doc")))
-             .select("doc_id", "numbers", F.explode(F.array(_lines(F.col("text")))).alias("all_lines"))
-             .select("doc_id", F.explode(F.transform("numbers", lambda i: F.struct(
+    side = F.broadcast(wanted) if 48 * few[0] + 4 * (few[1] or 0) <= BROADCAST_BYTES else wanted
+    taken = (docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
+             .join(side, F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_key") == F.col("in_text")))
+             .select("doc_id", "text_key", "numbers", F.explode(F.array(_lines(F.col("text")))).alias("all_lines"))
+             .select("doc_id", "text_key", F.explode(F.transform("numbers", lambda i: F.struct(
                  i.alias("line_no"), F.col("all_lines")[i].alias("line")))).alias("l"))
-             .select("doc_id", "l.line_no", F.explode(F.array(line_words(F.col("l.line")))).alias("words"))
+             .select("doc_id", "text_key", "l.line_no", F.explode(F.array(line_words(F.col("l.line")))).alias("words"))
              .where(F.size("words") >= min_words))
     texts = scratch.write(taken.select(place.alias("place"), "words").dropDuplicates(["place"]), "texts")
 
@@ -148,15 +154,16 @@ def repeated_lines(
         .where(within_one_edit(F.col("mine"), F.col("theirs"))).select("place").distinct(), "near")
 
     # of each distinct line only the earliest place can stay
-    marks = (lines.select("doc_id", "line_no", F.lit(0).alias("mark"))
-             .unionAll(distinct.select("place.doc_id", "place.line_no", F.lit(1).alias("mark")))
-             .unionAll(near.select("place.doc_id", "place.line_no", F.lit(2).alias("mark"))))
+    marks = (lines.select("doc_id", "text_key", "line_no", F.lit(0).alias("mark"))
+             .unionAll(distinct.select("place.*", F.lit(1).alias("mark")))
+             .unionAll(near.select("place.*", F.lit(2).alias("mark"))))
 
     def numbers(mark: int) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("mark") == mark, F.col("line_no"))))
 
-    return (marks.groupBy("doc_id").agg(numbers(0).alias("all"), numbers(1).alias("first"), numbers(2).alias("near"))
-            .select("doc_id", F.array_except("all", "first").alias("exact"), "near"))
+    return (marks.groupBy("doc_id", "text_key")
+            .agg(numbers(0).alias("all"), numbers(1).alias("first"), numbers(2).alias("near"))
+            .select("doc_id", "text_key", F.array_except("all", "first").alias("exact"), "near"))
 
 
 def find_repeated_lines(
@@ -169,9 +176,9 @@ def find_repeated_lines(
     """
     found = repeated_lines(docs, Scratch(docs.sparkSession, "line-dedup"), doc_id=doc_id, text=text, min_words=min_words)
     none = F.array().cast("array<int>")
-    rows = docs.select(F.col(doc_id).alias("id"), F.when(F.col(text).isNull(), 0).otherwise(
+    rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), F.when(F.col(text).isNull(), 0).otherwise(
         F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
-    return (rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return (rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
             .select(F.col("id").alias("doc_id"), "n_lines", F.coalesce("exact", none).alias("exact"),
                     F.coalesce("near", none).alias("near")))
 
@@ -184,17 +191,16 @@ def drop_repeated_lines(
 
     A document that loses a line and has no word left goes; all others stay.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "line-dedup")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     found = repeated_lines(docs, scratch, doc_id=doc_id, text=text, min_words=min_words)
-    key, gone = free_name(docs, "in_doc"), free_name(docs, "gone")
-    losing = scratch.write(
-        found.select(F.col("doc_id").alias(key), F.concat("exact", "near").alias(gone)).where(F.size(gone) > 0), "losing")
+    key, own, gone = free_name(docs, "in_doc"), free_name(docs, "in_text"), free_name(docs, "gone")
+    losing = scratch.write(found.select(F.col("doc_id").alias(key), F.col("text_key").alias(own), F.concat("exact", "near").alias(gone))
+                           .where(F.size(gone) > 0), "losing")
     few = losing.agg(F.count("*"), F.sum(F.size(gone))).first()
-    side = F.broadcast(losing) if 40 * few[0] + 4 * (few[1] or 0) <= BROADCAST_BYTES else losing
+    side = F.broadcast(losing) if 48 * few[0] + 4 * (few[1] or 0) <= BROADCAST_BYTES else losing
     kept = F.array_join(F.filter(_lines(F.col(text)), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
     loses = F.col(gone).isNotNull()
-    out = docs.join(side, F.col(doc_id).eqNullSafe(F.col(key)), "left")
+    out = docs.join(side, F.col(doc_id).eqNullSafe(F.col(key)) & (text_key(text) == F.col(own)), "left")
     out = out.withColumn(text, F.when(loses, kept).otherwise(F.col(text))).where(~loses | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
     if length and length in docs.columns:
         out = out.withColumn(length, F.when(loses, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
