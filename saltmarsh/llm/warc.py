@@ -65,7 +65,9 @@ def write_captures(
             .withColumn("revisits", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))))
     capture = (F.col("page_id"), digest)
     record_id, type_ = _urn("response", *capture), F.when(F.col("revisits"), "revisit").otherwise("response")
-    torn = F.contains(F.col("body"), F.lit(END + VERSION))
+    # the separator may also begin in the end of the HTTP header
+    torn = (F.contains(F.col("body"), F.lit(END + VERSION)) | F.startswith(F.col("body"), F.lit(VERSION))
+            | F.startswith(F.col("body"), F.lit("\r\n" + VERSION)))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length("body").cast("string"),

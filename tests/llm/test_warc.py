@@ -10,6 +10,7 @@ ROWS = [
     (1, "http://a/b", None), (2, "http://a/ü\r\nX: y", ""), (3, None, BIG), (4, "http://c?x=1", BIG), (4, "http://c?x=1", BIG),
     (5, "u", "short"), (6, "u", "short"), (7, "u", MARK), (8, "u", MARK), (9, "u", "\r\n\r\n"), (None, "n", BIG), (None, "n", "zz" * 90),
     (10, "é", "é€" * 100), (11, "q", "\r\n" * 70), (3, None, BIG), (12, "t", "x\r\n\r\n" * 50), (13, "t", "WARC/1.1\r\n" * 20),
+    (14, "t", "\r\nWARC/1.1\r\n" * 20), (15, "t", "\nWARC/1.1\r\n\r\n\r\nWARC/1.1\r"),
 ]
 
 
