@@ -26,8 +26,8 @@ from saltmarsh.llm.common import Scratch, free_name
 
 #: Lines of fewer words are left alone: half sentences and headings recur without being copies.
 MIN_WORDS = 5
-#: Words hashed together in prefix hashes.
-BLOCK = 32
+#: Words hashed together in prefix hashes, a power of two.
+BLOCK = 8
 #: A side of a join is broadcast if its measured rows are estimated at no more bytes than this; else both sides shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -55,26 +55,23 @@ def _lines(text: Column) -> Column:
 def _halves(words: Column) -> Column:
     """Hashes of the first and last h words, for the h that a line within one edit may ask for."""
     def at(h: Column) -> Column:
-        return F.array(F.xxhash64(F.lit(0), h, F.array_join(F.slice(words, F.lit(1), h), " ")),
-                       F.xxhash64(F.lit(1), h, F.array_join(F.slice(words, F.size(words) - h + 1, h), " ")))
+        return F.array(F.xxhash64(F.lit(0), h, F.slice(words, F.lit(1), h)),
+                       F.xxhash64(F.lit(1), h, F.slice(words, F.size(words) - h + 1, h)))
 
     n = F.size(words)
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return F.array_distinct(F.concat(at(half), at(less)))
 
 
-def _prefix_hashes(words: Column) -> Column:
-    """Hash of the first i words, for i from 0 to their number."""
-    def block(k: Column) -> Column:
-        return F.slice(words, k * BLOCK + 1, F.lit(BLOCK))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / BLOCK).cast("int")),
-                         lambda k: F.xxhash64(F.array_join(block(k), " ")))
+def _prefix_hashes(hashes: Column) -> Column:
+    """Hash of the first i elements of an array of word hashes, for i from 0 to its size."""
+    shift = BLOCK.bit_length() - 1
+    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(hashes), shift)),
+                         lambda k: F.xxhash64(F.slice(hashes, k * BLOCK + 1, F.lit(BLOCK))))
 
     def all_prefixes(heads: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: F.xxhash64(
-            heads[F.floor(i / BLOCK).cast("int")],
-            F.array_join(F.slice(words, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), " ")))
+        return F.transform(F.sequence(F.lit(0), F.size(hashes)), lambda i: F.xxhash64(
+            heads[F.shiftright(i, shift)], F.slice(hashes, i - i % BLOCK + 1, i % BLOCK)))
 
     heads = _let(blocks, lambda b: F.transform(
         F.sequence(F.lit(0), F.size(b) - 1), lambda k: F.xxhash64(F.slice(b, F.lit(1), k))))
@@ -88,9 +85,9 @@ def deletion_keys(words: Column) -> Column:
         left_out = F.transform(F.sequence(F.lit(0), n - 1),
                                lambda i: F.xxhash64(i, n - 1 - i, front[i], back[n - 1 - i]))
         gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(i, n - i, front[i], back[n - i]))
-        return F.array_distinct(F.concat(left_out, gaps))
+        return F.concat(left_out, gaps)
 
-    return _let(words, lambda w: _let(_prefix_hashes(w), lambda front: _let(
+    return _let(F.transform(words, lambda word: F.xxhash64(word)), lambda w: _let(_prefix_hashes(w), lambda front: _let(
         _prefix_hashes(F.reverse(w)), lambda back: keys(front, back))))
 
 
@@ -119,9 +116,8 @@ def repeated_lines(
                        F.posexplode(_lines(F.col(text))).alias("line_no", "line"))
     words = (rows.select("doc_id", "text_key", "line_no", F.explode(F.array(line_words(F.col("line")))).alias("words"))
              .where(F.size("words") >= min_words))
-    joined = F.array_join("words", " ")
     lines = scratch.write(
-        words.select("doc_id", "text_key", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2"),
+        words.select("doc_id", "text_key", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
                      _halves(F.col("words")).alias("halves")), "lines")
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = scratch.write(
