@@ -7,32 +7,54 @@ from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
+from saltmarsh.functions.text import to_lines
+from saltmarsh.sources import tree
+from saltmarsh.sources.tables import parse_suppressions
 
 
 def read_corpus(
-    spark: SparkSession, root: str, scan_id: str, repo_id: str, exts: list[str] | None = None
+    spark: SparkSession, root: str, scan_id: str, repo_id: str, exts: list[str] | None = None,
+    pruned: list[str] | None = None,
 ) -> DataFrame:
-    """Every file under ``root`` as one row; malformed bytes become replacement marks.
+    """Every file under ``root`` as one row, hidden names included; malformed bytes become replacement marks.
 
-    With ``exts`` the file name filter reaches the listing, before any byte is read.
+    Folders named in ``pruned`` (by default those that are never scanned) are not entered. With ``exts``
+    plain source files of other extensions are left out before any byte is read; configuration, manifests,
+    Dockerfiles and environment files stay in regardless.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if exts:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
-    return reader.text(root, wholetext=True).select(
-        F.lit(scan_id).alias("scan_id"), F.lit(repo_id).alias("repo_id"),
-        relative_path(F.col("_metadata.file_path"), root).alias("path"),
-        F.col("value").alias("text"),
-    )
+    files = tree.tree_of(spark, root, fv.PRUNED_DIRS if pruned is None else pruned)
+    if exts is not None:
+        files = files.filter(wanted_by_extension(F.col("path"), exts))
+    return tree.read_files(files).select(
+        F.lit(scan_id).alias("scan_id"), F.lit(repo_id).alias("repo_id"), "path", "text")
 
 
-def relative_path(file_path: Column, root: str) -> Column:
-    bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    start = F.instr(file_path, bare)
-    return F.url_decode(F.replace(
-        F.regexp_replace(
-            F.substring(file_path, start + len(bare), F.length(file_path)), "^/+", ""),
-        F.lit("+"), F.lit("%2B")))
+def wanted_by_extension(path: Column, exts: list[str]) -> Column:
+    """Whether a file is looked at when only source files with ``exts`` are asked for."""
+    name = p.basename(path)
+    low = F.lower(name)
+    return (
+        (name == "Dockerfile") | name.startswith("Dockerfile.") | name.startswith(".env")
+        | low.contains("package") | low.contains("requirements") | low.contains("pom")
+        | low.isin("nginx.conf", "httpd.conf", "apache2.conf")
+        | p.extension(path).isin(".yml", ".yaml", ".json", ".ini", ".conf", ".env", ".tf", ".xml")
+        | p.extension(path).isin(list(exts)))
+
+
+def read_ignore_rules(
+    spark: SparkSession, roots: DataFrame, name: str, pruned: list[str] | None = None,
+) -> DataFrame:
+    """Allow-list rules of every scan: the file ``name`` in the root, else the first one below it.
+
+    ``roots`` has the columns scan_id and root. "First" is the file with the fewest folders above it, then by path.
+    A scan without such a file has no rules.
+    """
+    listed = tree.list_files(roots.select("root").distinct(), [] if pruned is None else pruned).filter(
+        p.basename(F.col("path")) == name)
+    chosen = listed.groupBy("root").agg(
+        F.min(F.struct(F.size(F.split("path", "/")).alias("depth"), "path")).alias("at")).select("root", "at.path")
+    lines = to_lines(tree.read_files(chosen)).select("root", F.col("line").alias("seq"), F.col("raw").alias("line"))
+    return parse_suppressions(roots.select("scan_id", "root").join(lines, "root").drop("root"))
 
 
 def prune_paths(files: DataFrame, dirs: list[str] | None = None) -> DataFrame:
@@ -116,13 +138,7 @@ def route_layers(
     path = F.col("path")
     routed = files
     if exts is not None:
-        low = F.lower(p.basename(path))
-        always = (
-            (p.basename(path) == "Dockerfile") | p.basename(path).startswith("Dockerfile.")
-            | p.basename(path).startswith(".env") | low.contains("package")
-            | low.contains("requirements") | low.contains("pom")
-            | p.extension(path).isin(".yml", ".yaml", ".json", ".ini", ".conf", ".env", ".tf", ".xml"))
-        routed = files.filter(always | p.extension(path).isin(list(exts)))
+        routed = files.filter(wanted_by_extension(path, exts))
     return routed.withColumn("layer", F.explode(layers_of(path, profile)))
 
 

@@ -150,10 +150,17 @@ def test_corpus_reading_routing_and_limits(spark, files_df, tmp_path):
     (tmp_path / "src dir" / "a.py").write_bytes(b"x = 1\n\xff\xfe\n")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "b.js").write_text("y")
+    for hidden in (".env", "__init__.py", "_lib/k.py", ".git/config", "a+b%20c/.env.local"):
+        (tmp_path / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / hidden).write_text(f"in {hidden}")
+    kept = {"src dir/a.py", ".env", "__init__.py", "_lib/k.py", "a+b%20c/.env.local"}
     files = read_corpus(spark, str(tmp_path), "s", "r")
-    assert sorted(r.path for r in files.collect()) == ["node_modules/b.js", "src dir/a.py"]
-    assert [r.path for r in prune_paths(files).collect()] == ["src dir/a.py"]
-    assert {r.path for r in read_corpus(spark, str(tmp_path), "s", "r", [".js"]).collect()} == {"node_modules/b.js"}
+    assert {r.path for r in files.collect()} == kept
+    assert {r.text for r in files.collect() if r.path != "src dir/a.py"} == {f"in {p}" for p in kept - {"src dir/a.py"}}
+    every = read_corpus(spark, f"file://{tmp_path}", "s", "r", pruned=[])
+    assert {r.path for r in every.collect()} == kept | {"node_modules/b.js", ".git/config"}
+    assert {r.path for r in prune_paths(every).collect()} == kept
+    assert {r.path for r in read_corpus(spark, str(tmp_path), "s", "r", [".js"]).collect()} == {".env", "a+b%20c/.env.local"}
     store_corpus(files, str(tmp_path / "stored"))
     assert spark.read.parquet(str(tmp_path / "stored")).select("kind").first().kind == "python"
     routed = route_layers(files_df(("pom.xml", ""), ("x.tf", ""), ("a.txt", "")), "cli")
