@@ -1,0 +1,335 @@
+"""Call sites and equality tests of one source file, in linear time.
+
+Column functions have no way to balance brackets of any depth or to tell code from text inside literals and comments, so this
+one step runs in Python on Arrow batches: a syntax tree for Python, one pass over tokens for JavaScript. It only extracts;
+names, profiles and rules are columns. A file that does not parse gives nothing.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# This function runs on executors, which need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+FIELDS = (
+    "line", "callee", "snippet", "function", "arg0", "arg0_value", "arg1_value", "mode_arg", "iv_value", "size_value",
+    "digest", "inner_value", "left", "right",
+)
+SITE = "struct<line:int," + ",".join(f"{f}:string" for f in FIELDS[1:]) + ">"
+EQUALITY = "=="
+#: Names followed from one constant to the next.
+STEPS = 6
+LINE_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+
+
+def _site(lines: list[str], line: int, callee: str, function: str | None, **values) -> tuple:
+    snippet = lines[line - 1].strip(" ") if line <= len(lines) else ""
+    given = {"line": line, "callee": callee, "snippet": snippet, "function": function, **values}
+    return tuple(given.get(f) for f in FIELDS)
+
+
+# --- Python -------------------------------------------------------------------
+def _dotted(node: ast.AST) -> str:
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else ""
+
+
+def python_sites(text: str, wanted: re.Pattern | None, comparisons: bool) -> list[tuple]:
+    """Calls whose name, import aliases resolved, is wanted, and tests with a single == or !=."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    constants: dict[str, ast.AST] = {}
+    aliases: dict[str, str] = {}
+    found: list[tuple[ast.AST, str | None]] = []
+    todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
+    while todo:
+        node, function = todo.pop()
+        if isinstance(node, ast.Assign):
+            constants |= {t.id: node.value for t in node.targets if isinstance(t, ast.Name)}
+        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and node.value is not None:
+            constants[node.target.id] = node.value
+        elif isinstance(node, ast.Import):
+            aliases |= {a.asname: a.name.split(".")[0] for a in node.names if a.asname}
+        elif isinstance(node, ast.ImportFrom):
+            aliases |= {a.asname: a.name for a in node.names if a.asname}
+        elif isinstance(node, ast.Call) or comparisons and isinstance(node, ast.Compare):
+            found.append((node, function))
+        inside = node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else function
+        todo += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+
+    def named(name: str) -> str:
+        head, dot, rest = name.partition(".")
+        return aliases.get(head, head) + dot + rest
+
+    def plain(node: ast.AST | None) -> str | None:
+        return None if node is None else ast.unparse(node)
+
+    def value(node: ast.AST | None) -> ast.AST | None:
+        for _ in range(STEPS):
+            if not isinstance(node, ast.Name) or node.id not in constants:
+                break
+            node = constants[node.id]
+        return node
+
+    lines, sites = LINE_BREAK.split(text), []
+    for node, function in found:
+        if isinstance(node, ast.Compare):
+            if len(node.ops) == 1 and isinstance(node.ops[0], (ast.Eq, ast.NotEq)):
+                sides = [_dotted(side) or plain(side) for side in (node.left, node.comparators[0])]
+                sites.append(_site(lines, node.lineno, EQUALITY, function, left=sides[0], right=sides[1]))
+            continue
+        callee = named(_dotted(node.func))
+        if not callee or wanted is not None and not wanted.search(callee):
+            continue
+        given = [a for a in node.args if not isinstance(a, ast.Starred)]
+        words = {k.arg: k.value for k in node.keywords if k.arg}
+
+        def argument(place: int, *names: str, given=given, words=words) -> ast.AST | None:
+            return next((words[n] for n in names if n in words), given[place] if 0 <= place < len(given) else None)
+
+        first = argument(0)
+        inner = first.args[0] if isinstance(first, ast.Call) and first.args else None
+        digest = plain(value(argument(2, "digestmod")))
+        sites.append(_site(
+            lines, node.lineno, callee, function, arg0=plain(first), arg0_value=plain(value(first)),
+            arg1_value=plain(value(argument(1))), mode_arg=plain(argument(1, "mode")),
+            iv_value=plain(value(argument(2, "iv", "nonce"))), size_value=plain(value(argument(-1, "key_size"))),
+            digest=None if digest is None else named(digest), inner_value=plain(value(inner))))
+    return sites
+
+
+# --- JavaScript ---------------------------------------------------------------
+_TOKEN = re.compile(
+    r"(?P<space>\s+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?)"
+    r"|(?P<template>`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\.?\d[\w.]*)"
+    r"|(?P<punct>=>|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\+\+|--|\.\.\.|[-+*/%&|^<>]=|[\s\S])")
+_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => == === != !== && || ?? return typeof case in of".split())
+_CONTROL = frozenset("if for while switch catch with".split())
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
+
+
+def _template_end(text: str, at: int) -> int:
+    """End of the template literal that starts at ``at``; what is inserted into it belongs to it."""
+    depth, i = 0, at + 1
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif c == "`" and not depth:
+            return i + 1
+        elif c == "{" and (depth or text[i - 1] == "$"):
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+        i += 1
+    return len(text)
+
+
+def _tokens(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of everything but white space and comments."""
+    out, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        kind, end = m.lastgroup, m.end()
+        if kind == "template":
+            end = _template_end(text, at)
+        elif kind == "punct" and text[at] == "/" and (not out or out[-1][1] in _BEFORE_REGEX):
+            r = _REGEX.match(text, at)
+            kind, end = ("regex", r.end()) if r else (kind, end)
+        if kind != "space":
+            out.append((kind, text[at:end], at, end))
+        at = end
+    return out
+
+
+def javascript_sites(text: str, wanted: re.Pattern | None, comparisons: bool) -> list[tuple]:
+    """Calls whose dotted name is wanted, and ==, !=, === and !== tests with their nearest operands."""
+    tokens = _tokens(text)
+    n = len(tokens)
+    partner, stack = [-1] * n, []
+    for i, (kind, t, _, _) in enumerate(tokens):
+        if kind == "punct" and t in _OPEN:
+            stack.append(i)
+        elif kind == "punct" and t in _CLOSE and stack and _OPEN[tokens[stack[-1]][1]] == t:
+            partner[stack[-1]], partner[i] = i, stack[-1]
+            stack.pop()
+    starts = [m.end() for m in LINE_BREAK.finditer(text)]
+    lines = LINE_BREAK.split(text)
+
+    def word(i: int) -> str:
+        return tokens[i][1] if 0 <= i < n else ""
+
+    def source(first: int, last: int) -> str | None:
+        """Text of a run of tokens, white space as single blanks."""
+        return re.sub(r"\s+", " ", text[tokens[first][2] : tokens[last - 1][3]]) if first < last else None
+
+    def chain_start(i: int) -> int:
+        """First token of the member chain that ends with name ``i``."""
+        while word(i - 1) in (".", "?.") and tokens[i - 2][0] == "name":
+            i -= 2
+        return i
+
+    def chain(first: int, last: int) -> str:
+        return "".join(t for _, t, _, _ in tokens[first : last + 1]).replace("?.", ".")
+
+    def expression_end(i: int) -> int:
+        """Where an expression ends that starts at token ``i``."""
+        while i < n and not (tokens[i][0] == "punct" and (word(i) in _CLOSE or word(i) in (",", ";"))):
+            i = partner[i] + 1 if tokens[i][0] == "punct" and partner[i] > i else i + 1
+            if i < n and "\n" in text[tokens[i - 1][3] : tokens[i][2]] and tokens[i][0] in ("name", "string", "number") \
+                    and (tokens[i - 1][0] != "punct" or word(i - 1) in _CLOSE):
+                break
+        return i
+
+    constants: dict[str, tuple[int, int]] = {}
+    opens: dict[int, tuple[int, str | None]] = {}
+
+    def declared(i: int) -> str | None:
+        """Name of the variable that is given the value starting at token ``i``."""
+        return word(i - 2) if word(i - 1) == "=" and i >= 2 and tokens[i - 2][0] == "name" and word(i - 3) != "." else None
+
+    for i, (kind, t, _, _) in enumerate(tokens):
+        if kind == "name" and t in ("const", "let", "var"):
+            k = i + 1
+            while k + 1 < n and tokens[k][0] == "name" and word(k + 1) == "=":
+                end = expression_end(k + 2)
+                constants[word(k)] = (k + 2, end)
+                if word(end) != ",":
+                    break
+                k = end + 1
+        elif kind == "name" and t == "function":
+            k = i + 1 + (word(i + 1) == "*")
+            name = word(k) if k < n and tokens[k][0] == "name" else None
+            hint = declared(i - (word(i - 1) == "async"))
+            p = k + (name is not None)
+            body = partner[p] + 1 if word(p) == "(" and partner[p] > p else n
+            if word(body) == "{":
+                opens[body] = (partner[body] if partner[body] > body else n, name or hint)
+        elif t == "=>":
+            first = partner[i - 1] if word(i - 1) == ")" and partner[i - 1] >= 0 else i - 1
+            hint = declared(first - (word(first - 1) == "async"))
+            body = i + 1
+            end = partner[body] if word(body) == "{" and partner[body] > body else expression_end(body) - 1
+            opens[body] = (max(end, body), hint)
+        elif kind == "punct" and t == "{" and word(i - 1) == ")" and i not in opens and partner[i - 1] >= 1:
+            head = partner[i - 1] - 1
+            if tokens[head][0] == "name" and word(head) not in _CONTROL and partner[i] > i:
+                opens[i] = (partner[i], None)
+
+    def value(first: int, last: int) -> str | None:
+        for _ in range(STEPS):
+            if last != first + 1 or tokens[first][0] != "name" or word(first) not in constants:
+                break
+            first, last = constants[word(first)]
+        return source(first, last)
+
+    sites, scopes, line = [], [], 1
+    for i, (kind, t, at, _) in enumerate(tokens):
+        while line <= len(starts) and starts[line - 1] <= at:
+            line += 1
+        while scopes and scopes[-1][0] < i:
+            scopes.pop()
+        if i in opens:
+            scopes.append(opens[i])
+        function = scopes[-1][1] if scopes else None
+        if kind == "name" and word(i + 1) == "(" and partner[i + 1] > i and word(i - 1) != "function":
+            first = chain_start(i)
+            callee = chain(first, i)
+            # a declaration's head or a control word is no call
+            if t in _CONTROL or t == "async" and word(partner[i + 1] + 1) == "=>" or first == i and partner[i + 1] + 1 in opens and word(i - 1) not in ("=", "(", ",", "return"):
+                continue
+            if wanted is not None and not wanted.search(callee):
+                continue
+            arguments, k, close = [], i + 2, partner[i + 1]
+            while k < close:
+                end = k
+                while end < close and word(end) != ",":
+                    end = partner[end] + 1 if partner[end] > end else end + 1
+                if end > k:
+                    arguments.append((k, end))
+                k = end + 1
+            at_line = _line_of(starts, tokens[first][2])
+            place = lambda j, a=arguments: a[j] if j < len(a) else None
+            one, two, three = place(0), place(1), place(2)
+            sites.append(_site(
+                lines, at_line, callee, function, arg0=one and source(*one), arg0_value=one and value(*one),
+                arg1_value=two and value(*two), mode_arg=two and source(*two), iv_value=three and value(*three),
+                digest=three and value(*three)))
+        elif comparisons and kind == "punct" and t in ("==", "!=", "===", "!=="):
+            left, right = _operand_before(tokens, partner, i, chain_start), _operand_after(tokens, partner, i)
+            if left is not None and right is not None:
+                sites.append(_site(lines, line, EQUALITY, function, left=source(*left).replace("?.", "."),
+                                   right=source(*right).replace("?.", ".")))
+    return sites
+
+
+def _line_of(starts: list[int], at: int) -> int:
+    import bisect
+
+    return bisect.bisect_right(starts, at) + 1
+
+
+def _operand_before(tokens, partner, i, chain_start) -> tuple[int, int] | None:
+    kind, t = tokens[i - 1][:2] if i else ("", "")
+    if kind in ("string", "number"):
+        return i - 1, i
+    if kind == "name":
+        return chain_start(i - 1), i
+    if t in (")", "]") and partner[i - 1] >= 0:
+        first = partner[i - 1]
+        return (chain_start(first - 1) if first and tokens[first - 1][0] == "name" else first), i
+    return None
+
+
+def _operand_after(tokens, partner, i) -> tuple[int, int] | None:
+    k = i + 1
+    if k >= len(tokens):
+        return None
+    if tokens[k][0] in ("string", "number"):
+        return k, k + 1
+    if tokens[k][0] != "name":
+        return None
+    while k + 2 < len(tokens) and tokens[k + 1][1] in (".", "?.") and tokens[k + 2][0] == "name":
+        k += 2
+    k += 1
+    while k < len(tokens) and tokens[k][1] in ("(", "[") and partner[k] > k:
+        k = partner[k] + 1
+    return i + 1, k
+
+
+# --- as a column --------------------------------------------------------------
+def sites_in(text: Column, language: str, callees: str | None, comparisons: bool) -> Column:
+    """Array of ``SITE`` of a whole file, in the order of the text."""
+    extract = {"python": python_sites, "javascript": javascript_sites}[language]
+    wanted = None if callees is None else re.compile(callees)
+    kinds = [pa.int32() if f == "line" else pa.string() for f in FIELDS]
+
+    @F.arrow_udf(f"array<{SITE}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [extract(x or "", wanted, comparisons) for x in batch.to_pylist()]
+            rows = [site for sites in found for site in sites]
+            columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
+            items = pa.StructArray.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(FIELDS))
+            offsets = [0]
+            for sites in found:
+                offsets.append(offsets[-1] + len(sites))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+    return run(text)

@@ -1,8 +1,8 @@
 """Call-site and comparison detectors for Python and JavaScript.
 
 A file is one row, so aliases (J01), constants (X17, J02) and enclosing functions (X18)
-are resolved inside that row and no detector shuffles. Calls are read from statement text:
-lower recall than a parser on unusual layouts, same rules once a call is found.
+are resolved inside that row and no detector shuffles. ``code_sites`` extracts the sites; everything a
+rule says about them is columns.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions import text as tx
+from saltmarsh.functions.code_sites import EQUALITY, sites_in
 from saltmarsh.schemas import LAYER_ORDER, finding
 
+# A file whose text has none of these words cannot hold a site: an alias is introduced by the word it stands for.
 PYTHON_MAYBE = (
-    r"(?i)md5|sha1|sha256|sha3_256|sha512|hashlib|\bAES\b|\bDES3?\b|TDES|\bRC[24]\b|ARC4|Blowfish|"
-    r"Crypto|Cipher|Fernet|hmac|newkeys|generate|random\.|==|!="
+    r"(?i)md5|sha1|sha256|sha3_256|sha512|hashlib|AES|DES|RC2|RC4|Blowfish|"
+    r"Crypto|Cipher|Fernet|hmac|newkeys|generate|random|==|!="
 )
 JS_MAYBE = (
-    r"createHash|Cipheriv|cipheriv|generateKeyPair|createSign|createVerify|CryptoJS|algo\.|KJUR|"
-    r"Signature|jsrsasign|Math\.random|==|!="
+    r"createHash|ipheriv|generateKeyPair|createSign|createVerify|CryptoJS|algo|KJUR|"
+    r"Signature|jsrsasign|random|==|!="
 )
 # A call is looked at when its name, as written, could resolve to a detected one.
 JS_CALLEE = (
@@ -88,81 +90,18 @@ def with_scope(files: DataFrame, language: str) -> DataFrame:
     ))
 
 
-def _enclosing(line: Column, indent: Column) -> Column:
-    inside = F.filter("functions", lambda f: (
-        ((f["line"] < line) & (f["indent"] < indent)) | (f["line"] == line) & (indent >= f["indent"])
-    ))
-    return _last(inside)["name"]
-
-
-SITE = (
-    "struct<line:int,callee:string,snippet:string,function:string,arg0:string,arg0_value:string,"
-    "arg1_value:string,mode_arg:string,iv_value:string,size_value:string,digest:string,"
-    "inner_value:string,left:string,right:string>"
-)
-EQUALITY = "=="
-
-
 def call_sites(
-    scoped: DataFrame, language: str, callees: str | None = None, comparisons: bool = False
+    files: DataFrame, language: str, callees: str | None = None, comparisons: bool = False
 ) -> DataFrame:
-    """One row per call with its resolved name and arguments.
+    """One row per call with its resolved name and arguments.
 
-    ``callees`` keeps the calls whose resolved name matches, before their arguments are looked
-    at. With ``comparisons`` equality tests come along as rows named ``==``, so one pass over
-    the texts serves both.
+    ``callees`` keeps the calls whose resolved name matches. With ``comparisons`` equality tests come along as
+    rows named ``==``, so one pass over the texts serves both.
     """
-    raw, aliases, constants = F.col("raw"), F.col("aliases"), F.col("constants")
-
-    def of_statement(s: Column) -> Column:
-        found = F.transform(tx.calls_in(s["code"]), lambda c: F.struct(
-            s["line"].alias("line"), _indent(s["code"]).alias("indent"),
-            _resolve_alias(c["callee"], aliases).alias("callee"), c["args"].alias("args"),
-        ))
-        return found if callees is None else F.filter(found, lambda c: c["callee"].rlike(callees))
-
-    def resolved(c: Column) -> Column:
-        def with_args(args: Column) -> Column:
-            return tx.let(tx.positional_arguments(args), lambda pos: with_positions(args, pos))
-
-        def with_positions(args: Column, pos: Column) -> Column:
-            named = lambda word, place: F.coalesce(
-                tx.keyword_argument(args, word), F.get(pos, F.lit(place)))
-            value = lambda x: _resolve(x, constants)
-            first = F.get(pos, F.lit(0))
-            inner = F.regexp_extract(first, r"^[\w.]+\((.*)\)$", 1)
-            text = lambda x: x.cast("string")
-            return F.struct(
-                c["line"].alias("line"), c["callee"].alias("callee"),
-                F.trim(F.get(raw, c["line"] - 1)).alias("snippet"),
-                _enclosing(c["line"], c["indent"]).alias("function"),
-                first.alias("arg0"), value(first).alias("arg0_value"),
-                value(F.get(pos, F.lit(1))).alias("arg1_value"),
-                named("mode", 1).alias("mode_arg"), value(named("(?:iv|nonce)", 2)).alias("iv_value"),
-                value(tx.keyword_argument(args, "key_size")).alias("size_value"),
-                _resolve_alias(value(named("digestmod", 2)), aliases).alias("digest"),
-                value(F.get(tx.split_arguments(inner), F.lit(0))).alias("inner_value"),
-                text(F.lit(None)).alias("left"), text(F.lit(None)).alias("right"),
-            )
-
-        return tx.let(tx.split_arguments(c["args"]), with_args)
-
-    calls = F.flatten(F.transform("code", of_statement))
-    sites = F.transform(calls, resolved).cast(f"array<{SITE}>")
-    if comparisons:
-        none = F.lit(None).cast("string")
-        tests = F.flatten(F.transform("code", lambda s: F.transform(
-            tx.comparisons_in(s["code"], language), lambda t: F.struct(
-                s["line"].alias("line"), F.lit(EQUALITY).alias("callee"),
-                F.trim(F.get(raw, s["line"] - 1)).alias("snippet"),
-                _enclosing(s["line"], _indent(s["code"])).alias("function"),
-                *[none.alias(k) for k in (
-                    "arg0", "arg0_value", "arg1_value", "mode_arg", "iv_value", "size_value",
-                    "digest", "inner_value")],
-                t["left"].alias("left"), t["right"].alias("right"),
-            ))))
-        sites = F.concat(sites, tests.cast(f"array<{SITE}>"))
-    return scoped.select("scan_id", "repo_id", "path", F.explode(sites).alias("c")).select(
+    spark = files.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    sites = sites_in(F.col("text"), language, callees, comparisons)
+    return files.select("scan_id", "repo_id", "path", F.explode(sites).alias("c")).select(
         "scan_id", "repo_id", "path", "c.*")
 
 
@@ -511,7 +450,7 @@ def _comparison_hit(language: str) -> Column:
 
 def detect_python(files: DataFrame) -> DataFrame:
     own = files.filter(F.lower("path").endswith(".py") & F.col("text").rlike(PYTHON_MAYBE))
-    return python_findings(call_sites(with_scope(own, "python"), "python", PYTHON_CALLEE, True))
+    return python_findings(call_sites(own, "python", PYTHON_CALLEE, True))
 
 
 # --- JavaScript ---------------------------------------------------------------
@@ -607,4 +546,4 @@ def detect_javascript(files: DataFrame) -> DataFrame:
     own = files.filter(
         F.lower("path").rlike(r"\.(?:js|mjs|cjs|jsx)$") & F.col("text").rlike(JS_MAYBE))
     return javascript_findings(
-        call_sites(with_scope(own, "javascript"), "javascript", JS_CALLEE, True))
+        call_sites(own, "javascript", JS_CALLEE, True))

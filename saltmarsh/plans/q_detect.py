@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.operators.consolidate import exact_dedup
 from saltmarsh.operators.detect_calls import (
-    call_sites, detect_javascript, detect_python, with_scope,
+    call_sites, detect_javascript, detect_python,
 )
 from saltmarsh.operators.detect_config import cluster_secret_entries, detect_config, detect_infra
 from saltmarsh.operators.detect_dependencies import detect_dependencies, extract_dependencies
@@ -76,16 +76,13 @@ def _(t: Tables):
 
 @query("x15_x18_call_sites", """
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES
-  (0, 2, 'login', NULL), (0, 3, 'hashlib.md5', 'login'), (0, 3, 'password.encode', 'login'), (0, 4, 'etag', NULL),
-  (0, 5, 'hashlib.sha1', 'etag'), (0, 6, 'safe', NULL), (0, 7, 'hashlib.sha256', 'safe'))
+  (0, 3, 'hashlib.md5', 'login'), (0, 3, 'password.encode', 'login'), (0, 5, 'hashlib.sha1', 'etag'),
+  (0, 7, 'hashlib.sha256', 'safe'))
   v(kind, line, callee, function) ON o_orderkey % 16 = kind""")
 def _(t: Tables):
     files = _of(t, "python").filter(F.col("path").startswith("src/m"))
-    calls = call_sites(with_scope(files, "python"), "python")
-    # a def line reads as a call of its own name; it is not inside itself
-    own = F.col("function") == F.col("callee")
-    return calls.select(
-        "scan_id", "line", "callee", F.when(own, None).otherwise(F.col("function")).alias("function"))
+    calls = call_sites(files, "python")
+    return calls.select("scan_id", "line", "callee", "function")
 
 
 @query("x19_cluster_secret_entries", """
@@ -279,6 +276,6 @@ def _(t: Tables):
         (F.col("p_partkey") % 8).cast("string"), F.lit(", AES.MODE_ECB)\n"))
     files = t.part.select(
         n.alias("scan_id"), F.lit("r").alias("repo_id"), F.lit("a.py").alias("path"), text.alias("text"))
-    calls = call_sites(with_scope(files, "python"), "python", r"^AES\.new$")
+    calls = call_sites(files, "python", r"^AES\.new$")
     return calls.select(
         F.col("scan_id").cast("long").alias("p_partkey"), F.col("arg0_value").alias("key_value"))

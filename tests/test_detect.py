@@ -177,3 +177,75 @@ def test_truth_keeps_paths_that_expect_nothing(spark):
         "text string")
     assert sorted((r.path, r.rule_id) for r in parse_truth(doc).collect() if r.rule_id) == [("a", "r1"), ("a", "r2")]
     assert [r.rule_id for r in parse_truth(doc).collect() if r.path == "b"] == [None]
+
+
+PYTHON_CASES = {
+    "import rsa\nAES.new(f(g(h(i(1)))), AES.MODE_ECB)\n": ["aes-ecb-mode"],
+    "import random as rnd\ndef make_token():\n    return rnd.choice(x)\n": ["insecure-rng"],
+    "import random\ndef make_token():\n    pass\nif True:\n    random.seed(1)\n": [],
+    'x = """\nhashlib.md5(x)\n"""\n': [],
+    "# hashlib.md5(x)\ny = 'hashlib.md5(x)'\n": [],
+    "ok = token == a == b\n": [],
+    "ok = token == other\n": ["timing-unsafe-compare"],
+    "if token == (a\n    or b): pass\n": ["timing-unsafe-compare"],
+    "digest = hashlib.new(\n    'MD5',\n    data)\n": ["md5-hashing"],
+    "def broken(:\n  hashlib.md5(x)\n": [],
+    "DES.new(k, DES.MODE_CBC)\nDES3.new(k, DES3.MODE_CBC)\nARC4.new(k)\nBlowfish.new(k)\n": [
+        "arc4-deprecated-cipher", "blowfish-deprecated-cipher", "des-deprecated-cipher", "des3-deprecated-cipher"],
+    "RSA.generate(1024)\nrsa.newkeys(512)\nDSA.generate(1024)\n": ["dsa-key-generation", "rsa-key-generation", "rsa-key-generation"],
+    "c = Cipher(algorithms.AES(key), modes.ECB())\nd = Cipher(algorithms.TripleDES(key), modes.CBC(iv))\n": [
+        "aes-ecb-mode", "tripledes-deprecated-cipher"],
+    "hmac.new(k, m, hashlib.md5)\nhmac.new(k, m, digestmod='sha1')\n": ["md5-hmac-weak-digest", "sha1-hmac-weak-digest"],
+}
+JAVASCRIPT_CASES = {
+    "// crypto.createHash('md5')\n/* crypto.createHash('md5') */ const s = \"crypto.createHash('md5')\";\n": [],
+    "crypto.createHash(\n  'md5'\n).update(f(g(h(i(j(1))))))\n": ["md5-hashing"],
+    "function makeToken() { return 1; }\nconst x = Math.random();\n": [],
+    "const makeToken = async (n) => { return Math.random().toString(n); };\n": ["insecure-rng"],
+    "const re = /crypto.createHash('md5')/;\n": [],
+    "if (user?.password === given) {}\n": ["timing-unsafe-compare"],
+    "crypto.generateKeyPairSync('ec', { namedCurve: 'P-256',\n  nested: { deep: [1, (2)] } });\n": ["ecdsa-key-generation"],
+    "crypto.createCipheriv('des-cbc', k, iv)\n": ["des-deprecated-cipher"],
+}
+
+
+def test_calls_as_a_parser_sees_them(files_df):
+    for cases, detect, ext in ((PYTHON_CASES, detect_python, "py"), (JAVASCRIPT_CASES, detect_javascript, "js")):
+        texts = list(cases)
+        found = {}
+        for r in detect(files_df(*[(f"f{i}.{ext}", t) for i, t in enumerate(texts)])).collect():
+            found.setdefault(int(r.path[1:].split(".")[0]), []).append(r.rule_id)
+        assert {t: sorted(found.get(i, [])) for i, t in enumerate(texts)} == {t: sorted(v) for t, v in cases.items()}
+
+
+def test_extraction_takes_linear_time_and_any_text():
+    import time
+
+    from saltmarsh.functions.code_sites import javascript_sites, python_sites
+
+    many = {python_sites: "v{i} = hashlib.md5(v{i}, K)\n", javascript_sites: "const v{i} = crypto.createHash('md5').update(K{i});\n"}
+    for extract, line in many.items():
+        took = []
+        for n in (4000, 16000):
+            text = "".join(line.replace("{i}", str(i)) for i in range(n))
+            start = time.perf_counter()
+            assert len(extract(text, None, True)) >= n
+            took.append(time.perf_counter() - start)
+        assert took[1] < 12 * took[0]
+        for odd in ("(", "}}}", "`${", "a===", "\"x", "/*", "f(", "=>", "x=>", "function(", "const a =", "a.b.c(", "'\\", "/x", "=>{", "\0"):
+            extract(odd, None, True)
+
+
+def test_prefilters_pass_every_text_that_has_a_site():
+    import re
+
+    from saltmarsh.fixed_values import LINE_RULES
+    from saltmarsh.functions.code_sites import javascript_sites, python_sites
+    from saltmarsh.operators.detect_calls import JS_CALLEE, JS_MAYBE, PYTHON_CALLEE, PYTHON_MAYBE
+
+    assert LINE_RULES
+    for cases, extract, callee, maybe in ((PYTHON_CASES, python_sites, PYTHON_CALLEE, PYTHON_MAYBE),
+                                          (JAVASCRIPT_CASES, javascript_sites, JS_CALLEE, JS_MAYBE)):
+        for text in cases:
+            if extract(text, re.compile(callee), True):
+                assert re.search(maybe, text), text
