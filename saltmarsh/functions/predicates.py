@@ -33,16 +33,19 @@ def is_secret_name(name: Column) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character. Each distinct character is counted once, by removal."""
-    n = F.length(value).cast("double")
-
-    def bits(c: Column) -> Column:
-        p = (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / n
-        return -p * F.log2(p)
-
-    chars = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))
-    total = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + bits(c))
-    return F.when(F.length(value) > 0, total).otherwise(F.lit(0.0))
+    """Bits per character: the characters are sorted once and the runs of equal ones measured."""
+    def once(v: Column, build) -> Column:
+        return F.get(F.transform(F.array(v), build), F.lit(0))
+
+    def of_sorted(chars: Column) -> Column:
+        n = F.size(chars)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)))
+        return once(starts, lambda at: F.aggregate(
+            F.array_sort(F.transform(at, lambda start, k: F.coalesce(F.get(at, k + 1), n) - start)), F.lit(0.0),
+            lambda acc, count: acc - (count / n) * F.log2(count / n)))
+
+    chars = F.array_sort(F.filter(F.split(value, ""), lambda c: c != ""))
+    return F.when(F.length(value) > 0, once(chars, of_sorted)).otherwise(F.lit(0.0))
 
 
 def is_placeholder(value: Column, kind: str = "entropy") -> Column:

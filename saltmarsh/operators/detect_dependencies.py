@@ -90,8 +90,16 @@ def pip_dependencies(text: Column) -> Column:
 
 
 def maven_dependencies(text: Column) -> Column:
-    """Every dependency element; its fields are read from the element's own text."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
+    """Every dependency element of a well-formed document; its fields are read from the element's own text.
+
+    Comments hold no elements, CDATA sections are text, and a document that is not well-formed gives nothing.
+    """
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    bare = F.regexp_replace(bare, r"(?s)<!\[CDATA\[\s*([^<&]*?)\s*\]\]>", "$1")
+    bare = F.regexp_replace(bare, r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    whole = F.from_xml(p.strip(text), "broken string", {"columnNameOfCorruptRecord": "broken"})["broken"].isNull()
+    blocks = F.when(whole, F.regexp_extract_all(
+        bare, F.lit(r"(?s)<dependency(?:\s[^>]*)?>(.*?)</dependency\s*>"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
     def field(block: Column, tag: str) -> Column:
         return p.strip(F.regexp_extract(block, rf"(?s)<{tag}>([^<]*)</{tag}>", 1))

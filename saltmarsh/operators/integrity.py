@@ -213,9 +213,7 @@ def scan_leaf(root: Column, scan_id: Column, org: Column, version: Column) -> Co
 
 
 def _batch_leaves(scans: DataFrame, batch: Sequence[str]) -> DataFrame:
-    checked = F.when(is_hex_digest(clean_root(F.col("merkle_root"))), clean_root(F.col("merkle_root"))).otherwise(
-        F.raise_error(F.concat(F.lit("no valid root for scan "), F.col("scan_id"))))
-    rows = scans.withColumn("merkle_root", checked)
+    rows = scans.withColumn("merkle_root", clean_root(F.col("merkle_root"))).filter(is_hex_digest(F.col("merkle_root")))
     for name in ("org_id", "scanner_version"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
@@ -224,6 +222,12 @@ def _batch_leaves(scans: DataFrame, batch: Sequence[str]) -> DataFrame:
         F.col("merkle_root"), F.col("scan_id"), F.col("org_id"), F.col("scanner_version")))
 
 
+def rejected_scans(scans: DataFrame) -> DataFrame:
+    """Scans without a valid root, which no batch takes, each with the reason."""
+    valid = F.coalesce(is_hex_digest(clean_root(F.col("merkle_root"))), F.lit(False))
+    return scans.filter(~valid).withColumn("reason", F.concat(F.lit("no valid root for scan "), F.col("scan_id")))
+
+
 def batch_root(scans: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
     """Root over scans ordered by scan id, then root."""
     return merkle_root(_batch_leaves(scans, batch), batch)

@@ -207,23 +207,27 @@ def migration_counts(simulated: DataFrame, by: tuple[str, ...] = ("scan_id",)) -
 def what_if(findings: DataFrame) -> DataFrame:
     """Mean score of a scan now and with each of its families migrated.
 
-    The projected mean for a target is the scan's total with the target's own share swapped,
-    so all targets are answered by two aggregates and one equi-join.
+    Every distinct (primitive, size, mode, usage) is scored once; scans hold counts of them. The projected mean for a
+    target is the scan's total with the target's own share swapped, so all targets are answered by two aggregates.
     """
-    rows = (
-        findings.withColumn("target", s.normalize_family(F.col("primitive")))
+    tuples = ["primitive", "key_size", "mode", "usage"]
+    counted = findings.groupBy("scan_id", *tuples).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = (
+        findings.select(*tuples).distinct().withColumn("target", s.normalize_family(F.col("primitive")))
         .withColumn("purpose", s.detect_purpose(F.col("usage"))["purpose"])
     )
     use = F.col("purpose")
     after = s.after_migration(s.migration_guidance(F.col("target"), use)["advice"])
-    rows = rows.withColumn("_after", after).withColumn("_now", s.risk_score(
+    kinds = kinds.withColumn("_after", after).withColumn("_now", s.risk_score(
         F.col("primitive"), F.col("key_size"), F.col("mode"), use)["score"])
     then = s.risk_score(F.col("_after.primitive"), F.col("_after.bits"), F.col("_after.mode"), use)
-    rows = rows.withColumn(
+    kinds = kinds.withColumn(
         "_then", F.when(F.col("_after").isNotNull(), then["score"]).otherwise(F.col("_now")))
+    same = [counted[c].eqNullSafe(kinds[c]) for c in tuples]
+    rows = counted.join(kinds, same).select("scan_id", "target", "_n", "_now", "_then")
     per_target = rows.groupBy("scan_id", "target").agg(
-        F.sum("_now").alias("_now"), F.sum("_then").alias("_then"),
-        F.count(F.lit(1)).alias("_n"))
+        F.sum(F.col("_now") * F.col("_n")).alias("_now"), F.sum(F.col("_then") * F.col("_n")).alias("_then"),
+        F.sum("_n").alias("_n"))
     per_scan = per_target.groupBy("scan_id").agg(
         F.sum("_now").alias("_total"), F.sum("_n").alias("_count"))
     mean = lambda x: s.js_round(x / F.col("_count"))

@@ -57,5 +57,5 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load_all() -> None:
     from saltmarsh.plans import (  # noqa: F401
-        q_detect, q_findings, q_fleet, q_integrity, q_inventory, q_risk, q_sources, q_streaming, q_text,
+        q_chain, q_detect, q_findings, q_fleet, q_integrity, q_inventory, q_risk, q_sources, q_streaming, q_text,
     )

@@ -68,7 +68,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, ecosystem, library, replace(versi
 FROM orders JOIN (VALUES (13, 'npm', 'md5', '^2.0.0', 2), (13, 'npm', 'jsonwebtoken', '^8.5.{n}', 2),
   (13, 'npm', 'node-rsa', '1.0', 3), (14, 'pip', 'rsa', '==4.{n}', 1), (14, 'pip', 'pycrypto', '>=2', 2),
   (14, 'pip', 'cryptography', '>=3', 4), (15, 'maven', 'bcprov-jdk15on', '1.{n}', 3))
-  v(kind, ecosystem, library, version, line) ON o_orderkey % 16 = kind""")
+  v(kind, ecosystem, library, version, line) ON o_orderkey % 24 = kind""")
 def _(t: Tables):
     return extract_dependencies(_of(t, "manifest")).select(
         "scan_id", "ecosystem", "library", "version", "line")
@@ -78,7 +78,7 @@ def _(t: Tables):
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES
   (0, 3, 'hashlib.md5', 'login'), (0, 3, 'password.encode', 'login'), (0, 5, 'hashlib.sha1', 'etag'),
   (0, 7, 'hashlib.sha256', 'safe'))
-  v(kind, line, callee, function) ON o_orderkey % 16 = kind""")
+  v(kind, line, callee, function) ON o_orderkey % 24 = kind""")
 def _(t: Tables):
     files = _of(t, "python").filter(F.col("path").startswith("src/m"))
     calls = call_sites(files, "python")
@@ -88,7 +88,7 @@ def _(t: Tables):
 @query("x19_cluster_secret_entries", """
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, section, key, value FROM orders JOIN (VALUES
   (12, 4, 'data', 'pw', 'c2VjcmV0cHc='), (12, 6, 'stringData', 'tok', 'abcdefg')) v(kind, line, section, key, value)
-  ON o_orderkey % 16 = kind""")
+  ON o_orderkey % 24 = kind""")
 def _(t: Tables):
     return cluster_secret_entries(source_files(t)).select("scan_id", "line", "section", "key", "value")
 
@@ -99,20 +99,25 @@ SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, rule_id, severity FROM orde
   (3, 7, 'CRYPTO-RULE-DES-WEAK', 'high'), (3, 8, 'CRYPTO-RULE-AES-CBC-PADDING', 'medium'),
   (3, 4, 'CRYPTO-RULE-SHA1-DEP', 'high'),
   (3, 10, 'CRYPTO-RULE-RSA-SHORT', 'critical'), (4, 4, 'CRYPTO-ASSET-AES-GCM', 'info'),
-  (4, 5, 'CRYPTO-RULE-MD5-BROKEN', 'critical'), (5, 1, 'CRYPTO-RULE-DES-WEAK', 'high'))
-  v(kind, line, rule_id, severity) ON o_orderkey % 16 = kind
+  (4, 5, 'CRYPTO-RULE-MD5-BROKEN', 'critical'), (5, 1, 'CRYPTO-RULE-DES-WEAK', 'high'),
+  (16, 14, 'CRYPTO-RULE-MD5-BROKEN', 'critical'), (17, 2, 'CRYPTO-RULE-RSA-SHORT', 'critical'),
+  (17, 6, 'CRYPTO-RULE-AES-CBC-PADDING', 'medium'), (17, 7, 'CRYPTO-ASSET-AES-GCM', 'info'),
+  (18, 5, 'CRYPTO-RULE-DES-WEAK', 'high'), (18, 9, 'CRYPTO-RULE-MD5-BROKEN', 'critical'),
+  (18, 11, 'CRYPTO-RULE-SHA1-DEP', 'high'), (22, 3, 'CRYPTO-RULE-MD5-BROKEN', 'critical'))
+  v(kind, line, rule_id, severity) ON o_orderkey % 24 = kind
 WHERE rule_id <> 'CRYPTO-RULE-RSA-SHORT' OR o_custkey % 4 < 2""")
 def _(t: Tables):
     return detect_line_rules(source_files(t)).select("scan_id", "line", "rule_id", "severity")
 
 
 _text_hits = " UNION ALL ".join(
-    f"SELECT '{name}' AS origin, CAST({key} AS VARCHAR) AS item, rule_id, count(*) AS hits FROM (SELECT {key}, "
+    f"SELECT '{name}' AS origin, CAST(item AS VARCHAR) AS item, rule_id, count(*) AS hits FROM (SELECT {key} AS item, "
     f"unnest(regexp_split_to_array({text}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM {name}) l "
     "JOIN rules ON regexp_matches(line, pattern) GROUP BY ALL"
     for name, key, text in (
         ("documents", "doc_id", "text"), ("pages", "page_id", "html"),
-        ("benchmark", "item_id", "text")))
+        ("benchmark", "item_id", "text"),
+        ("conversations", "conv_id || '/' || turn", "text")))
 
 
 def _rules_sql() -> str:
@@ -124,11 +129,12 @@ def _rules_sql() -> str:
 @query("d26_line_rules_in_texts", _rules_sql())
 def _(t: Tables):
     """The generic rules over every given text, whole."""
-    parts = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text")]
+    parts = [("documents", F.col("doc_id"), "text"), ("pages", F.col("page_id"), "html"), ("benchmark", F.col("item_id"), "text"),
+             ("conversations", F.concat_ws("/", "conv_id", "turn"), "text")]
     texts = None
     for name, key, text in parts:
         rows = t.wide(name).select(
-            F.lit(name).alias("origin"), F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
+            F.lit(name).alias("origin"), key.cast("string").alias("item"), F.col(text).alias("text"))
         texts = rows if texts is None else texts.unionByName(rows)
     return detect_line_rules(texts).groupBy("origin", "item", "rule_id").agg(
         F.count(F.lit(1)).alias("hits"))
@@ -205,8 +211,11 @@ SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, layer FROM orders JOIN (VALUES
   (3, 'entropy'), (4, 'javascript'), (4, 'entropy'), (5, 'javascript'), (5, 'entropy'), (6, 'config'), (6, 'entropy'),
   (7, 'config'), (7, 'entropy'), (8, 'infra'), (8, 'config'), (8, 'entropy'), (9, 'config'), (9, 'entropy'),
   (10, 'infra'), (10, 'config'), (10, 'entropy'), (11, 'infra'), (12, 'infra'), (12, 'config'), (12, 'entropy'),
-  (13, 'manifest'), (13, 'config'), (13, 'entropy'), (14, 'manifest'), (15, 'manifest')) v(kind, layer)
-  ON o_orderkey % 16 = kind""")
+  (13, 'manifest'), (13, 'config'), (13, 'entropy'), (14, 'manifest'), (15, 'manifest'), (16, 'python'), (16, 'entropy'),
+  (17, 'python'), (17, 'entropy'), (18, 'javascript'), (18, 'entropy'), (19, 'infra'), (19, 'config'), (19, 'entropy'),
+  (20, 'infra'), (20, 'config'), (20, 'entropy'), (21, 'manifest'), (22, 'python'), (22, 'entropy'), (23, 'manifest'))
+  v(kind, layer)
+  ON o_orderkey % 24 = kind""")
 def _(t: Tables):
     return source_files(t).select("scan_id", F.explode(layers_of(F.col("path"))).alias("layer"))
 
@@ -225,8 +234,8 @@ def _(t: Tables):
 
 @query("s04_extension_filter", """
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, count(*) AS layers FROM orders JOIN (VALUES
-  (0, 2), (1, 2), (2, 2), (3, 2), (6, 2), (7, 2), (8, 3), (9, 2), (10, 3), (11, 3), (12, 3), (13, 3), (14, 1), (15, 3))
-  v(kind, n) ON o_orderkey % 16 = kind, unnest(range(n)) GROUP BY o_orderkey""")
+  (0, 2), (1, 2), (2, 2), (3, 2), (6, 2), (7, 2), (8, 3), (9, 2), (10, 3), (11, 3), (12, 3), (13, 3), (14, 1), (15, 3),
+  (16, 2), (17, 2), (19, 3), (20, 3), (21, 3), (22, 2), (23, 1)) v(kind, n) ON o_orderkey % 24 = kind, unnest(range(n)) GROUP BY o_orderkey""")
 def _(t: Tables):
     """Only Python among the plain sources; configuration and manifests stay regardless."""
     routed = route_layers(source_files(t), "cli", [".py"])

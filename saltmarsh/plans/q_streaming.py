@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.plans.catalog import Tables, query
-from saltmarsh.session import ensure_checkpoint_dir
+from saltmarsh.session import shared_folder
 from saltmarsh.streaming import ingest
 
+FILES, FILES_PER_TRIGGER = 12, 3
+
 
 def _work_dir(t: Tables) -> str:
-    """A new folder under the shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    """A new folder under the shared folder."""
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _events(t: Tables) -> DataFrame:
-    return ingest.replay(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
+def _events(t: Tables, home: str) -> DataFrame:
+    """The events as many files out of time order, replayed in several micro-batches."""
+    t.events.repartition(FILES, F.xxhash64("event_id")).write.parquet(f"{home}/events")
+    return ingest.replay(t.spark, f"{home}/events", t.events.schema, FILES_PER_TRIGGER)
 
 
 STATUS_OF = {"signup": "PENDING", "view": "RUNNING", "click": "RUNNING", "purchase": "COMPLETED", "error": "FAILED"}
@@ -39,27 +42,29 @@ _cases = " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in STATUS_OF.items())
 @query("r01_ingest_findings", """
 SELECT CAST(user_id AS VARCHAR) AS scan_id, count(*) AS findings FROM events GROUP BY user_id""")
 def _(t: Tables):
-    """Append every arriving row, then count what was stored."""
+    """Store every arriving row, fold the batches into one folder, then count what is stored."""
     home = _work_dir(t)
-    stream = _events(t).select(
+    stream = _events(t, home).select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("finding_id"), "ts")
     ingest.ingest_findings(stream, f"{home}/out", f"{home}/log").awaitTermination()
-    stored = t.spark.read.schema(stream.schema).parquet(f"{home}/out")
-    return stored.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
+    ingest.compact(t.spark, f"{home}/out", stream.schema)
+    rows = ingest.stored(t.spark, f"{home}/out", stream.schema)
+    return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query("r01_ingest_without_repeats", """
-SELECT CAST(user_id AS VARCHAR) AS scan_id, count(*) AS findings FROM events GROUP BY user_id""")
+SELECT CAST(user_id AS VARCHAR) AS scan_id, count(*) AS findings, max(CAST(ts AS TIMESTAMP)) AS newest FROM events GROUP BY user_id""")
 def _(t: Tables):
-    """Every row arrives twice; the key keeps one of each."""
+    """Every row arrives twice, in different files out of order; one of each is kept and none is lost for being late."""
     home = _work_dir(t)
-    stream = _events(t).select(
+    twice = t.events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice.repartition(FILES, F.xxhash64("event_id", "copy")).drop("copy").write.parquet(f"{home}/events")
+    stream = ingest.replay(t.spark, f"{home}/events", t.events.schema, FILES_PER_TRIGGER).select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("finding_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+        F.col("ts").cast("timestamp").alias("ts"))
     ingest.ingest_findings(stream, f"{home}/out", f"{home}/log", dedupe_on="finding_id").awaitTermination()
-    stored = t.spark.read.schema(stream.schema).parquet(f"{home}/out")
-    return stored.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
+    rows = ingest.stored(t.spark, f"{home}/out", stream.schema, ingest.first_of("finding_id"))
+    return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"), F.max("ts").cast("timestamp_ntz").alias("newest"))
 
 
 @query("r01_latched_metadata", """
@@ -69,33 +74,38 @@ SELECT CAST(user_id AS VARCHAR) AS scan_id,
 FROM events GROUP BY user_id""")
 def _(t: Tables):
     """Later batches may leave repo or language empty; the last known value stays."""
-    rows = t.events.select(
+    home = _work_dir(t)
+    stream = _events(t, home).select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("repo_id"),
         F.when(F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 3 == 0, "python").otherwise("js")).alias("language"))
-    return ingest.latch_metadata(rows).select("scan_id", "repo_id", "language")
-
-
-def _drain(t: Tables, df: DataFrame, key: str) -> DataFrame:
-    home = _work_dir(t)
-    ingest.store_updates(df, f"{home}/out", f"{home}/log").awaitTermination()
-    return ingest.latest_updates(t.spark, f"{home}/out", key)
+    ingest.store_batches(stream, f"{home}/out", f"{home}/log", ingest.latch_metadata).awaitTermination()
+    ingest.compact(t.spark, f"{home}/out", ingest.LATCHED, ingest.merge_latched)
+    return ingest.stored(t.spark, f"{home}/out", ingest.LATCHED, ingest.merge_latched).select("scan_id", "repo_id", "language")
 
 
 @query("r02_scan_status", f"""
-SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(CASE event_type {_cases} END, ts) AS status, max(ts) AS since,
+SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(CASE event_type {_cases} END, (ts, event_id)) AS status, max(ts) AS since,
   count(*) AS events FROM events GROUP BY user_id""")
 def _(t: Tables):
-    rows = _events(t).select(
+    home = _work_dir(t)
+    rows = _events(t, home).select(
         F.col("user_id").cast("string").alias("scan_id"), _status().alias("status"), "ts", "event_id")
-    return _drain(t, ingest.scan_status(rows), "scan_id")
+    schema = ingest.scan_status(t.events.select(
+        F.lit("").alias("scan_id"), F.lit("").alias("status"), "ts", "event_id")).schema
+    ingest.store_batches(rows, f"{home}/out", f"{home}/log", ingest.scan_status).awaitTermination()
+    return ingest.stored(t.spark, f"{home}/out", schema, ingest.merge_status).drop("event_id")
 
 
 @query("r03_fleet_counters", """
 SELECT event_type, count(*) AS findings, count(*) FILTER (value > 20) AS critical,
   count(*) FILTER (user_id % 2 = 0) AS quantum FROM events GROUP BY event_type""")
 def _(t: Tables):
-    rows = _events(t).select(
+    home = _work_dir(t)
+    rows = _events(t, home).select(
         "event_type", F.when(F.col("value") > 20, "Critical").otherwise("Low").alias("severity"),
         (F.col("user_id") % 2 == 0).alias("quantum_vulnerable"))
-    return _drain(t, ingest.fleet_counters(rows, "event_type"), "event_type")
+    schema = "event_type string, findings bigint, critical bigint, quantum bigint"
+    ingest.store_batches(
+        rows, f"{home}/out", f"{home}/log", lambda batch: ingest.fleet_counters(batch, "event_type")).awaitTermination()
+    return ingest.stored(t.spark, f"{home}/out", schema, ingest.merge_counters("event_type"))

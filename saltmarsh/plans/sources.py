@@ -175,6 +175,107 @@ cryptography>=3 # c
 <artifactId>bcprov-jdk15on</artifactId><version>1.{n}</version></dependency>
 </project>
 """, {"manifest": [(3, "sca-maven-bcprov-jdk15on", "BouncyCastle", "Informational", "Likely")]}),
+    ("old/p{n}.py", """from Crypto.Cipher import DES, DES3, ARC2 as RC2, ARC4 as RC4, Blowfish as BF, AES
+import hashlib as h
+a = DES.new(load(), DES.MODE_ECB)
+b = DES3.new(load(), mode=DES3.MODE_CBC)
+c = BF.new(f(g(h2(i(j({n}))))), BF.MODE_CTR)
+d = RC4.new(load())
+e = h.new(
+    'MD5', body)
+g = AES.new(load(), AES.MODE_SIV)
+k = AES.new(f(g(h2(i(j({n}))))), AES.MODE_ECB)
+x = \'\'\'
+DES.new(load(), DES.MODE_ECB)
+\'\'\'
+y = "hashlib.md5(x)"  # hashlib.md5(x)
+""", {"python": [(3, "des-deprecated-cipher", "DES-ECB", "Critical", "Likely"),
+                 (4, "des3-deprecated-cipher", "DES3-CBC", "Critical", "Likely"),
+                 (5, "blowfish-deprecated-cipher", "BLOWFISH-CTR", "Critical", "Likely"),
+                 (6, "arc4-deprecated-cipher", "ARC4", "Critical", "Likely"),
+                 (7, "md5-hashing", "MD5", "Critical", "Likely"),
+                 (9, "aes-encryption", "AES-SIV", "Medium", "Likely"),
+                 (10, "aes-ecb-mode", "AES-ECB", "Critical", "Likely")]}),
+    ("old/g{n}.py", """import random as rnd, rsa, hmac, hashlib
+k = RSA.generate({b})
+n, m = rsa.newkeys({b})
+d = DSA.generate({b})
+c = Cipher(algorithms.AES(key), modes.ECB())
+e = Cipher(algorithms.AES(b'0123456789abcdef'), modes.CBC(iv))
+f = Cipher(algorithms.AES(key), mode=modes.GCM(nonce))
+w = hmac.new(pick(), body, digestmod='md5')
+v = hmac.new(pick(), body, hashlib.sha256)
+def make_token():
+    def inner():
+        return rnd.choice("ab")
+    return rnd.sample("ab", {n})
+if True:
+    rnd.seed({n})
+ok = token == a == b
+fine = len(token) == {n} and token is None
+bad = token != other
+""", {"python": [(2, "rsa-key-generation", "RSA-{b}", "RSA", "Likely"),
+                 (3, "rsa-key-generation", "RSA-{b}", "RSA", "Likely"),
+                 (4, "dsa-key-generation", "DSA-{b}", "DSA", "Likely"),
+                 (5, "aes-ecb-mode", "AES-ECB", "Critical", "Likely"),
+                 (6, "aes-missing-aead", "AES-128-CBC", "Medium", "Likely"),
+                 (7, "aes-aead-mode", "AES-GCM", "Informational", "Likely"),
+                 (8, "md5-hmac-weak-digest", "MD5", "Critical", "Likely"),
+                 (13, "insecure-rng", "Non-CSPRNG", "High", "Likely"),
+                 (18, "timing-unsafe-compare", "Variable-Time Comparison", "High", "Likely")]}),
+    ("web/sig{n}.js", """const s = crypto.createSign('ecdsa-with-SHA256');
+const v = crypto.createVerify('RSA-SHA256');
+const w = createVerify('EC-SHA{n}');
+const a = CryptoJS.RC4.encrypt(x, y);
+const b = CryptoJS.DES.encrypt(x, y);
+const c = CryptoJS.SHA1(f(g(h(i(j(x))))));
+const g = new KJUR.crypto.Signature({"alg": "MD5withRSA"});
+const t = "CryptoJS.MD5(x)"; // CryptoJS.MD5(x)
+/* crypto.createHash('md5') */ const r = /CryptoJS.MD5(x)/;
+const ALGO = 'sha1';
+const h = crypto.createHash('sha1').update(`${CryptoJS}`);
+const makeToken = async (n) => { return Math.random().toString(n); };
+function makeSecret() { return 1; }
+const plain = Math.random();
+""", {"javascript": [(1, "ecdsa-signature-sign", "ECDSA (secp256k1)", "Medium", "Likely"),
+                     (2, "rsa-digital-signature-verify", "RSA-2048", "Medium", "Likely"),
+                     (3, "ecdsa-signature-verify", "ECDSA (secp256k1)", "Medium", "Likely"),
+                     (4, "cryptojs-rc4-stream-cipher", "RC4", "Critical", "Likely"),
+                     (5, "cryptojs-des-cipher", "DES", "Critical", "Likely"),
+                     (6, "cryptojs-sha1-hash", "SHA-1", "High", "Likely"),
+                     (7, "jsrsasign-md5withrsa-weak-signature", "MD5withRSA", "Critical", "Likely"),
+                     (11, "sha1-hashing", "SHA-1", "High", "Likely"),
+                     (12, "insecure-rng", "Non-CSPRNG", "High", "Likely")]}),
+    ("etc{n}/httpd.conf", """# SSLProtocol SSLv3
+<VirtualHost *:{n}>
+  SSLProtocol all -SSLv2 +TLSv1
+  SSLCipherSuite HIGH:RC4:!MD5
+  SSLProtocol TLSv1.2 TLSv1.3
+</VirtualHost>
+""", {"infra": [(3, "infra-weak-tls-protocol", "TLS/SSL", "High", "Likely"),
+                (4, "infra-weak-cipher-suite", "Cipher Suite", "High", "Likely")]}),
+    ("etc{n}/haproxy.conf", """global
+  ssl-default-bind-ciphers ECDHE-RSA-AES256-GCM-SHA384:DES-CBC3-SHA
+  ssl-default-bind-options ssl-min-ver TLSv1.0
+frontend f{n}
+""", {"infra": [(2, "infra-weak-cipher-suite", "Cipher Suite", "High", "Likely"),
+                (3, "infra-weak-tls-protocol", "TLS/SSL", "High", "Likely")]}),
+    ("mvn{n}/near/pom.xml", """<project>
+<!-- <dependency><groupId>org.bouncycastle</groupId><artifactId>bcprov-jdk15on</artifactId></dependency> -->
+<note><![CDATA[<dependency><artifactId>bcprov-jdk15on</artifactId></dependency>]]></note>
+<dependency><groupId>com.example</groupId><artifactId>other{n}</artifactId></dependency>
+</project>
+""", {}),
+    ("src/broken{n}.py", """import hashlib
+def f(:
+    return hashlib.md5(x{n})
+""", {}),
+    ("req{n}/dev/requirements.txt", """# rsa==4.{n}
+requests>=2
+-r other.txt
+rsa-extra==1
+M2Crypto==0.{n}
+""", {}),
 ]
 
 # sites where two layers report one secret: what is left of them after the merge
@@ -213,6 +314,11 @@ def _merged_rows() -> list[tuple]:
     return kept + [(kind, line, *rest) for (kind, line), rest in MERGED.items()]
 
 
+def merged_rules() -> set[tuple[int, str]]:
+    """Rules that each kind of file must give after the merge."""
+    return {(r[0], r[2]) for r in _merged_rows()}
+
+
 def expected_sql(layers: list[str] | None = None, merged: bool = False) -> str:
     """Expected findings as SQL over orders."""
     rows = _merged_rows() if merged else _rows(layers)

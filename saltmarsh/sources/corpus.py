@@ -160,14 +160,24 @@ def _step(part: Column) -> Column:
     return F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
 
 
-def enforce_quota(
-    files: DataFrame, max_files: int = 10_000, max_bytes: int = 250 * 1024 * 1024
+def quota_report(
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Files of the repositories that stay within both limits."""
-    over = (
+    """Per repository: files, bytes, whether it is accepted, and why not (S05). A limit that is not given does not hold."""
+    reason = F.concat_ws(", ", *[
+        F.when(F.col(name) > limit, F.concat(F.col(name).cast("string"), F.lit(f" {name}, at most {limit}")))
+        for name, limit in (("files", max_files), ("bytes", max_bytes)) if limit is not None], F.lit(None).cast("string"))
+    return (
         files.groupBy("repo_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-        .filter((F.col("n") > max_files) | (F.col("bytes") > max_bytes))
-        .select("repo_id")
+        .agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+        .withColumn("reason", F.nullif(reason, F.lit("")))
+        .withColumn("accepted", F.col("reason").isNull())
     )
+
+
+def enforce_quota(
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """Files of the repositories that stay within the given limits; ``quota_report`` names the others."""
+    over = quota_report(files, max_files, max_bytes).filter(~F.col("accepted")).select("repo_id")
     return files.join(over, "repo_id", "left_anti")

@@ -13,18 +13,25 @@ from saltmarsh.schemas import SOURCE_FINDINGS
 
 # --- in -----------------------------------------------------------------------
 def explode_batches(batches: DataFrame) -> DataFrame:
-    """One row per finding of a batch; a batch whose findings are not an array fails."""
-    checked = F.when(
-        F.col("findings").isNull(), F.raise_error("findings must be an array")
-    ).otherwise(F.col("findings"))
+    """One row per finding of a batch. Batches whose findings are not an array are in ``rejected_batches``."""
     keep = [c for c in batches.columns if c != "findings"]
-    return batches.select(*keep, F.posexplode(checked).alias("seq", "f")).select(*keep, "seq", "f.*")
+    return batches.select(*keep, F.posexplode("findings").alias("seq", "f")).select(*keep, "seq", "f.*")
+
+
+def rejected_batches(batches: DataFrame) -> DataFrame:
+    """Batches that ``explode_batches`` cannot take, each with the reason."""
+    return batches.filter(F.col("findings").isNull()).drop("findings").withColumn(
+        "reason", F.lit("findings must be an array"))
 
 
 def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
     """Scanner output, one JSON document per file."""
+    return explode_batches(read_batches_json(spark, path))
+
+
+def read_batches_json(spark: SparkSession, path: str) -> DataFrame:
     batches = spark.read.schema(SOURCE_FINDINGS).option("multiLine", "true").json(path)
-    return explode_batches(batches.withColumn("source_file", F.col("_metadata.file_path")))
+    return batches.withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def to_finding_rows(found: DataFrame) -> DataFrame:

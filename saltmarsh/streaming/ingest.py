@@ -1,83 +1,146 @@
-"""Structured Streaming forms of ingest, scan status and fleet counters."""
+"""Structured Streaming forms of ingest, scan status and fleet counters.
+
+No query keeps streaming state: every micro-batch stores what it adds in a folder of its own, and a read merges the
+folders. So late rows are never discarded, nothing grows with the number of keys seen, and a batch that runs again
+replaces its folder. ``compact`` folds the folders into one from time to time.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+Step = Callable[[DataFrame], DataFrame]
 
-def latch_metadata(batches: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Last non-empty repo and language per scan, over new batches and what is known."""
-    fields = ["scan_id", "repo_id", "language", "seq"]
-    rows = batches.select(*fields)
-    if known is not None:
-        rows = rows.unionByName(known.select(*fields))
-    newest = lambda c: F.max_by(
-        F.nullif(F.col(c), F.lit("")), F.when(F.length(c) > 0, F.col("seq")))
-    return rows.groupBy("scan_id").agg(
-        newest("repo_id").alias("repo_id"), newest("language").alias("language"),
-        F.max("seq").alias("seq"))
 
+# --- the store ----------------------------------------------------------------
+def store_batches(stream: DataFrame, out: str, checkpoint: str, add: Step | None = None) -> StreamingQuery:
+    """Write ``add`` of every micro-batch (the rows themselves without it) to ``out/batch=<id>``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch if add is None else add(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def ingest_findings(
-    stream: DataFrame, out: str, checkpoint: str, dedupe_on: str | None = None,
-    event_time: str = "ts", lateness: str = "1 hour",
-) -> StreamingQuery:
-    """Append every arriving finding.
-
-    A batch sent twice is stored twice unless ``dedupe_on`` names a key; then repeats inside
-    the lateness bound are dropped, with state kept no longer than that.
-    """
-    rows = stream
-    if dedupe_on:
-        rows = rows.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([dedupe_on])
     return (
-        rows.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(availableNow=True).start()
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write).trigger(availableNow=True).start()
     )
 
 
+def _folders(spark: SparkSession, out: str) -> tuple[list[str], list[str], int]:
+    """Folders that count, folders that a newer base replaces, and the last batch; only names of folders are listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done: dict[str, list[int]] = {"batch": [], "base": []}
+    for entry in system.listStatus(path) if system.exists(path) else []:
+        kind, _, number = entry.getPath().getName().partition("=")
+        success = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if kind in done and number.isdigit() and system.exists(success):
+            done[kind].append(int(number))
+    base = max(done["base"], default=-1)
+    newer = sorted(b for b in done["batch"] if b > base)
+    counted = [f"{out}/base={base}"] * (base >= 0) + [f"{out}/batch={b}" for b in newer]
+    old = [f"{out}/batch={b}" for b in done["batch"] if b <= base] + [f"{out}/base={b}" for b in done["base"] if b < base]
+    return counted, old, max([base, *newer])
+
+
+def stored(spark: SparkSession, out: str, schema, merge: Step | None = None) -> DataFrame:
+    """What all batches so far have stored, merged; ``_batch`` tells ``merge`` where a row comes from."""
+    rows = None
+    for folder in _folders(spark, out)[0]:
+        number = int(folder.rpartition("=")[2])
+        part = spark.read.schema(schema).parquet(folder).withColumn("_batch", F.lit(number))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        rows = spark.createDataFrame([], schema).withColumn("_batch", F.lit(0))
+    return rows.drop("_batch") if merge is None else merge(rows)
+
+
+def compact(spark: SparkSession, out: str, schema, merge: Step | None = None) -> None:
+    """Fold all batches into one base folder, which counts once it is whole; then remove what it replaces.
+
+    ``merge`` must give rows of the schema that merge again to the same result.
+    """
+    counted, _, last = _folders(spark, out)
+    if len(counted) > 1:
+        stored(spark, out, schema, merge).write.mode("overwrite").parquet(f"{out}/base={last}")
+    for folder in _folders(spark, out)[1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# --- findings (R01) -----------------------------------------------------------
+def ingest_findings(stream: DataFrame, out: str, checkpoint: str, dedupe_on: str | None = None) -> StreamingQuery:
+    """Store every arriving finding.
+
+    A batch sent twice is stored twice unless ``dedupe_on`` names a key: then a micro-batch stores a key once, and a
+    read with ``first_of(dedupe_on)`` gives every key once, however late a row or its repeat arrives.
+    """
+    return store_batches(stream, out, checkpoint, None if dedupe_on is None else lambda batch: batch.dropDuplicates([dedupe_on]))
+
+
+def first_of(key: str) -> Step:
+    """Merge that keeps the row of each key's earliest batch."""
+    def merge(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (key, "_batch")]
+        return rows.groupBy(key).agg(F.min_by(F.struct(*rest), "_batch").alias("r")).select(key, "r.*")
+
+    return merge
+
+
+LATCHED = "scan_id string, repo_id string, repo_seq bigint, language string, language_seq bigint"
+
+
+def latch_metadata(batches: DataFrame) -> DataFrame:
+    """Last non-empty repo and language of each scan, and where in the sequence they were said."""
+    parts = []
+    for field in ("repo_id", "language"):
+        said = F.length(field) > 0
+        parts += [F.max_by(field, F.when(said, F.col("seq"))).alias(field),
+                  F.max(F.when(said, F.col("seq"))).alias(f"{field.removesuffix('_id')}_seq")]
+    return batches.groupBy("scan_id").agg(*parts)
+
+
+def merge_latched(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("scan_id").agg(
+        F.max_by("repo_id", "repo_seq").alias("repo_id"), F.max("repo_seq").alias("repo_seq"),
+        F.max_by("language", "language_seq").alias("language"), F.max("language_seq").alias("language_seq"))
+
+
+# --- status and counters (R02, R03) ---------------------------------------------
 def scan_status(events: DataFrame, key: str = "scan_id") -> DataFrame:
-    """Current status of every scan: the one with the newest event."""
+    """Status of every scan by its newest event, when that was, and the number of events."""
     return events.groupBy(key).agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"),
-        F.max("ts").alias("since"), F.count(F.lit(1)).alias("events"))
+        F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("since"),
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("events"))
+
+
+def merge_status(rows: DataFrame, key: str = "scan_id") -> DataFrame:
+    newest = F.struct("since", "event_id")
+    return rows.groupBy(key).agg(
+        F.max_by("status", newest).alias("status"), F.max("since").alias("since"),
+        F.max_by("event_id", newest).alias("event_id"), F.sum("events").alias("events"))
+
+
+COUNTERS = ("findings", "critical", "quantum")
 
 
 def fleet_counters(findings: DataFrame, *by: str) -> DataFrame:
-    """Running counts, batch or stream."""
+    """Counts of findings."""
     return findings.groupBy(*by).agg(
         F.count(F.lit(1)).alias("findings"),
         F.count_if(F.col("severity") == "Critical").alias("critical"),
         F.count_if(F.col("quantum_vulnerable")).alias("quantum"))
 
 
-def store_updates(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed keys of every micro-batch to a folder of its own.
+def merge_counters(*by: str) -> Step:
+    return lambda rows: rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
-    A batch that runs again after a failure replaces its folder, so nothing is counted twice,
-    and nothing passes through the driver however many keys there are.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(write).trigger(availableNow=True).start()
-    )
-
-
-def latest_updates(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Current row of every key written by ``store_updates``."""
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
-
-
-def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A parquet folder (or file pattern) as a stream."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    )
+def replay(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet folder (or file pattern) as a stream; without a limit one micro-batch takes all files that are there."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)

@@ -12,10 +12,11 @@ from saltmarsh.functions.text import assignments
 from saltmarsh.operators import consolidate as c
 from saltmarsh.operators.detect_calls import detect_javascript, detect_python
 from saltmarsh.operators.detect_config import detect_config
+from saltmarsh.operators.detect_dependencies import detect_dependencies
 from saltmarsh.operators.detect_secrets import detect_entropy_secrets
 from saltmarsh.plans.scan import scan_files
 from saltmarsh.sources.corpus import (
-    enforce_quota, prune_paths, read_corpus, reject_unsafe_paths, route_layers, store_corpus,
+    enforce_quota, prune_paths, quota_report, read_corpus, reject_unsafe_paths, route_layers, store_corpus,
 )
 from saltmarsh.sources.tables import parse_suppressions, parse_truth
 
@@ -169,6 +170,9 @@ def test_corpus_reading_routing_and_limits(spark, files_df, tmp_path):
         ("x.tf", "config"), ("x.tf", "entropy")}
     assert reject_unsafe_paths(files_df(("../x", ""), ("a/../../x", ""), ("a/../x", ""))).count() == 1
     assert enforce_quota(files_df(("a", "x" * 10), ("b", "y")), max_files=2, max_bytes=10).count() == 0
+    assert enforce_quota(files_df(("a", "x" * 10), ("b", "y"))).count() == 2
+    report = quota_report(files_df(("a", "x" * 10), ("b", "y")), max_files=1, max_bytes=10).first()
+    assert (report.files, report.bytes, report.accepted) == (2, 11, False) and report.reason == "2 files, at most 1, 11 bytes, at most 10"
 
 
 def test_truth_keeps_paths_that_expect_nothing(spark):
@@ -249,3 +253,19 @@ def test_prefilters_pass_every_text_that_has_a_site():
         for text in cases:
             if extract(text, re.compile(callee), True):
                 assert re.search(maybe, text), text
+
+
+def test_manifest_xml_is_read_as_xml(files_df):
+    dep = "<dependency><groupId>org.bouncycastle</groupId><artifactId>bcprov-jdk15on</artifactId><version>1.60</version></dependency>"
+    head = '<?xml version="1.0"?>\n<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies>\n'
+    tail = "\n</dependencies></project>"
+    texts = {
+        head + dep + tail: 1, head + f"<!-- {dep} -->" + tail: 0, head + f"<!--\n{dep}\n-->\n{dep}" + tail: 1,
+        head + f"<note><![CDATA[{dep}]]></note>" + tail: 0, head + dep.replace("1.60", "<![CDATA[1.60]]>") + tail: 1,
+        head + dep: 0, head + dep + "<open>" + tail: 0, "": 0, "no xml at all": 0,
+        f"<project><profiles><profile><dependencies>{dep}</dependencies></profile></profiles></project>": 1,
+    }
+    names = {f"m{i}/pom.xml": t for i, t in enumerate(texts)}
+    got = detect_dependencies(files_df(*names.items())).collect()
+    count = {n: sum(r.path == n for r in got) for n in names}
+    assert {names[n]: c for n, c in count.items()} == texts

@@ -71,9 +71,12 @@ def test_batch_root_ignores_input_order_and_root_spelling(spark):
 
 
 def test_bad_root_is_refused(spark):
-    df = spark.createDataFrame([("s1", "abc")], "scan_id string, merkle_root string")
-    with pytest.raises(Exception, match="no valid root"):
-        it.batch_root(df).collect()
+    good = [("s0", sha("0")), ("s2", sha("2"))]
+    schema = "scan_id string, merkle_root string"
+    df = spark.createDataFrame(good + [("s1", "abc"), ("s3", None)], schema)
+    assert it.batch_root(df).first().root == it.batch_root(spark.createDataFrame(good, schema)).first().root
+    assert {r.scan_id: r.reason for r in it.rejected_scans(df).collect()} == {
+        "s1": "no valid root for scan s1", "s3": "no valid root for scan s3"}
 
 
 def test_positions_survive_one_hot_group(spark):

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from saltmarsh.operators import inventory as inv
 from saltmarsh.operators import quality
-from saltmarsh.sources.tables import read_findings_json, write_findings, write_report
+from saltmarsh.sources.tables import (
+    read_batches_json, read_findings_json, rejected_batches, write_findings, write_report,
+)
 from saltmarsh.sources.tables import append_accuracy_log
 from saltmarsh.streaming import ingest
-from saltmarsh.streaming.ingest import latch_metadata
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -98,8 +99,10 @@ def test_findings_json_and_reports(spark, tmp_path):
     assert rows.select("repoId", "id", "primitive", "keySize", "context.usageType").first() == (
         "r", "f1", "RSA", 2048, "signature")
     (tmp_path / "in" / "b.json").write_text('{"repoId": "r"}')
-    with pytest.raises(Exception, match="findings must be an array"):
-        read_findings_json(spark, str(tmp_path / "in")).collect()
+    (tmp_path / "in" / "c.json").write_text('{"repoId": "q", "findings": 7}')
+    assert read_findings_json(spark, str(tmp_path / "in")).count() == 1
+    rejected = rejected_batches(read_batches_json(spark, str(tmp_path / "in"))).collect()
+    assert len(rejected) == 2 and {r.reason for r in rejected} == {"findings must be an array"}
     found = spark.createDataFrame(
         [("s1", "a.py", "High", "Safe", "python", False)],
         "scan_id string, path string, severity string, quantum_risk string, language string, suppressed boolean")
@@ -112,23 +115,53 @@ def test_findings_json_and_reports(spark, tmp_path):
 
 def test_metadata_is_latched(spark):
     schema = "scan_id string, repo_id string, language string, seq long"
-    old = spark.createDataFrame([("s", "r1", "python", 1)], schema)
-    new = spark.createDataFrame([("s", "", None, 2), ("s", "r2", "", 3)], schema)
-    assert tuple(latch_metadata(new, old).first()) == ("s", "r2", "python", 3)
+    parts = [[("s", "r1", "python", 1)], [("s", "", None, 2), ("s", "r2", "", 3)], [("t", "", "", 4)]]
+    rows = None
+    for k, part in enumerate(parts):
+        latched = ingest.latch_metadata(spark.createDataFrame(part, schema)).withColumn("_batch", F.lit(k))
+        rows = latched if rows is None else rows.unionByName(latched)
+    got = {r.scan_id: (r.repo_id, r.language) for r in ingest.merge_latched(rows).collect()}
+    assert got == {"s": ("r2", "python"), "t": (None, None)}
 
 
-def test_updates_over_several_batches_give_the_current_state(spark, tmp_path):
+def test_batches_out_of_order_give_the_current_state(spark, tmp_path):
     schema = "scan_id string, status string, ts timestamp, event_id long"
-    for i, rows in enumerate([[("a", "PENDING", 1), ("b", "PENDING", 2)], [("a", "RUNNING", 3)], [("a", "FAILED", 4)]]):
+    for rows in [[("a", "RUNNING", 3)], [("a", "PENDING", 1), ("b", "PENDING", 2)], [("a", "FAILED", 4)], [("b", "NONE", 0)]]:
         spark.createDataFrame(rows, "scan_id string, status string, event_id long").withColumn(
             "ts", F.timestamp_seconds("event_id")).select("scan_id", "status", "ts", "event_id").coalesce(1).write.mode(
             "append").parquet(str(tmp_path / "in"))
-    stream = ingest.replay(spark, str(tmp_path / "in"), schema)
-    query = ingest.store_updates(ingest.scan_status(stream), str(tmp_path / "out"), str(tmp_path / "log"))
-    query.awaitTermination()
-    got = {r.scan_id: (r.status, r.events) for r in ingest.latest_updates(spark, str(tmp_path / "out"), "scan_id").collect()}
-    assert got == {"a": ("FAILED", 3), "b": ("PENDING", 1)}
-    assert len(list((tmp_path / "out").glob("batch=*"))) > 1
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    kept = ingest.scan_status(spark.createDataFrame([], schema)).schema
+
+    def state():
+        rows = ingest.stored(spark, out, kept, ingest.merge_status).collect()
+        return {r.scan_id: (r.status, r.events) for r in rows}
+
+    assert state() == {}
+    ingest.store_batches(ingest.replay(spark, str(tmp_path / "in"), schema, 1), out, log, ingest.scan_status).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 4
+    assert state() == {"a": ("FAILED", 3), "b": ("PENDING", 2)}
+    ingest.compact(spark, out, kept, ingest.merge_status)
+    assert [f.name for f in (tmp_path / "out").iterdir()] == ["base=3"]
+    assert state() == {"a": ("FAILED", 3), "b": ("PENDING", 2)}
+    # the stream goes on after compaction
+    spark.createDataFrame([("b", "DONE", 9)], "scan_id string, status string, event_id long").withColumn(
+        "ts", F.timestamp_seconds("event_id")).select("scan_id", "status", "ts", "event_id").write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.store_batches(ingest.replay(spark, str(tmp_path / "in"), schema), out, log, ingest.scan_status).awaitTermination()
+    assert state() == {"a": ("FAILED", 3), "b": ("DONE", 3)}
+    ingest.compact(spark, out, kept, ingest.merge_status)
+    assert state() == {"a": ("FAILED", 3), "b": ("DONE", 3)}
+
+
+def test_deduplication_loses_no_late_row(spark, tmp_path):
+    schema = "finding_id long, ts timestamp"
+    for first in (30, 0, 20, 10):
+        spark.range(first, first + 12).selectExpr("id AS finding_id", "timestamp_seconds(id * 7200) AS ts").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    ingest.ingest_findings(ingest.replay(spark, str(tmp_path / "in"), schema, 1), out, str(tmp_path / "log"), "finding_id").awaitTermination()
+    rows = ingest.stored(spark, out, schema, ingest.first_of("finding_id"))
+    assert sorted(r.finding_id for r in rows.collect()) == list(range(42))
 
 
 def test_accuracy_history_grows(spark, tmp_path):
