@@ -6,8 +6,8 @@ lacks the v-arc, and a w-arc goes from where the u-arc came from to where the v-
 table small. All arcs of a token lead to one state, so a state is split only when its tokens stop behaving
 alike; and tokens that are allowed after the same states share a column. Both are split copy-on-write.
 
-A text is encoded by running all tokenizations of a word at once: every prefix of a word has exactly one accepted
-tokenization, so each position keeps one state and one arc back. Decoding emits the labels of the arcs.
+A word is encoded by following arcs from the start state until they spell it. Every prefix of a word has exactly one accepted
+tokenization, so a place in the word is reached in one way only. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -131,30 +131,45 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def tokens(self, word: bytes) -> list[int]:
-        """The tokens of one word; the empty word has none."""
+        """The tokens of one word; the empty word has none.
+
+        Takes the longest allowed arc and steps back where that leads nowhere. A place is left for good at most once, as
+        the way to it is the only one, so the work stays in proportion to the word's length.
+        """
         arcs, rows, n = self.arcs, self.rows, len(word)
         whole = arcs.get(word)
         if whole:
             return [whole[0]]
-        at = [-1] * (n + 1)
-        back = [(0, 0)] * (n + 1)
-        at[0] = 0
-        for start in range(n):
-            if at[start] < 0:
-                continue
-            row = rows[at[start]]
-            for end in range(start + 1, n + 1):
-                label = word[start:end]
-                arc = arcs.get(label, 0)
-                if arc == 0:
+        if not n:
+            return []
+        path, dead = [], set()
+        ways, places = [], []
+        at, row = 0, rows[0]
+        while True:
+            # allowed arcs from here, the longest last
+            found = []
+            for end in range(at + 1, n + 1):
+                arc = arcs.get(word[at:end], 0)
+                if arc:
+                    if row[arc[2]] & arc[3]:
+                        found.append((end, arc))
+                elif arc == 0:
                     break
-                if arc and row[arc[2]] & arc[3]:
-                    at[end], back[end] = arc[1], (start, arc[0])
-        out = []
-        while n:
-            n, token = back[n]
-            out.append(token)
-        return out[::-1]
+            ways.append(found)
+            places.append(at)
+            while True:
+                if not ways[-1]:
+                    ways.pop()
+                    dead.add(places.pop())
+                    path.pop()
+                    continue
+                at, arc = ways[-1].pop()
+                if at not in dead:
+                    break
+            path.append(arc[0])
+            if at == n:
+                return path
+            row = rows[arc[1]]
 
     def encode_words(self, words: list[str]) -> bytes:
         """The tokens of words one after another, as little-endian unsigned 32-bit integers."""
