@@ -4,8 +4,8 @@ A line is a sequence of words. A line goes if an earlier one equals it, or if th
 earlier one within one word edit (a word replaced, put in or left out).
 
 * Equal lines meet under a 128-bit hash; the earliest place of each distinct line is kept.
-* Two lines within one edit share the first or the last half of the shorter one. Only distinct lines that share a
-  half with another go on, which loses no pair.
+* Two lines within one edit agree in all but one of the pieces that the shorter one is cut into. Only distinct lines that share
+  a half with another go on, and of those the ones that share all but an eighth, which loses no pair.
 * Each of those emits its deletion variants as hashed keys: (i, words before i, words after i) for every word i, and
   (i, words before i, words from i) for every gap. Two lines share a key exactly if they are within one edit, and so are
   all lines of a key. A key therefore keeps its earliest line alone: no pairs within a group are made.
@@ -26,6 +26,8 @@ from saltmarsh.llm.common import Scratch, free_name
 
 #: Lines of fewer words are left alone: half sentences and headings recur without being copies.
 MIN_WORDS = 5
+#: Pieces of the second, finer comparison.
+PIECES = 8
 #: Words hashed together in prefix hashes, a power of two.
 BLOCK = 8
 #: A side of a join is broadcast if its measured rows are estimated at no more bytes than this; else both sides shuffle.
@@ -52,15 +54,24 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _halves(words: Column) -> Column:
-    """Hashes of the first and last h words, for the h that a line within one edit may ask for."""
-    def at(h: Column) -> Column:
-        return F.array(F.xxhash64(F.lit(0), h, F.slice(words, F.lit(1), h)),
-                       F.xxhash64(F.lit(1), h, F.slice(words, F.size(words) - h + 1, h)))
+def piece_keys(words: Column, parts: int) -> Column:
+    """Keys of a line with one of ``parts`` pieces left out: two lines within one edit share one of them.
 
+    The pieces are those of the shorter line, so a line counts once with its own length and once with one word less.
+    """
     n = F.size(words)
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.concat(at(half), at(less)))
+
+    def key(m: Column, i: int) -> Column:
+        before, after = F.floor(m * i / parts).cast("int"), m - F.floor(m * (i + 1) / parts).cast("int")
+        return F.xxhash64(F.lit(i), m, F.slice(words, F.lit(1), before), F.slice(words, n - after + 1, after))
+
+    return F.array_distinct(F.array(*[key(m, i) for m in (n, n - 1) for i in range(parts)]))
+
+
+def _sharing(keys: DataFrame) -> DataFrame:
+    """Rows of ``keys`` whose key another row has too."""
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    return keys.join(shared, "key", "left_semi")
 
 
 def _prefix_hashes(hashes: Column) -> Column:
@@ -118,15 +129,13 @@ def repeated_lines(
              .where(F.size("words") >= min_words))
     lines = scratch.write(
         words.select("doc_id", "text_key", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
-                     _halves(F.col("words")).alias("halves")), "lines")
+                     piece_keys(F.col("words"), 2).alias("halves")), "lines")
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = scratch.write(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct")
 
-    halves = distinct.select("h1", "h2", "place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
     wanted = scratch.write(
-        halves.join(shared, "half", "left_semi").select("h1", "h2", "place").distinct()
+        _sharing(distinct.select("place", F.explode("halves").alias("key"))).select("place").distinct()
         .groupBy(F.col("place.doc_id").alias("in_doc"), F.col("place.text_key").alias("in_text"))
         .agg(F.collect_list("place.line_no").alias("numbers")), "wanted")
     few = wanted.agg(F.count("*"), F.sum(F.size("numbers"))).first()
@@ -140,8 +149,10 @@ def repeated_lines(
              .where(F.size("words") >= min_words))
     texts = scratch.write(taken.select(place.alias("place"), "words").dropDuplicates(["place"]), "texts")
 
+    pieces = texts.select("place", F.explode(piece_keys(F.col("words"), PIECES)).alias("key"))
+    close = texts.join(_sharing(pieces).select("place").distinct(), "place", "left_semi")
     # written once, as both sides of the join below read them
-    keys = scratch.write(texts.select("place", F.explode(deletion_keys(F.col("words"))).alias("key")), "keys")
+    keys = scratch.write(close.select("place", F.explode(deletion_keys(F.col("words"))).alias("key")), "keys")
     earliest = keys.groupBy("key").agg(F.min("place").alias("hub"), F.count("*").alias("n")).where("n > 1")
     pairs = (keys.join(earliest.select("key", "hub"), "key").where("place > hub").select("place", "hub").distinct())
     near = scratch.write(
