@@ -172,35 +172,37 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
 
 
 # --- allow-list (J05) ---------------------------------------------------------
-def _match_keys(strict: bool) -> Column:
-    """Every exact key under which an allow-list rule could name this finding."""
+_SEP = "\u0001"
+
+
+def _rule_names() -> Column:
+    """What a rule may call this finding's rule."""
+    return F.array_distinct(F.array(F.lower("rule_id"), F.lower("algorithm"), F.lit("*")))
+
+
+def _places(strict: bool) -> Column:
+    """Under which paths an allow-list rule could name this finding's file."""
     rel = F.lower(p.normalize_path(F.col("path")))
-    places = [p.basename(rel)]
-    if strict:
-        # suffixes of the path, so a rule matches whole trailing components only
-        steps = F.split(rel, "/")
-        suffixes = F.transform(
-            F.sequence(F.lit(1), F.size(steps)),
-            lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"),
-        )
-        place_array = suffixes
-    else:
-        place_array = F.array(*places)
-    rules = F.array_distinct(F.array(F.lower("rule_id"), F.lower("algorithm"), F.lit("*")))
-    print_, algo = F.col("fingerprint"), F.lower("algorithm")
-    subs = F.array_distinct(F.array(F.lit(""), F.col("line").cast("string"), print_, algo))
-    sep = "\u0001"
-    with_path = F.flatten(F.transform(place_array, lambda place: F.flatten(F.transform(
-        rules, lambda r: F.transform(subs, lambda s: F.concat_ws(sep, F.lit("P"), r, place, s))))))
-    return F.array_distinct(F.concat(
-        with_path,
-        F.transform(rules, lambda r: F.concat_ws(sep, F.lit("R"), r)),
-        F.array(F.concat_ws(sep, F.lit("F"), print_)),
-    ))
+    if not strict:
+        return F.array(p.basename(rel))
+    # suffixes of the path, so a rule matches whole trailing components only
+    steps = F.split(rel, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(steps)),
+        lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"),
+    )
+
+
+def _place_keys() -> Column:
+    """Exact keys of the path rules that could name this finding at one place."""
+    subs = F.array_distinct(F.array(
+        F.lit(""), F.col("line").cast("string"), F.col("fingerprint"), F.lower("algorithm")))
+    return F.flatten(F.transform(_rule_names(), lambda r: F.transform(
+        subs, lambda s: F.concat_ws(_SEP, F.lit("P"), r, F.col("_place"), s))))
 
 
 def _rule_key(strict: bool) -> Column:
-    sep = "\u0001"
+    sep = _SEP
     rel = F.lower(p.normalize_path(F.col("path")))
     place = rel if strict else p.basename(rel)
     sub = F.coalesce(F.col("line").cast("string"), F.col("sub"), F.lit(""))
@@ -234,10 +236,27 @@ def apply_suppressions(
     )
     with_print = findings if "fingerprint" in findings.columns else findings.withColumn(
         "fingerprint", fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("snippet")))
-    hits = (
-        with_print.select(*KEY, F.explode(_match_keys(strict_paths)).alias("_key"))
+    # rules by name: every distinct (rule, algorithm) is looked up once, however many findings have it
+    scope = ["scan_id"] if scoped else []
+    pair = [*scope, "rule_id", "algorithm"]
+    named = (
+        with_print.select(*pair).distinct()
+        .withColumn("_key", F.explode(F.transform(_rule_names(), lambda r: F.concat_ws(_SEP, F.lit("R"), r))))
         .join(keyed, on)
-        .groupBy(*KEY).agg(F.min_by("_rule", "_seq").alias("_rule"))
+        .groupBy(*pair).agg(F.min_by("_rule", "_seq").alias("_named"), F.min("_seq").alias("_named_seq"))
+    )
+    # rules by path: only findings at a place that some rule names are spread over their keys
+    at_place = keyed.select(*scope, F.split("_key", _SEP).alias("_k")).where(F.get("_k", F.lit(0)) == "P").select(
+        *scope, F.get("_k", F.lit(2)).alias("_place")).distinct()
+    by_place = (
+        with_print.select(*KEY, "algorithm", "fingerprint", F.explode(_places(strict_paths)).alias("_place"))
+        .join(at_place, [*scope, "_place"], "left_semi")
+        .select(*KEY, F.explode(_place_keys()).alias("_key"))
+    )
+    by_print = with_print.select(*KEY, F.concat_ws(_SEP, F.lit("F"), F.col("fingerprint")).alias("_key"))
+    hits = (
+        by_place.unionByName(by_print).join(keyed, on)
+        .groupBy(*KEY).agg(F.min_by("_rule", "_seq").alias("_own"), F.min("_seq").alias("_own_seq"))
     )
     rel = p.normalize_path(F.col("path"))
     r = F.col("_rule")
@@ -255,10 +274,14 @@ def apply_suppressions(
     )
     keep = [c for c in with_print.columns if c not in ("suppressed", "suppression_reason")]
     return (
-        with_print.select(*keep).join(hits, KEY, "left")
+        with_print.select(*keep).join(hits, KEY, "left").join(
+            named.select(*[F.col(c).alias(f"_of_{c}") for c in pair], "_named", "_named_seq"),
+            [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in pair], "left")
+        .withColumn("_rule", F.when(
+            F.col("_own").isNull() | (F.col("_named_seq") < F.col("_own_seq")), F.col("_named")).otherwise(F.col("_own")))
         .withColumn("suppressed", r.isNotNull())
         .withColumn("suppression_reason", F.when(r.isNotNull(), reason).otherwise(""))
-        .drop("_rule")
+        .drop("_rule", "_own", "_own_seq", "_named", "_named_seq", *[f"_of_{c}" for c in pair])
     )
 
 

@@ -196,16 +196,17 @@ def _occurrence_moves(occ: DataFrame, pairs: DataFrame, keyed: DataFrame, full_k
         ref = F.concat_ws(
             "-", "bom_ref", F.coalesce(F.col("key_size").cast("string"), F.lit("default")),
             F.coalesce("mode", F.lit("default")))
-    # only the occurrences of the component that represents its reference take part
-    own = occ.withColumn("ref", ref).join(
-        keyed.select("scan_id", "ref", F.col("c.name").alias("_n"), F.col("c.key_size").alias("_k"),
-                     F.col("c.mode").alias("_m")), ["scan_id", "ref"])
-    own = own.filter(
-        (F.col("name") == F.col("_n")) & F.col("key_size").eqNullSafe(F.col("_k"))
-        & F.col("mode").eqNullSafe(F.col("_m")))
     place = F.concat_ws(
         ":", F.col("file"), F.col("line").cast("string"), F.coalesce("usage", F.lit("")))
-    counted = own.groupBy("scan_id", "ref", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    same = ["name", "key_size", "mode"]
+    # counted per place first, so that what meets the components is counts, not occurrences
+    counted = occ.groupBy("scan_id", ref.alias("ref"), *same, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    # only the occurrences of the component that represents its reference take part
+    own = keyed.select(F.col("scan_id").alias("_s"), F.col("ref").alias("_ref"), *[F.col(f"c.{c}").alias(f"_{c}") for c in same])
+    counted = counted.join(
+        own, [F.col("scan_id") == F.col("_s"), F.col("ref") == F.col("_ref"),
+              *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]]
+    ).select("scan_id", "ref", "place", "n")
     now = counted.join(pairs.select("scan_id", "pair"), "scan_id").select(
         "pair", "ref", "place", F.col("n").alias("n_now"))
     then = counted.join(
@@ -237,7 +238,7 @@ def diff_inventories(
     n, t = F.col("now"), F.col("then")
     severity = F.upper(n["max_severity"]) != F.upper(t["max_severity"])
     score = n["max_weight"] != t["max_weight"]
-    properties = n["name"] != t["name"]
+    properties = ~F.struct(n["name"], n["key_size"], n["mode"]).eqNullSafe(F.struct(t["name"], t["key_size"], t["mode"]))
     moved = (
         (F.col("added_occurrences") > 0) | (F.col("removed_occurrences") > 0)
         | (n["occurrence_count"] != t["occurrence_count"])

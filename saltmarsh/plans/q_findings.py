@@ -164,18 +164,23 @@ def _(t: Tables):
 
 
 @query("j05_apply_suppressions", with_ctes(["dedup"], """
-SELECT scan_id, path, line, rule_id, algorithm,
-  (rule_id = 'md5-hashing' AND path = 'p0')
-  OR (rule_id = 'aes-encryption' AND path = 'p1' AND line IN (SELECT n FROM sevenths WHERE k = 1))
-  OR (rule_id = 'config-plaintext-secret' AND path = 'p2' AND algorithm = 'DES')
-  OR algorithm = 'RSA-2048'
-  OR (path = 'p2' AND line IN (SELECT n FROM sevenths WHERE k = 4))
-  OR (rule_id = 'aes-hardcoded-key' AND path = 'p1') AS suppressed
-FROM dedup""", sevenths="SELECT DISTINCT p_partkey % 8 AS k, p_partkey % 4 AS n FROM part"))
+SELECT scan_id, path, line, rule_id, algorithm, reason <> '' AS suppressed, reason AS suppression_reason FROM (
+  SELECT *, CASE
+    WHEN rule_id = 'md5-hashing' AND path = 'p0' THEN 'Suppressed by rule "md5-hashing" on p0'
+    WHEN rule_id = 'aes-encryption' AND path = 'p1' AND line IN (SELECT n FROM sevenths WHERE k = 1)
+      THEN 'Suppressed by rule "aes-encryption" on p1:' || line
+    WHEN rule_id = 'config-plaintext-secret' AND path = 'p2' AND algorithm = 'DES'
+      THEN 'Suppressed by rule "config-plaintext-secret" (des) on p2'
+    WHEN algorithm = 'RSA-2048' THEN 'Suppressed by rule ID "' || rule_id || '"'
+    WHEN path = 'p2' AND line IN (SELECT n FROM sevenths WHERE k = 4) THEN 'Suppressed by rule "' || rule_id || '" on p2:' || line
+    WHEN rule_id = 'aes-hardcoded-key' AND path = 'p1' THEN 'Suppressed by rule "aes-hardcoded-key" on p1'
+    ELSE '' END AS reason FROM dedup) r""", sevenths="SELECT DISTINCT p_partkey % 8 AS k, p_partkey % 4 AS n FROM part"))
 def _(t: Tables):
-    found = durable(c.exact_dedup(finding_facts(t)))  # read twice below
+    """Flags and reasons; the quotes of a reason are written as double quotes for the comparison."""
+    found = durable(c.exact_dedup(finding_facts(t)))  # read several times below
     out = c.apply_suppressions(found, parse_suppressions(allow_lines(t)))
-    return out.select("scan_id", "path", "line", "rule_id", "algorithm", "suppressed")
+    return out.select("scan_id", "path", "line", "rule_id", "algorithm", "suppressed",
+                      F.translate("suppression_reason", "'", '"').alias("suppression_reason"))
 
 
 @query("s08_finding_rows", with_ctes(["facts"], """

@@ -151,7 +151,8 @@ DIFF = {
         CASE WHEN c.pair IS NOT NULL AND p.pair IS NOT NULL THEN concat_ws(',',
           CASE WHEN c.max_severity <> p.max_severity THEN 'maxSeverity' END,
           CASE WHEN c.max_weight <> p.max_weight THEN 'maxVulnerabilityScore' END,
-          CASE WHEN c.name <> p.name THEN 'cryptoProperties' END,
+          CASE WHEN c.name <> p.name OR c.key_size IS DISTINCT FROM p.key_size OR c.mode IS DISTINCT FROM p.mode
+            THEN 'cryptoProperties' END,
           CASE WHEN m.added > 0 OR m.removed > 0 OR c.occurrence_count <> p.occurrence_count
             THEN 'occurrences' END) ELSE '' END AS changes,
         CASE WHEN c.pair IS NOT NULL AND p.pair IS NOT NULL THEN m.added END AS added_occurrences,
@@ -164,11 +165,20 @@ DIFF = {
 }
 
 
-def _diff(t: Tables):
+# a component for each reference, size and mode
+_FULL = "bom_ref || '-' || coalesce(CAST(key_size AS VARCHAR), 'default') || '-' || coalesce(mode, 'default')"
+FULL_DIFF = {
+    "keyed": f"""SELECT scan_id, name, key_size, mode, max_severity, max_weight, occurrence_count, {_FULL} AS bom_ref
+      FROM components""",
+    **{k: v for k, v in DIFF.items() if k != "keyed"},
+}
+
+
+def _diff(t: Tables, full_key: bool = False):
     occ = _occ(t)
     components = durable(inv.build_components(occ))  # read as current and as previous
     return inv.diff_inventories(
-        components, occ, inv.with_previous(inv.with_versions(scans(t))))
+        components, occ, inv.with_previous(inv.with_versions(scans(t))), full_key)
 
 
 @query("j07_j09_u03_diff", with_ctes(["components", "versions"], "SELECT * FROM statused", **DIFF))
@@ -176,6 +186,12 @@ def _(t: Tables):
     return _diff(t)
 
 
+@query("j07_j09_full_key_diff", with_ctes(["components", "versions"], "SELECT * FROM statused", **FULL_DIFF))
+def _(t: Tables):
+    """Sizes and modes of one primitive are components of their own; none stands for another."""
+    return _diff(t, full_key=True)
+
+
 @query("j07_diff_summary", with_ctes(["components", "versions"], """
 SELECT scan_id, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed,
   count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged,
