@@ -296,14 +296,30 @@ def integrity_manifest(
         F.coalesce("leaf_count", F.lit(0)).alias("component_count"))
 
 
-def verify_manifest(recomputed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Recomputed manifests against stored ones, by content and by root."""
+def component_proofs(components: DataFrame, columns: list[str], order: Sequence[str]) -> DataFrame:
+    """The proof of every component of every inventory: scan_id, pos, hash, proof."""
+    return merkle_proofs(leaf_hashes(components, columns, order, ["scan_id"]), ["scan_id"]).drop("root")
+
+
+def verify_manifest(recomputed: DataFrame, stored: DataFrame, proofs: DataFrame | None = None) -> DataFrame:
+    """Recomputed manifests against stored ones, by content, by root and, if given, by stored proofs.
+
+    The proofs of an inventory hold if there is one per component and each leads to the stored root.
+    """
     held = stored.select(
         "scan_id", F.col("content_hash").alias("_hash"), F.col("merkle_root").alias("_root"))
     out = recomputed.join(held, "scan_id").withColumn(
         "content_valid", F.col("content_hash") == F.col("_hash")
     ).withColumn("root_valid", F.col("merkle_root") == F.col("_root"))
-    return out.withColumn("valid", F.col("content_valid") & F.col("root_valid")).drop("_hash", "_root")
+    valid = F.col("content_valid") & F.col("root_valid")
+    if proofs is not None:
+        checked = proofs.join(held.select("scan_id", "_root"), "scan_id").groupBy("scan_id").agg(
+            F.countDistinct("pos").alias("_proofs"),
+            F.bool_and(proof_holds(F.col("hash"), F.col("proof"), F.col("_root"))).alias("_hold"))
+        out = out.join(checked, "scan_id", "left").withColumn(
+            "proofs_valid", F.coalesce("_hold", F.lit(True)) & (F.coalesce("_proofs", F.lit(0)) == F.col("component_count")))
+        out, valid = out.drop("_proofs", "_hold"), valid & F.col("proofs_valid")
+    return out.withColumn("valid", valid).drop("_hash", "_root")
 
 
 def content_matches(manifests: DataFrame, expected: DataFrame) -> DataFrame:
