@@ -138,21 +138,25 @@ def repeated_lines(
                  i.alias("line_no"), F.col("all_lines")[i].alias("line")))).alias("l"))
              .select("doc_id", "text_key", "l.line_no", F.explode(F.array(line_words(F.col("l.line")))).alias("words"))
              .where(F.size("words") >= min_words))
-    texts = scratch.write(taken.select(place.alias("place"), "words").dropDuplicates(["place"]), "texts")
+    # numbered in the order of places: a number is all that the join below carries
+    at = ["doc_id", "text_key", "line_no"]
+    texts = scratch.write(
+        taken.dropDuplicates(at).repartitionByRange(*at).sortWithinPartitions(*at)
+        .withColumn("number", F.monotonically_increasing_id()), "texts")
 
     # written once, as both sides of the join below read them
-    keys = scratch.write(texts.select("place", F.explode(deletion_keys(F.col("words"))).alias("key")), "keys")
-    earliest = keys.groupBy("key").agg(F.min("place").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = (keys.join(earliest.select("key", "hub"), "key").where("place > hub").select("place", "hub").distinct())
+    keys = scratch.write(texts.select("number", F.explode(deletion_keys(F.col("words"))).alias("key")), "keys")
+    earliest = keys.groupBy("key").agg(F.min("number").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(earliest.select("key", "hub"), "key").where("number > hub").select("number", "hub").distinct()
     near = scratch.write(
-        pairs.join(texts.withColumnRenamed("words", "mine"), "place")
-        .join(texts.select(F.col("place").alias("hub"), F.col("words").alias("theirs")), "hub")
-        .where(within_one_edit(F.col("mine"), F.col("theirs"))).select("place").distinct(), "near")
+        pairs.join(texts.withColumnRenamed("words", "mine"), "number")
+        .join(texts.select(F.col("number").alias("hub"), F.col("words").alias("theirs")), "hub")
+        .where(within_one_edit(F.col("mine"), F.col("theirs"))).select(*at).distinct(), "near")
 
     # of each distinct line only the earliest place can stay
     marks = (lines.select("doc_id", "text_key", "line_no", F.lit(0).alias("mark"))
              .unionAll(distinct.select("place.*", F.lit(1).alias("mark")))
-             .unionAll(near.select("place.*", F.lit(2).alias("mark"))))
+             .unionAll(near.select(*at, F.lit(2).alias("mark"))))
 
     def numbers(mark: int) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("mark") == mark, F.col("line_no"))))
