@@ -26,8 +26,8 @@ from saltmarsh.llm.common import Scratch, free_name
 
 #: Lines of fewer words are left alone: half sentences and headings recur without being copies.
 MIN_WORDS = 5
-#: Words hashed together in prefix hashes, a power of two.
-BLOCK = 8
+#: Words chained together in prefix hashes at least.
+LEAST_BLOCK = 8
 #: A side of a join is broadcast if its measured rows are estimated at no more bytes than this; else both sides shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -64,18 +64,36 @@ def _halves(words: Column) -> Column:
 
 
 def _prefix_hashes(hashes: Column) -> Column:
-    """Hash of the first i elements of an array of word hashes, for i from 0 to its size."""
-    shift = BLOCK.bit_length() - 1
-    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(hashes), shift)),
-                         lambda k: F.xxhash64(F.slice(hashes, k * BLOCK + 1, F.lit(BLOCK))))
+    """Chained hash of the first i elements of an array of word hashes, for i from 0 to its size.
 
-    def all_prefixes(heads: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(hashes)), lambda i: F.xxhash64(
-            heads[F.shiftright(i, shift)], F.slice(hashes, i - i % BLOCK + 1, i % BLOCK)))
+    Worked out in blocks of about the root of the size, first the hash at each block's start and then those inside, as
+    appending to an array costs its length. Single elements are read only: a slice costs the whole array.
+    """
+    n = F.size(hashes)
+    block = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+
+    def last(known: Column) -> Column:
+        return known[F.size(known) - 1]
+
+    def at_starts(size: Column, count: Column) -> Column:
+        def chained(head: Column, start: Column) -> Column:
+            return F.aggregate(F.sequence(start, start + size - 1), head, lambda value, j: F.xxhash64(value, hashes[j]))
+
+        return F.aggregate(
+            F.sequence(F.lit(0), count), F.array(F.lit(0).cast("bigint")),
+            lambda known, k: F.when(k == 0, known).otherwise(F.concat(known, F.array(chained(last(known), (k - 1) * size)))))
+
+    def inside(head: Column, start: Column, end: Column) -> Column:
+        return F.aggregate(
+            F.sequence(start, end), F.array(head),
+            lambda known, j: F.when(j == end, known).otherwise(F.concat(known, F.array(F.xxhash64(last(known), hashes[j])))))
+
+    def with_blocks(size: Column) -> Column:
+        return F.flatten(F.transform(
+            at_starts(size, F.floor(n / size).cast("int")),
+            lambda head, k: inside(head, k * size, F.least((k + 1) * size - 1, n))))
 
-    heads = _let(blocks, lambda b: F.transform(
-        F.sequence(F.lit(0), F.size(b) - 1), lambda k: F.xxhash64(F.slice(b, F.lit(1), k))))
-    return _let(heads, all_prefixes)
+    return _let(block, with_blocks)
 
 
 def deletion_keys(words: Column) -> Column:
@@ -87,8 +105,9 @@ def deletion_keys(words: Column) -> Column:
         gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(i, n - i, front[i], back[n - i]))
         return F.concat(left_out, gaps)
 
-    return _let(F.transform(words, lambda word: F.xxhash64(word)), lambda w: _let(_prefix_hashes(w), lambda front: _let(
-        _prefix_hashes(F.reverse(w)), lambda back: keys(front, back))))
+    # reversed once too: as an expression it would be worked out for every element that is read
+    return _let(F.transform(words, lambda word: F.xxhash64(word)), lambda w: _let(F.reverse(w), lambda r: _let(
+        _prefix_hashes(w), lambda front: _let(_prefix_hashes(r), lambda back: keys(front, back)))))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -198,7 +217,8 @@ def drop_repeated_lines(
                            .where(F.size(gone) > 0), "losing")
     few = losing.agg(F.count("*"), F.sum(F.size(gone))).first()
     side = F.broadcast(losing) if 48 * few[0] + 4 * (few[1] or 0) <= BROADCAST_BYTES else losing
-    kept = F.array_join(F.filter(_lines(F.col(text)), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    kept = _let(_lines(F.col(text)), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: lines[i]), "\n"))
     loses = F.col(gone).isNotNull()
     out = docs.join(side, F.col(doc_id).eqNullSafe(F.col(key)) & (text_key(text) == F.col(own)), "left")
     out = out.withColumn(text, F.when(loses, kept).otherwise(F.col(text))).where(~loses | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
