@@ -14,6 +14,8 @@ Candidates are verified by the size of the intersection.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +66,9 @@ def _base(text: Column, phrases: dict[str, str]) -> Column:
                                 "abcdefghijklmnopqrstuvwxyz"), " ")
 
     def places_of(w: Column, phrase: list[str], label: str) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1),
-                          lambda i: F.slice(w, i + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
+        # word by word: a slice would cost the whole array at every place
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: reduce(
+            and_, [F.get(w, i + k) == word for k, word in enumerate(phrase)]))
         return F.transform(starts, lambda i: F.struct(i.cast("long").alias("place"), F.lit(label).alias("label")))
 
     def places(w: Column) -> Column:
