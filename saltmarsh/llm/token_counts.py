@@ -7,6 +7,7 @@ leave the array. What survives is counted.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ from saltmarsh.llm.common import as_bytes, batch_column, free_name, share, share
 
 #: Words that a task remembers; when there are more it starts afresh.
 REMEMBERED_WORDS = 400_000
+#: A word of more letters is merged on its own, so that the short ones do not wait for it.
+LONG_WORD = 200
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
@@ -103,6 +106,60 @@ class TokenCounter:
         return counts
 
 
+    def count_long(self, word: bytes) -> int:
+        """Tokens of one long word: the same rounds, each over the places of its rank alone.
+
+        A merge makes pairs of higher ranks only, so ranks are taken in order; places wait in a bucket per rank.
+        """
+        data = np.frombuffer(word, np.uint8)
+        n = len(data)
+        symbols = self.m.first[data]
+        symbols[-1] = self.m.last[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def await_merge(places: np.ndarray) -> None:
+            """Put pairs that begin at the places into the buckets of their ranks."""
+            places = places[after[places] < n]
+            at = self.pair_index(symbols[places], symbols[after[places]])
+            places, rank = places[at >= 0], self.m.ranks[at[at >= 0]]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, part in zip(rank[starts].tolist() if len(rank) else [], np.split(places, starts[1:]), strict=False):
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(part)
+
+        await_merge(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places] & (after[places] < n)]
+            at = self.pair_index(symbols[places], symbols[after[places]])
+            right = np.zeros(len(places), bool)
+            right[at >= 0] = self.m.ranks[at[at >= 0]] == r
+            places, at = places[right], at[right]
+            if not len(places):
+                continue
+            # of overlapping places every second one merges, from the left
+            joined = np.r_[False, after[places[:-1]] == places[1:]]
+            index = np.arange(len(places))
+            since = index - np.maximum.accumulate(np.where(~joined, index, 0))
+            places, at = places[since % 2 == 0], at[since % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.m.made[at]
+            alive[gone] = False
+            after[places] = after[gone]
+            follows = after[places] < n
+            before[after[places[follows]]] = places[follows]
+            left = before[places]
+            await_merge(np.unique(np.concatenate([left[left >= 0], places])))
+        return int(alive.sum())
+
+
 def _worker(merges):
     def start():
         tables = shared(merges)
@@ -124,7 +181,9 @@ def _worker(merges):
             if len(known) >= REMEMBERED_WORDS:
                 known = {}
             new = list({w for words, _ in texts for w in words if w not in known})
-            fresh = dict(zip(new, counter.count([w.encode() for w in new]).tolist(), strict=True)) if new else {}
+            short = [w for w in new if len(w) <= LONG_WORD]
+            fresh = dict(zip(short, counter.count([w.encode() for w in short]).tolist(), strict=True)) if short else {}
+            fresh |= {w: counter.count_long(w.encode()) for w in new if len(w) > LONG_WORD}
             known |= fresh
             counts = [sum(map(known.__getitem__, words)) + extra for words, extra in texts]
             return [len(v or b"") for v in values], counts

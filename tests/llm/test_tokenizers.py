@@ -90,3 +90,30 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 2)
     encoder.words.clear()
     assert encoder.encode_words(words) == whole
+
+
+def test_long_words_by_rank_buckets(monkeypatch):
+    from saltmarsh.llm.token_counts import TokenCounter, load_merges
+
+    counter = TokenCounter(load_merges(WORD_BPE))
+    library = Tokenizer.from_file(WORD_BPE)
+    rng = random.Random(11)
+    words = ["a" * n for n in (1, 2, 3, 7, 64, 1001)] + ["ab" * 300, "the" * 400, "ΑΒΓ".lower() * 100]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(rng.randint(1, 700))) for _ in range(60)]
+    wanted = [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    assert [counter.count_long(w.encode()) for w in words] == wanted
+    assert counter.count([w.encode() for w in words]).tolist() == wanted
+
+
+def test_very_long_words_take_time_in_proportion():
+    import time
+
+    from saltmarsh.llm.token_counts import TokenCounter, load_merges
+
+    rng = random.Random(12)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000)).encode()
+    counter, encoder = TokenCounter(load_merges(WORD_BPE)), bpe.Encoder(compile_automaton(*load_vocabulary(BYTE_BPE)))
+    start = time.perf_counter()
+    assert 0 < counter.count_long(word) < len(word)
+    assert b"".join(encoder.labels[t] for t in encoder.tokens(word)) == word
+    assert time.perf_counter() - start < 60
