@@ -21,6 +21,8 @@ CENTROIDS = 4
 ROUNDS = 8
 #: Documents of one language that its centroids are fitted on, about (a share of all, drawn by a hash of the id).
 SAMPLE = 1_200
+#: Languages that are learned at most, the ones with most documents first; the model is that many times the centroids.
+LANGUAGES = 1_000
 #: Share of a language's sample that lies below its rejection bound.
 REJECTED = 0.005
 UNKNOWN = "und"
@@ -103,13 +105,16 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     for place, count in seen.items():
         idf[place] = np.log((1 + n) / (1 + count)) + 1
 
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = {r.lang: r["count"] for r in largest.collect()}
     parts = 1_000_000
     share_of = F.create_map(*[x for name, size in sizes.items() for x in (
         F.lit(name), F.lit(min(parts, int(np.ceil(parts * sample / size)))))]) if sizes else None
     if share_of is None:
         return {"idf": idf, "centroids": np.zeros((0, SIZE), np.float32), "langs": [], "bounds": np.zeros(0)}
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share_of[F.col("lang")]).select("lang", "text")
+    # the text takes part, so that rows without an id are drawn one by one; copies of a row count once
+    drawn = (rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < share_of[F.col("lang")])
+             .select("lang", "text").dropDuplicates())
     weights = share(spark, idf)
 
     def fit_language(frame):

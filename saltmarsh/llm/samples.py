@@ -22,7 +22,7 @@ def labelled_sample(
     """At most ``size`` labelled ids, by the order of a hash of the id, with their texts: order, text (bytes), label.
 
     Only ids and labels are ordered; the chosen ids, bounded by ``size``, are then broadcast to the texts. An id with several
-    labels has the largest.
+    labels has the largest, an id with several rows the text that comes first by its bytes.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     if allowed is not None:
@@ -32,7 +32,8 @@ def labelled_sample(
               .orderBy("order", "sample_id").limit(size))
     return (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
             .join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id"))
-            .select("order", "text", F.col("label").cast("int").alias("label")))
+            .groupBy("order", "sample_id", F.col("label").cast("int").alias("label")).agg(F.min("text").alias("text"))
+            .select("order", "text", "label"))
 
 
 def fit(rows: DataFrame, start: Callable[[], tuple[Callable, Callable]], *order: str) -> object:
