@@ -220,6 +220,28 @@ def _(t: Tables):
         durable(inv.build_components(_occ(t))), inv.with_previous(inv.with_versions(scans(t))))
 
 
+@query("s12_cbom_contents", with_ctes(["components", "versions"], """
+SELECT scan_id, 'component' AS part, name, bom_ref, key_size, mode, max_severity AS severity,
+  CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line FROM components
+UNION ALL SELECT f.scan_id, 'occurrence', NULL, c.bom_ref, NULL, NULL, coalesce(f.severity, 'INFO'), f.path, f.line
+FROM live f JOIN components c ON f.scan_id = c.scan_id AND f.primitive = c.name
+  AND f.key_size IS NOT DISTINCT FROM c.key_size AND f.mode IS NOT DISTINCT FROM c.mode"""))
+def _(t: Tables):
+    """What the parts hold, component by component and occurrence by occurrence."""
+    occ = _occ(t)
+    parts = durable(inv.cbom_parts(inv.with_versions(scans(t)), inv.build_components(occ), occ, chunk=2))
+    own = parts.where("part = 'component'").select(
+        "scan_id", "part", "component.name", F.col("component.bom-ref").alias("bom_ref"),
+        F.col("component.keySize").alias("key_size"), "component.mode", F.col("component.maxSeverity").alias("severity"),
+        F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
+    null = F.lit(None).cast("string")
+    placed = parts.where("part = 'occurrences'").select(
+        "scan_id", F.col("occurrences.bom-ref").alias("bom_ref"), F.explode("occurrences.items").alias("i")).select(
+        "scan_id", F.lit("occurrence").alias("part"), null.alias("name"), "bom_ref", F.lit(None).cast("int").alias("key_size"),
+        null.alias("mode"), "i.severity", "i.file", "i.line")
+    return own.unionByName(placed)
+
+
 @query("s12_cbom_parts", with_ctes(["components", "scans"], """
 SELECT scan_id, 'header' AS part, count(*) AS rows, CAST(coalesce(any_value(n), 0) AS BIGINT) AS items FROM scans
   LEFT JOIN (SELECT scan_id, sum(occurrence_count) AS n FROM components GROUP BY scan_id) USING (scan_id) GROUP BY scan_id
