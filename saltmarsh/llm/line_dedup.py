@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import Scratch, free_name
 
-#: Lines of fewer words are left alone: half sentences and headings recur without being copies.
+#: Lines of fewer words are left alone, unless a caller asks for their repeats (``min_exact_words``).
 MIN_WORDS = 5
 #: Words chained together in prefix hashes at least.
 LEAST_BLOCK = 8
@@ -124,8 +124,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def repeated_lines(
     docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+    min_exact_words: int | None = None,
 ) -> DataFrame:
-    """Per document with a line of ``min_words`` words or more: the numbers of its lines that go.
+    """Per document with a line that is looked at: the numbers of its lines that go.
+
+    Lines of ``min_words`` words or more are compared for equality and for one edit, those of ``min_exact_words`` (as ``min_words``
+    if not given, 1 at least) up to that for equality alone.
 
     Columns doc_id, text_key (a hash of the text, which tells rows of one id apart), exact and near (sorted arrays of line numbers
     from 0). Places are ordered by (doc_id, text_key, line number), a null id first. Repeated rows share their places, so that
@@ -133,11 +137,16 @@ def repeated_lines(
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"),
                        F.posexplode(_lines(F.col(text))).alias("line_no", "line"))
+    least = min_words if min_exact_words is None else min(max(min_exact_words, 1), min_words)
     words = (rows.select("doc_id", "text_key", "line_no", F.explode(F.array(line_words(F.col("line")))).alias("words"))
-             .where(F.size("words") >= min_words))
+             .where(F.size("words") >= least))
+    # a line without halves meets no other
+    halves_of = _halves(F.col("words"))
+    if least < min_words:
+        halves_of = F.when(F.size("words") >= min_words, halves_of).otherwise(F.array().cast("array<bigint>"))
     lines = scratch.write(
         words.select("doc_id", "text_key", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
-                     _halves(F.col("words")).alias("halves")), "lines")
+                     halves_of.alias("halves")), "lines")
     place = F.struct("doc_id", "text_key", "line_no")
     distinct = scratch.write(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct")
@@ -187,13 +196,16 @@ def repeated_lines(
 
 def find_repeated_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+    min_exact_words: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, exact and near (the line numbers that go).
 
     A null text has no lines, an empty one has one line without words. Lines of fewer than ``min_words`` words are never
-    removed. Ties: of equal places (repeated rows) all stay. An empty table gives an empty table.
+    removed, or with ``min_exact_words`` only as repeats. Ties: of equal places (repeated rows) all stay. An empty table gives
+    an empty table.
     """
-    found = repeated_lines(docs, Scratch(docs.sparkSession, "line-dedup"), doc_id=doc_id, text=text, min_words=min_words)
+    found = repeated_lines(docs, Scratch(docs.sparkSession, "line-dedup"), doc_id=doc_id, text=text, min_words=min_words,
+                           min_exact_words=min_exact_words)
     none = F.array().cast("array<int>")
     rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), F.when(F.col(text).isNull(), 0).otherwise(
         F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
@@ -204,14 +216,15 @@ def find_repeated_lines(
 
 def drop_repeated_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars",
-    min_words: int = MIN_WORDS,
+    min_words: int = MIN_WORDS, min_exact_words: int | None = None,
 ) -> DataFrame:
     """``docs`` without the lines that go, with the same columns; ``length`` (if there) is brought up to date.
 
-    A document that loses a line and has no word left goes; all others stay.
+    A document that loses a line and has no word left goes; all others stay. With ``min_exact_words=1`` no exact copy of an
+    earlier document (another id, a text with words) stays, however short its lines are.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    found = repeated_lines(docs, scratch, doc_id=doc_id, text=text, min_words=min_words)
+    found = repeated_lines(docs, scratch, doc_id=doc_id, text=text, min_words=min_words, min_exact_words=min_exact_words)
     key, own, gone = free_name(docs, "in_doc"), free_name(docs, "in_text"), free_name(docs, "gone")
     losing = scratch.write(found.select(F.col("doc_id").alias(key), F.col("text_key").alias(own), F.concat("exact", "near").alias(gone))
                            .where(F.size(gone) > 0), "losing")

@@ -115,3 +115,23 @@ def test_clashes_repeats_and_empty_tables(spark):
     kept = drop_repeated_lines(docs)
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
     assert drop_repeated_lines(docs.limit(0)).count() == 0 and find_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_go_as_repeats_only(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    (exact, _), (_, close) = brute_force(rows, 1), brute_force(rows)
+    assert sum(map(len, exact.values())) > sum(map(len, brute_force(rows)[0].values()))
+    got = {(r.doc_id, r.key): (r.exact, r.near) for r in find_repeated_lines(docs, min_exact_words=1).join(
+        docs.select(F.col("doc_id").alias("d"), F.col("text").alias("key")), F.expr("doc_id <=> d")).collect()}
+    once = [(d, t) for d, t in rows if sum(d == other for other, _ in rows) == 1]
+    assert len(once) > 60
+    for d, t in once:
+        assert got[d, t] == (sorted(exact.get((d, t), ())), sorted(close.get((d, t), ()))), d
+
+
+def test_an_exact_copy_with_a_short_line_goes_whole(spark):
+    text = "Short heading\none line of more than five words\n\nend"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "Short heading\nsomething else that nobody has written")],
+                                 "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs, min_exact_words=1).collect()}
+    assert got == {1: text, 3: "something else that nobody has written"}
