@@ -9,6 +9,10 @@ first. With ``need`` words to share, a match shows
 * at places after which enough words are left on either side (positional filter).
 
 Candidates are verified by the size of the intersection.
+
+Notices are wrapped in real files, so texts of several lines are also cut into windows without regard to lines: twice as many words
+as the longest template has, a new one after each half. A run of words no longer than that template lies whole in one of them.
+Windows match as blocks do.
 """
 
 from __future__ import annotations
@@ -79,15 +83,30 @@ def _base(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(text.rlike(any_phrase), found).otherwise(F.array().cast("array<struct<place:bigint,label:string>>"))
 
 
+def _windows(text: Column, vocabulary: Column, half: int) -> Column:
+    """The words of ``vocabulary`` in each window of 2 * ``half`` words, for texts of several lines."""
+    # cut by a pattern: a slice would cost the whole array for every window
+    chunks = F.regexp_extract_all(F.regexp_replace(F.lower(text), "[ \\n]+", " "), F.lit(f"(?:[^ ]++ ?+){{1,{half}}}+"), F.lit(0))
+    hits = F.transform(chunks, lambda chunk: F.array_intersect(F.split(chunk, " "), vocabulary))
+
+    def joined(halves: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(halves) - 2, F.lit(0))),
+                           lambda i: F.array_union(F.coalesce(F.get(halves, i), F.array().cast("array<string>")),
+                                                   F.coalesce(F.get(halves, i + 1), F.array().cast("array<string>"))))
+
+    return F.when(text.contains("\n"), F.transform(F.array(hits), joined)[0]).otherwise(
+        F.array().cast("array<array<string>>"))
+
+
 def scan_licenses(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES,
     templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, places (struct array: place, label) and matches (struct array: label,
-    template, block, containment), sorted.
+    """One row per row of ``docs``: doc_id, n_words, places (struct array: place, label), matches (struct array: label,
+    template, block, containment) and passages (the same with a window's number in place of a block's), sorted.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; base phrases lower-case A-Z, blocks lower-case all letters. A null or empty text
-    has no words, places or matches. Rows that share an id share the matches of all of them; repeated rows so have equal
+    has no words, places, matches or passages; a text of one line has no passages. Rows that share an id share the matches of all of them; repeated rows so have equal
     results. Ties keep all matches. An empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -95,12 +114,14 @@ def scan_licenses(
     sets = [sorted(set(t.split(" "))) for _, t in templates]
     least = min(need(len(s), threshold) for s in sets)
     vocabulary = F.array(*map(F.lit, sorted({w for s in sets for w in s})))
+    half = max(len(t.split(" ")) for _, t in templates)
 
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _NO_WORD, " ")
     blocks = F.transform(F.split("plain", "\n"), lambda line: F.array_intersect(F.split(F.lower(line), " "), vocabulary))
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(plain)).alias("plain"))
             .select("doc_id", F.size(F.array_remove(F.split("plain", "[ \\n]+"), "")).cast("long").alias("n_words"),
-                    _base(F.col("plain"), phrases).alias("places"), blocks.alias("blocks")))
+                    _base(F.col("plain"), phrases).alias("places"), blocks.alias("blocks"),
+                    _windows(F.col("plain"), vocabulary, half).alias("windows")))
     scanned = scratch.write(rows, "scanned")
 
     # the global order: words by the number of blocks that have them; as many rows as the templates have words
@@ -116,19 +137,32 @@ def scan_licenses(
         index, "word string, template int, label string, t_place int, t_size int, need int, t_words array<string>")
 
     rank_of = F.create_map(*[x for w in order for x in (F.lit(w), F.lit(rank[w]))])
-    members = (scanned.select("doc_id", F.posexplode("blocks").alias("block", "hits")).where(F.size("hits") >= least)
-               .select("doc_id", "block", F.transform(F.array_sort(F.transform(
+    def numbered(parts: str, windowed: bool) -> Column:
+        return F.filter(F.transform(parts, lambda hits, i: F.struct(
+            F.lit(windowed).alias("windowed"), i.alias("block"), hits.alias("hits"))), lambda part: F.size(part["hits"]) >= least)
+
+    parts = F.explode(F.concat(numbered("blocks", False), numbered("windows", True)))
+    members = (scanned.select("doc_id", parts.alias("part")).select("doc_id", "part.*")
+               .select("doc_id", "windowed", "block", F.transform(F.array_sort(F.transform(
                    "hits", lambda w: F.struct(rank_of[w].alias("rank"), w.alias("word")))), lambda x: x["word"]).alias("hits")))
     left_b, left_t = F.size("hits") - F.col("b_place"), F.col("t_size") - F.col("t_place")
-    candidates = (members.select("doc_id", "block", "hits", F.posexplode("hits").alias("b_place", "word"))
+    candidates = (members.select("doc_id", "windowed", "block", "hits", F.posexplode("hits").alias("b_place", "word"))
                   .join(F.broadcast(prefixes), "word")
                   .where((F.size("hits") >= F.col("need")) & (F.least(left_b, left_t) >= F.col("need")))
-                  .select("doc_id", "block", "hits", "template", "label", "t_size", "need", "t_words").distinct())
+                  .select("doc_id", "windowed", "block", "hits", "template", "label", "t_size", "need", "t_words").distinct())
     shared = F.size(F.array_intersect("hits", "t_words"))
+
+    def found(windowed: bool, place: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("windowed") == windowed, F.struct(
+            "label", "template", F.col("block").alias(place), (shared / F.col("t_size")).alias("containment")))))
+
     matches = (candidates.where(shared >= F.col("need"))
-               .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(
-                   "label", "template", "block", (shared / F.col("t_size")).alias("containment")))).alias("matches"))
-               .select(F.col("doc_id").alias("in_doc"), "matches"))
-    none = F.array().cast("array<struct<label:string,template:int,block:int,containment:double>>")
+               .groupBy("doc_id").agg(found(False, "block").alias("matches"), found(True, "window").alias("passages"))
+               .select(F.col("doc_id").alias("in_doc"), "matches", "passages"))
+
+    def none(place: str) -> Column:
+        return F.array().cast(f"array<struct<label:string,template:int,{place}:int,containment:double>>")
+
     return (scanned.join(matches, F.col("doc_id").eqNullSafe(F.col("in_doc")), "left")
-            .select("doc_id", "n_words", "places", F.coalesce("matches", none).alias("matches")))
+            .select("doc_id", "n_words", "places", F.coalesce("matches", none("block")).alias("matches"),
+                    F.coalesce("passages", none("window")).alias("passages")))

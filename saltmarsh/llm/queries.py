@@ -81,8 +81,8 @@ FROM d
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct("places.label"))
-    every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label")))
-    best = F.greatest(F.lit(0.0), F.array_max("matches.containment"), F.when(F.size("places") > 0, F.lit(1.0)))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label", "passages.label")))
+    best = F.greatest(F.lit(0.0), F.array_max("matches.containment"), F.array_max("passages.containment"), F.when(F.size("places") > 0, F.lit(1.0)))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places.place").alias("first_word"), F.array_max("places.place").alias("last_word"),

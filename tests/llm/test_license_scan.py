@@ -1,3 +1,6 @@
+import textwrap
+
+from saltmarsh.llm import queries
 from saltmarsh.llm.license_scan import PHRASES, TEMPLATES, need, scan_licenses
 
 from .helpers import AWKWARD, contract_words, docs_with_clashes
@@ -53,3 +56,41 @@ def test_clashes_repeats_and_empty_tables(spark):
     docs = docs_with_clashes(spark, TEXTS).withColumnRenamed("made", "blocks").withColumnRenamed("n_tokens", "matches")
     assert scan_licenses(docs).count() == docs.count()
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def wrapped(text, width):
+    return "\n".join(f" * {line}" for line in textwrap.wrap(text, width))
+
+
+def window_matches(text):
+    words, half = contract_words(text), max(len(t.split()) for _, t in TEMPLATES)
+    if "\n" not in (text or ""):
+        return []
+    out = set()
+    for k in range(max(1, -(-len(words) // half) - 1)):
+        window = set(words[k * half : (k + 2) * half])
+        for t, (label, template) in enumerate(TEMPLATES):
+            wanted = set(template.encode().split())
+            if len(window & wanted) >= need(len(wanted)):
+                out.add((label, t, k, len(window & wanted) / len(wanted)))
+    return sorted(out)
+
+
+def test_wrapped_notices_are_found(spark, tmp_path):
+    before = " ".join(f"word{i}" for i in range(50))
+    texts = [wrapped(f"{before[:cut]} {template} {before}", width)
+             for _, template in TEMPLATES for width in (20, 72) for cut in (0, 90, 170)]
+    labels = [label for label, _ in TEMPLATES for _ in range(6)]
+    # no window reaches from one end of these to the other
+    apart = ["gnu general\n" + " ".join(f"x{i}" for i in range(90)) + "\npublic license version 2"]
+    docs = spark.createDataFrame(list(enumerate(texts + apart + TEXTS)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for i, text in enumerate(texts + apart + TEXTS):
+        assert sorted(map(tuple, got[i].passages)) == window_matches(text), text
+        if i < len(texts):
+            assert (labels[i], 1.0) in {(p.label, p.containment) for p in got[i].passages}, text
+    assert not got[len(texts)].passages
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()}
+    for i, label in enumerate(labels):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0
