@@ -219,8 +219,25 @@ ONE_ARGUMENT = r"(?:[^()\[\]{}\"'`,]++|" + _STR + r"|[(\[{]" + _nested(2) + r"[)
 CALL = r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*+[A-Za-z_$][\w$]*)[ \t]*\((?=(" + ARGUMENTS + r"))"
 
 
-def logical_lines(text: Column) -> Column:
-    """Array of (line, code): a call broken over several lines counts as its first line."""
+#: Stands for a line break inside a triple-quoted literal.
+INNER_BREAK = "\x02"
+
+# comments, literals and what lies between them; a lone quote counts as a piece
+_PYTHON_PIECES = (
+    r"#[^\n]*+|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'{3}(?:[^'\\]|\\[\s\S]|'(?!'{2}))*+'{3}"
+    r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^#\"']++|[\"']")
+
+
+def _whole_literals(tagged: Column) -> Column:
+    """Tagged Python lines with each triple-quoted literal on the line where it starts."""
+    return F.array_join(F.transform(
+        F.regexp_extract_all(tagged, F.lit(_PYTHON_PIECES), F.lit(0)),
+        lambda piece: F.when(piece.rlike("^(?:'{3}|\"\"\")"), F.regexp_replace(piece, r"\n" + ANY_TAG, INNER_BREAK)).otherwise(piece)), "")
+
+
+def logical_lines(text: Column, language: str | None = None) -> Column:
+    """Array of (line, code): a call broken over several lines counts as its first line, and so does a triple-quoted literal of
+    Python, whose line breaks become ``INNER_BREAK``."""
     tagged = F.array_join(
         F.transform(
             F.split(text, LINE_BREAK),
@@ -228,6 +245,8 @@ def logical_lines(text: Column) -> Column:
         ),
         "\n",
     )
+    if language == "python":
+        tagged = _whole_literals(tagged)
     # an open bracket or a comma continues; a brace only where it opens an object, not a block
     joined = F.regexp_replace(
         tagged, r"([(,\[]|[(,=:\[][ \t]*\{)[ \t]*(?:\n" + ANY_TAG + r"[ \t]*+)++", "$1 "
@@ -302,7 +321,7 @@ def constant_in(code: Column, language: str) -> Column:
         code.rlike(pattern),
         F.struct(
             F.regexp_extract(code, pattern, 1).alias("name"),
-            F.regexp_extract(code, pattern, 2).alias("value"),
+            F.replace(F.regexp_extract(code, pattern, 2), F.lit(INNER_BREAK), F.lit("\n")).alias("value"),
         ),
     )
 

@@ -65,7 +65,7 @@ def with_scope(files: DataFrame, language: str) -> DataFrame:
     comment = tx.COMMENT_MARKS[language]
     tail = r"\s#[^\"']*$" if language == "python" else r"\s//[^\"'`]*$"
     code = F.filter(
-        F.transform(tx.logical_lines(F.col("text")), lambda s: F.struct(
+        F.transform(tx.logical_lines(F.col("text"), language), lambda s: F.struct(
             s["line"].alias("line"), F.regexp_replace(s["code"], tail, "").alias("code"),
         )),
         lambda s: s["code"].rlike(r"\S") & ~s["code"].rlike(comment),

@@ -85,6 +85,38 @@ def _(t: Tables):
     return calls.select("scan_id", "line", "callee", "function")
 
 
+# (kind, line, callee, function) of every kind of Python file; src/broken does not parse
+_CALLS = [
+    *[(0, 3, c, "login") for c in ("hashlib.md5", "password.encode")], (0, 5, "hashlib.sha1", "etag"),
+    (0, 7, "hashlib.sha256", "safe"),
+    (1, 5, "AES.new", None), *[(1, 6, c, None) for c in ("AES.new", "load")], *[(1, 7, c, None) for c in ("ARC4.new", "load")],
+    *[(1, 8, c, None) for c in ("AES.new", "load")],
+    (2, 3, "rsa.generate_private_key", None), *[(2, 4, c, None) for c in ("ec.generate_private_key", "ec.SECP256R1")],
+    *[(2, 6, c, "make_token") for c in ("random.choice", "range")], (2, 10, "len", "check"),
+    (3, 3, "load", None), (3, 4, "hmac.new", None), (3, 5, "Fernet", None), (3, 6, "Cipher", None),
+    (3, 7, "algorithms.TripleDES", None), (3, 8, "modes.CBC", None), (3, 10, "dsa.generate_private_key", None),
+    *[(16, 3, c, None) for c in ("DES.new", "load")], *[(16, 4, c, None) for c in ("DES3.new", "load")],
+    *[(16, 5, c, None) for c in ("Blowfish.new", "f", "g", "h2", "i", "j")], *[(16, 6, c, None) for c in ("ARC4.new", "load")],
+    (16, 7, "hashlib.new", None), *[(16, 9, c, None) for c in ("AES.new", "load")],
+    *[(16, 10, c, None) for c in ("AES.new", "f", "g", "h2", "i", "j")],
+    (17, 2, "RSA.generate", None), (17, 3, "rsa.newkeys", None), (17, 4, "DSA.generate", None),
+    *[(17, 5, c, None) for c in ("Cipher", "algorithms.AES", "modes.ECB")],
+    *[(17, 6, c, None) for c in ("Cipher", "algorithms.AES", "modes.CBC")],
+    *[(17, 7, c, None) for c in ("Cipher", "algorithms.AES", "modes.GCM")],
+    *[(17, line, c, None) for line in (8, 9) for c in ("hmac.new", "pick")], (17, 12, "random.choice", "inner"),
+    (17, 13, "random.sample", "make_token"), (17, 15, "random.seed", None), (17, 17, "len", None),
+]
+_CALL_ROWS = ", ".join(f"({k}, {line}, '{callee}', " + (f"'{f}')" if f else "NULL)") for k, line, callee, f in _CALLS)
+
+
+@query("x15_x18_call_sites_of_every_kind", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES {_CALL_ROWS})
+  v(kind, line, callee, function) ON o_orderkey % 24 = kind""")
+def _(t: Tables):
+    """The calls of all Python files."""
+    return call_sites(_of(t, "python"), "python").select("scan_id", "line", "callee", "function")
+
+
 @query("x19_cluster_secret_entries", """
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, section, key, value FROM orders JOIN (VALUES
   (12, 4, 'data', 'pw', 'c2VjcmV0cHc='), (12, 6, 'stringData', 'tok', 'abcdefg')) v(kind, line, section, key, value)

@@ -14,7 +14,7 @@ from saltmarsh.operators.detect_calls import (
 )
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.q_detect import JS_SQL, PY_SQL
-from saltmarsh.plans.sources import source_files
+from saltmarsh.plans.sources import BITS, source_files
 
 
 def filled(t: Tables, **shapes: list):
@@ -161,6 +161,52 @@ def _(t: Tables):
     return scoped.select("scan_id", F.explode(both).alias("x")).select("scan_id", "x.*")
 
 
+# (kind, side, name, target) of every kind of Python file; breaks after brackets and commas count as one blank
+_NAMES = [
+    (0, "alias", "hl", "hashlib"), (1, "alias", "AES", "AES"), (1, "alias", "Old", "ARC4"),
+    *[(2, "alias", x, x) for x in ("random", "rsa", "ec")], *[(3, "alias", x, x) for x in ("hmac", "hashlib", "Fernet")],
+    *[(16, "alias", x, x) for x in ("DES", "DES3", "AES")], (16, "alias", "RC2", "ARC2"), (16, "alias", "RC4", "ARC4"),
+    (16, "alias", "BF", "Blowfish"), (16, "alias", "h", "hashlib"),
+    (17, "alias", "rnd", "random"), *[(17, "alias", x, x) for x in ("rsa", "hmac", "hashlib")], (22, "alias", "hashlib", "hashlib"),
+    *[(1, "constant", *x) for x in (
+        ("KEY", 'b"0123456789abcdef"'), ("ALIAS", "KEY"), ("iv_fixed", 'b"1234567890123456"'),
+        ("a", "AES.new(ALIAS, AES.MODE_CBC, iv_fixed)"), ("b", "AES.new(load(), AES.MODE_ECB)"), ("c", "Old.new(load())"),
+        ("d", "AES.new(load(), AES.MODE_GCM)"))],
+    (2, "constant", "k", "rsa.generate_private_key(public_exponent=65537, key_size={b})"),
+    (2, "constant", "e", "ec.generate_private_key(ec.SECP256R1())"),
+    *[(3, "constant", *x) for x in (
+        ("SECRETS", "load()"), ("m", "hmac.new(SECRETS, body, hashlib.sha1)"), ("f", "Fernet(SECRETS)"),
+        ("c", "Cipher( algorithms.TripleDES(SECRETS), modes.CBC(iv))"), ("d", "dsa.generate_private_key(key_size={b})"))],
+    *[(16, "constant", *x) for x in (
+        ("a", "DES.new(load(), DES.MODE_ECB)"), ("b", "DES3.new(load(), mode=DES3.MODE_CBC)"),
+        ("c", "BF.new(f(g(h2(i(j({n}))))), BF.MODE_CTR)"), ("d", "RC4.new(load())"), ("e", "h.new( 'MD5', body)"),
+        ("g", "AES.new(load(), AES.MODE_SIV)"), ("k", "AES.new(f(g(h2(i(j({n}))))), AES.MODE_ECB)"),
+        ("x", "'''\nDES.new(load(), DES.MODE_ECB)\n'''"), ("y", '"hashlib.md5(x)"'))],
+    *[(17, "constant", *x) for x in (
+        ("k", "RSA.generate({b})"), ("d", "DSA.generate({b})"), ("c", "Cipher(algorithms.AES(key), modes.ECB())"),
+        ("e", "Cipher(algorithms.AES(b'0123456789abcdef'), modes.CBC(iv))"),
+        ("f", "Cipher(algorithms.AES(key), mode=modes.GCM(nonce))"), ("w", "hmac.new(pick(), body, digestmod='md5')"),
+        ("v", "hmac.new(pick(), body, hashlib.sha256)"), ("ok", "token == a == b"),
+        ("fine", "len(token) == {n} and token is None"), ("bad", "token != other"))],
+]
+_NAME_ROWS = ", ".join(f"({k}, '{side}', '{name}', '" + target.replace("'", "''") + "')" for k, side, name, target in _NAMES)
+
+
+@query("x16_x17_j01_names_of_every_kind", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, side, name,
+  replace(replace(target, '{{n}}', CAST(o_orderkey AS VARCHAR)), '{{b}}', CAST(([{", ".join(map(str, BITS))}])[o_custkey % 4 + 1] AS VARCHAR)) AS target
+FROM orders JOIN (VALUES {_NAME_ROWS}) v(kind, side, name, target) ON o_orderkey % 24 = kind""")
+def _(t: Tables):
+    """All aliases and constants of all Python files."""
+    scoped = with_scope(source_files(t).filter(tx.language_of(F.col("path")) == "python"), "python")
+    both = F.concat(
+        F.transform("aliases", lambda a: F.struct(
+            F.lit("alias").alias("side"), a["local"].alias("name"), a["target"].alias("target"))),
+        F.transform("constants", lambda c: F.struct(
+            F.lit("constant").alias("side"), c["name"].alias("name"), c["value"].alias("target"))))
+    return scoped.select("scan_id", F.explode(both).alias("x")).select("scan_id", "x.*")
+
+
 @query("x20_comparisons", expected([
     ("token", "===", "given{n}"), ("a.length", "!==", "b.length"), ("'x'", "==", "y{n}"), ("req.sig", "!=", "0")],
     "left_side op right_side"))

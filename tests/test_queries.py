@@ -189,3 +189,12 @@ def test_document_parts_hold_every_occurrence(spark, tmp_path):
     assert {r.part: r["count"] for r in written.groupBy("part").count().collect()} == {
         "header": 1, "component": 1, "occurrences": 3}
     assert written.select(F.explode("occurrences.items").alias("i")).select("i.line").distinct().count() == 25
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["x15_x18_call_sites_of_every_kind", "x16_x17_j01_names_of_every_kind"])
+def test_every_kind_of_python_file_is_read(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+    kinds = {int(r.scan_id) % 24 for r in entry_point.queries()[name](spark, FOLDER).select("scan_id").distinct().collect()}
+    # src/broken does not parse: it has an import, and no call sites
+    assert kinds == {0, 1, 2, 3, 16, 17} | ({22} if "names" in name else set())
