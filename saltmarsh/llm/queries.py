@@ -16,6 +16,7 @@ from saltmarsh.llm.license_scan import PHRASES, TEMPLATES, need, scan_licenses
 from saltmarsh.llm.line_dedup import find_repeated_lines
 from saltmarsh.llm.quality_model import classify
 from saltmarsh.llm.quality_rules import judge
+from saltmarsh.llm.sentencepiece_bpe import sentencepiece_round_trip
 from saltmarsh.llm.simhash import simhash_components
 from saltmarsh.llm.token_counts import count_tokens
 from saltmarsh.llm.warc import captured_payloads
@@ -177,3 +178,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+@query
+def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
