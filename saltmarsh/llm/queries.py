@@ -19,6 +19,7 @@ from saltmarsh.llm.quality_model import classify
 from saltmarsh.llm.quality_rules import judge
 from saltmarsh.llm.sentencepiece_bpe import sentencepiece_round_trip
 from saltmarsh.llm.simhash import simhash_components
+from saltmarsh.llm.token_alignment import weigh_links
 from saltmarsh.llm.token_counts import count_tokens
 from saltmarsh.llm.warc import captured_payloads
 
@@ -188,6 +189,12 @@ def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weigh_links(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")

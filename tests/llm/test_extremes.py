@@ -40,7 +40,8 @@ def nothing(spark, folder, tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: op13 gives several rows or none for a row; test_hard_negatives holds it against odd and empty tables.
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op13_hard_negatives"}))
 def test_queries_give_a_row_for_every_row(spark, folder, nothing, name):
     table = "pages" if name.startswith("op2") else "documents"
     run = queries.QUERIES[name]
