@@ -33,6 +33,8 @@ from saltmarsh.operators.skew import heavy_keys, split_join
 
 #: Bytes of text whose incidence matrices are held at once, and entries of a product made at once.
 SEGMENT, PRODUCT = 1 << 20, 1 << 21
+#: Bytes of texts that are aligned together, whatever the size of a batch.
+TOGETHER = 1 << 20
 #: White space in a row that the whole-text pattern is spared.
 LONG_RUN = 1000
 #: Pairs of ids that are broadcast at most (about 40 bytes each).
@@ -265,6 +267,19 @@ def _lists(sizes: np.ndarray, fields: dict[str, np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields)))
 
 
+def _bounded(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch in lists of ``TOGETHER`` bytes, or one longer text; one empty list for none."""
+    texts, size = [], 0
+    for value in batch:
+        raw = value.as_py() or b""
+        if texts and size + len(raw) > TOGETHER:
+            yield texts
+            texts, size = [], 0
+        texts.append(raw.decode("utf-8", "replace"))
+        size += len(raw)
+    yield texts
+
+
 def align_tokens(docs: DataFrame, vocabulary: str, model: str, *, text: str = "text", overlaps: bool = False) -> DataFrame:
     """Align the tokens of space + text by a byte-level BPE file (A) and of text by a SentencePiece model that puts a space in front (B).
 
@@ -292,8 +307,11 @@ def align_tokens(docs: DataFrame, vocabulary: str, model: str, *, text: str = "t
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = Aligner(*shared(tables))
         for batch in batches:
-            out = aligner.align([(v or b"").decode("utf-8", "replace") for v in batch.to_pylist()], overlaps)
-            yield pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+            parts = []
+            for texts in _bounded(batch):
+                out = aligner.align(texts, overlaps)
+                parts.append(pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names))
+            yield pa.concat_arrays(parts)
 
     made = free_name(docs, "made")
     out = docs.withColumn(made, run.asNondeterministic()(as_bytes(text)))

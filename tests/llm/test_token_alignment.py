@@ -69,6 +69,8 @@ def weighed(spark, texts):
 @pytest.mark.parametrize("most", [1_000_000, 0], ids=["broadcast", "dealt"])
 def test_equals_the_plain_alignment(spark, libraries, monkeypatch, most):
     monkeypatch.setattr(token_alignment, "BROADCAST_PAIRS", most)
+    if not most:
+        monkeypatch.setattr(token_alignment, "TOGETHER", 2000)
     given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150).collect()]
     texts = TEXTS + given + given[:20]
     assert weighed(spark, texts) == plain(texts, libraries)
@@ -116,6 +118,12 @@ def test_a_group_of_a_whole_long_text_stays_bounded():
     assert len(keys) == 2500 and links.sum() == n * n
 
 
+def aligner_of_nothing():
+    with open(VOCABULARY, encoding="utf-8") as f, open(MODEL, "rb") as g:
+        out = Aligner(f.read(), g.read()).align([], overlaps=True)
+    return sum(len(column) for column in out.values())
+
+
 def test_clashes_repeats_and_empty_tables(spark, libraries):
     docs = docs_with_clashes(spark, AWKWARD).withColumn("row", F.lit("own")).withColumn("pairs", F.lit(1)).withColumn("best", F.lit("own"))
     got = weigh_links(docs, VOCABULARY, MODEL)
@@ -125,4 +133,5 @@ def test_clashes_repeats_and_empty_tables(spark, libraries):
     key = lambda r: (r[0], r[6])
     assert sorted([(r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows], key=key) == sorted(plain(texts, libraries), key=key)
     assert weigh_links(docs.limit(0), VOCABULARY, MODEL).count() == 0
+    assert aligner_of_nothing() == 0
     assert align_tokens(docs, VOCABULARY, MODEL, overlaps=True).where(F.size("overlaps") > 0).count() > 0
