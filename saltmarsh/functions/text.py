@@ -204,158 +204,7 @@ def key_value(raw: Column, fmt: str) -> Column:
     )
 
 
-# --- calls, imports, constants, comparisons -----------------------------------
-_STR = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-
-
-def _nested(depth: int, extra: str = "") -> str:
-    """Text with balanced brackets down to ``depth`` levels; strings are opaque."""
-    inner = "" if depth == 0 else "|[(\\[{]" + _nested(depth - 1) + "[)\\]}]"
-    return r"(?:[^()\[\]{}\"'`" + extra + "]++|" + _STR + inner + ")*+"
-
-
-ARGUMENTS = _nested(3)
-ONE_ARGUMENT = r"(?:[^()\[\]{}\"'`,]++|" + _STR + r"|[(\[{]" + _nested(2) + r"[)\]}])++"
-CALL = r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*+[A-Za-z_$][\w$]*)[ \t]*\((?=(" + ARGUMENTS + r"))"
-
-
-#: Stands for a line break inside a triple-quoted literal.
-INNER_BREAK = "\x02"
-
-# comments, literals and what lies between them; a lone quote counts as a piece
-_PYTHON_PIECES = (
-    r"#[^\n]*+|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'{3}(?:[^'\\]|\\[\s\S]|'(?!'{2}))*+'{3}"
-    r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^#\"']++|[\"']")
-
-
-def _whole_literals(tagged: Column) -> Column:
-    """Tagged Python lines with each triple-quoted literal on the line where it starts."""
-    return F.array_join(F.transform(
-        F.regexp_extract_all(tagged, F.lit(_PYTHON_PIECES), F.lit(0)),
-        lambda piece: F.when(piece.rlike("^(?:'{3}|\"\"\")"), F.regexp_replace(piece, r"\n" + ANY_TAG, INNER_BREAK)).otherwise(piece)), "")
-
-
-def logical_lines(text: Column, language: str | None = None) -> Column:
-    """Array of (line, code): a call broken over several lines counts as its first line, and so does a triple-quoted literal of
-    Python, whose line breaks become ``INNER_BREAK``."""
-    tagged = F.array_join(
-        F.transform(
-            F.split(text, LINE_BREAK),
-            lambda raw, i: F.concat(F.lit(OPEN), (i + 1).cast("string"), F.lit(CLOSE), raw),
-        ),
-        "\n",
-    )
-    if language == "python":
-        tagged = _whole_literals(tagged)
-    # an open bracket or a comma continues; a brace only where it opens an object, not a block
-    joined = F.regexp_replace(
-        tagged, r"([(,\[]|[(,=:\[][ \t]*\{)[ \t]*(?:\n" + ANY_TAG + r"[ \t]*+)++", "$1 "
-    )
-    joined = F.regexp_replace(joined, r"(?:\n" + ANY_TAG + r"[ \t]*+)++([)\]}])", "$1")
-    return F.transform(
-        F.split(joined, "\n"),
-        lambda row: F.struct(
-            F.regexp_extract(row, OPEN + r"(\d+)" + CLOSE, 1).cast("int").alias("line"),
-            F.regexp_replace(row, ANY_TAG, "").alias("code"),
-        ),
-    )
-
-
-def calls_in(code: Column) -> Column:
-    """Array of (callee, arguments) for every call in a piece of code, nested ones too."""
-    names = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
-    inside = F.regexp_extract_all(code, F.lit(CALL), F.lit(2))
-    return F.zip_with(
-        names, inside, lambda n, a: F.struct(n.alias("callee"), a.alias("args"))
-    )
-
-
-def split_arguments(args: Column) -> Column:
-    """Top-level arguments, trimmed."""
-    return F.filter(
-        F.transform(F.regexp_extract_all(args, F.lit(ONE_ARGUMENT), F.lit(0)), strip),
-        lambda a: a != "",
-    )
-
-
-def keyword_argument(arguments: Column, name: str) -> Column:
-    hits = F.filter(arguments, lambda a: a.rlike(rf"^{name}\s*=(?!=)"))
-    return F.regexp_replace(F.get(hits, F.size(hits) - 1), rf"^{name}\s*=\s*", "")
-
-
-def positional_arguments(arguments: Column) -> Column:
-    return F.filter(arguments, lambda a: ~a.rlike(r"^[A-Za-z_]\w*\s*=(?!=)"))
-
-
-def imports_in(code: Column) -> Column:
-    """Array of (local, target) aliases introduced by one import statement."""
-    plain = F.regexp_extract(code, r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*+)", 1)
-    named = F.regexp_extract(code, r"^\s*from\s+[\w.]+\s+import\s+\(?\s*([^()#]+)", 1)
-
-    def alias_of(dotted: bool):
-        def build(item: Column) -> Column:
-            words = F.split(strip(item), r"\s+as\s+")
-            target = F.get(words, F.lit(0))
-            target = F.substring_index(target, ".", 1) if dotted else target
-            return F.struct(
-                F.coalesce(F.get(words, F.lit(1)), target).alias("local"), target.alias("target")
-            )
-
-        return build
-
-    none = F.array().cast("array<struct<local:string,target:string>>")
-    return (
-        F.when(plain != "", F.transform(F.split(plain, ","), alias_of(True)))
-        .when(named != "", F.transform(F.split(named, ","), alias_of(False)))
-        .otherwise(none)
-    )
-
-
-def constant_in(code: Column, language: str) -> Column:
-    """(name, value) when the statement binds a plain name, else null."""
-    if language == "python":
-        pattern = r"^\s*([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)\s*(.+?)\s*(?:#[^\"']*)?$"
-    else:
-        pattern = r"^\s*(?:(?:export\s+)?(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*=(?![=>])\s*(.+?)\s*;?\s*(?://[^\"']*)?$"
-    return F.when(
-        code.rlike(pattern),
-        F.struct(
-            F.regexp_extract(code, pattern, 1).alias("name"),
-            F.replace(F.regexp_extract(code, pattern, 2), F.lit(INNER_BREAK), F.lit("\n")).alias("value"),
-        ),
-    )
-
-
-def function_name(code: Column, language: str) -> Column:
-    """Name of the function that starts on this line, else null."""
-    if language == "python":
-        pattern = r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("
-    else:
-        pattern = (
-            r"(?:\bfunction\s*\*?\s+([A-Za-z_$][\w$]*)\s*\()|"
-            r"(?:(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>))"
-        )
-    names = [F.regexp_extract(code, pattern, g) for g in ((1,) if language == "python" else (1, 2))]
-    return F.nullif(F.concat(*names), F.lit(""))
-
-
-_OPERAND = r"[A-Za-z_$][\w$.]*(?:\([^()]*\))?|[\"'][^\"']*[\"']|\d+(?:\.\d+)?"
-COMPARISON = {
-    "python": rf"({_OPERAND})\s*(==|!=)\s*({_OPERAND})",
-    "javascript": rf"({_OPERAND})\s*(===|!==|==|!=)\s*({_OPERAND})",
-}
-
-
-def comparisons_in(code: Column, language: str) -> Column:
-    """Array of (left, op, right) equality tests in a piece of code."""
-    pattern = COMPARISON[language]
-    cols = [F.regexp_extract_all(code, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(
-        F.arrays_zip(*[c.alias(n) for c, n in zip(cols, ("left", "op", "right"))]),
-        lambda z: F.struct(z["left"].alias("left"), z["op"].alias("op"), z["right"].alias("right")),
-    )
-
-
+# --- cipher names and kinds of files --------------------------------------------
 def split_cipher(name: Column) -> Column:
     """'aes-256-cbc' -> (AES, 256, CBC); other names give (HEAD, null, LAST)."""
     parts = F.split(name, "-")

@@ -1,8 +1,8 @@
 """Call-site and comparison detectors for Python and JavaScript.
 
-A file is one row, so aliases (J01), constants (X17, J02) and enclosing functions (X18)
-are resolved inside that row and no detector shuffles. ``code_sites`` extracts the sites; everything a
-rule says about them is columns.
+``code_rows`` cuts files into flat rows, written once. Import aliases (J01), constants (X17, J02) and enclosing functions (X18) are joins of
+those rows on the file and a name or a block of places, so one huge file spreads over tasks like many small ones. Everything a
+rule says about a site is columns.
 """
 
 from __future__ import annotations
@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
+from saltmarsh.functions import code_rows as cr
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions import text as tx
-from saltmarsh.functions.code_sites import EQUALITY, sites_in
+from saltmarsh.operators.intervals import innermost
+from saltmarsh.operators.resolve import follow, last_bindings, through_imports
 from saltmarsh.schemas import LAYER_ORDER, finding
+from saltmarsh.session import durable
+
+#: Stands as the callee of an equality test.
+EQUALITY = "=="
 
 # A file whose text has none of these words cannot hold a site: an alias is introduced by the word it stands for.
 PYTHON_MAYBE = (
@@ -33,61 +39,66 @@ JS_CALLEE = (
 )
 
 
-def _last(items: Column) -> Column:
-    return F.get(items, F.size(items) - 1)
+KEYS = ["scan_id", "repo_id", "path"]
+#: The arguments that rules look at, by the role they play.
+ROLES = ("arg0", "arg1", "mode", "iv", "size", "digest", "inner", "left", "right")
 
 
-def _resolve_alias(name: Column, aliases: Column) -> Column:
-    head = F.substring_index(name, ".", 1)
-    target = _last(F.filter(aliases, lambda a: a["local"] == head))["target"]
-    return F.when(
-        target.isNotNull(), F.concat(target, F.substring(name, F.length(head) + 1, F.length(name)))
-    ).otherwise(name)
+def code_rows(files: DataFrame, language: str, callees: str | None = None, comparisons: bool = False) -> DataFrame:
+    """The flat rows of every file, one by one, with a number for the file and one for the row within it.
 
+    Several joins read them, so they are written to the checkpoint folder; the texts are read once. Rows of kind ``error`` tell which
+    files could not be read as their language, and why.
+    """
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    rows = cr.rows_in(F.col("text"), language, callees, comparisons)
+    numbered = files.select(*KEYS, F.monotonically_increasing_id().alias("file"), rows.alias("rows"))
+    return durable(numbered.select(*KEYS, "file", F.posexplode("rows").alias("seq", "r")).select(*KEYS, "file", "seq", "r.*"))
 
-def _resolve(value: Column, constants: Column) -> Column:
-    """Follow name → name → literal, six steps at most; the last write to a name wins."""
-    def step(current: Column, _: Column) -> Column:
-        bound = _last(F.filter(constants, lambda c: c["name"] == current))["value"]
-        return F.coalesce(bound, current)
 
-    return F.when(
-        value.rlike(r"^[A-Za-z_$][\w$]*$"), F.aggregate(F.sequence(F.lit(1), F.lit(6)), value, step)
-    ).otherwise(value)
+def unread_files(rows: DataFrame) -> DataFrame:
+    """Files that gave no rows because they could not be read as their language: ``reason`` and ``line``."""
+    return rows.where(F.col("kind") == cr.ERROR).select(*KEYS, F.col("target").alias("reason"), "line")
 
 
-def _indent(code: Column) -> Column:
-    return F.length(F.regexp_extract(code, r"^[ \t]*", 0))
+def imports(rows: DataFrame) -> DataFrame:
+    """``file, local, target``: what the last import of each name gave."""
+    found = rows.where(F.col("kind") == cr.ALIAS)
+    return found.groupBy("file", F.col("name").alias("local")).agg(F.max_by("target", "place").alias("target"))
 
 
-def with_scope(files: DataFrame, language: str) -> DataFrame:
-    """Statements, constants, aliases and function starts of each file, as arrays."""
-    comment = tx.COMMENT_MARKS[language]
-    tail = r"\s#[^\"']*$" if language == "python" else r"\s//[^\"'`]*$"
-    code = F.filter(
-        F.transform(tx.logical_lines(F.col("text"), language), lambda s: F.struct(
-            s["line"].alias("line"), F.regexp_replace(s["code"], tail, "").alias("code"),
-        )),
-        lambda s: s["code"].rlike(r"\S") & ~s["code"].rlike(comment),
-    )
-    out = files.withColumn("code", code).withColumn("raw", F.split("text", tx.LINE_BREAK))
-    out = out.withColumn("constants", F.filter(
-        F.transform("code", lambda s: tx.constant_in(s["code"], language)),
-        lambda c: c.isNotNull(),
-    ))
-    if language == "python":
-        out = out.withColumn(
-            "aliases", F.flatten(F.transform("code", lambda s: tx.imports_in(s["code"])))
-        )
-    else:
-        out = out.withColumn("aliases", F.array().cast("array<struct<local:string,target:string>>"))
-    return out.withColumn("functions", F.filter(
-        F.transform("code", lambda s: F.struct(
-            s["line"].alias("line"), _indent(s["code"]).alias("indent"),
-            tx.function_name(s["code"], language).alias("name"),
-        )),
-        lambda f: f["name"].isNotNull(),
-    ))
+def constants(rows: DataFrame) -> DataFrame:
+    """``file, name, value``: the last value of each name (X17). In JavaScript an assignment counts over a declaration, as it comes later."""
+    found = rows.where(F.col("kind").isin(cr.BIND, cr.REBIND))
+    order = F.struct(F.col("kind") == cr.REBIND, F.col("place"))
+    return last_bindings(found, ["file"], order, F.col("args")[0]["value"])
+
+
+def _named(keyword: str):
+    return lambda argument: argument["keyword"] == keyword
+
+
+def _roles(language: str) -> Column:
+    """(role, value) of the arguments of a call or the sides of a comparison."""
+    args, by_place = F.col("args"), F.filter("args", lambda a: a["keyword"].isNull())
+
+    def given(place: int | None, *names: str) -> Column:
+        word = [F.get(F.filter(args, _named(n)), F.lit(0))["value"] for n in names]
+        return F.coalesce(*word, *([F.get(by_place, F.lit(place))["value"]] if place is not None else []))
+
+    python = language == "python"
+    call = {
+        "arg0": given(0), "arg1": given(1), "mode": given(1, "mode"), "iv": given(2, "iv", "nonce") if python else given(2),
+        "size": given(None, "key_size"), "digest": given(2, "digestmod") if python else given(2),
+        "inner": F.get(by_place, F.lit(0))["inner"],
+    }
+    sides = {"left": F.get(args, F.lit(0))["value"], "right": F.get(args, F.lit(1))["value"]}
+
+    def listed(values: dict[str, Column]) -> Column:
+        pairs = F.array(*[F.struct(F.lit(r).alias("role"), v.alias("value")) for r, v in values.items()])
+        return F.filter(pairs, lambda x: x["value"].isNotNull())
+
+    return F.when(F.col("kind") == cr.CALL, listed(call)).otherwise(listed(sides))
 
 
 def call_sites(
@@ -98,11 +109,50 @@ def call_sites(
     ``callees`` keeps the calls whose resolved name matches. With ``comparisons`` equality tests come along as
     rows named ``==``, so one pass over the texts serves both.
     """
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    sites = sites_in(F.col("text"), language, callees, comparisons)
-    return files.select("scan_id", "repo_id", "path", F.explode(sites).alias("c")).select(
-        "scan_id", "repo_id", "path", "c.*")
+    return sites_of(code_rows(files, language, callees, comparisons), language, callees)
+
+
+def sites_of(rows: DataFrame, language: str, callees: str | None = None) -> DataFrame:
+    """The call sites among the rows of files: names through imports, arguments through bindings, functions around places."""
+    one = ["file", "seq"]
+    sites = rows.where(F.col("kind").isin(cr.CALL, cr.COMPARE)).withColumn("callee", F.coalesce("name", F.lit(EQUALITY)))
+    origins = imports(rows)
+    if language == "python":
+        sites = through_imports(sites, origins, ["file"], "callee")
+    if callees is not None:
+        sites = sites.where((F.col("kind") == cr.COMPARE) | F.col("callee").rlike(callees))
+    sites = sites.withColumn("roles", _roles(language))
+
+    # only arguments that are nothing but a name have something to follow; a mode and both sides of a test stay as written
+    asked = sites.select(*one, F.explode("roles").alias("x")).select(*one, F.col("x.role").alias("role"), F.col("x.value").alias("written"))
+    asked = asked.where(F.col("written.name").isNotNull() & ~F.col("role").isin("mode", "left", "right"))
+    led = follow(constants(rows), ["file"]).withColumnRenamed("name", "asked").withColumnRenamed("value", "led")
+    led = asked.withColumn("asked", F.col("written.name")).join(led, ["file", "asked"])
+    led = led.groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("role", "led"))).alias("led"))
+    sites = sites.join(led, one, "left")
+    spans = rows.where(F.col("kind") == cr.FUNCTION).select("file", F.col("place").alias("start"), "end", "name")
+    sites = innermost(sites, spans, ["file"], id=one, into="function")
+    lines = rows.where(F.col("kind") == cr.LINE).select("file", "line", F.col("target").alias("snippet"))
+    sites = sites.join(lines, ["file", "line"], "left")
+
+    written = F.map_from_entries("roles")
+    sites = sites.withColumn("written", written).withColumn("value", F.when(
+        F.col("led").isNotNull(), F.map_zip_with("written", "led", lambda _, w, v: F.coalesce(v, w))).otherwise(F.col("written")))
+
+    def at(column: str, role: str, field: str) -> Column:
+        return F.try_element_at(F.col(column), F.lit(role))[field]
+
+    out = sites.select(
+        *KEYS, *one, "line", "callee", F.coalesce("snippet", F.lit("")).alias("snippet"), "function",
+        at("written", "arg0", "text").alias("arg0"), at("value", "arg0", "text").alias("arg0_value"), at("value", "arg0", "size").alias("arg0_size"),
+        at("written", "arg0", "size").alias("arg0_own_size"),
+        at("value", "arg1", "text").alias("arg1_value"), at("value", "arg1", "size").alias("arg1_size"), at("written", "mode", "text").alias("mode_arg"),
+        at("value", "iv", "text").alias("iv_value"), at("value", "iv", "size").alias("iv_size"), at("value", "size", "text").alias("size_value"),
+        at("value", "digest", "text").alias("digest"), at("value", "inner", "text").alias("inner_value"), at("value", "inner", "size").alias("inner_size"),
+        at("written", "left", "text").alias("left"), F.col("target").alias("op"), at("written", "right", "text").alias("right"))
+    if language == "python":
+        out = through_imports(out, origins, ["file"], "digest")
+    return out.drop(*one)
 
 
 # --- hits ---------------------------------------------------------------------
@@ -166,7 +216,6 @@ def explode_hits(rows: DataFrame, hits: list[Column], language: str) -> DataFram
 
 # --- literals -----------------------------------------------------------------
 _PY_LITERAL = r"^[bBrRuU]{0,2}(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+')$"
-_JS_LITERAL = r"^(?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+')$"
 
 
 def is_literal(value: Column) -> Column:
@@ -183,14 +232,13 @@ def literal_int(value: Column) -> Column:
     return F.when(value.rlike(r"^\d+$"), value.try_cast("int"))
 
 
-def key_bits(value: Column) -> Column:
-    """Bits of a literal key, or of a random call with a literal byte count."""
-    chars = F.length(F.regexp_replace(literal_text(value), r"\\(?:x[0-9a-fA-F]{2}|.)", "."))
+def key_bits(value: Column, size: Column) -> Column:
+    """Bits of a literal key of a known length, or of a random call with a literal byte count."""
     name = F.regexp_extract(value, r"^([\w.]+)\(", 1)
     drawn = F.when(
         name.isin(fv.PY_RANDOM_BYTE_CALLS),
         F.regexp_extract(value, r"^[\w.]+\(\s*(\d+)\s*[,)]", 1).try_cast("int"))
-    return F.nullif(F.coalesce(chars, drawn), F.lit(0)) * 8
+    return F.nullif(F.coalesce(size, drawn), F.lit(0)) * 8
 
 
 # --- profiles -----------------------------------------------------------------
@@ -362,12 +410,12 @@ def python_findings(sites: DataFrame) -> DataFrame:
         "_cipher": F.when(head.isin("Crypto", "Cryptodome"), F.get(dotted, F.size(dotted) - 2))
         .otherwise(head),
         "_mode": F.nullif(F.regexp_extract(mode_arg, r"^[\w.]*\.MODE_(\w+)$", 1), F.lit("")),
-        "_bits": key_bits(arg0),
-        "_hard": is_literal(arg0) & key_bits(arg0).isNotNull(),
-        "_fixed_iv": is_literal(F.col("iv_value")),
+        "_bits": key_bits(arg0, F.col("arg0_size")),
+        "_hard": F.coalesce(F.col("arg0_size") > 0, F.lit(False)),
+        "_fixed_iv": F.col("iv_size").isNotNull(),
         "_algo": _dotted_head(F.col("arg0")),
         "_algo_mode": F.upper(F.nullif(_dotted_head(mode_arg), F.lit(""))),
-        "_inner_bits": key_bits(F.col("inner_value")),
+        "_inner_bits": key_bits(F.col("inner_value"), F.col("inner_size")),
         "_digest": F.regexp_extract(F.coalesce(
             F.concat(F.lit("hashlib."), F.lower(literal_text(F.col("digest")))), F.col("digest")),
             r"^hashlib\.(md5|sha1)$", 1),
@@ -454,13 +502,9 @@ def detect_python(files: DataFrame) -> DataFrame:
 
 
 # --- JavaScript ---------------------------------------------------------------
-def _js_literal(value: Column) -> Column:
-    return F.when(value.rlike(_JS_LITERAL), F.regexp_replace(value, r"^[\"']|[\"']$", ""))
-
-
-def _js_fixed(value: Column, strings_only: bool) -> Column:
+def _js_fixed(value: Column, size: Column, strings_only: bool) -> Column:
     """A literal, or a buffer made from one."""
-    literal = value.rlike(_JS_LITERAL)
+    literal = size.isNotNull()
     if not strings_only:
         literal = literal | value.rlike(r"^(?:null|true|false|-?\d[\w.]*)$")
     buffered = value.rlike(r"^Buffer\.from\(\s*(?:[\"']|null\b|true\b|false\b|\d)")
@@ -470,7 +514,7 @@ def _js_fixed(value: Column, strings_only: bool) -> Column:
 def javascript_findings(sites: DataFrame) -> DataFrame:
     name, snippet, path = F.col("callee"), F.col("snippet"), F.lower("path")
     options = F.col("arg1_value")
-    rows = sites.withColumn("_arg0", _js_literal(F.col("arg0")))
+    rows = sites.withColumn("_arg0", F.when(F.col("arg0_own_size").isNotNull(), F.regexp_replace("arg0", r"^[\"']|[\"']$", "")))
     rows = rows.withColumn("_parsed", tx.split_cipher(F.col("_arg0")))
     scheme = F.upper(F.coalesce("_arg0", F.lit("")))
     by_rsa = scheme.contains("RSA") | (path.contains("auth") & ~scheme.contains("EC"))
@@ -484,7 +528,7 @@ def javascript_findings(sites: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "_algo": F.col("_parsed.algo"), "_bits": F.col("_parsed.bits"), "_mode": F.col("_parsed.mode"),
         "_hash": F.lower("_arg0"), "_password": _mentions_password(snippet),
-        "_hard": _js_fixed(options, True), "_fixed_iv": _js_fixed(F.col("iv_value"), False),
+        "_hard": _js_fixed(options, F.col("arg1_size"), True), "_fixed_iv": _js_fixed(F.col("iv_value"), F.col("iv_size"), False),
         "_modulus": F.regexp_extract(
             options, r"modulusLength[\"']?\s*:\s*(\d+)", 1).try_cast("int"),
         "_curve": F.coalesce(F.nullif(F.regexp_extract(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.operators.consolidate import exact_dedup
 from saltmarsh.operators.detect_calls import (
-    call_sites, detect_javascript, detect_python,
+    call_sites, code_rows, detect_javascript, detect_python, unread_files,
 )
 from saltmarsh.operators.detect_config import cluster_secret_entries, detect_config, detect_infra
 from saltmarsh.operators.detect_dependencies import detect_dependencies, extract_dependencies
@@ -74,17 +74,6 @@ def _(t: Tables):
         "scan_id", "ecosystem", "library", "version", "line")
 
 
-@query("x15_x18_call_sites", """
-SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES
-  (0, 3, 'hashlib.md5', 'login'), (0, 3, 'password.encode', 'login'), (0, 5, 'hashlib.sha1', 'etag'),
-  (0, 7, 'hashlib.sha256', 'safe'))
-  v(kind, line, callee, function) ON o_orderkey % 24 = kind""")
-def _(t: Tables):
-    files = _of(t, "python").filter(F.col("path").startswith("src/m"))
-    calls = call_sites(files, "python")
-    return calls.select("scan_id", "line", "callee", "function")
-
-
 # (kind, line, callee, function) of every kind of Python file; src/broken does not parse
 _CALLS = [
     *[(0, 3, c, "login") for c in ("hashlib.md5", "password.encode")], (0, 5, "hashlib.sha1", "etag"),
@@ -106,17 +95,67 @@ _CALLS = [
     *[(17, line, c, None) for line in (8, 9) for c in ("hmac.new", "pick")], (17, 12, "random.choice", "inner"),
     (17, 13, "random.sample", "make_token"), (17, 15, "random.seed", None), (17, 17, "len", None),
 ]
-_CALL_ROWS = ", ".join(f"({k}, {line}, '{callee}', " + (f"'{f}')" if f else "NULL)") for k, line, callee, f in _CALLS)
+# the same of every kind of JavaScript file
+_JS_CALLS = [
+    (4, 1, "require", None), *[(4, 3, c, None) for c in ("crypto.createCipheriv", "Buffer.from")],
+    *[(4, 4, c, None) for c in ("crypto.createCipheriv", "load")], *[(4, 5, c, None) for c in ("crypto.createHash", "update", "digest")],
+    (4, 6, "crypto.createSign", None), *[(4, 8, c, "generateResetToken") for c in ("Math.random", "toString")],
+    (5, 1, "CryptoJS.TripleDES.encrypt", None), (5, 2, "CryptoJS.MD5", None), (5, 3, "KJUR.crypto.Signature", None),
+    *[(5, line, "crypto.generateKeyPairSync", None) for line in (4, 7)], *[(5, 8, c, None) for c in ("crypto.createCipheriv", "load")],
+    (18, 1, "crypto.createSign", None), (18, 2, "crypto.createVerify", None), (18, 3, "createVerify", None),
+    (18, 4, "CryptoJS.RC4.encrypt", None), (18, 5, "CryptoJS.DES.encrypt", None),
+    *[(18, 6, c, None) for c in ("CryptoJS.SHA1", "f", "g", "h", "i", "j")], (18, 7, "KJUR.crypto.Signature", None),
+    *[(18, 11, c, None) for c in ("crypto.createHash", "update")], *[(18, 12, c, "makeToken") for c in ("Math.random", "toString")],
+    (18, 14, "Math.random", None),
+]
 
 
-@query("x15_x18_call_sites_of_every_kind", f"""
-SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES {_CALL_ROWS})
-  v(kind, line, callee, function) ON o_orderkey % 24 = kind""")
+def _calls_sql(calls: list[tuple]) -> str:
+    rows = ", ".join(f"({k}, {line}, '{callee}', " + (f"'{f}')" if f else "NULL)") for k, line, callee, f in calls)
+    return f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, callee, function FROM orders JOIN (VALUES {rows})
+  v(kind, line, callee, function) ON o_orderkey % 24 = kind"""
+
+
+@query("x15_x18_call_sites_of_every_kind", _calls_sql(_CALLS))
 def _(t: Tables):
     """The calls of all Python files."""
     return call_sites(_of(t, "python"), "python").select("scan_id", "line", "callee", "function")
 
 
+@query("x15_x18_call_sites", _calls_sql(_JS_CALLS))
+def _(t: Tables):
+    """The calls of all JavaScript files."""
+    return call_sites(_of(t, "javascript"), "javascript").select("scan_id", "line", "callee", "function")
+
+
+@query("x15_unread_files", """
+SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, 'src/broken' || o_orderkey || '.py' AS path, 'SyntaxError' AS reason, 2 AS line
+FROM orders WHERE o_orderkey % 24 = 22""")
+def _(t: Tables):
+    """Python files that do not parse, with the reason."""
+    return unread_files(code_rows(_of(t, "python"), "python")).select("scan_id", "path", "reason", "line")
+
+
+@query("j01_j02_digests_through_imports_and_names", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'hashlib.sha1' WHEN 1 THEN 'hashlib.md5' WHEN 2 THEN '"md5"' ELSE 'other.sha1' END AS digest,
+  CASE p_partkey % 4 WHEN 3 THEN 'other.new' ELSE 'hmac.new' END AS callee, 'sign' || p_partkey AS function FROM part""")
+def _(t: Tables):
+    """A call under an import's other name, its digest through names and imports, the last of them; a JavaScript constant by assignment."""
+    n = F.col("p_partkey").cast("string")
+    digest = F.element_at(F.array(*[F.lit(x) for x in ("D", "h.md5", "'md5'", "D")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    last = F.when(F.col("p_partkey") % 4 == 3, "import other as m, other as h\n").otherwise("")
+    python = F.concat(F.lit("import hashlib as h, hmac as m\nD = E\nE = F = h.sha1\n"), last, F.lit("def sign"), n,
+                      F.lit("(k):\n\tdef inner():\n\t\tpass\n\treturn m.new(k, b'', "), F.replace(digest, F.lit("'"), F.lit('"')), F.lit(")\n"))
+    script = F.concat(F.lit("let d; d = \"md5\";\nfunction sign"), n, F.lit("(k) { (() => 1)(); return hmac.new(k, b, d); }\n"))
+    text = F.when(F.col("p_partkey") % 4 == 2, script).otherwise(python)
+    files = t.part.select(n.alias("scan_id"), F.lit("r").alias("repo_id"), F.lit("a").alias("path"), text.alias("text"), "p_partkey")
+    wanted = r"\.new$"
+    both = call_sites(files.where("p_partkey % 4 <> 2"), "python", wanted).unionByName(
+        call_sites(files.where("p_partkey % 4 = 2"), "javascript", wanted))
+    return both.select(F.col("scan_id").cast("long").alias("p_partkey"), "digest", "callee", "function")
+
+
 @query("x19_cluster_secret_entries", """
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, line, section, key, value FROM orders JOIN (VALUES
   (12, 4, 'data', 'pw', 'c2VjcmV0cHc='), (12, 6, 'stringData', 'tok', 'abcdefg')) v(kind, line, section, key, value)

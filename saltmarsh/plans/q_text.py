@@ -10,7 +10,7 @@ from saltmarsh.functions import severity as sv
 from saltmarsh.functions import text as tx
 from saltmarsh.functions.canonical import decrypt_col, encrypt_columns
 from saltmarsh.operators.detect_calls import (
-    dsa_profile, ecc_profile, rsa_profile, symmetric_profile, with_scope,
+    call_sites, code_rows, constants, dsa_profile, ecc_profile, imports, rsa_profile, symmetric_profile,
 )
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.q_detect import JS_SQL, PY_SQL
@@ -144,30 +144,13 @@ def _(t: Tables):
         p.extension(path).alias("ext"))
 
 
-@query("x16_x17_j01_aliases_and_constants", """
-SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, side, name, target FROM orders JOIN (VALUES
-  (0, 'alias', 'hl', 'hashlib'), (1, 'alias', 'AES', 'AES'), (1, 'alias', 'Old', 'ARC4'),
-  (1, 'constant', 'KEY', 'b"0123456789abcdef"'), (1, 'constant', 'ALIAS', 'KEY'),
-  (1, 'constant', 'iv_fixed', 'b"1234567890123456"')) v(kind, side, name, target) ON o_orderkey % 24 = kind""")
-def _(t: Tables):
-    files = source_files(t).filter(F.col("path").rlike(r"^src/[mc]\d+\.py$"))
-    scoped = with_scope(files, "python")
-    constants = F.filter("constants", lambda c: c["name"].isin("KEY", "ALIAS", "iv_fixed"))
-    both = F.concat(
-        F.transform("aliases", lambda a: F.struct(
-            F.lit("alias").alias("side"), a["local"].alias("name"), a["target"].alias("target"))),
-        F.transform(constants, lambda c: F.struct(
-            F.lit("constant").alias("side"), c["name"].alias("name"), c["value"].alias("target"))))
-    return scoped.select("scan_id", F.explode(both).alias("x")).select("scan_id", "x.*")
-
-
-# (kind, side, name, target) of every kind of Python file; breaks after brackets and commas count as one blank
+# (kind, side, name, target) of every kind of Python file that parses; breaks after brackets and commas count as one blank
 _NAMES = [
     (0, "alias", "hl", "hashlib"), (1, "alias", "AES", "AES"), (1, "alias", "Old", "ARC4"),
     *[(2, "alias", x, x) for x in ("random", "rsa", "ec")], *[(3, "alias", x, x) for x in ("hmac", "hashlib", "Fernet")],
     *[(16, "alias", x, x) for x in ("DES", "DES3", "AES")], (16, "alias", "RC2", "ARC2"), (16, "alias", "RC4", "ARC4"),
     (16, "alias", "BF", "Blowfish"), (16, "alias", "h", "hashlib"),
-    (17, "alias", "rnd", "random"), *[(17, "alias", x, x) for x in ("rsa", "hmac", "hashlib")], (22, "alias", "hashlib", "hashlib"),
+    (17, "alias", "rnd", "random"), *[(17, "alias", x, x) for x in ("rsa", "hmac", "hashlib")], 
     *[(1, "constant", *x) for x in (
         ("KEY", 'b"0123456789abcdef"'), ("ALIAS", "KEY"), ("iv_fixed", 'b"1234567890123456"'),
         ("a", "AES.new(ALIAS, AES.MODE_CBC, iv_fixed)"), ("b", "AES.new(load(), AES.MODE_ECB)"), ("c", "Old.new(load())"),
@@ -189,22 +172,51 @@ _NAMES = [
         ("v", "hmac.new(pick(), body, hashlib.sha256)"), ("ok", "token == a == b"),
         ("fine", "len(token) == {n} and token is None"), ("bad", "token != other"))],
 ]
-_NAME_ROWS = ", ".join(f"({k}, '{side}', '{name}', '" + target.replace("'", "''") + "')" for k, side, name, target in _NAMES)
+# the same of every kind of JavaScript file; white space counts as one blank
+_JS_NAMES = [
+    *[(4, "constant", *x) for x in (
+        ("crypto", "require('crypto')"), ("key", "'abcdefghabcdefgh'"), ("c", "crypto.createCipheriv('aes-256-cbc', key, Buffer.from('0000'))"),
+        ("g", "crypto.createCipheriv('aes-256-gcm', load(), iv)"), ("h", "crypto.createHash('md5').update(password).digest('hex')"),
+        ("s", "crypto.createSign('SHA256')"))],
+    *[(5, "constant", *x) for x in (
+        ("a", "CryptoJS.TripleDES.encrypt(x, y)"), ("b", "CryptoJS.MD5(x)"), ("s", 'new KJUR.crypto.Signature({"alg": "SHA1withRSA"})'),
+        ("p", "crypto.generateKeyPairSync('rsa', { modulusLength: {b} })"), ("q", "crypto.generateKeyPairSync('ec', { namedCurve: 'P-256' })"),
+        ("d", "crypto.createCipheriv('des-ede3-cbc', load(), iv)"))],
+    *[(18, "constant", *x) for x in (
+        ("s", "crypto.createSign('ecdsa-with-SHA256')"), ("v", "crypto.createVerify('RSA-SHA256')"), ("w", "createVerify('EC-SHA{n}')"),
+        ("a", "CryptoJS.RC4.encrypt(x, y)"), ("b", "CryptoJS.DES.encrypt(x, y)"), ("c", "CryptoJS.SHA1(f(g(h(i(j(x))))))"),
+        ("g", 'new KJUR.crypto.Signature({"alg": "MD5withRSA"})'), ("t", '"CryptoJS.MD5(x)"'), ("r", "/CryptoJS.MD5(x)/"), ("ALGO", "'sha1'"),
+        ("h", "crypto.createHash('sha1').update(`${CryptoJS}`)"), ("makeToken", "async (n) => { return Math.random().toString(n); }"),
+        ("plain", "Math.random()"))],
+]
 
 
-@query("x16_x17_j01_names_of_every_kind", f"""
+def _names_sql(names: list[tuple]) -> str:
+    rows = ", ".join(f"({k}, '{side}', '{name}', '" + target.replace("'", "''") + "')" for k, side, name, target in names)
+    return f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, side, name,
   replace(replace(target, '{{n}}', CAST(o_orderkey AS VARCHAR)), '{{b}}', CAST(([{", ".join(map(str, BITS))}])[o_custkey % 4 + 1] AS VARCHAR)) AS target
-FROM orders JOIN (VALUES {_NAME_ROWS}) v(kind, side, name, target) ON o_orderkey % 24 = kind""")
+FROM orders JOIN (VALUES {rows}) v(kind, side, name, target) ON o_orderkey % 24 = kind"""
+
+
+@query("x16_x17_j01_aliases_and_constants", _names_sql(_JS_NAMES))
+def _(t: Tables):
+    """All constants of all JavaScript files."""
+    return _names(t, "javascript")
+
+
+@query("x16_x17_j01_names_of_every_kind", _names_sql(_NAMES))
 def _(t: Tables):
     """All aliases and constants of all Python files."""
-    scoped = with_scope(source_files(t).filter(tx.language_of(F.col("path")) == "python"), "python")
-    both = F.concat(
-        F.transform("aliases", lambda a: F.struct(
-            F.lit("alias").alias("side"), a["local"].alias("name"), a["target"].alias("target"))),
-        F.transform("constants", lambda c: F.struct(
-            F.lit("constant").alias("side"), c["name"].alias("name"), c["value"].alias("target"))))
-    return scoped.select("scan_id", F.explode(both).alias("x")).select("scan_id", "x.*")
+    return _names(t, "python")
+
+
+def _names(t: Tables, language: str):
+    rows = code_rows(source_files(t).filter(tx.language_of(F.col("path")) == language), language)
+    scans = rows.select("file", "scan_id").distinct()
+    aliases = imports(rows).select("file", F.lit("alias").alias("side"), F.col("local").alias("name"), "target")
+    values = constants(rows).select("file", F.lit("constant").alias("side"), "name", F.col("value.text").alias("target"))
+    return aliases.unionByName(values).join(scans, "file").select("scan_id", "side", "name", "target")
 
 
 @query("x20_comparisons", expected([
@@ -213,9 +225,10 @@ def _(t: Tables):
 def _(t: Tables):
     rows = filled(t, code=["if (token === given{n}) {", "if (a.length !== b.length) return", "ok = 'x' == y{n}",
                            "while (req.sig != 0) {}"])
-    pair = F.explode(tx.comparisons_in(F.col("code"), "javascript"))
-    return rows.select("p_partkey", pair.alias("c")).select(
-        "p_partkey", F.col("c.left").alias("left_side"), "c.op", F.col("c.right").alias("right_side"))
+    files = rows.select(
+        F.col("p_partkey").cast("string").alias("scan_id"), F.lit("r").alias("repo_id"), F.lit("a.js").alias("path"), F.col("code").alias("text"))
+    found = call_sites(files, "javascript", "^$", comparisons=True)
+    return found.select(F.col("scan_id").cast("long").alias("p_partkey"), F.col("left").alias("left_side"), "op", F.col("right").alias("right_side"))
 
 
 @query("x21_split_cipher", expected([

@@ -222,39 +222,6 @@ def test_calls_as_a_parser_sees_them(files_df):
         assert {t: sorted(found.get(i, [])) for i, t in enumerate(texts)} == {t: sorted(v) for t, v in cases.items()}
 
 
-def test_extraction_takes_linear_time_and_any_text():
-    import time
-
-    from saltmarsh.functions.code_sites import javascript_sites, python_sites
-
-    many = {python_sites: "v{i} = hashlib.md5(v{i}, K)\n", javascript_sites: "const v{i} = crypto.createHash('md5').update(K{i});\n"}
-    for extract, line in many.items():
-        took = []
-        for n in (4000, 16000):
-            text = "".join(line.replace("{i}", str(i)) for i in range(n))
-            start = time.perf_counter()
-            assert len(extract(text, None, True)) >= n
-            took.append(time.perf_counter() - start)
-        assert took[1] < 12 * took[0]
-        for odd in ("(", "}}}", "`${", "a===", "\"x", "/*", "f(", "=>", "x=>", "function(", "const a =", "a.b.c(", "'\\", "/x", "=>{", "\0"):
-            extract(odd, None, True)
-
-
-def test_prefilters_pass_every_text_that_has_a_site():
-    import re
-
-    from saltmarsh.fixed_values import LINE_RULES
-    from saltmarsh.functions.code_sites import javascript_sites, python_sites
-    from saltmarsh.operators.detect_calls import JS_CALLEE, JS_MAYBE, PYTHON_CALLEE, PYTHON_MAYBE
-
-    assert LINE_RULES
-    for cases, extract, callee, maybe in ((PYTHON_CASES, python_sites, PYTHON_CALLEE, PYTHON_MAYBE),
-                                          (JAVASCRIPT_CASES, javascript_sites, JS_CALLEE, JS_MAYBE)):
-        for text in cases:
-            if extract(text, re.compile(callee), True):
-                assert re.search(maybe, text), text
-
-
 def test_manifest_xml_is_read_as_xml(files_df):
     dep = "<dependency><groupId>org.bouncycastle</groupId><artifactId>bcprov-jdk15on</artifactId><version>1.60</version></dependency>"
     head = '<?xml version="1.0"?>\n<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies>\n'
