@@ -12,6 +12,8 @@ from saltmarsh.session import shared_folder
 from saltmarsh.streaming import ingest
 
 FILES, FILES_PER_TRIGGER = 12, 3
+#: So short that the state of a scan ends between two micro-batches.
+SHORT_MS = 1
 
 
 def _work_dir(t: Tables) -> str:
@@ -42,13 +44,12 @@ _cases = " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in STATUS_OF.items())
 @query("r01_ingest_findings", """
 SELECT CAST(user_id AS VARCHAR) AS scan_id, count(*) AS findings FROM events GROUP BY user_id""")
 def _(t: Tables):
-    """Store every arriving row, fold the batches into one folder, then count what is stored."""
+    """Store every arriving row, then count what is stored."""
     home = _work_dir(t)
     stream = _events(t, home).select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("finding_id"), "ts")
     ingest.ingest_findings(stream, f"{home}/out", f"{home}/log").awaitTermination()
-    ingest.compact(t.spark, f"{home}/out", stream.schema)
-    rows = ingest.stored(t.spark, f"{home}/out", stream.schema)
+    rows = ingest.stored_findings(t.spark, f"{home}/out", stream.schema)
     return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
@@ -63,7 +64,7 @@ def _(t: Tables):
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("finding_id"),
         F.col("ts").cast("timestamp").alias("ts"))
     ingest.ingest_findings(stream, f"{home}/out", f"{home}/log", dedupe_on="finding_id").awaitTermination()
-    rows = ingest.stored(t.spark, f"{home}/out", stream.schema, ingest.first_of("finding_id"))
+    rows = ingest.stored_findings(t.spark, f"{home}/out", stream.schema, ingest.first_of("finding_id"))
     return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"), F.max("ts").cast("timestamp_ntz").alias("newest"))
 
 
@@ -73,28 +74,33 @@ SELECT CAST(user_id AS VARCHAR) AS scan_id,
   arg_max(CASE WHEN event_id % 3 = 0 THEN 'python' ELSE 'js' END, event_id) FILTER (event_id % 2 = 0) AS language
 FROM events GROUP BY user_id""")
 def _(t: Tables):
-    """Later batches may leave repo or language empty; the last known value stays."""
+    """Later batches may leave repo or language empty; the last known value stays in the scan's state, which ends between some batches."""
     home = _work_dir(t)
     stream = _events(t, home).select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("repo_id"),
         F.when(F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 3 == 0, "python").otherwise("js")).alias("language"))
-    ingest.store_batches(stream, f"{home}/out", f"{home}/log", ingest.latch_metadata).awaitTermination()
-    ingest.compact(t.spark, f"{home}/out", ingest.LATCHED, ingest.merge_latched)
-    return ingest.stored(t.spark, f"{home}/out", ingest.LATCHED, ingest.merge_latched).select("scan_id", "repo_id", "language")
+    states = ingest.latch_metadata(stream, idle_ms=SHORT_MS, slack="0 seconds")
+    ingest.store_lives(states, f"{home}/out", f"{home}/log", "scan_id").awaitTermination()
+    return ingest.stored_states(t.spark, f"{home}/out", states.schema, ingest.merge_latched)
 
 
 @query("r02_scan_status", f"""
 SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(CASE event_type {_cases} END, (ts, event_id)) AS status, max(ts) AS since,
   count(*) AS events FROM events GROUP BY user_id""")
 def _(t: Tables):
+    """Out of order over several triggers, the state of finished scans ending at once; the stream stops half way and goes on."""
     home = _work_dir(t)
-    rows = _events(t, home).select(
-        F.col("user_id").cast("string").alias("scan_id"), _status().alias("status"), "ts", "event_id")
-    schema = ingest.scan_status(t.events.select(
-        F.lit("").alias("scan_id"), F.lit("").alias("status"), "ts", "event_id")).schema
-    ingest.store_batches(rows, f"{home}/out", f"{home}/log", ingest.scan_status).awaitTermination()
-    return ingest.stored(t.spark, f"{home}/out", schema, ingest.merge_status).drop("event_id")
+    schema = t.events.schema
+    half = t.events.where("event_id % 2 = 0"), t.events.where("event_id % 2 <> 0")
+    for part in half:
+        part.repartition(FILES // 2, F.xxhash64("event_id")).write.mode("append").parquet(f"{home}/arriving")
+        rows = ingest.replay(t.spark, f"{home}/arriving", schema, FILES_PER_TRIGGER).select(
+            F.col("user_id").cast("string").alias("scan_id"), _status().alias("status"), "ts", "event_id")
+        states = ingest.scan_status(rows, linger_ms=SHORT_MS, slack="0 seconds")
+        ingest.store_lives(states, f"{home}/out", f"{home}/log", "scan_id").awaitTermination()
+    found = ingest.stored_states(t.spark, f"{home}/out", states.schema, ingest.merge_status)
+    return found.withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
 @query("r03_fleet_counters", """
@@ -105,7 +111,6 @@ def _(t: Tables):
     rows = _events(t, home).select(
         "event_type", F.when(F.col("value") > 20, "Critical").otherwise("Low").alias("severity"),
         (F.col("user_id") % 2 == 0).alias("quantum_vulnerable"))
+    ingest.store_counters(rows, f"{home}/out", f"{home}/log", "event_type").awaitTermination()
     schema = "event_type string, findings bigint, critical bigint, quantum bigint"
-    ingest.store_batches(
-        rows, f"{home}/out", f"{home}/log", lambda batch: ingest.fleet_counters(batch, "event_type")).awaitTermination()
-    return ingest.stored(t.spark, f"{home}/out", schema, ingest.merge_counters("event_type"))
+    return ingest.stored_states(t.spark, f"{home}/out", schema)
