@@ -34,7 +34,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeated_lines(table(spark, sf_dir, "documents"))
+    found = find_repeated_lines(table(spark, sf_dir, "documents"), min_exact_words=1)
     return found.select(
         "doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"),
         F.array_join(F.array_sort(F.concat("exact", "near")), ",").alias("removed_lines"))
@@ -45,12 +45,12 @@ WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE
 l AS (SELECT doc_id, i - 1 AS line_no,
              list_filter(regexp_split_to_array(lower(a[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
       FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM s)),
-e AS (SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 5),
+e AS (SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place, w, array_to_string(w, ' ') AS t FROM l WHERE len(w) >= 1),
 d AS (SELECT t, any_value(w) AS w, min(place) AS place FROM e GROUP BY t),
 k AS (SELECT place, md5(i || ':' || array_to_string(list_concat(w[1:i], w[i + 2:]), ' ')) AS k
-      FROM (SELECT place, w, unnest(range(0, len(w))) AS i FROM d)
+      FROM (SELECT place, w, unnest(range(0, len(w))) AS i FROM d WHERE len(w) >= 5)
       UNION ALL
-      SELECT place, md5(i || ':' || t) FROM (SELECT place, t, unnest(range(0, len(w) + 1)) AS i FROM d)),
+      SELECT place, md5(i || ':' || t) FROM (SELECT place, t, unnest(range(0, len(w) + 1)) AS i FROM d WHERE len(w) >= 5)),
 g AS (SELECT k, min(place) AS hub FROM k GROUP BY k),
 near AS (SELECT DISTINCT place FROM k JOIN g USING (k) WHERE place > hub),
 m AS (SELECT e.doc_id, e.line_no, e.place <> d.place AS exact, e.place = d.place AND near.place IS NOT NULL AS near

@@ -28,8 +28,8 @@ def text_key(text):
     return value - 2**64 if value >= 2**63 else value
 
 
-def brute_force(rows, least=5):
-    """Line numbers that go, by (id, text): as repeats, and as near repeats."""
+def brute_force(rows, least=5, exact_least=None):
+    """Line numbers that go, by (id, text): as repeats (of lines of ``exact_least`` words), and as near repeats (of ``least``)."""
     places = sorted({(d is not None, d or 0, text_key(t), i, t, tuple(words(line)))
                      for d, t in rows if t is not None for i, line in enumerate(t.split("\n"))})
     places = [(d if known else None, t, i, w) for known, d, _, i, t, w in places if len(w) >= least]
@@ -37,7 +37,7 @@ def brute_force(rows, least=5):
     for d, t, i, w in places:
         if first.setdefault(w, (d, t, i)) != (d, t, i):
             exact.setdefault((d, t), set()).add(i)
-    order = list(first)
+    order = [w for w in first if len(w) >= least]
     for k, w in enumerate(order):
         if any(near(v, w) for v in order[:k]):
             d, t, i = first[w]
