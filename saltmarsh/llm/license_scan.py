@@ -106,8 +106,8 @@ def scan_licenses(
     template, block, containment) and passages (the same with a window's number in place of a block's), sorted.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; base phrases lower-case A-Z, blocks lower-case all letters. A null or empty text
-    has no words, places, matches or passages; a text of one line has no passages. Rows that share an id share the matches of all of them; repeated rows so have equal
-    results. Ties keep all matches. An empty table gives an empty table.
+    has no words, places, matches or passages; a text of one line has no passages. Rows of one id or none are told apart by a hash of their text; repeated rows
+    have equal results. Ties keep all matches. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "license-scan")
@@ -118,8 +118,9 @@ def scan_licenses(
 
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _NO_WORD, " ")
     blocks = F.transform(F.split("plain", "\n"), lambda line: F.array_intersect(F.split(F.lower(line), " "), vocabulary))
-    rows = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(plain)).alias("plain"))
-            .select("doc_id", F.size(F.array_remove(F.split("plain", "[ \\n]+"), "")).cast("long").alias("n_words"),
+    rows = (docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
+                        F.explode(F.array(plain)).alias("plain"))
+            .select("doc_id", "text_key", F.size(F.array_remove(F.split("plain", "[ \\n]+"), "")).cast("long").alias("n_words"),
                     _base(F.col("plain"), phrases).alias("places"), blocks.alias("blocks"),
                     _windows(F.col("plain"), vocabulary, half).alias("windows")))
     scanned = scratch.write(rows, "scanned")
@@ -142,14 +143,14 @@ def scan_licenses(
             F.lit(windowed).alias("windowed"), i.alias("block"), hits.alias("hits"))), lambda part: F.size(part["hits"]) >= least)
 
     parts = F.explode(F.concat(numbered("blocks", False), numbered("windows", True)))
-    members = (scanned.select("doc_id", parts.alias("part")).select("doc_id", "part.*")
-               .select("doc_id", "windowed", "block", F.transform(F.array_sort(F.transform(
+    members = (scanned.select("doc_id", "text_key", parts.alias("part")).select("doc_id", "text_key", "part.*")
+               .select("doc_id", "text_key", "windowed", "block", F.transform(F.array_sort(F.transform(
                    "hits", lambda w: F.struct(rank_of[w].alias("rank"), w.alias("word")))), lambda x: x["word"]).alias("hits")))
     left_b, left_t = F.size("hits") - F.col("b_place"), F.col("t_size") - F.col("t_place")
-    candidates = (members.select("doc_id", "windowed", "block", "hits", F.posexplode("hits").alias("b_place", "word"))
+    candidates = (members.select("doc_id", "text_key", "windowed", "block", "hits", F.posexplode("hits").alias("b_place", "word"))
                   .join(F.broadcast(prefixes), "word")
                   .where((F.size("hits") >= F.col("need")) & (F.least(left_b, left_t) >= F.col("need")))
-                  .select("doc_id", "windowed", "block", "hits", "template", "label", "t_size", "need", "t_words").distinct())
+                  .select("doc_id", "text_key", "windowed", "block", "hits", "template", "label", "t_size", "need", "t_words").distinct())
     shared = F.size(F.array_intersect("hits", "t_words"))
 
     def found(windowed: bool, place: str) -> Column:
@@ -157,12 +158,13 @@ def scan_licenses(
             "label", "template", F.col("block").alias(place), (shared / F.col("t_size")).alias("containment")))))
 
     matches = (candidates.where(shared >= F.col("need"))
-               .groupBy("doc_id").agg(found(False, "block").alias("matches"), found(True, "window").alias("passages"))
-               .select(F.col("doc_id").alias("in_doc"), "matches", "passages"))
+               .groupBy("doc_id", "text_key").agg(found(False, "block").alias("matches"), found(True, "window").alias("passages"))
+               .select(F.col("doc_id").alias("in_doc"), F.col("text_key").alias("in_text"), "matches", "passages"))
 
     def none(place: str) -> Column:
         return F.array().cast(f"array<struct<label:string,template:int,{place}:int,containment:double>>")
 
-    return (scanned.join(matches, F.col("doc_id").eqNullSafe(F.col("in_doc")), "left")
+    own = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_key") == F.col("in_text"))
+    return (scanned.join(matches, own, "left")
             .select("doc_id", "n_words", "places", F.coalesce("matches", none("block")).alias("matches"),
                     F.coalesce("passages", none("window")).alias("passages")))

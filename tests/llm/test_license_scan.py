@@ -94,3 +94,11 @@ def test_wrapped_notices_are_found(spark, tmp_path):
     rows = {r.doc_id: r for r in queries.QUERIES["op3_license_scan"](spark, str(tmp_path)).collect()}
     for i, label in enumerate(labels):
         assert label in rows[i].labels.split(",") and rows[i].score == 1.0
+
+
+def test_rows_of_one_id_or_none_keep_their_own_labels(spark):
+    rows = [(2, "plain words"), (2, "licensed under the apache license version 2 0"), (None, "released under the mit license"),
+            (None, "nothing"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, sorted({m.label for m in r.matches}), [p.label for p in r.places]) for r in scan_licenses(docs).collect())
+    assert got == [("2", 2, [], []), ("2", 8, ["apache-2"], ["apache-2"]), ("None", 0, [], []), ("None", 1, [], []), ("None", 5, [], ["mit"])]
