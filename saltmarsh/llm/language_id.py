@@ -13,16 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import as_bytes, batch_column, bounded_batches, share, shared
+from saltmarsh.llm.common import Scratch, as_bytes, batch_column, bounded_batches, share, shared
 from saltmarsh.llm.samples import fold
+from saltmarsh.operators.skew import split_join
 
 SIZE = 1 << 14
 CENTROIDS = 4
 ROUNDS = 8
 #: Documents of one language that its centroids are fitted on, about (a share of all, drawn by a hash of the id).
 SAMPLE = 1_200
-#: Languages that are learned at most, the ones with most documents first; the model is that many times the centroids.
-LANGUAGES = 1_000
+#: Languages whose centroids are held at once, about; more are compared shard by shard.
+LANGUAGES = 64
+#: Languages whose sizes are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 #: Share of a language's sample that lies below its rejection bound.
 REJECTED = 0.005
 UNKNOWN = "und"
@@ -89,32 +92,50 @@ def _frequencies(batches):
         [pa.array(places, pa.int32()), pa.array(np.append(total[places[:-1]], n), pa.int64())], names=["place", "n"])
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict:
-    """Inverse document frequencies, centroids with their languages, and rejection bounds.
-
-    Learns from rows with a language outside the held-out fold; frequencies are those of all such rows.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = (docs.where(F.col(lang).isNotNull() & F.coalesce(fold(doc_id, 4) != 2, F.lit(True)))
-            .select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("text")))
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all rows."""
     counts = rows.select("text").mapInArrow(_frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     seen = {r.place: r.n for r in counts.collect()}
     n = seen.pop(-1, 0)
     idf = np.full(SIZE, np.log1p(n) + 1, np.float32)
     for place, count in seen.items():
         idf[place] = np.log((1 + n) / (1 + count)) + 1
+    return idf
+
+
+def training_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows with a language outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
+    return (docs.where(F.col(lang).isNotNull() & F.coalesce(fold(doc_id, 4) != 2, F.lit(True)))
+            .select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("text")))
+
 
-    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    sizes = {r.lang: r["count"] for r in largest.collect()}
+def drawn_rows(rows: DataFrame, languages: int, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` rows of each of the ``languages``, drawn by a hash; copies of a row count once."""
     parts = 1_000_000
-    share_of = F.create_map(*[x for name, size in sizes.items() for x in (
-        F.lit(name), F.lit(min(parts, int(np.ceil(parts * sample / size)))))]) if sizes else None
-    if share_of is None:
-        return {"idf": idf, "centroids": np.zeros((0, SIZE), np.float32), "langs": [], "bounds": np.zeros(0)}
-    # the text takes part, so that rows without an id are drawn one by one; copies of a row count once
-    drawn = (rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < share_of[F.col("lang")])
-             .select("lang", "text").dropDuplicates())
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(parts), F.ceil(F.lit(parts * sample) / F.count("*"))).alias("share"))
+    # the text takes part, so that rows without an id are drawn one by one
+    shares = rows.join(F.broadcast(sizes), "lang") if languages <= BROADCAST_LANGUAGES else split_join(rows, sizes, ["lang"])
+    return (shares.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.col("share"))
+            .select("lang", "text").dropDuplicates())
+
+
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> list[dict]:
+    """One model per shard of languages: inverse document frequencies (of all training rows), centroids with their languages, and
+    rejection bounds. All languages are learned, however many there are; a shard holds about ``LANGUAGES`` of them."""
+    rows = training_rows(docs, doc_id=doc_id, text=text, lang=lang)
+    idf = frequencies(rows)
+    languages = rows.select("lang").distinct().count()
+    drawn = drawn_rows(rows, languages, sample)
+    shards = max(1, -(-languages // LANGUAGES))
+    if shards == 1:
+        return [_fit(drawn, idf)]
+    of = F.pmod(F.xxhash64("lang"), F.lit(shards))
+    return [_fit(drawn.where(of == k), idf) for k in range(shards)]
+
+
+def _fit(drawn: DataFrame, idf: np.ndarray) -> dict:
+    spark = drawn.sparkSession
     weights = share(spark, idf)
 
     def fit_language(frame):
@@ -170,10 +191,26 @@ def identify_languages(
 
     A null text and one without a letter of any script is ``und`` with score 0, as is every text if no row has a language. A row
     without an id is not held out. Of equal cosines the language first by name is taken. Repeated rows are predicted alike; an
-    empty table gives an empty table.
+    empty table gives an empty table. With more than ``LANGUAGES`` languages the texts are compared with one shard of centroids
+    after another and written between, so a task never holds more than one shard.
     """
     spark = docs.sparkSession
-    model = share(spark, train(docs, doc_id=doc_id, text=text, lang=lang, sample=sample))
-    run = batch_column(spark, _worker(model), {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()})
-    return (docs.select(F.col(doc_id).alias("doc_id"), run(as_bytes(text)).alias("made"))
-            .select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "made.*"))
+    models = train(docs, doc_id=doc_id, text=text, lang=lang, sample=sample)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("text"))
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
+    scratch = None
+    for k, model in enumerate(models):
+        run = batch_column(spark, _worker(share(spark, model)), kinds)
+        made = rows.withColumn("made", run(F.col("text")))
+        if k:
+            # the same order as within a shard: larger cosine, then smaller name; a shard without a language for the text is last
+            order = lambda c: F.struct((F.col(f"{c}.lang_pred") != UNKNOWN).alias("known"), F.col(f"{c}.score").alias("score"))
+            tie = (order("made") == order("best")) & (F.col("made.lang_pred") < F.col("best.lang_pred"))
+            made = made.withColumn("best", F.when((order("made") > order("best")) | tie, F.col("made")).otherwise(F.col("best"))).drop("made")
+        else:
+            made = made.withColumnRenamed("made", "best")
+        if k < len(models) - 1:
+            scratch = scratch or Scratch(spark, "language-id")
+            made = scratch.write(made, f"shard{k}")
+        rows = made
+    return rows.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "best.*")

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from saltmarsh.llm import quality_rules
-from saltmarsh.llm.language_id import has_letter, identify_languages
+from saltmarsh.llm import language_id
+from saltmarsh.llm.language_id import CENTROIDS, ROUNDS, SIZE, drawn_rows, has_letter, identify_languages, training_rows
+from saltmarsh.llm.language_id import train as train_languages
 from saltmarsh.llm.quality_model import classify, drop_rejected, score, train
 from saltmarsh.llm.quality_rules import FEATURES, WINDOW, grow, judge, statistics
 
@@ -141,3 +143,78 @@ def test_language_edge_cases(spark):
         assert (r.lang_pred == "und") == (not any(map(str.isalpha, text or "")))
     assert {r.lang_pred for r in identify_languages(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
     assert identify_languages(docs.limit(0)).count() == 0
+
+
+def plain_grams(text):
+    """Damped counts of hashed byte trigrams of the letters, one by one."""
+    letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or b""))
+    letters = b" " + b" ".join(letters.split()) + b" "
+    counts = {}
+    for i in range(len(letters) - 2):
+        code = letters[i] << 16 | letters[i + 1] << 8 | letters[i + 2]
+        place = (code * 2654435761 & 0xFFFFFFFF) >> (32 - (SIZE.bit_length() - 1))
+        counts[place] = counts.get(place, 0) + 1
+    return counts
+
+
+def plain_vector(text, idf):
+    out = np.zeros(SIZE)
+    for place, n in plain_grams(text).items():
+        out[place] = np.log1p(n) * idf[place]
+    length = np.sqrt((out * out).sum())
+    return out / length if length else out
+
+
+def plain_centroids(vectors):
+    chosen = [int(np.argmax(vectors @ vectors.mean(0)))]
+    while len(chosen) < min(CENTROIDS, len(vectors)):
+        chosen.append(int(np.argmin([max(v @ vectors[c] for c in chosen) for v in vectors])))
+    centroids = [vectors[c] for c in chosen]
+    for _ in range(ROUNDS):
+        label = [int(np.argmax([v @ c for c in centroids])) for v in vectors]
+        sums = [sum((v for v, x in zip(vectors, label, strict=True) if x == k), start=np.zeros(SIZE)) if k in label else c for k, c in enumerate(centroids)]
+        centroids = [c / max(np.linalg.norm(c), 1e-12) for c in sums]
+    return centroids
+
+
+def test_languages_equal_the_plain_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode(), r.lang) for r in docs.collect()]
+    known = [r for r in rows if r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    held = {}
+    for _, text, _ in known:
+        for place in plain_grams(text):
+            held[place] = held.get(place, 0) + 1
+    idf = np.array([np.log((1 + len(known)) / (1 + held[p])) + 1 if p in held else np.log1p(len(known)) + 1 for p in range(SIZE)])
+    (model,) = train_languages(docs)
+    assert np.allclose(model["idf"], idf, rtol=1e-5)
+    by_language = {}
+    for r in drawn_rows(training_rows(docs), 4).collect():
+        by_language.setdefault(r.lang, []).append(bytes(r.text))
+    centroids = [(lang, c) for lang, c in zip(model["langs"], model["centroids"], strict=True)]
+    for lang, texts in by_language.items():
+        wanted = plain_centroids(np.array([plain_vector(t, idf) for t in texts]))
+        own = [c for x, c in centroids if x == lang]
+        # the order of the drawn rows may decide where a start ties; the centres found must reach the same cosines
+        reached = [np.mean([max(v @ c for c in some) for v in (plain_vector(t, idf) for t in texts)]) for some in (wanted, own)]
+        assert len(own) == len(wanted) and abs(reached[0] - reached[1]) < 0.02
+    got = {r.doc_id: r for r in identify_languages(docs).collect()}
+    for d, text, _ in rows:
+        if not has_letter(text):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        cosines = [(float(plain_vector(text, idf) @ c), x) for x, c in centroids]
+        best = max(cosines)[0]
+        assert abs(got[d].score - best) < 1e-4 and any(abs(c - best) < 1e-4 and x == got[d].lang_pred for c, x in cosines)
+
+
+def test_shards_of_languages_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r for r in identify_languages(docs).collect()}
+    monkeypatch.setattr(language_id, "LANGUAGES", 1)
+    monkeypatch.setattr(language_id, "BROADCAST_LANGUAGES", 0)
+    assert len(train_languages(docs)) > 1
+    for r in identify_languages(docs).collect():
+        assert (r.lang_pred, r.held_out, r.rejected) == (whole[r.doc_id].lang_pred, whole[r.doc_id].held_out, whole[r.doc_id].rejected)
+        assert abs(r.score - whole[r.doc_id].score) < 1e-6
+    assert identify_languages(docs.limit(0)).count() == 0
