@@ -101,4 +101,4 @@ def test_rows_of_one_id_or_none_keep_their_own_labels(spark):
             (None, "nothing"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((str(r.doc_id), r.n_words, sorted({m.label for m in r.matches}), [p.label for p in r.places]) for r in scan_licenses(docs).collect())
-    assert got == [("2", 2, [], []), ("2", 8, ["apache-2"], ["apache-2"]), ("None", 0, [], []), ("None", 1, [], []), ("None", 5, [], ["mit"])]
+    assert got == [("2", 2, [], []), ("2", 8, ["apache-2"], ["apache-2"]), ("None", 0, [], []), ("None", 1, [], []), ("None", 5, ["mit"], ["mit"])]
