@@ -1,26 +1,34 @@
 """WARC archives: writing captures and assembling transactions from request, response and metadata records.
 
-Both ways go through Spark's text source, so that archives can lie wherever Spark reads and writes. A record is one row
-of text; the two line ends that close a record are the row separator on writing, and on reading they are so
-together with the version line of the next record. A payload that holds that separator is written in base64.
-Payloads never shuffle: digests, places and identifiers do.
+Both ways go through Spark's text source, so that archives can lie wherever Spark reads and writes. On reading, files are cut where a
+record could begin, whatever its 1.x version, and the pieces are put together again until a record has its stated length; so a block
+may hold anything, even whole records. Assembling the slim records of ``captured_payloads`` moves digests, places and identifiers,
+no payloads; ``assemble`` on full records moves what they hold.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import Scratch
+from saltmarsh.llm.common import Scratch, bounded_batches
+from saltmarsh.operators.skew import split_join
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1\r\n"
+#: What every record of this family begins with.
+FAMILY = "WARC/1."
 #: Payloads of fewer bytes are always written as responses.
 LEAST_REVISIT_BYTES = 100
 #: Records of one archive file at most.
 FILE_RECORDS = 60_000
 #: The table of revisits is broadcast if its measured rows are estimated at no more bytes than this.
 BROADCAST_BYTES = 16 << 20
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,14 +102,65 @@ def write_captures(
     scratch.drop("groups")
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from the pieces of files, in their order: a record goes on until it has its stated length.
+
+    Where a file ends before that, its first piece counts as the record, unfinished, and the pieces behind it as records.
+    """
+    between, end, family = (END + FAMILY).encode(), END.encode(), FAMILY.encode()
+
+    def stated(piece: bytes) -> int:
+        head, found, _ = piece.partition(end)
+        length = _LENGTH.search(head)
+        return len(head) + len(end) + int(length.group(1)) if found and length else 0
+
+    def take(pieces: list[bytes], last: bool) -> tuple[list[bytes], list[bytes]]:
+        """Whole records of the pieces held, and the pieces of a record that is not whole yet."""
+        out, k = [], 0
+        while k < len(pieces):
+            need, size, to = stated(pieces[k]), len(pieces[k]), k + 1
+            while size < need and to < len(pieces):
+                size += len(between) + len(pieces[to])
+                to += 1
+            if size < need and not last:
+                return out, pieces[k:]
+            if size < need:
+                to = k + 1
+            out.append(family + between.join(pieces[k:to]))
+            k = to
+        return out, []
+
+    held, file, size, need = [], None, 0, 0
+    for batch in batches:
+        done: list[bytes] = []
+        for piece, name in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), strict=True):
+            if name != file:
+                done += take(held, True)[0]
+                held, file, size, need = [], name, 0, 0
+                piece = piece.removeprefix(family)
+            size += len(piece) + (len(between) if held else 0)
+            need = need if held else stated(piece)
+            held.append(piece)
+            if size >= need:
+                made, held = take(held, False)
+                done += made
+                size = need = 0
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(take(held, True)[0], pa.binary())], names=["value"])
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all archives in ``folder``: type, record_id, target_uri, concurrent_to, refers_to, digest, block and payload
     (binary; of HTTP responses what follows the HTTP header), and complete.
 
-    A field that a record lacks is null. ``complete`` is false for a record that ends before its stated length, as where
-    a foreign archive holds the separator inside a block.
+    A field that a record lacks is null. ``complete`` is false for a record that ends before its stated length, as at the end of a
+    file that was cut off. Versions 1.0 and 1.1 are read, gzipped (in one member or many) or plain. A plain archive that Spark reads in
+    several splits must not hold the beginning of a record inside a block that lies over their border; gzipped ones are read whole.
     """
-    text = spark.read.option("lineSep", END + VERSION).text(folder)
+    bounded_batches(spark)
+    pieces = spark.read.option("lineSep", END + FAMILY).text(folder)
+    pieces = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    text = pieces.mapInArrow(_whole_records, "value binary").select(F.col("value").cast("string").alias("value"))
     head = F.substring_index("value", END, 1)
 
     def field(name: str) -> Column:
@@ -169,13 +228,16 @@ def captured_payloads(
     records = scratch.write(slim, "records")
     if folder is None:
         scratch.drop("archive")
-    captures = assemble(records).select(
+    captures = scratch.write(assemble(records).select(
         F.col("metadata.page_id").alias("page_id"), "response.record_id", "response.type", "response.refers_to",
-        "response.size", "response.digest")
+        "response.size", "response.digest"), "captures")
     first = (captures.where("type = 'response'").groupBy(F.col("record_id").alias("of")).agg(
         F.min("page_id").alias("of_page"), F.min("size").alias("of_size"), F.min("digest").alias("of_digest")))
-    revisits = F.col("type") == "revisit"
-    return (captures.join(first, revisits & (F.col("refers_to") == F.col("of")), "left")
-            .select("page_id", F.when(revisits, F.col("of_size")).otherwise(F.col("size")).alias("payload_bytes"),
-                    F.when(revisits, F.col("of_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-                    F.col("type").alias("record_type"), F.when(revisits, F.col("of_page")).alias("refers_to")))
+    # one response may be what a large share of all captures refers to
+    revisits = split_join(captures.where("type = 'revisit'").withColumn("of", F.col("refers_to")), first, ["of"], "left")
+    own = captures.where("type <> 'revisit'").select(
+        "page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.lit(None).cast(kind).alias("refers_to"))
+    return own.unionByName(revisits.select(
+        "page_id", F.col("of_size").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.col("of_page").alias("refers_to")))

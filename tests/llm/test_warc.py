@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -69,3 +70,36 @@ def test_one_payload_with_a_third_of_all_pages(spark):
     rows = [(i, f"http://h/{i}", "same " * 40 if i % 3 == 0 else f"page {i} " * 20) for i in range(300)]
     got = captured_payloads(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+
+
+def foreign(version, kind, name, block, more="", stated=None):
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: {len(block) if stated is None else stated}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+@pytest.mark.parametrize("gzipped", ["members", "one", None])
+def test_foreign_archives_by_stated_length(spark, tmp_path, version, gzipped):
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\n"
+    inside = foreign("1.0", "response", "inner", b"not a record of this archive")
+    blocks = [b"software: x\r\n", http + b"body \xff\xfe", http + inside * 3, http + b"a\r\n\r\nWARC/1.0\r\nb\r\n\r\nWARC/1.", b"", http + b"last"]
+    records = [foreign(version, "warcinfo" if i == 0 else "response", f"r{i}", b) for i, b in enumerate(blocks)]
+    for copy in ("a", "b"):
+        if gzipped is None:
+            (tmp_path / f"{copy}.warc").write_bytes(b"".join(records))
+        else:
+            parts = records if gzipped == "members" else [b"".join(records)]
+            (tmp_path / f"{copy}.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    got = read_records(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and all(r.complete for r in got)
+    for i, block in enumerate(blocks):
+        for r in (r for r in got if r.record_id == f"<r{i}>"):
+            assert bytes(r.block) == block
+            assert r.payload is None if i == 0 else bytes(r.payload) == block.partition(b"\r\n\r\n")[2]
+
+
+def test_an_archive_cut_off(spark, tmp_path):
+    records = [foreign("1.0", "metadata", "a", b"one"), foreign("1.0", "metadata", "b", b"two", stated=4000), foreign("1.1", "metadata", "c", b"three")]
+    (tmp_path / "x.warc").write_bytes(b"".join(records)[:-2])
+    got = {r.record_id: (bytes(r.block), r.complete) for r in read_records(spark, str(tmp_path)).collect()}
+    assert got["<a>"] == (b"one", True) and got["<b>"] == (b"two", False) and got["<c>"][0] == b"three"
