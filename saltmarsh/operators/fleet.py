@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
+from saltmarsh.sources.keyed import rewrite
 
 
 def latest_scans(scans: DataFrame) -> DataFrame:
@@ -191,6 +192,11 @@ def resolve(findings: DataFrame, ids: DataFrame) -> DataFrame:
         "status", F.when(F.col("_done"), "RESOLVED").otherwise(F.col("status"))).drop("_done")
 
 
+def resolve_stored(spark: SparkSession, path: str, schema, ids: DataFrame) -> None:
+    """Mark findings of a stored table, partitioned by scan, RESOLVED (P45); scans without a change keep their files."""
+    rewrite(spark, path, schema, ["scan_id"], ids, lambda found: resolve(found, ids))
+
+
 def with_parents(findings: DataFrame, scans: DataFrame, repos: DataFrame) -> DataFrame:
     """Findings with their scan and repository; orphans disappear."""
     return findings.join(scans, "scan_id").join(repos, "repo_id")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions.canonical import (
-    clean_root, content_hash, is_hex_digest,
+    canonical_json, clean_root, content_hash, is_hex_digest,
 )
 from saltmarsh.operators.ranking import with_position
 from saltmarsh.session import durable
+from saltmarsh.sources.keyed import read_stored
 
 # Leaves folded in one task step: 2**10 digests are 64 KB, and a tree of 2**30 leaves needs
 # three shuffles instead of thirty.
@@ -416,3 +419,78 @@ def verify_chain(
     ).drop("_hash", "_before")
 
 
+def chain_heads(log: DataFrame, order: Sequence[str] = ("created_at", "id"), chain: Sequence[str] = ()) -> DataFrame:
+    """The last entry hash of each chain of a log."""
+    return log.groupBy(*chain).agg(F.max_by("entry_hash", F.struct(*order)).alias("entry_hash"))
+
+
+def append_entries(
+    heads: DataFrame, entries: DataFrame, columns: list[str], order: Sequence[str] = ("created_at", "id"), chain: Sequence[str] = (),
+) -> DataFrame:
+    """``entries`` with ``previous_hash`` and ``entry_hash``, each chain going on from its head.
+
+    ``columns`` are those that an entry's hash covers, ``previous_hash`` among them; ``heads`` is what ``chain_heads`` gives for the log so
+    far (no rows for an empty one). Entries of a chain are taken in ``order``, which tells all of them apart. A chain is followed
+    entry by entry, as every hash needs the one before; chains run beside one another, and a task holds one batch of rows and one hash,
+    however long its chains are. With no ``chain`` all entries are one chain and one task's work.
+
+    Null chain values form a chain of their own. No entries give no rows.
+    """
+    chain = list(chain)
+    spark = entries.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    kept = [c for c in entries.columns if c not in ("previous_hash", "entry_hash")]
+    before, after = ([c for c in columns if c < "previous_hash"], [c for c in columns if c > "previous_hash"])
+
+    def inner(names: list[str]) -> Column:
+        text = canonical_json(entries, names)
+        return F.substring(text, 2, F.length(text) - 2) if names else F.lit("")
+
+    # the canonical text of an entry around its previous hash
+    head = F.concat(F.lit("{"), inner(before), F.lit("," if before else ""), F.lit('"previous_hash":'))
+    tail = F.concat(F.lit("," if after else ""), inner(after), F.lit("}"))
+    key = F.to_json(F.struct(*[F.col(c) for c in chain]), {"ignoreNullFields": "false"}) if chain else F.lit("")
+    new = entries.select(key.alias("_chain"), F.lit(True).alias("_new"), F.lit(None).cast("string").alias("_hash"), head.alias("_head"), tail.alias("_tail"), *kept)
+    asked = new.select("_chain").distinct()
+    old = heads.select(key.alias("_chain"), F.lit(False).alias("_new"), F.col("entry_hash").alias("_hash")).join(asked, "_chain", "left_semi")
+    rows = old.unionByName(new, allowMissingColumns=True)
+    dealt = (rows.repartition("_chain") if chain else rows.coalesce(1)).sortWithinPartitions("_chain", "_new", *order)
+    given = entries.select(*kept).schema
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = last = None
+        for batch in batches:
+            hashes: list[tuple[str | None, str]] = []
+            places = []
+            for i, (name, is_new, known, left, right) in enumerate(zip(
+                    *[batch.column(c).to_pylist() for c in ("_chain", "_new", "_hash", "_head", "_tail")], strict=True)):
+                if name != at:
+                    at, last = name, None
+                if not is_new:
+                    last = known
+                    continue
+                said = "null" if last is None else f'"{last}"'
+                digest = hashlib.sha256(f"{left}{said}{right}".encode()).hexdigest()
+                hashes.append((last, digest))
+                places.append(i)
+                last = digest
+            own = batch.take(pa.array(places, pa.int64())).select(kept)
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array([h[0] for h in hashes], pa.string()), pa.array([h[1] for h in hashes], pa.string())],
+                names=[*kept, "previous_hash", "entry_hash"])
+
+    return dealt.mapInArrow(follow, given.add("previous_hash", "string").add("entry_hash", "string"))
+
+
+def append_audit_log(
+    spark: SparkSession, path: str, entries: DataFrame, columns: list[str], order: Sequence[str] = ("created_at", "id"),
+    chain: Sequence[str] = (), id: str = "id",
+) -> None:
+    """Append ``entries`` to the log stored at ``path``. Entries whose ``id`` the log holds already are left out, so a repeated call adds nothing."""
+    kept = [c for c in entries.columns if c not in ("previous_hash", "entry_hash")]
+    schema = entries.select(*kept).schema.add("previous_hash", "string").add("entry_hash", "string")
+    log = read_stored(spark, path, schema)
+    fresh = entries.select(*kept).join(log.select(id), id, "left_anti").select(*kept)
+    new = append_entries(chain_heads(log, order, chain), fresh, columns, order, chain)
+    # written from a durable copy: a task that runs again must not meet a log that has grown
+    durable(new).write.mode("append").parquet(path)

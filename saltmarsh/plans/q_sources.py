@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.operators import fleet
 from saltmarsh.plans.catalog import Tables, query
-from saltmarsh.plans.facts import finding_facts
+from saltmarsh.plans.facts import finding_facts, with_ctes
 from saltmarsh.session import shared_folder
 from saltmarsh.sources import tables, tree
 from saltmarsh.sources.corpus import read_corpus, read_ignore_rules
+from saltmarsh.sources.keyed import upsert_stored
 
 
 def _new_folder(t: Tables, name: str) -> str:
@@ -92,6 +94,51 @@ def _(t: Tables) -> DataFrame:
     return stored.groupBy("scan_id").agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("rule_id").alias("rules"))
 
 
+def _numbered_findings(t: Tables) -> DataFrame:
+    """Findings of sixteen scans, their ids made unique again."""
+    found = finding_facts(t).select("scan_id", "finding_id", "severity", "status", "rule_id")
+    return found.select(
+        F.concat(F.lit("s"), F.pmod(F.col("scan_id").cast("long"), F.lit(16))).alias("scan_id"),
+        F.concat_ws("-", "scan_id", "finding_id").alias("finding_id"), "severity", "status", "rule_id")
+
+
+@query("s10_findings_replaced", """
+SELECT concat('s', l_orderkey % 16) AS scan_id, count(*) AS stored FROM lineitem GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    """All scans are stored, then some of them again: these replace what they had stored."""
+    out = _new_folder(t, "findings")
+    rows = _numbered_findings(t)
+    for part in (rows, rows.where("scan_id in ('s1', 's2', 's15')")):
+        tables.replace_findings(part, out)
+    return t.spark.read.schema(rows.schema).parquet(out).groupBy("scan_id").agg(F.count(F.lit(1)).alias("stored"))
+
+
+@query("p45_resolve_stored", with_ctes(["facts"], """
+SELECT concat('s', CAST(scan_id AS BIGINT) % 16) AS scan_id, concat(scan_id, '-', finding_id) AS finding_id,
+  CASE WHEN severity = 'Low' AND CAST(scan_id AS BIGINT) % 16 < 4 THEN 'RESOLVED' ELSE status END AS status FROM facts f"""))
+def _(t: Tables) -> DataFrame:
+    """Findings of four scans are marked in the stored table, twice; the other scans are not touched."""
+    out = _new_folder(t, "findings")
+    rows = _numbered_findings(t)
+    tables.replace_findings(rows, out)
+    ids = rows.where("severity = 'Low' AND scan_id IN ('s0', 's1', 's2', 's3')").select("scan_id", "finding_id")
+    for _ in range(2):
+        fleet.resolve_stored(t.spark, out, rows.schema, ids)
+    return t.spark.read.schema(rows.schema).parquet(out).select("scan_id", "finding_id", "status")
+
+
+@query("j17_upsert_stored", """
+SELECT o_custkey AS repo_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS scan_id, max(o_orderdate) AS updated_at
+FROM orders GROUP BY o_custkey""")
+def _(t: Tables) -> DataFrame:
+    """Summaries arrive in three batches out of order, one of them twice; the stored table holds the last of each repository."""
+    out = _new_folder(t, "summaries")
+    rows = t.orders.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("scan_id"), F.col("o_orderdate").alias("updated_at"))
+    for k in (1, 0, 2, 0):
+        upsert_stored(t.spark, out, rows.schema, rows.where(f"scan_id % 3 = {k}"), ["repo_id"], ["updated_at", "scan_id"], buckets=8)
+    return t.spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+
+
 @query("s11_report_read_back", """
 SELECT concat('s', l_orderkey % 16) AS scan_id, count(*) AS findings,
   count(*) FILTER (floor(l_quantity / 10) IN (4, 5)) AS critical, sum(floor(l_linenumber / 2)) AS lines

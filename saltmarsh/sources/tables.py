@@ -9,6 +9,7 @@ from saltmarsh.functions import predicates as p
 from saltmarsh.functions.severity import quantum_status, stored_key_size
 from saltmarsh.operators.consolidate import summarize
 from saltmarsh.schemas import SOURCE_FINDINGS
+from saltmarsh.sources.keyed import replace_partitions
 
 
 # --- in -----------------------------------------------------------------------
@@ -137,6 +138,11 @@ def write_findings(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("scan_id").mode("append").parquet(path)
 
 
+def replace_findings(rows: DataFrame, path: str) -> None:
+    """Store the findings of scans in place of what these scans had stored before, so a scan that runs again stores once."""
+    replace_partitions(rows, path, ["scan_id"])
+
+
 def write_report(findings: DataFrame, path: str) -> None:
     """Findings and their summary as JSON lines in two folders."""
     findings.drop("emit_seq").write.mode("overwrite").json(f"{path}/findings")
