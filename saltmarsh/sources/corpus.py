@@ -52,7 +52,7 @@ def read_ignore_rules(
     listed = tree.list_files(roots.select("root").distinct(), [] if pruned is None else pruned).filter(
         p.basename(F.col("path")) == name)
     chosen = listed.groupBy("root").agg(
-        F.min(F.struct(F.size(F.split("path", "/")).alias("depth"), "path")).alias("at")).select("root", "at.path")
+        F.min(F.struct(F.size(F.split("path", "/")).alias("depth"), "path", "raw")).alias("at")).select("root", "at.path", "at.raw")
     lines = to_lines(tree.read_files(chosen)).select("root", F.col("line").alias("seq"), F.col("raw").alias("line"))
     return parse_suppressions(roots.select("scan_id", "root").join(lines, "root").drop("root"))
 

@@ -1,8 +1,12 @@
 """A folder tree as a table of files, whatever the names in it.
 
 Spark's own file sources leave out every name that begins with a dot or an underscore, and with them ``.env`` files,
-``__init__.py`` and ignore files. Here the folders are rows: each is listed by the task that holds it, the files found
-are spread over tasks again, and their contents are read there. The driver sees folder names of the first levels only.
+``__init__.py`` and ignore files. Here the folders are rows. A round lists the folders that are open, each task a bounded number of
+them, and writes what it found; folders that are still open are dealt out anew in the next round, until none is left. So a chain of folders costs
+few rounds, and a wide end of it is spread over all tasks however deep it lies. The files found are spread again and read there.
+
+What cannot be listed or read becomes a row with the reason, and the rest goes on. Names that are no UTF-8 are kept as bytes beside a
+readable form. The driver sees the number of open folders of a round and nothing else.
 """
 
 from __future__ import annotations
@@ -15,88 +19,125 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltmarsh.session import durable
+
 # Functions of this module run on executors, which need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of contents that one Arrow batch of a task holds; a larger file is a batch of its own.
 BATCH_BYTES = 8 << 20
-#: Folder levels that are listed one by one, so that a single root is soon spread over all tasks.
-SPREAD_LEVELS = 2
+#: Folders that a task lists in one round at most, before what is still open is dealt out again.
+FOLDERS_A_ROUND = 256
 
-ENTRY = "root string, path string, is_folder boolean, size bigint"
+FILE, FOLDER, UNREAD = "file", "folder", "unread"
+#: ``raw`` is the path as the file system has it, ``path`` the same as text.
+ENTRY = "root string, path string, raw binary, kind string, size bigint, reason string"
 
 
-def _list(root: str, path: str) -> list[tuple[str, bool, int]]:
-    """Names in one folder of the tree: (path below the root, is a folder, size). Links to folders are not followed."""
+def _system(root: str):
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-    base = base.rstrip("/")
-    folder = f"{base}/{path}" if path else base or "/"
-    if isinstance(system, fs.LocalFileSystem):
-        import os
+    return system, base.rstrip("/"), isinstance(system, fs.LocalFileSystem)
 
-        with os.scandir(folder) as entries:
-            found = [(e.name, e.is_dir(follow_symlinks=False), e.stat().st_size if e.is_file() else -1) for e in entries]
-        return [(f"{path}/{name}" if path else name, folder_, size) for name, folder_, size in found if folder_ or size >= 0]
-    listed = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    return [(x.path[len(base) :].lstrip("/"), x.type == fs.FileType.Directory, x.size or 0)
-            for x in listed if x.type in (fs.FileType.Directory, fs.FileType.File)]
 
+def _reason(e: OSError) -> str:
+    return f"{type(e).__name__}: {e.strerror or e}"
 
-def _lister(pruned: list[str], whole: bool):
-    """Lists folders one level down, or whole trees; files pass through."""
-    skip = set(pruned)
+
+def _list(root: str, raw: bytes) -> list[tuple[bytes, str, int, str | None]]:
+    """Entries of one folder of the tree: (path below the root, kind, size, reason). Links to folders are not followed."""
+    import os
+
+    from pyarrow import fs
+
+    system, base, local = _system(root)
+    path = os.fsdecode(raw)
+    folder = f"{base}/{path}" if path else base or "/"
+    below = lambda name: os.fsencode(f"{path}/{name}" if path else name)
+    try:
+        if not local:
+            listed = system.get_file_info(fs.FileSelector(folder))
+            kinds = {fs.FileType.Directory: FOLDER, fs.FileType.File: FILE}
+            return [(x.path[len(base) :].lstrip("/").encode(), kinds[x.type], x.size or 0, None) for x in listed if x.type in kinds]
+        with os.scandir(folder) as listed:
+            entries = list(listed)
+    except OSError as e:
+        if not path:
+            raise
+        return [(raw, UNREAD, 0, _reason(e))]
+    out = []
+    for e in entries:
+        try:
+            if e.is_dir(follow_symlinks=False):
+                out.append((below(e.name), FOLDER, 0, None))
+            elif e.is_file():
+                out.append((below(e.name), FILE, e.stat().st_size, None))
+            elif e.is_symlink() and not os.path.exists(e.path):
+                out.append((below(e.name), UNREAD, 0, "a link that leads nowhere"))
+        except OSError as error:
+            out.append((below(e.name), UNREAD, 0, _reason(error)))
+    return out
+
+
+def _lister(pruned: list[str], most: int):
+    """Lists the folders given and those found in them, ``most`` in all; folders left open stay rows."""
+    import os
+    from collections import deque
+
+    skip = {os.fsencode(name) for name in pruned}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
-                 pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64())], names=["root", "path", "is_folder", "size"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                              names=["root", "path", "raw", "kind", "size", "reason"])
 
+        rows, todo, listed = [], deque(), 0
         for given in batches:
-            rows = []
-            for row in given.to_pylist():
-                if not row["is_folder"]:
-                    rows.append((row["root"], row["path"], False, row["size"]))
+            todo.extend(zip(given.column("root").to_pylist(), given.column("raw").to_pylist(), strict=True))
+        while todo and listed < most:
+            root, folder = todo.popleft()
+            listed += 1
+            for raw, kind, size, reason in _list(root, folder):
+                if kind == FOLDER:
+                    if raw.rpartition(b"/")[2] not in skip:
+                        todo.append((root, raw))
                     continue
-                todo = [row["path"]]
-                while todo:
-                    for path, is_folder, size in _list(row["root"], todo.pop()):
-                        if is_folder and path.rpartition("/")[2] in skip:
-                            continue
-                        if is_folder and whole:
-                            todo.append(path)
-                        else:
-                            rows.append((row["root"], path, is_folder, size))
-                    if len(rows) >= 10_000:
-                        yield batch(rows)
-                        rows = []
-            yield batch(rows)
+                rows.append((root, raw.decode("utf-8", "replace"), raw, kind, size, reason))
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+        rows += [(root, raw.decode("utf-8", "replace"), raw, FOLDER, 0, None) for root, raw in todo]
+        yield batch(rows)
 
     return run
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of files as text; malformed bytes become replacement marks, a file that is gone is left out."""
-    from pyarrow import fs
+    """Contents of files as text; malformed bytes become replacement marks, a file that cannot be read gives the reason."""
+    import os
 
     def batch(rows):
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["root", "path", "text"])
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["root", "path", "text", "reason"])
 
     rows, held = [], 0
     for given in batches:
-        for root, path in zip(given.column("root").to_pylist(), given.column("path").to_pylist(), strict=True):
-            system, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (
-                fs.LocalFileSystem(), root)
+        for root, path, raw in zip(*[given.column(c).to_pylist() for c in ("root", "path", "raw")], strict=True):
+            system, base, local = _system(root)
             try:
-                with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                    data = stream.read()
-            except (FileNotFoundError, PermissionError):
+                if local:
+                    with open(os.fsencode(base) + b"/" + raw, "rb") as stream:
+                        data = stream.read()
+                else:
+                    with system.open_input_stream(f"{base}/{raw.decode()}") as stream:
+                        data = stream.read()
+            except OSError as e:
+                rows.append((root, path, None, _reason(e)))
                 continue
-            rows.append((root, path, data.decode("utf-8", "replace")))
+            rows.append((root, path, data.decode("utf-8", "replace"), None))
             held += len(data)
             if held >= BATCH_BYTES:
                 yield batch(rows)
@@ -104,20 +145,45 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(rows)
 
 
-def list_files(roots: DataFrame, pruned: list[str]) -> DataFrame:
-    """Every file below the folders in ``roots`` (a column ``root``): root, path (below the root) and size.
+def list_entries(roots: DataFrame, pruned: list[str]) -> DataFrame:
+    """Every file below the folders in ``roots`` (a column ``root``), and every entry that could not be listed, as ``ENTRY``.
 
-    Folders named in ``pruned`` are not entered. An empty folder, and one without files, gives no row.
+    Folders named in ``pruned`` are not entered. An empty folder, and one without files, gives no row. A root that is not there is
+    an error.
     """
-    found = roots.select("root", F.lit("").alias("path"), F.lit(True).alias("is_folder"), F.lit(0).cast("bigint").alias("size"))
-    for level in range(SPREAD_LEVELS + 1):
-        found = found.repartition("root", "path").mapInArrow(_lister(pruned, level == SPREAD_LEVELS), ENTRY)
-    return found.where("not is_folder").select("root", "path", "size")
+    still = roots.select("root", F.lit("").alias("path"), F.lit(b"").alias("raw"), F.lit(FOLDER).alias("kind"),
+                         F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("reason"))
+    found = None
+    while True:
+        listed = durable(still.repartition("root", "raw").mapInArrow(_lister(pruned, FOLDERS_A_ROUND), ENTRY))
+        entries = listed.where(F.col("kind") != FOLDER)
+        found = entries if found is None else found.unionAll(entries)
+        still = listed.where(F.col("kind") == FOLDER)
+        if still.isEmpty():
+            return found
+
+
+def list_files(roots: DataFrame, pruned: list[str]) -> DataFrame:
+    """Every file below the folders in ``roots``: root, path (below the root), raw and size. See ``list_entries``."""
+    return list_entries(roots, pruned).where(F.col("kind") == FILE).select("root", "path", "raw", "size")
+
+
+def read_entries(files: DataFrame) -> DataFrame:
+    """Listed files as root, path, text and reason: the text is null where there is a reason why it could not be read."""
+    return files.select("root", "path", "raw").repartition("root", "raw").mapInArrow(
+        _reader, "root string, path string, text string, reason string")
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """The texts of listed files: root, path, text. Files are spread over tasks by their names."""
-    return files.select("root", "path").repartition("root", "path").mapInArrow(_reader, "root string, path string, text string")
+    """The texts of listed files: root, path, text. Files are spread over tasks by their names; those that cannot be read are left out."""
+    return read_entries(files).where("reason IS NULL").drop("reason")
+
+
+def unread_entries(roots: DataFrame, pruned: list[str]) -> DataFrame:
+    """What lies below the folders in ``roots`` and could not be listed or read: root, path, reason. Reads every file."""
+    entries = durable(list_entries(roots, pruned))
+    unlisted = entries.where(F.col("kind") == UNREAD).select("root", "path", "reason")
+    return unlisted.unionAll(read_entries(entries.where(F.col("kind") == FILE)).where("reason IS NOT NULL").drop("text").select("root", "path", "reason"))
 
 
 def tree_of(spark: SparkSession, root: str, pruned: list[str]) -> DataFrame:
