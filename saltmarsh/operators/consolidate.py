@@ -11,6 +11,7 @@ from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions.severity import fingerprint, layer_token, lookup, sev_name, sev_rank
 from saltmarsh.operators.ranking import with_position
+from saltmarsh.operators.skew import split_join
 
 SITE = ["scan_id", "path", "line"]
 KEY = [*SITE, "rule_id"]
@@ -138,9 +139,7 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
     met = wants.join(
         words.select("scan_id", "algorithm_name").distinct(), ["scan_id", "algorithm_name"]
     )
-    met_rules = met.select(
-        "scan_id", "rule_id", "algorithm", F.lit(True).alias("_met")
-    ).distinct()
+    met_rules = met.select("scan_id", "rule_id", "algorithm").distinct()
     met_names = met.select("scan_id", "algorithm_name").distinct()
 
     # names that contain a met algorithm are corroborated with it
@@ -156,18 +155,16 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
         "scan_id", "label",
         F.explode(F.array_distinct(F.concat(
             F.array("label"), _label_parts(F.col("label"), r"[/\-\s]+")))).alias("name"),
-    ).join(corroborated, ["scan_id", "name"], "left_semi").select(
-        "scan_id", "label", F.lit(True).alias("_used")
-    ).distinct()
-
-    out = (
-        findings.withColumn("label", label)
-        .join(met_rules, ["scan_id", "rule_id", "algorithm"], "left")
-        .join(labels, ["scan_id", "label"], "left")
-    )
-    confirmed = F.when(manifest, F.col("_met")).otherwise(F.col("_used"))
+    ).join(corroborated, ["scan_id", "name"], "left_semi").select("scan_id", "label").distinct()
+
+    # decided once per distinct (scan, side, rule, algorithm); the findings meet the decisions in one join
+    asked = findings.select("scan_id", "rule_id", "algorithm", manifest.alias("_manifest"), label.alias("label")).distinct()
+    confirmed = asked.where("_manifest").join(met_rules, ["scan_id", "rule_id", "algorithm"], "left_semi").unionByName(
+        asked.where("NOT _manifest").join(labels, ["scan_id", "label"], "left_semi"))
+    key = ["scan_id", "rule_id", "algorithm", "_manifest"]
+    out = split_join(findings.withColumn("_manifest", manifest), confirmed.select(*key, F.lit(True).alias("_confirmed")), key, "left")
     return out.withColumn(
-        "confidence", F.when(confirmed, "Confirmed").otherwise(F.col("confidence"))
+        "confidence", F.when(F.col("_confirmed"), "Confirmed").otherwise(F.col("confidence"))
     ).select(*findings.columns)
 
 
@@ -220,8 +217,7 @@ def apply_suppressions(
 
     Both sides meet on exact keys. A rule path matches any file with the same base name
     (``strict_paths`` asks for the whole trailing path). Rules may carry a scan_id; then they
-    apply to that scan only. No size of the rule table is assumed: Spark broadcasts it when
-    its statistics allow that and merges otherwise.
+    apply to that scan only. No size of the rule table is assumed, and keys that a large share of the findings has are dealt over tasks.
     """
     scoped = "scan_id" in rules.columns
     on = ["scan_id", "_key"] if scoped else ["_key"]
@@ -250,12 +246,11 @@ def apply_suppressions(
         *scope, F.get("_k", F.lit(2)).alias("_place")).distinct()
     by_place = (
         with_print.select(*KEY, "algorithm", "fingerprint", F.explode(_places(strict_paths)).alias("_place"))
-        .join(at_place, [*scope, "_place"], "left_semi")
-        .select(*KEY, F.explode(_place_keys()).alias("_key"))
     )
+    by_place = split_join(by_place, at_place, [*scope, "_place"], "left_semi").select(*KEY, F.explode(_place_keys()).alias("_key"))
     by_print = with_print.select(*KEY, F.concat_ws(_SEP, F.lit("F"), F.col("fingerprint")).alias("_key"))
     hits = (
-        by_place.unionByName(by_print).join(keyed, on)
+        split_join(by_place.unionByName(by_print), keyed, on)
         .groupBy(*KEY).agg(F.min_by("_rule", "_seq").alias("_own"), F.min("_seq").alias("_own_seq"))
     )
     rel = p.normalize_path(F.col("path"))
@@ -273,15 +268,17 @@ def apply_suppressions(
         .otherwise(F.concat(by_rule, F.lit(" on "), rel))
     )
     keep = [c for c in with_print.columns if c not in ("suppressed", "suppression_reason")]
+    # few rules and algorithms, and one of them may be named by a large share of all findings
+    of = F.to_json(F.struct(*pair), {"ignoreNullFields": "false"}).alias("_pair")
+    flagged = split_join(
+        with_print.select(*keep, of).join(hits, KEY, "left"), named.select(of, "_named", "_named_seq"), ["_pair"], "left")
     return (
-        with_print.select(*keep).join(hits, KEY, "left").join(
-            named.select(*[F.col(c).alias(f"_of_{c}") for c in pair], "_named", "_named_seq"),
-            [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in pair], "left")
+        flagged
         .withColumn("_rule", F.when(
             F.col("_own").isNull() | (F.col("_named_seq") < F.col("_own_seq")), F.col("_named")).otherwise(F.col("_own")))
         .withColumn("suppressed", r.isNotNull())
         .withColumn("suppression_reason", F.when(r.isNotNull(), reason).otherwise(""))
-        .drop("_rule", "_own", "_own_seq", "_named", "_named_seq", *[f"_of_{c}" for c in pair])
+        .drop("_rule", "_own", "_own_seq", "_named", "_named_seq", "_pair")
     )
 
 

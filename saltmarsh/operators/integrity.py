@@ -14,6 +14,7 @@ from saltmarsh.functions.canonical import (
     canonical_json, clean_root, content_hash, is_hex_digest,
 )
 from saltmarsh.operators.ranking import with_position
+from saltmarsh.operators.skew import split_join
 from saltmarsh.session import durable
 from saltmarsh.sources.keyed import read_stored
 
@@ -55,7 +56,7 @@ def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int) ->
     """
     runs = nodes.groupBy(*group, F.shiftright("pos", bits).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("_run"))
-    runs = runs.join(sizes, group)
+    runs = split_join(runs, sizes, group)
     start = F.struct(
         F.array(F.transform("_run", lambda x: x["hash"])).alias("levels"),
         F.col("size").cast("long").alias("left"))
@@ -262,7 +263,7 @@ def audit_batch(
     leaves = durable(_batch_leaves(entries, batch))
     own = merkle_proofs(leaves, batch).select(
         *batch, "pos", F.col("root").alias("recomputed_root"), F.col("proof").alias("_own"))
-    rows = leaves.join(own, [*batch, "pos"]).join(anchors, batch, "left")
+    rows = split_join(leaves.join(own, [*batch, "pos"]), anchors, batch, "left")
     given = F.col("proof") if "proof" in entries.columns else F.lit(None)
     proof = F.coalesce(given, F.col("_own")) if "proof" in entries.columns else F.col("_own")
     recorded = clean_root(F.col("recorded_root"))

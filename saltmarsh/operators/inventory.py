@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions.severity import bom_ref, sev_name, sev_rank, sev_weight
 from saltmarsh.operators.ranking import with_position
+from saltmarsh.operators.skew import heavy_keys, split_join
 
 OCC_FIELDS = ["file", "line", "finding_id", "usage", "severity", "quantum_status", "recommendation"]
 
@@ -203,14 +204,15 @@ def _occurrence_moves(occ: DataFrame, pairs: DataFrame, keyed: DataFrame, full_k
     counted = occ.groupBy("scan_id", ref.alias("ref"), *same, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
     # only the occurrences of the component that represents its reference take part
     own = keyed.select(F.col("scan_id").alias("_s"), F.col("ref").alias("_ref"), *[F.col(f"c.{c}").alias(f"_{c}") for c in same])
-    counted = counted.join(
-        own, [F.col("scan_id") == F.col("_s"), F.col("ref") == F.col("_ref"),
-              *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]]
-    ).select("scan_id", "ref", "place", "n")
-    now = counted.join(pairs.select("scan_id", "pair"), "scan_id").select(
+    # a scan or a component with a large share of all places is dealt over tasks
+    is_own = F.struct(*same).eqNullSafe(F.struct(*[f"_{c}" for c in same]))
+    counted = split_join(counted, own.withColumnsRenamed({"_s": "scan_id", "_ref": "ref"}), ["scan_id", "ref"]).where(is_own).select(
+        "scan_id", "ref", "place", "n")
+    heavy = heavy_keys(counted, ["scan_id"])
+    now = split_join(counted, pairs.select("scan_id", "pair"), ["scan_id"], heavy=heavy).select(
         "pair", "ref", "place", F.col("n").alias("n_now"))
-    then = counted.join(
-        pairs.select(F.col("previous_scan_id").alias("scan_id"), "pair"), "scan_id"
+    then = split_join(
+        counted, pairs.select(F.col("previous_scan_id").alias("scan_id"), "pair"), ["scan_id"], heavy=heavy
     ).select("pair", "ref", "place", F.col("n").alias("n_then"))
     return now.join(then, ["pair", "ref", "place"], "full").groupBy("pair", "ref").agg(
         F.sum(F.when(F.col("n_then").isNull(), F.col("n_now")).otherwise(0)).alias("added_occurrences"),

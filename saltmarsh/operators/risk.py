@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import scoring as s
+from saltmarsh.operators.skew import split_join
 
 
 def with_importance(rows: DataFrame, repos: DataFrame, model: str = "current") -> DataFrame:
     """Business importance of the repository, Standard when it is not known.
 
-    ``repos`` is keyed by repo_id. No hint: Spark broadcasts it when it is small enough.
+    ``repos`` is keyed by repo_id. A repository with a large share of the rows is dealt over tasks.
     """
-    return rows.join(
-        repos.select("repo_id", F.col("importance").alias("_importance")), "repo_id", "left"
+    return split_join(
+        rows, repos.select("repo_id", F.col("importance").alias("_importance")), ["repo_id"], "left"
     ).withColumn(
         "importance", s.business_importance(F.col("_importance"), model)
     ).drop("_importance")

@@ -41,12 +41,13 @@ def split_join(
 ) -> DataFrame:
     """``many.join(few, keys, how)`` for ``how`` of inner, left, left_semi and left_anti, with no task that holds a heavy key alone.
 
-    Rows of ``many`` that have a heavy key are dealt over its pieces at random places, and the rows of ``few`` with that key stand in
+    Rows of ``many`` that have a heavy key are dealt over its pieces by a hash of all their columns, and the rows of ``few`` with that key stand in
     every piece. All other keys join as they always do. Columns of ``few`` besides the keys must have names of their own. ``heavy`` is
     what ``heavy_keys`` gave for ``many``; without it the keys of ``many`` are counted first.
 
     Null keys join nothing, as in any equi-join; a left or anti join keeps their rows. Empty sides and repeated rows give what
-    ``join`` gives.
+    ``join`` gives. The place of a row follows from its columns, so that a task that runs again deals it alike; rows that are equal in
+    every column stay together.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how}: only inner, left, left_semi and left_anti joins are dealt")
