@@ -89,8 +89,12 @@ def pip_dependencies(text: Column) -> Column:
     return F.array_compact(F.transform(F.split(text, LINE_BREAK), build))
 
 
+#: What is read of a dependency element: its own children, not those of its exclusions.
+DIRECT_CHILDREN = "groupId array<string>, artifactId array<string>, version array<string>"
+
+
 def maven_dependencies(text: Column) -> Column:
-    """Every dependency element of a well-formed document; its fields are read from the element's own text.
+    """Every dependency element of a well-formed document; its fields are its direct children, in any order.
 
     Comments hold no elements, CDATA sections are text, and a document that is not well-formed gives nothing.
     """
@@ -101,17 +105,21 @@ def maven_dependencies(text: Column) -> Column:
     blocks = F.when(whole, F.regexp_extract_all(
         bare, F.lit(r"(?s)<dependency(?:\s[^>]*)?>(.*?)</dependency\s*>"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    def field(block: Column, tag: str) -> Column:
-        return p.strip(F.regexp_extract(block, rf"(?s)<{tag}>([^<]*)</{tag}>", 1))
+    def field(children: Column, tag: str) -> Column:
+        # the first element of that name right below the dependency; one that holds elements has no text
+        first = F.coalesce(F.get(children[tag], F.lit(0)), F.lit(""))
+        return F.when(first.contains("<"), "").otherwise(p.strip(first))
 
-    def build(block: Column, lines: Column) -> Column:
-        group, artifact = F.lower(field(block, "groupId")), F.lower(field(block, "artifactId"))
+    def build(children: Column, lines: Column) -> Column:
+        group, artifact = F.lower(field(children, "groupId")), F.lower(field(children, "artifactId"))
         library = F.when(artifact.isin(_names("maven")), artifact).when(
             group.contains("bouncycastle") | artifact.contains("bouncycastle"), "bouncycastle")
         target = F.when(artifact == "", "dependency").otherwise(artifact)
         return F.when(library.isNotNull(), let(locate_line(lines, target), lambda line: _dependency(
-            library, field(block, "version"), line, F.get(lines, line - 1))))
+            library, field(children, "version"), line, F.get(lines, line - 1))))
 
+    blocks = F.transform(blocks, lambda block: F.from_xml(
+        F.concat(F.lit("<dependency>"), block, F.lit("</dependency>")), DIRECT_CHILDREN))
     return let(F.split(text, LINE_BREAK), lambda lines: F.array_compact(
         F.transform(blocks, lambda block: build(block, lines))))
 

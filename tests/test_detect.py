@@ -232,6 +232,14 @@ def test_manifest_xml_is_read_as_xml(files_df):
         head + dep: 0, head + dep + "<open>" + tail: 0, "": 0, "no xml at all": 0,
         f"<project><profiles><profile><dependencies>{dep}</dependencies></profile></profiles></project>": 1,
     }
+    # ids of exclusions are not the dependency's own, wherever they stand
+    inner = "<exclusions><exclusion><groupId>junit</groupId><artifactId>junit</artifactId></exclusion></exclusions>"
+    other = "<groupId>g</groupId><artifactId>a</artifactId>"
+    texts |= {
+        head + dep.replace("<dependency>", "<dependency>" + inner) + tail: 1, head + dep.replace("</dependency>", inner + "</dependency>") + tail: 1,
+        head + "<dependency>" + inner.replace("junit", "bcprov-jdk15on") + other + "</dependency>" + tail: 0,
+        head + "<dependency><version>1</version><artifactId>\n bcprov-jdk15on </artifactId></dependency>" + tail: 1,
+    }
     names = {f"m{i}/pom.xml": t for i, t in enumerate(texts)}
     got = detect_dependencies(files_df(*names.items())).collect()
     count = {n: sum(r.path == n for r in got) for n in names}
