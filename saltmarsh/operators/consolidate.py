@@ -177,27 +177,49 @@ def _rule_names() -> Column:
     return F.array_distinct(F.array(F.lower("rule_id"), F.lower("algorithm"), F.lit("*")))
 
 
-def _places(strict: bool) -> Column:
-    """Under which paths an allow-list rule could name this finding's file."""
-    rel = F.lower(p.normalize_path(F.col("path")))
-    if not strict:
-        return F.array(p.basename(rel))
-    # suffixes of the path, so a rule matches whole trailing components only
-    steps = F.split(rel, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(steps)),
-        lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"),
-    )
-
-
 def _place_keys() -> Column:
-    """Exact keys of the path rules that could name this finding at one place."""
-    subs = F.array_distinct(F.array(
-        F.lit(""), F.col("line").cast("string"), F.col("fingerprint"), F.lower("algorithm")))
-    return F.flatten(F.transform(_rule_names(), lambda r: F.transform(
+    """Exact keys of the path rules that could name this finding at one place, of the shapes that rules there have."""
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.concat(
+        F.when(F.col("_any_named"), F.array(F.lower("rule_id"), F.lower("algorithm"))).otherwise(none),
+        F.when(F.col("_any_star"), F.array(F.lit("*"))).otherwise(none)))
+    subs = F.array_distinct(F.concat(
+        F.when(F.col("_any_whole"), F.array(F.lit(""))).otherwise(none),
+        F.when(F.col("_any_line"), F.array(F.col("line").cast("string"))).otherwise(none),
+        F.when(F.col("_any_other"), F.array(F.col("fingerprint"), F.lower("algorithm"))).otherwise(none)))
+    return F.flatten(F.transform(names, lambda r: F.transform(
         subs, lambda s: F.concat_ws(_SEP, F.lit("P"), r, F.col("_place"), s))))
 
 
+def _ruled_places(keyed: DataFrame, scope: list[str]) -> DataFrame:
+    """The places that some path rule names, and what shapes its rules have there."""
+    k = F.split("_key", _SEP)
+    rule, sub = F.get(k, F.lit(1)), F.coalesce(F.get(k, F.lit(3)), F.lit(""))
+    return keyed.where(F.get(k, F.lit(0)) == "P").groupBy(*scope, F.get(k, F.lit(2)).alias("_place")).agg(
+        F.bool_or(rule != "*").alias("_any_named"), F.bool_or(rule == "*").alias("_any_star"), F.bool_or(sub == "").alias("_any_whole"),
+        F.bool_or(sub.rlike(r"^\d+$")).alias("_any_line"), F.bool_or(sub != "").alias("_any_other"))
+
+
+def _at_places(findings: DataFrame, places: DataFrame, scope: list[str], strict: bool) -> DataFrame:
+    """Findings at places that rules name, a row for each place.
+
+    By base name a finding has one place. A strict rule names the last components of a path: then a finding meets, under its base
+    name, the numbers of components that rules with that base name have, and only those of its endings are looked up. So what
+    shuffles is about the findings, however deep their paths are.
+    """
+    rel = F.lower(p.normalize_path(F.col("path")))
+    rows = findings.select(*KEY, "algorithm", "fingerprint", p.basename(rel).alias("_base"), F.split(rel, "/").alias("_steps"))
+    if not strict:
+        rows = rows.withColumn("_place", F.col("_base"))
+    else:
+        lengths = places.groupBy(*scope, p.basename(F.col("_place")).alias("_base")).agg(
+            F.collect_set(F.size(F.split("_place", "/"))).alias("_lengths"))
+        fitting = F.filter("_lengths", lambda n: n <= F.size("_steps"))
+        rows = split_join(rows, lengths, [*scope, "_base"]).withColumn("_place", F.explode(F.transform(
+            fitting, lambda n: F.array_join(F.slice("_steps", F.size("_steps") - n + 1, n), "/")))).drop("_lengths")
+    return split_join(rows.drop("_base", "_steps"), places, [*scope, "_place"])
+
+
 def _rule_key(strict: bool) -> Column:
     sep = _SEP
     rel = F.lower(p.normalize_path(F.col("path")))
@@ -242,12 +264,8 @@ def apply_suppressions(
         .groupBy(*pair).agg(F.min_by("_rule", "_seq").alias("_named"), F.min("_seq").alias("_named_seq"))
     )
     # rules by path: only findings at a place that some rule names are spread over their keys
-    at_place = keyed.select(*scope, F.split("_key", _SEP).alias("_k")).where(F.get("_k", F.lit(0)) == "P").select(
-        *scope, F.get("_k", F.lit(2)).alias("_place")).distinct()
-    by_place = (
-        with_print.select(*KEY, "algorithm", "fingerprint", F.explode(_places(strict_paths)).alias("_place"))
-    )
-    by_place = split_join(by_place, at_place, [*scope, "_place"], "left_semi").select(*KEY, F.explode(_place_keys()).alias("_key"))
+    places = _at_places(with_print, _ruled_places(keyed, scope), scope, strict_paths)
+    by_place = places.select(*KEY, F.explode(_place_keys()).alias("_key"))
     by_print = with_print.select(*KEY, F.concat_ws(_SEP, F.lit("F"), F.col("fingerprint")).alias("_key"))
     hits = (
         split_join(by_place.unionByName(by_print), keyed, on)
