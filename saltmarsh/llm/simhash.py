@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import LOWER, Scratch, as_bytes, batch_column, free_name
 from saltmarsh.llm.components import components
+from saltmarsh.operators.skew import split_join
 
 #: A variant shared by more fingerprints is crowded.
 CROWD = 16
@@ -144,10 +145,11 @@ def simhash_components(
     members = rooted.unionAll(rooted.select(F.col("root").alias("node"), "root").distinct())
     linked = members.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least_id")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
+    # a component may hold a large share of all fingerprints, and a fingerprint of all documents: copies, texts without words
+    linked = split_join(linked, least, ["root"]).select("fp", "component_id")
     labels = nodes.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return split_join(prints, labels, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
