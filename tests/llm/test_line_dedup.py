@@ -32,7 +32,7 @@ def brute_force(rows, least=5, exact_least=None):
     """Line numbers that go, by (id, text): as repeats (of lines of ``exact_least`` words), and as near repeats (of ``least``)."""
     places = sorted({(d is not None, d or 0, text_key(t), i, t, tuple(words(line)))
                      for d, t in rows if t is not None for i, line in enumerate(t.split("\n"))})
-    places = [(d if known else None, t, i, w) for known, d, _, i, t, w in places if len(w) >= least]
+    places = [(d if known else None, t, i, w) for known, d, _, i, t, w in places if len(w) >= (least if exact_least is None else exact_least)]
     first, exact, close = {}, {}, {}
     for d, t, i, w in places:
         if first.setdefault(w, (d, t, i)) != (d, t, i):
