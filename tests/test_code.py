@@ -1,6 +1,7 @@
 """Files cut into rows, names followed by joins, and the innermost of nested intervals."""
 
 import random
+import re
 import time
 from collections import Counter
 
@@ -177,3 +178,17 @@ def test_prefilters_pass_every_text_that_has_a_site():
         for text in cases:
             if kinds(cut(text, re.compile(callee), True), "call", "compare"):
                 assert re.search(maybe, text), text
+
+
+def _joins(df):
+    """Kinds of joins in the plan that ran."""
+    df.collect()
+    return set(re.findall(r"(\w+Join)\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_no_side_of_a_call_site_join_goes_through_the_driver(spark, files_df):
+    """Names, bindings, functions and lines grow with the files, so none of them may be broadcast."""
+    text = "import hashlib as h\nD = h.sha1\ndef f(k):\n    return hmac.new(k, b'', D)\n"
+    found = call_sites(files_df(*[(f"a{n}.py", text) for n in range(20)]), "python")
+    assert _joins(found) == {"SortMergeJoin"}
+    assert {(r.callee, r.digest, r.function) for r in found.collect()} == {("hmac.new", "hashlib.sha1", "f")}
