@@ -37,6 +37,11 @@ def exact_dedup(findings: DataFrame) -> DataFrame:
     )
 
 
+def first_emitted(findings: DataFrame, *wanted: str) -> DataFrame:
+    """``exact_dedup`` of the key and the ``wanted`` columns alone, so that nothing else is shuffled, spilled or written."""
+    return exact_dedup(findings.select(*KEY, *wanted, "emit_seq")).drop("emit_seq")
+
+
 def _site():
     # After exact_dedup a site holds each rule once, so the rule catalogue bounds it.
     return Window.partitionBy(*SITE)

@@ -13,21 +13,24 @@ from saltmarsh.sources.tables import parse_suppressions, split_confidence, to_fi
 
 COLS = ["scan_id", "path", "line", "rule_id", "language", "algorithm", "severity", "confidence"]
 SQL_COLS = ", ".join(COLS)
+# what the merge of layers reads besides the key
+MERGING = ["language", "category", "severity", "confidence", "generic"]
 
 
 @query("w01_exact_dedup", with_ctes(["dedup"], f"SELECT {SQL_COLS} FROM dedup"))
 def _(t: Tables):
-    return c.exact_dedup(finding_facts(t)).select(*COLS)
+    return c.first_emitted(finding_facts(t), "language", "algorithm", "severity", "confidence").select(*COLS)
 
 
 @query("w02_drop_generic", with_ctes(["specific"], f"SELECT {SQL_COLS} FROM specific"))
 def _(t: Tables):
-    return c.drop_generic(c.exact_dedup(finding_facts(t))).select(*COLS)
+    found = c.first_emitted(finding_facts(t), "language", "algorithm", "severity", "confidence", "generic")
+    return c.drop_generic(found).select(*COLS)
 
 
 @query("w04_w05_merge_layers", with_ctes(["merged"], f"SELECT {SQL_COLS} FROM merged"))
 def merged(t: Tables):
-    return c.merge_layers(c.drop_generic(c.exact_dedup(finding_facts(t)))).select(*COLS)
+    return c.merge_layers(c.drop_generic(c.first_emitted(finding_facts(t), *MERGING, "algorithm"))).select(*COLS)
 
 
 SUMMARY_SQL = """
@@ -44,7 +47,8 @@ GROUP BY metric, item"""
 @query("a01_summary", with_ctes(["specific"], SUMMARY_SQL))
 def summary(t: Tables):
     """Flagship: fold duplicates, drop catch-alls, then the report totals."""
-    return c.summarize(c.drop_generic(c.exact_dedup(finding_facts(t))))
+    found = c.first_emitted(finding_facts(t), "generic", "suppressed", "severity", "quantum_risk", "language")
+    return c.summarize(c.drop_generic(found))
 
 
 @query("a01_u04_files_with_findings", with_ctes(["facts"], (
@@ -65,7 +69,8 @@ def _(t: Tables):
     "scan_id ORDER BY path, line, sev_rank DESC, rule_id) AS VARCHAR) AS id "
     "FROM merged JOIN sev USING (severity)")))
 def _(t: Tables):
-    found = c.merge_layers(c.drop_generic(c.exact_dedup(finding_facts(t))))
+    found = c.merge_layers(c.drop_generic(c.first_emitted(finding_facts(t), *MERGING)))
+    found = found.select("scan_id", "path", "line", "rule_id", "severity")
     return c.with_finding_ids(found).select("scan_id", "path", "line", "rule_id", "severity", "id")
 
 
@@ -73,7 +78,7 @@ def _(t: Tables):
     "SELECT scan_id, path, line, severity, rule_id FROM dedup JOIN sev USING (severity) "
     "ORDER BY scan_id, path, line, sev_rank DESC, rule_id")))
 def _(t: Tables):
-    return c.exact_dedup(finding_facts(t)).orderBy("scan_id", *c.report_order()).select(
+    return c.first_emitted(finding_facts(t), "severity").orderBy("scan_id", *c.report_order()).select(
         "scan_id", "path", "line", "severity", "rule_id")
 
 
@@ -119,7 +124,7 @@ CORRELATE_CTES = {
 
 @query("j04_correlate_dependencies", with_ctes(["dedup"], CORRELATE_SQL, **CORRELATE_CTES))
 def _(t: Tables):
-    found = durable(c.exact_dedup(finding_facts(t)))  # read several times below
+    found = durable(c.first_emitted(finding_facts(t), "language", "algorithm", "confidence"))  # read several times below
     return c.correlate_dependencies(found).select(
         "scan_id", "path", "line", "rule_id", "algorithm", "confidence")
 
@@ -177,7 +182,7 @@ SELECT scan_id, path, line, rule_id, algorithm, reason <> '' AS suppressed, reas
     ELSE '' END AS reason FROM dedup) r""", sevenths="SELECT DISTINCT p_partkey % 8 AS k, p_partkey % 4 AS n FROM part"))
 def _(t: Tables):
     """Flags and reasons; the quotes of a reason are written as double quotes for the comparison."""
-    found = durable(c.exact_dedup(finding_facts(t)))  # read several times below
+    found = durable(c.first_emitted(finding_facts(t), "algorithm", "snippet"))  # read several times below
     out = c.apply_suppressions(found, parse_suppressions(allow_lines(t)))
     return out.select("scan_id", "path", "line", "rule_id", "algorithm", "suppressed",
                       F.translate("suppression_reason", "'", '"').alias("suppression_reason"))

@@ -244,3 +244,15 @@ def test_manifest_xml_is_read_as_xml(files_df):
     got = detect_dependencies(files_df(*names.items())).collect()
     count = {n: sum(r.path == n for r in got) for n in names}
     assert {names[n]: c for n, c in count.items()} == texts
+
+
+def test_first_emitted_shuffles_only_the_columns_asked_for(spark):
+    """The same first rows as ``exact_dedup``; what nobody reads is in no exchange."""
+    rows = spark.createDataFrame(
+        [("s", "p", 1, "r", "late", "x" * 50, 2), ("s", "p", 1, "r", "first", "y" * 50, 1), ("s", "p", None, None, None, "z", 3)],
+        "scan_id string, path string, line int, rule_id string, severity string, message string, emit_seq int")
+    found = c.first_emitted(rows, "severity")
+    assert found.columns == [*c.KEY, "severity"]
+    assert sorted(map(str, found.collect())) == sorted(map(str, c.exact_dedup(rows).select(*found.columns).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("message" not in line for line in plan.splitlines() if "Aggregate" in line)
