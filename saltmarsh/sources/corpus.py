@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions.text import to_lines
+from saltmarsh.operators.skew import merge_join
 from saltmarsh.sources import tree
 from saltmarsh.sources.tables import parse_suppressions
 
@@ -53,8 +54,9 @@ def read_ignore_rules(
         p.basename(F.col("path")) == name)
     chosen = listed.groupBy("root").agg(
         F.min(F.struct(F.size(F.split("path", "/")).alias("depth"), "path", "raw")).alias("at")).select("root", "at.path", "at.raw")
-    lines = to_lines(tree.read_files(chosen)).select("root", F.col("line").alias("seq"), F.col("raw").alias("line"))
-    return parse_suppressions(roots.select("scan_id", "root").join(lines, "root").drop("root"))
+    # the scans meet the files, not the lines: these may be very many, and Spark would take them for few and broadcast them
+    texts = merge_join(tree.read_files(chosen), roots.select("scan_id", "root"), ["root"])
+    return parse_suppressions(to_lines(texts).select("scan_id", F.col("line").alias("seq"), F.col("raw").alias("line")))
 
 
 def prune_paths(files: DataFrame, dirs: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Listing trees of any shape, and names and entries that cannot be read."""
 
 import os
+from collections import Counter
 
 import pytest
 
 from saltmarsh.sources import tree
-from saltmarsh.sources.corpus import read_corpus
+from saltmarsh.sources.corpus import read_corpus, read_ignore_rules
 
 
 def roots(spark, *paths):
@@ -57,3 +58,14 @@ def test_what_cannot_be_opened_is_told(spark, tmp_path):
     assert tree.list_files(roots(spark), []).count() == 0
     with pytest.raises(Exception, match="No such file"):
         tree.list_files(roots(spark, tmp_path / "absent"), []).count()
+
+
+def test_lines_of_ignore_files_are_not_broadcast(spark, tmp_path):
+    """The scans meet the files before these become lines, and neither side goes through the driver."""
+    lines = "\n".join(f"rule-{n}|src/f{n}.py|{n + 1}" for n in range(200))
+    files = spark.createDataFrame([("a/.ignored", lines), ("b/top/.ignored", "r|p.py|1"), ("b/top/low/.ignored", "wrong")], "path string, text string")
+    tree.write_files(files, str(tmp_path))
+    roots = spark.createDataFrame([(s, f"{tmp_path}/{f}") for s, f in (("1", "a"), ("2", "b"), ("3", "b"))], "scan_id string, root string")
+    rules = read_ignore_rules(spark, roots, ".ignored")
+    assert Counter(r.scan_id for r in rules.collect()) == {"1": 200, "2": 1, "3": 1}
+    assert "Broadcast" not in rules._jdf.queryExecution().executedPlan().toString()
