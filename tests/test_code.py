@@ -192,3 +192,16 @@ def test_no_side_of_a_call_site_join_goes_through_the_driver(spark, files_df):
     found = call_sites(files_df(*[(f"a{n}.py", text) for n in range(20)]), "python")
     assert _joins(found) == {"SortMergeJoin"}
     assert {(r.callee, r.digest, r.function) for r in found.collect()} == {("hmac.new", "hashlib.sha1", "f")}
+
+
+def test_names_of_a_file_that_does_not_parse(spark, files_df):
+    """Imports and bindings that parse by themselves are read, in strings and comments there are none; calls are not."""
+    text = ("\ufeffimport hashlib\ndef f(:\n    from a.b import (c as d,\n        e)\n    K = h(\n  1)\n# import x\ns = \'\'\'\nimport y\n\'\'\'\n"
+            "J = (\n  import z\n")
+    rows = python_rows(text, None, False)
+    assert [(r[0], r[3], r[4], r[5]) for r in rows if r[0] == "alias"] == [
+        ("alias", 1, "hashlib", "hashlib"), ("alias", 3, "d", "c"), ("alias", 3, "e", "e"), ("alias", 12, "z", "z")]
+    assert sorted(text[1:][r[1]] for r in rows if r[0] in ("alias", "bind")) == list("Kcehsz")
+    assert [(r[3], r[4], r[6][0][1][0]) for r in rows if r[0] == "bind"] == [(5, "K", "h( 1)"), (8, "s", "\'\'\'\nimport y\n\'\'\'")]
+    assert [r[0] for r in rows if r[0] not in ("alias", "bind")] == ["error"]
+    assert python_rows(text, re.compile("md5"), False) == rows[:1]
