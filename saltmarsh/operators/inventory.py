@@ -331,7 +331,7 @@ def cbom_parts(
             F.col("max_severity").alias("maxSeverity"),
         ).alias("component"))
     placed = with_position(
-        occ, ["emit_seq"], ["scan_id", "bom_ref"], "_n", start=0
+        occ.select("scan_id", "bom_ref", *OCC_FIELDS, "emit_seq"), ["emit_seq"], ["scan_id", "bom_ref"], "_n", start=0
     ).withColumn("_chunk", F.floor(F.col("_n") / chunk))
     item = F.struct(F.col("_n").alias("seq"), *[F.col(f) for f in OCC_FIELDS])
     chunks = placed.groupBy("scan_id", "bom_ref", "_chunk").agg(

@@ -183,7 +183,8 @@ SELECT finding_id, importance, {BEFORE} AS before, {SCORE} AS score, {LABEL.form
 FROM (SELECT b.*, coalesce(importance, 'Standard') AS importance FROM base b LEFT JOIN repos USING (repo_id))""",
     base=BASE))
 def _(t: Tables):
-    rows = risk.with_importance(finding_facts(t), repos(t))
+    facts = finding_facts(t).select("repo_id", "finding_id", "primitive", "key_size", "mode", "usage")
+    rows = risk.with_importance(facts, repos(t))
     p, k, m = F.col("primitive"), F.col("key_size"), F.col("mode")
     use = s.detect_purpose(F.col("usage"))["purpose"]
     now = s.risk_score(p, k, m, use, F.col("importance"))
