@@ -147,7 +147,8 @@ def merkle_proofs(
 ) -> DataFrame:
     """(group, pos, hash, root, proof) for every leaf.
 
-    A proof is the path inside the leaf's block followed by the path of that block's top.
+    A proof is the path inside the leaf's block followed by the path of that block's top. A block meets its top's path before it is
+    taken apart, so what shuffles is about two digests for a leaf and not its path.
     """
     leaves, group = _trees(leaves, group)
     stages = _stages(leaves, group, bits)
@@ -172,29 +173,30 @@ def merkle_proofs(
         entries = F.transform(
             F.get(levels, F.lit(0)),
             lambda h, i: F.struct(i.alias("i"), h.alias("hash"), path(i).alias("proof")))
-        rows = blocks.select(*group, "block", root.alias("_top"), F.explode(entries).alias("e")).select(
-            *group, "block", "_top", (F.shiftleft("block", bits) + F.col("e.i")).alias("pos"),
-            F.col("e.hash").alias("hash"), F.col("e.proof").alias("proof"))
         if above is None:
-            above = rows.select(*group, "pos", "hash", F.col("_top").alias("root"), "proof")
+            placed = blocks.select(*group, "block", "levels", root.alias("root"), F.array().cast(f"array<{STEP}>").alias("_tail"))
         else:
-            tail = above.select(
-                *group, F.col("pos").alias("block"), F.col("root").alias("root"),
-                F.col("proof").alias("_tail"))
-            above = rows.join(tail, [*group, "block"]).select(
-                *group, "pos", "hash", "root", F.concat("proof", "_tail").alias("proof"))
+            tail = above.select(*group, F.col("pos").alias("block"), "root", F.col("proof").alias("_tail"))
+            placed = blocks.select(*group, "block", "levels").join(tail, [*group, "block"])
+        above = placed.select(*group, "block", "root", "_tail", F.explode(entries).alias("e")).select(
+            *group, (F.shiftleft("block", bits) + F.col("e.i")).alias("pos"), F.col("e.hash").alias("hash"), "root",
+            F.concat("e.proof", "_tail").alias("proof"))
     return above.drop(ONE_TREE)
 
 
-def proof_holds(leaf: Column, proof: Column, root: Column) -> Column:
-    """True when the proof leads from leaf to root; malformed input is false."""
+def proof_end(leaf: Column, proof: Column) -> Column:
+    """The root that the proof leads to from leaf; null if either is malformed."""
     well_formed = (
-        is_hex_digest(leaf) & is_hex_digest(root) & proof.isNotNull()
+        is_hex_digest(leaf) & proof.isNotNull()
         & F.forall(proof, lambda s: is_hex_digest(s["sibling"])
                    & F.coalesce(s["position"].isin("left", "right"), F.lit(False)))
     )
-    end = F.aggregate(proof, leaf, lambda h, s: hash_pair(h, s["sibling"]))
-    return F.coalesce(well_formed & (end == root), F.lit(False))
+    return F.when(well_formed, F.aggregate(proof, leaf, lambda h, s: hash_pair(h, s["sibling"])))
+
+
+def proof_holds(leaf: Column, proof: Column, root: Column) -> Column:
+    """True when the proof leads from leaf to root; malformed input is false."""
+    return F.coalesce(is_hex_digest(root) & (proof_end(leaf, proof) == root), F.lit(False))
 
 
 def verify_proofs(rows: DataFrame) -> DataFrame:
@@ -261,13 +263,15 @@ def audit_batch(
     """
     batch = list(batch)
     leaves = durable(_batch_leaves(entries, batch))
+    # where a proof leads is known before anything shuffles: its end goes on, not its path
     own = merkle_proofs(leaves, batch).select(
-        *batch, "pos", F.col("root").alias("recomputed_root"), F.col("proof").alias("_own"))
-    rows = split_join(leaves.join(own, [*batch, "pos"]), anchors, batch, "left")
-    given = F.col("proof") if "proof" in entries.columns else F.lit(None)
-    proof = F.coalesce(given, F.col("_own")) if "proof" in entries.columns else F.col("_own")
+        *batch, "pos", F.col("root").alias("recomputed_root"), proof_end(F.col("hash"), F.col("proof")).alias("_end"))
+    if "proof" in entries.columns:
+        given = leaves.select(*batch, "pos", F.col("proof").isNotNull().alias("_given"), proof_end(F.col("hash"), F.col("proof")).alias("_given_end"))
+        own = own.join(given, [*batch, "pos"]).withColumn("_end", F.when(F.col("_given"), F.col("_given_end")).otherwise(F.col("_end")))
+    rows = split_join(own.select(*batch, "pos", "recomputed_root", "_end"), anchors, batch, "left")
     recorded = clean_root(F.col("recorded_root"))
-    result = rows.withColumn("_valid", proof_holds(F.col("hash"), proof, recorded)).groupBy(*batch).agg(
+    result = rows.withColumn("_valid", F.coalesce(is_hex_digest(recorded) & (F.col("_end") == recorded), F.lit(False))).groupBy(*batch).agg(
         F.first("recomputed_root").alias("recomputed_root"),
         F.first(recorded).alias("recorded_root"),
         F.count(F.lit(1)).alias("scans"),

@@ -119,3 +119,23 @@ def test_components_of_loose_content(spark):
         got.setdefault(r.id, []).append(r.component)
     assert got == {"a": ['{"empty":true}'], "b": ['{"x":1}', "2"], "c": ['{"y":1}'],
                    "d": ['{"content":"plain words"}'], "e": ['{"k":1}']}
+
+
+def test_blocks_meet_the_path_of_their_top_before_they_are_taken_apart(leaves):
+    """What is joined is a row for each block; its leaves and their paths come after."""
+    df, _ = leaves
+    plan = it.merkle_proofs(df, ["g"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate explode") < plan.index("Join")
+
+
+def test_an_audit_takes_given_proofs_and_makes_those_that_are_missing(spark):
+    entries = spark.createDataFrame([(b, f"s{n}", f"{n:064x}") for b in (0, 1) for n in range(5)], "batch int, scan_id string, merkle_root string")
+    roots = it.batch_root(entries, ["batch"])
+    anchors = roots.select("batch", F.col("root").alias("recorded_root"))
+    proofs = it.batch_manifest(entries.withColumns({"org_id": F.lit("o"), "scanner_version": F.lit("v")}), ["batch"]).select("batch", "scan_id", "proof")
+    given = entries.join(proofs.withColumn("proof", F.when(F.col("scan_id") == "s0", F.slice("proof", 1, 1)).when(
+        F.col("batch") == 0, F.lit(None)).otherwise(F.col("proof"))), ["batch", "scan_id"])
+    # the proofs of batch 1 are those of other leaves, as organisation and version count
+    found = {r.batch: (r.scans, r.scans_passed, r.root_matches, r.overall_pass) for r in it.audit_batch(given, anchors).collect()}
+    assert found == {0: (5, 4, True, False), 1: (5, 0, True, False)}
+    assert [(r.scans_passed, r.overall_pass) for r in it.audit_batch(entries, anchors).collect()] == [(5, True)] * 2
