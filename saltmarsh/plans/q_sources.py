@@ -33,7 +33,7 @@ _PLACE = "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _PLACES
 
 def _tree(t: Tables) -> str:
     root = _new_folder(t, "tree")
-    tree.write_files(t.documents.selectExpr(f"{_PLACE} AS path", "coalesce(text, '') AS text"), root)
+    tree.write_files(t.wide("documents").selectExpr(f"{_PLACE} AS path", "coalesce(text, '') AS text"), root)
     return root
 
 

@@ -1,9 +1,10 @@
 """A folder tree as a table of files, whatever the names in it.
 
 Spark's own file sources leave out every name that begins with a dot or an underscore, and with them ``.env`` files,
-``__init__.py`` and ignore files. Here the folders are rows. A round lists the folders that are open, each task a bounded number of
-them, and writes what it found; folders that are still open are dealt out anew in the next round, until none is left. So a chain of folders costs
-few rounds, and a wide end of it is spread over all tasks however deep it lies. The files found are spread again and read there.
+``__init__.py`` and ignore files. Here the folders are rows. A round lists every folder that is open, over as many tasks as there are
+bounded portions of them, and writes what it found; a task goes on below its own folders up to that bound, and what is then open is dealt out anew in
+the next round, until none is left. So a chain of folders costs few rounds, a wide level costs one however many folders it has, and the wide end of a
+chain is spread over all tasks however deep it lies. The files found are spread again and read there.
 
 What cannot be listed or read becomes a row with the reason, and the rest goes on. Names that are no UTF-8 are kept as bytes beside a
 readable form. The driver sees the number of open folders of a round and nothing else.
@@ -26,8 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of contents that one Arrow batch of a task holds; a larger file is a batch of its own.
 BATCH_BYTES = 8 << 20
-#: Folders that a task lists in one round at most, before what is still open is dealt out again.
+#: Folders that a task lists in one round, before what it found and left open is dealt out again.
 FOLDERS_A_ROUND = 256
+#: Tasks of one round at most; with more open folders than these take, every task is given more.
+TASKS_A_ROUND = 10_000
 
 FILE, FOLDER, UNREAD = "file", "folder", "unread"
 #: ``raw`` is the path as the file system has it, ``path`` the same as text.
@@ -81,7 +84,7 @@ def _list(root: str, raw: bytes) -> list[tuple[bytes, str, int, str | None]]:
 
 
 def _lister(pruned: list[str], most: int):
-    """Lists the folders given and those found in them, ``most`` in all; folders left open stay rows."""
+    """Lists the folders given, and those found in them up to ``most`` in all; folders left open stay rows."""
     import os
     from collections import deque
 
@@ -97,7 +100,8 @@ def _lister(pruned: list[str], most: int):
         rows, todo, listed = [], deque(), 0
         for given in batches:
             todo.extend(zip(given.column("root").to_pylist(), given.column("raw").to_pylist(), strict=True))
-        while todo and listed < most:
+        own = len(todo)
+        while todo and listed < max(most, own):
             root, folder = todo.popleft()
             listed += 1
             for raw, kind, size, reason in _list(root, folder):
@@ -154,12 +158,16 @@ def list_entries(roots: DataFrame, pruned: list[str]) -> DataFrame:
     still = roots.select("root", F.lit("").alias("path"), F.lit(b"").alias("raw"), F.lit(FOLDER).alias("kind"),
                          F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("reason"))
     found = None
+    left = still.count()
     while True:
-        listed = durable(still.repartition("root", "raw").mapInArrow(_lister(pruned, FOLDERS_A_ROUND), ENTRY))
+        # a stated number of tasks, as adaptive execution goes by the bytes of the names and would give all folders to one
+        tasks = min(-(-left // FOLDERS_A_ROUND), TASKS_A_ROUND)
+        listed = durable(still.repartition(max(tasks, 1), "root", "raw").mapInArrow(_lister(pruned, FOLDERS_A_ROUND), ENTRY))
         entries = listed.where(F.col("kind") != FOLDER)
         found = entries if found is None else found.unionAll(entries)
         still = listed.where(F.col("kind") == FOLDER)
-        if still.isEmpty():
+        left = still.count()
+        if not left:
             return found
 
 
@@ -170,7 +178,9 @@ def list_files(roots: DataFrame, pruned: list[str]) -> DataFrame:
 
 def read_entries(files: DataFrame) -> DataFrame:
     """Listed files as root, path, text and reason: the text is null where there is a reason why it could not be read."""
-    return files.select("root", "path", "raw").repartition("root", "raw").mapInArrow(
+    # a stated number of tasks, as the names that shuffle say nothing about the bytes that are read
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("root", "path", "raw").repartition(tasks, "root", "raw").mapInArrow(
         _reader, "root string, path string, text string, reason string")
 
 

@@ -4,6 +4,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from saltmarsh.sources import tree
 from saltmarsh.sources.corpus import read_corpus, read_ignore_rules
@@ -69,3 +70,28 @@ def test_lines_of_ignore_files_are_not_broadcast(spark, tmp_path):
     rules = read_ignore_rules(spark, roots, ".ignored")
     assert Counter(r.scan_id for r in rules.collect()) == {"1": 200, "2": 1, "3": 1}
     assert "Broadcast" not in rules._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_wide_level_costs_one_round_and_its_files_several_tasks(spark, tmp_path, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(tree, "FOLDERS_A_ROUND", 2)
+    monkeypatch.setattr(tree, "durable", lambda df, cut=tree.durable: rounds.append(df) or cut(df))
+    for i in range(60):
+        (tmp_path / "r" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "r" / f"d{i}" / "a.py").write_text(str(i))
+    listed = tree.list_files(roots(spark, tmp_path / "r"), [])
+    read = tree.read_files(listed).select("path", "text", F.spark_partition_id().alias("task")).collect()
+    assert {(r.path, r.text) for r in read} == {(f"d{i}/a.py", str(i)) for i in range(60)} and len(read) == 60
+    # the root and one folder below it, then all the others
+    assert len(rounds) == 2
+    assert len({r.task for r in read}) > 1
+
+
+def test_a_round_has_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "FOLDERS_A_ROUND", 1)
+    monkeypatch.setattr(tree, "TASKS_A_ROUND", 3)
+    for i in range(20):
+        (tmp_path / "r" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "r" / f"d{i}" / "e" / "a.py").write_text("")
+    listed = tree.list_files(roots(spark, tmp_path / "r"), []).collect()
+    assert sorted(r.path for r in listed) == sorted(f"d{i}/e/a.py" for i in range(20))
