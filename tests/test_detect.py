@@ -41,6 +41,18 @@ def test_entropy_matches_the_formula(spark):
         assert r.h == pytest.approx(want, abs=1e-12)
 
 
+def test_entropy_sorts_numbers(spark):
+    """Characters beyond 16 bits count as one, and no text is sorted through a comparison of strings."""
+    values = ["\U0001f511\U0001f512\U0001f511a", "\x00\x00b", "ﬃé\n" * 3000 + "z", "".join(map(chr, range(0x4e00, 0x5600))) * 2]
+    df = spark.createDataFrame([(v,) for v in [*values, "", None]], "v string").select("v", p.shannon_entropy(F.col("v")).alias("h"))
+    got = {r.v: r.h for r in df.collect()}
+    assert got[""] == 0.0 and got[None] == 0.0
+    for v in values:
+        assert got[v] == pytest.approx(-sum(k / len(v) * math.log2(k / len(v)) for k in Counter(v).values()), abs=1e-9)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ascii" in plan and "array_sort" not in plan
+
+
 PY_ASSIGNMENT = re.compile(
     r"(?:^[ \t]*|\b)([A-Za-z_][A-Za-z0-9_]*)[ \t]*=[ \t]*(?:[brufBRUF]{1,2})?"
     r"(?:\"([^\"\\]*(?:\\.[^\"\\]*)*)\"|'([^'\\]*(?:\\.[^'\\]*)*)')", re.MULTILINE)
