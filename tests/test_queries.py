@@ -238,3 +238,17 @@ def test_every_kind_of_python_file_is_read(spark, name):
     kinds = {int(r.scan_id) % 24 for r in entry_point.queries()[name](spark, FOLDER).select("scan_id").distinct().collect()}
     # src/broken does not parse, so it gives nothing but a reason
     assert kinds == {0, 1, 2, 3, 16, 17}
+
+
+def test_reports_are_stored_packed_and_whole(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.concat(F.lit("s"), F.col("id") % 3).alias("scan_id"), F.concat(F.lit("f"), "id").alias("finding_id"),
+        F.when(F.col("id") % 2 == 0, "High").otherwise("Low").alias("severity"), F.lit("Safe").alias("quantum_risk"),
+        F.lit("python").alias("language"), (F.col("id") % 5 == 0).alias("suppressed"),
+        F.lit("line one\nline \"two\" é").alias("recommendation"), F.col("id").alias("emit_seq"))
+    write_report(rows, str(tmp_path / "r"))
+    stored = spark.read.schema(rows.drop("emit_seq").schema).json(str(tmp_path / "r" / "findings"))
+    assert stored.exceptAll(rows.drop("emit_seq")).isEmpty() and stored.count() == 5000
+    size = sum(f.stat().st_size for f in (tmp_path / "r" / "findings").glob("part-*"))
+    plain_size = rows.drop("emit_seq").agg(F.sum(F.length(F.to_json(F.struct("*", )))).alias("n")).first().n
+    assert size * 5 < plain_size
