@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.operators import consolidate, risk
+from saltmarsh.operators import inventory as inv
 from saltmarsh.operators.skew import PARTS, heavy_keys, split_join
 
 
@@ -93,3 +94,22 @@ def test_importance_of_one_large_repository(spark, hot):
         got = risk.with_importance(rows.where("repo_id = 'hot'"), repos)
         assert even(got) and {r.importance for r in got.select("importance").distinct().collect()} == {"Critical"}
         assert risk.with_importance(rows, repos).count() == rows.count()
+
+
+def test_a_diff_reads_the_places_once(spark, tmp_path):
+    """Each place meets its scan once for both sides of a pair; a repeated scan stands beside every row of its predecessor."""
+    schema = "scan_id string, name string, key_size int, mode string, bom_ref string, file string, line int, usage string, severity string, emit_seq int"
+    rows = [(s, n, None, "ECB", f"crypto-asset/{n}", f, 1, None, "High", i) for i, (s, n, f) in enumerate(
+        [("a", "aes", "x"), ("a", "aes", "x"), ("a", "aes", "y"), ("a", "des", "x"), ("b", "aes", "x"), ("b", "aes", "z"), ("b", "rsa", "x")])]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "occ"))
+    occ = spark.read.parquet(str(tmp_path / "occ"))
+    components = inv.build_components(occ).localCheckpoint()
+    scans = spark.createDataFrame([("a", None), ("b", "a"), ("b", "a"), (None, "a")], "scan_id string, previous_scan_id string")
+    diff = inv.diff_inventories(components, occ, scans)
+    got = Counter((r.scan_id, r["name"], r.status, r.changes, r.added_occurrences, r.removed_occurrences) for r in diff.collect())
+    first = {("a", n, "added", "", None, None): 1 for n in ("aes", "des")}
+    # the pair of b is there twice, so either side has two rows, and each place counts for both
+    second = {("b", "aes", "changed", "occurrences", 2, 2): 4, ("b", "rsa", "added", "", None, None): 2, ("b", "des", "removed", "", None, None): 2}
+    unnamed = {(None, n, "removed", "", None, None): 1 for n in ("aes", "des")}
+    assert got == Counter(first | second | unnamed)
+    assert str(diff._jdf.queryExecution().optimizedPlan()).count("Relation [") == 1
