@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,17 +82,17 @@ def keep_state(
         life = json.loads(held.get[0]) if held.exists else {"opened": None, "version": 0, "state": None}
         arrived = 0
         for rows in parts:
-            arrived = max(arrived, int(rows["_arrived"].max().timestamp() * 1000))
+            arrived = max(arrived, int(rows["_arrived"].to_numpy().max().astype("datetime64[ms]").astype("int64")))
             if life["opened"] is None:
                 # an event is in one life only, so its number names the life
-                life["opened"] = int(rows["_event"].min())
+                life["opened"] = int(rows["_event"].to_numpy().min())
             life["state"] = fold(life["state"], rows)
             life["version"] += len(rows)
         held.update((json.dumps(life),))
         stay = linger_ms if finished(life["state"]) else idle_ms
         held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, arrived + stay))
         row = {key: group[0], **{n: life["state"][n] for n in names}, "opened": life["opened"], "version": life["version"]}
-        yield pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
+        yield pd.DataFrame([list(row.values())], columns=list(row), dtype=object)
 
     kept = f"{key} string, {fields}, opened bigint, version bigint"
     timed = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", slack)
@@ -114,10 +115,6 @@ def _newer(old: list | None, new: list) -> bool:
     return old is None or rank(new) >= rank(old)
 
 
-def _whole(value) -> int | None:
-    return None if pd.isna(value) else int(value)
-
-
 # --- latched metadata (R01) -----------------------------------------------------
 LATCHED = "repo_id string, repo_seq bigint, language string, language_seq bigint"
 
@@ -158,10 +155,16 @@ def scan_status(events: DataFrame, linger_ms: int = LINGER_MS, idle_ms: int = ID
     """
     def fold(state: dict | None, rows: pd.DataFrame) -> dict:
         state = state or {"status": None, "since_us": None, "event_id": None}
-        last = rows.sort_values(["_us", "_event"], na_position="first").iloc[-1]
-        place = [_whole(last["_us"]), int(last["_event"])]
+        # the newest row alone is looked at; arrays, as a frame that is sorted costs more than most scans have rows
+        us, event = rows["_us"].to_numpy(), rows["_event"].to_numpy()
+        unknown = pd.isna(us)
+        if unknown.any():
+            us = np.where(unknown, -np.inf, us.astype("float64"))
+        last = np.lexsort((event, us))[-1]
+        place = [None if unknown[last] else int(us[last]), int(event[last])]
         if _newer(None if state["event_id"] is None else [state["since_us"], state["event_id"]], place):
-            state = {"status": None if pd.isna(last["status"]) else last["status"], "since_us": place[0], "event_id": place[1]}
+            status = rows["status"].iat[last]
+            state = {"status": None if pd.isna(status) else status, "since_us": place[0], "event_id": place[1]}
         return state
 
     numbered = events.select(
