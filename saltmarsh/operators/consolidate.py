@@ -11,7 +11,9 @@ from saltmarsh import fixed_values as fv
 from saltmarsh.functions import predicates as p
 from saltmarsh.functions.severity import fingerprint, layer_token, lookup, sev_name, sev_rank
 from saltmarsh.operators.ranking import with_position
-from saltmarsh.operators.skew import merge_join, split_join
+from saltmarsh.operators.resolve import look_up
+from saltmarsh.operators.skew import heavy_counts, sized_join, split_join
+from saltmarsh.session import stored
 
 SITE = ["scan_id", "path", "line"]
 KEY = [*SITE, "rule_id"]
@@ -101,11 +103,18 @@ def _label_parts(label: Column, separators: str) -> Column:
     return F.filter(F.split(label, separators), lambda x: x != "")
 
 
+def _among(rows: DataFrame, table: DataFrame, group: list[str], name: str) -> DataFrame:
+    """The rows whose ``name`` the ``table`` has in their group."""
+    held = table.select(*group, name, F.lit(True).alias("_is"))
+    return look_up(rows, F.col(name), held, group, name, "_is", "_among").where("_among").drop("_among")
+
+
 def correlate_dependencies(findings: DataFrame) -> DataFrame:
     """Confirm manifest findings whose algorithm the source uses, and those source findings.
 
     Works on the distinct (scan, algorithm label) pairs. Which catalogue algorithms a label
-    holds is an expression over the fixed catalogue, so every join below is an equi-join.
+    holds is an expression over the fixed catalogue, so names meet by equality. What a scan's task holds is the scan's distinct rules
+    and labels, sorted and spilled, and not its findings.
     """
     declared = {}
     for ecosystem, library, _, algorithms, *_ in fv.LIBRARIES:
@@ -122,9 +131,12 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
     own = F.filter(F.array(label), lambda a: ~a.isin(fv.UNSPECIFIC_LIBRARY_ALGORITHMS))
     wanted = F.coalesce(F.try_element_at(by_rule, F.col("rule_id")), own)
 
-    source = findings.filter(~manifest & (F.length("algorithm") > 0)).select(
-        "scan_id", label.alias("label")
-    ).distinct()
+    # decided once per distinct (scan, side, rule, algorithm); these are counted once, and a scan's lie together from there on
+    key = ["scan_id", "rule_id", "algorithm", "_manifest"]
+    marked = findings.withColumn("_manifest", manifest)
+    counted = stored(marked.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")))
+    asked = counted.select(*key, label.alias("label")).repartition("scan_id")
+    source = asked.where(~F.col("_manifest") & (F.length("algorithm") > 0)).select("scan_id", "label").distinct()
     # every label and its parts count as names the source uses
     parts = F.filter(
         _label_parts(F.col("label"), r"[/\-,\s]+"),
@@ -138,10 +150,9 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.concat(F.array("name"), _label_parts(F.col("name"), r"\s+"))))
         .alias("algorithm_name"),
     )
-    wants = findings.filter(manifest).select(
-        "scan_id", "rule_id", "algorithm", F.explode(wanted).alias("algorithm_name")
-    ).distinct()
-    met = merge_join(wants, words.select("scan_id", "algorithm_name").distinct(), ["scan_id", "algorithm_name"])
+    wants = asked.where("_manifest").select(
+        "scan_id", "rule_id", "algorithm", F.explode(F.array_distinct(wanted)).alias("algorithm_name"))
+    met = _among(wants, words.select("scan_id", "algorithm_name").distinct(), ["scan_id"], "algorithm_name")
     met_rules = met.select("scan_id", "rule_id", "algorithm").distinct()
     met_names = met.select("scan_id", "algorithm_name").distinct()
 
@@ -149,23 +160,21 @@ def correlate_dependencies(findings: DataFrame) -> DataFrame:
     holds = F.filter(
         F.array(*[F.lit(a) for a in catalogue]), lambda a: F.contains(F.col("name"), a)
     )
-    spread = merge_join(names.select(
+    spread = _among(names.select(
         "scan_id", "name",
         F.explode(F.array_distinct(F.concat(F.array("name"), holds))).alias("algorithm_name"),
-    ), met_names, ["scan_id", "algorithm_name"], "left_semi")
+    ), met_names, ["scan_id"], "algorithm_name")
     corroborated = spread.select("scan_id", "name").union(met_names).distinct()
-    labels = merge_join(source.select(
+    labels = _among(source.select(
         "scan_id", "label",
         F.explode(F.array_distinct(F.concat(
             F.array("label"), _label_parts(F.col("label"), r"[/\-\s]+")))).alias("name"),
-    ), corroborated, ["scan_id", "name"], "left_semi").select("scan_id", "label").distinct()
+    ), corroborated, ["scan_id"], "name").select("scan_id", "label").distinct()
 
-    # decided once per distinct (scan, side, rule, algorithm); the findings meet the decisions in one join
-    asked = findings.select("scan_id", "rule_id", "algorithm", manifest.alias("_manifest"), label.alias("label")).distinct()
-    confirmed = merge_join(asked.where("_manifest"), met_rules, ["scan_id", "rule_id", "algorithm"], "left_semi").unionByName(
-        merge_join(asked.where("NOT _manifest"), labels, ["scan_id", "label"], "left_semi"))
-    key = ["scan_id", "rule_id", "algorithm", "_manifest"]
-    out = split_join(findings.withColumn("_manifest", manifest), confirmed.select(*key, F.lit(True).alias("_confirmed")), key, "left")
+    confirmed = _among(asked.where("_manifest"), met_rules, ["scan_id", "rule_id"], "algorithm").unionByName(
+        _among(asked.where("NOT _manifest"), labels, ["scan_id"], "label"))
+    heavy = heavy_counts(counted, key, "_rows")
+    out = split_join(marked, confirmed.select(*key, F.lit(True).alias("_confirmed")), key, "left", heavy=heavy)
     return out.withColumn(
         "confidence", F.when(F.col("_confirmed"), "Confirmed").otherwise(F.col("confidence"))
     ).select(*findings.columns)
@@ -220,7 +229,7 @@ def _at_places(findings: DataFrame, places: DataFrame, scope: list[str], strict:
         fitting = F.filter("_lengths", lambda n: n <= F.size("_steps"))
         rows = split_join(rows, lengths, [*scope, "_base"]).withColumn("_place", F.explode(F.transform(
             fitting, lambda n: F.array_join(F.slice("_steps", F.size("_steps") - n + 1, n), "/")))).drop("_lengths")
-    return split_join(rows.drop("_base", "_steps"), places, [*scope, "_place"])
+    return sized_join(rows.drop("_base", "_steps"), places, [*scope, "_place"])
 
 
 def _rule_key(strict: bool) -> Column:
@@ -242,11 +251,12 @@ def apply_suppressions(
 
     Both sides meet on exact keys. A rule path matches any file with the same base name
     (``strict_paths`` asks for the whole trailing path). Rules may carry a scan_id; then they
-    apply to that scan only. No size of the rule table is assumed, and keys that a large share of the findings has are dealt over tasks.
+    apply to that scan only. No size of the rule table is assumed: rules are written down first, a table that
+    turns out small goes to the findings, and else keys that a large share of the findings has are dealt over tasks.
     """
     scoped = "scan_id" in rules.columns
     on = ["scan_id", "_key"] if scoped else ["_key"]
-    keyed = (
+    keyed = stored(
         rules.withColumn("_key", _rule_key(strict_paths)).filter(F.col("_key").isNotNull())
         .groupBy(*on)
         .agg(F.min_by(
@@ -255,23 +265,24 @@ def apply_suppressions(
                      F.col("sub").alias("sub")), "rule_seq").alias("_rule"),
              F.min("rule_seq").alias("_seq"))
     )
-    with_print = findings if "fingerprint" in findings.columns else findings.withColumn(
-        "fingerprint", fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("snippet")))
+    printed = "fingerprint" in findings.columns
+    own_print = fingerprint(F.col("rule_id"), F.col("algorithm"), F.col("snippet")) if not printed else F.col("fingerprint")
+    with_print = findings if printed else findings.withColumn("fingerprint", own_print)
     # rules by name: every distinct (rule, algorithm) is looked up once, however many findings have it
     scope = ["scan_id"] if scoped else []
     pair = [*scope, "rule_id", "algorithm"]
-    named = (
-        with_print.select(*pair).distinct()
-        .withColumn("_key", F.explode(F.transform(_rule_names(), lambda r: F.concat_ws(_SEP, F.lit("R"), r))))
-        .join(keyed, on)
+    asked = with_print.select(*pair).distinct().withColumn(
+        "_key", F.explode(F.transform(_rule_names(), lambda r: F.concat_ws(_SEP, F.lit("R"), r))))
+    named = stored(
+        sized_join(asked, keyed, on)
         .groupBy(*pair).agg(F.min_by("_rule", "_seq").alias("_named"), F.min("_seq").alias("_named_seq"))
     )
     # rules by path: only findings at a place that some rule names are spread over their keys
-    places = _at_places(with_print, _ruled_places(keyed, scope), scope, strict_paths)
+    places = _at_places(with_print, stored(_ruled_places(keyed, scope)), scope, strict_paths)
     by_place = places.select(*KEY, F.explode(_place_keys()).alias("_key"))
     by_print = with_print.select(*KEY, F.concat_ws(_SEP, F.lit("F"), F.col("fingerprint")).alias("_key"))
     hits = (
-        split_join(by_place.unionByName(by_print), keyed, on)
+        sized_join(by_place.unionByName(by_print), keyed, on)
         .groupBy(*KEY).agg(F.min_by("_rule", "_seq").alias("_own"), F.min("_seq").alias("_own_seq"))
     )
     rel = p.normalize_path(F.col("path"))
@@ -288,13 +299,14 @@ def apply_suppressions(
         .when(r["rule"] == "*", F.concat(F.lit("Suppressed by path rule '"), r["place"], F.lit("'")))
         .otherwise(F.concat(by_rule, F.lit(" on "), rel))
     )
-    keep = [c for c in with_print.columns if c not in ("suppressed", "suppression_reason")]
+    keep = [c for c in findings.columns if c not in ("suppressed", "suppression_reason")]
     # few rules and algorithms, and one of them may be named by a large share of all findings
     of = F.to_json(F.struct(*pair), {"ignoreNullFields": "false"}).alias("_pair")
-    flagged = split_join(
-        with_print.select(*keep, of).join(hits, KEY, "left"), named.select(of, "_named", "_named_seq"), ["_pair"], "left")
+    flagged = sized_join(
+        findings.select(*keep, of).join(hits, KEY, "left"), named.select(of, "_named", "_named_seq"), ["_pair"], "left")
     return (
-        flagged
+        # a digest worked out here goes through no shuffle
+        flagged.withColumn("fingerprint", own_print)
         .withColumn("_rule", F.when(
             F.col("_own").isNull() | (F.col("_named_seq") < F.col("_own_seq")), F.col("_named")).otherwise(F.col("_own")))
         .withColumn("suppressed", r.isNotNull())

@@ -36,6 +36,26 @@ def heavy_keys(rows: DataFrame, keys: list[str], pieces: str = "pieces", *, rows
         *[F.col(f"`{k}`") for k in keys], F.ceil(F.col("_rows") / F.greatest(share, F.lit(1.0))).cast("int").alias(pieces))
 
 
+def heavy_counts(counts: DataFrame, keys: list[str], rows: str, pieces: str = "pieces", *, parts: int = PARTS) -> DataFrame:
+    """``heavy_keys`` of a table that has each key once, with its number of ``rows``: nothing but the total is gathered."""
+    total = counts.where(functools.reduce(operator.and_, [F.col(f"`{k}`").isNotNull() for k in keys])).agg(F.sum(rows).alias("_all"))
+    share = F.col("_all") / parts
+    heavy = counts.where(functools.reduce(operator.and_, [F.col(f"`{k}`").isNotNull() for k in keys])).join(
+        F.broadcast(total), F.col(rows) * parts > F.col("_all"))
+    return heavy.select(*[F.col(f"`{k}`") for k in keys], F.ceil(F.col(rows) / F.greatest(share, F.lit(1.0))).cast("int").alias(pieces))
+
+
+def sized_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``split_join`` with a ``few`` that was written by ``stored``, or is columns of such a table: so its size is known, and where Spark would
+    broadcast a table of that size, it is, and no row of ``many`` moves. ``how`` as for ``split_join``."""
+    conf = few.sparkSession._jsparkSession.sessionState().conf()
+    size = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > conf.autoBroadcastJoinThreshold():
+        return split_join(many, few, keys, how)
+    rest = [c for c in few.columns if c not in keys] if how in ("inner", "left") else []
+    return many.join(F.broadcast(few), keys, how).select(*[F.col(f"`{c}`") for c in [*many.columns, *rest]])
+
+
 def merge_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``left.join(right, on, how)`` where either side may grow with the input: both shuffle, and neither is gathered on the driver.
 

@@ -8,7 +8,7 @@ from saltmarsh.functions import severity as sv
 from saltmarsh.operators import consolidate as c
 from saltmarsh.plans.catalog import Tables, query
 from saltmarsh.plans.facts import finding_facts, with_ctes
-from saltmarsh.session import durable
+from saltmarsh.session import stored
 from saltmarsh.sources.tables import parse_suppressions, split_confidence, to_finding_rows
 
 COLS = ["scan_id", "path", "line", "rule_id", "language", "algorithm", "severity", "confidence"]
@@ -124,7 +124,7 @@ CORRELATE_CTES = {
 
 @query("j04_correlate_dependencies", with_ctes(["dedup"], CORRELATE_SQL, **CORRELATE_CTES))
 def _(t: Tables):
-    found = durable(c.first_emitted(finding_facts(t), "language", "algorithm", "confidence"))  # read several times below
+    found = stored(c.first_emitted(finding_facts(t), "language", "algorithm", "confidence"))  # read several times below
     return c.correlate_dependencies(found).select(
         "scan_id", "path", "line", "rule_id", "algorithm", "confidence")
 
@@ -182,7 +182,7 @@ SELECT scan_id, path, line, rule_id, algorithm, reason <> '' AS suppressed, reas
     ELSE '' END AS reason FROM dedup) r""", sevenths="SELECT DISTINCT p_partkey % 8 AS k, p_partkey % 4 AS n FROM part"))
 def _(t: Tables):
     """Flags and reasons; the quotes of a reason are written as double quotes for the comparison."""
-    found = durable(c.first_emitted(finding_facts(t), "algorithm", "snippet"))  # read several times below
+    found = stored(c.first_emitted(finding_facts(t), "algorithm", "snippet"))  # read several times below
     out = c.apply_suppressions(found, parse_suppressions(allow_lines(t)))
     return out.select("scan_id", "path", "line", "rule_id", "algorithm", "suppressed",
                       F.translate("suppression_reason", "'", '"').alias("suppression_reason"))

@@ -4,8 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from saltmarsh.operators.consolidate import apply_suppressions, correlate_dependencies
 from saltmarsh.operators.detect_calls import call_sites
 from saltmarsh.operators.resolve import look_up
+from saltmarsh.session import stored
+from saltmarsh.sources.tables import parse_suppressions
 
 
 def exchanges(df):
@@ -32,3 +35,26 @@ def test_look_up_like_a_left_join(spark):
         [(1, "a", "x"), (1, "a", "x"), (1, "b", None), (2, "a", "y"), (None, "a", None), (1, None, None)], key=repr)
     assert look_up(rows.limit(0), F.col("n"), table, ["g"], "m", "v", "into").count() == 0
     assert look_up(rows, F.col("n"), table.limit(0), ["g"], "m", "v", "into").where("into IS NULL").count() == 6
+
+
+def test_a_small_stored_allow_list_goes_to_the_findings(spark):
+    """Findings are shuffled once, for the join with what was found for them, and not once for every kind of key."""
+    found = spark.createDataFrame(
+        [("s", f"src/p{i % 7}.py", i, "md5-hashing", "MD5", f"call_{i}") for i in range(200)],
+        "scan_id string, path string, line int, rule_id string, algorithm string, snippet string")
+    lines = spark.createDataFrame([(1, "md5-hashing|src/p1.py"), (2, "md5-hashing|p2.py|9"), (3, "*|nowhere/p3")], "seq long, line string")
+    out = apply_suppressions(stored(found), parse_suppressions(lines))
+    assert sorted(r.line for r in out.where("suppressed").collect()) == sorted({9, *range(1, 200, 7)})
+    assert not [x for x in exchanges(out) if "_key" in x or "_place" in x or "_piece" in x]
+
+
+def test_labels_of_a_scan_are_dealt_by_the_scan_alone(spark):
+    rows = [("s1", "a.py", 1, "md5-hashing", "python", "MD5"), ("s1", "pom", 1, "sca-npm-md5", "manifest", "MD5"), ("s1", "b.py", 2, "x", "python", "RSA-2048"),
+            ("s2", "pom", 1, "sca-npm-node-rsa", "manifest", "RSA"), ("s2", "c.py", 1, "y", "python", "RSA-2048"), ("s3", "pom", 1, "sca-npm-md5", "manifest", "MD5"),
+            (None, "d.py", 1, "md5-hashing", "python", "MD5"), (None, "pom", 1, "sca-npm-md5", "manifest", "MD5")]
+    found = spark.createDataFrame([(*r, "Likely") for r in rows], "scan_id string, path string, line int, rule_id string, language string, algorithm string, confidence string")
+    out = correlate_dependencies(found)
+    assert {(r.scan_id, r.path) for r in out.where("confidence = 'Confirmed'").collect()} == {("s1", "a.py"), ("s1", "pom"), ("s2", "pom"), ("s2", "c.py")}
+    assert out.count() == len(rows)
+    dealt = exchanges(out)
+    assert not [x for x in dealt if "name#" in x or "label#" in x], dealt
