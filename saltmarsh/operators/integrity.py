@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from saltmarsh.functions.canonical import (
 )
 from saltmarsh.operators.ranking import with_position
 from saltmarsh.operators.skew import split_join
-from saltmarsh.session import durable
+from saltmarsh.session import durable, stored
 from saltmarsh.sources.keyed import read_stored
 
 # Leaves folded in one task step: 2**10 digests are 64 KB, and a tree of 2**30 leaves needs
@@ -48,14 +49,18 @@ def _folded(level: Column) -> Column:
     )
 
 
-def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int) -> DataFrame:
+def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int, carry: Sequence[str] = ()) -> DataFrame:
     """Aligned runs of 2**bits nodes with all levels inside each run.
 
     ``size`` is the number of nodes of the whole tree on this stage; a run stops folding when
-    the tree is down to one node.
+    the tree is down to one node. ``carry`` are columns of the nodes that go along, as ``carried`` in the order of the nodes.
     """
-    runs = nodes.groupBy(*group, F.shiftright("pos", bits).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("_run"))
+    node = F.struct("pos", "hash", *([F.struct(*carry).alias("own")] if carry else []))
+    runs = nodes.groupBy(*group, F.shiftright("pos", bits).alias("block")).agg(F.collect_list(node).alias("_run"))
+    # positions differ; what goes along may be of a kind that has no order
+    plain = not re.search("map<|variant|calendar", " ".join(kind for name, kind in nodes.dtypes if name in carry))
+    runs = runs.withColumn("_run", F.sort_array("_run") if plain else F.array_sort(
+        "_run", lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1)))
     runs = split_join(runs, sizes, group)
     start = F.struct(
         F.array(F.transform("_run", lambda x: x["hash"])).alias("levels"),
@@ -68,7 +73,8 @@ def _blocks(nodes: DataFrame, group: list[str], sizes: DataFrame, bits: int) ->
         return F.when(acc["left"] > 1, grown).otherwise(acc)
 
     levels = F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, up)["levels"]
-    return runs.select(*group, "block", "size", levels.alias("levels"))
+    carried = [F.transform("_run", lambda x: x["own"]).alias("carried")] if carry else []
+    return runs.select(*group, "block", "size", levels.alias("levels"), *carried)
 
 
 ONE_TREE = "_tree"
@@ -79,18 +85,18 @@ def _trees(leaves: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str
     return (leaves, list(group)) if group else (leaves.withColumn(ONE_TREE, F.lit(0)), [ONE_TREE])
 
 
-def _stages(leaves: DataFrame, group: list[str], bits: int) -> list[DataFrame]:
-    """One table of blocks per ``bits`` levels, bottom first."""
+def _stages(leaves: DataFrame, group: list[str], bits: int, carry: Sequence[str] = ()) -> list[DataFrame]:
+    """One table of blocks per ``bits`` levels, bottom first, which carries the columns ``carry`` of the leaves."""
     sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.agg(F.max("size")).first()[0]
     if largest is None:
         raise ValueError("a Merkle tree needs at least one row")
-    stages, nodes = [], leaves.select(*group, "pos", "hash")
+    stages, nodes = [], leaves.select(*group, "pos", "hash", *carry)
     while True:
-        blocks = _blocks(nodes, group, sizes, bits)
+        blocks = _blocks(nodes, group, sizes, bits, () if stages else carry)
         more = largest > 1 << bits
         if more:
-            blocks = durable(blocks)
+            blocks = stored(blocks)
         stages.append(blocks)
         if not more:
             return stages
@@ -143,15 +149,16 @@ def merkle_nodes(
 
 
 def merkle_proofs(
-    leaves: DataFrame, group: Sequence[str] = (), bits: int = BLOCK_BITS
+    leaves: DataFrame, group: Sequence[str] = (), bits: int = BLOCK_BITS, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(group, pos, hash, root, proof) for every leaf.
+    """(group, pos, hash, root, proof) for every leaf (I04, J15), and the columns ``carry`` of the leaf.
 
     A proof is the path inside the leaf's block followed by the path of that block's top. A block meets its top's path before it is
-    taken apart, so what shuffles is about two digests for a leaf and not its path.
+    taken apart, so what shuffles is about two digests for a leaf and not its path. What else is known of a leaf goes along with its
+    digest in ``carry``, as a join with the proofs would shuffle these.
     """
     leaves, group = _trees(leaves, group)
-    stages = _stages(leaves, group, bits)
+    stages = _stages(leaves, group, bits, carry)
     above = None
     for blocks in reversed(stages):
         levels = F.col("levels")
@@ -170,17 +177,19 @@ def merkle_proofs(
         path = lambda i: F.when(
             depth > 0, F.transform(F.sequence(F.lit(0), depth - 1), lambda lv: step(i, lv))
         ).otherwise(F.array().cast(f"array<{STEP}>"))
+        own = list(carry) if blocks is stages[0] else []
+        beside = ["carried"] if own else []
         entries = F.transform(
             F.get(levels, F.lit(0)),
-            lambda h, i: F.struct(i.alias("i"), h.alias("hash"), path(i).alias("proof")))
+            lambda h, i: F.struct(i.alias("i"), h.alias("hash"), path(i).alias("proof"), *[F.get("carried", i).alias("own") for _ in beside]))
         if above is None:
-            placed = blocks.select(*group, "block", "levels", root.alias("root"), F.array().cast(f"array<{STEP}>").alias("_tail"))
+            placed = blocks.select(*group, "block", "levels", *beside, root.alias("root"), F.array().cast(f"array<{STEP}>").alias("_tail"))
         else:
             tail = above.select(*group, F.col("pos").alias("block"), "root", F.col("proof").alias("_tail"))
-            placed = blocks.select(*group, "block", "levels").join(tail, [*group, "block"])
+            placed = blocks.select(*group, "block", "levels", *beside).join(tail, [*group, "block"])
         above = placed.select(*group, "block", "root", "_tail", F.explode(entries).alias("e")).select(
             *group, (F.shiftleft("block", bits) + F.col("e.i")).alias("pos"), F.col("e.hash").alias("hash"), "root",
-            F.concat("e.proof", "_tail").alias("proof"))
+            F.concat("e.proof", "_tail").alias("proof"), *[F.col("e.own")[c].alias(c) for c in own])
     return above.drop(ONE_TREE)
 
 
@@ -246,9 +255,11 @@ def batch_manifest(scans: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
                           ("scanner_version", fv.DEFAULT_BATCH_SCANNER_VERSION)):
         given = F.col(name) if name in scans.columns else F.lit(None).cast("string")
         filled = filled.withColumn(name, F.coalesce(F.nullif(given, F.lit("")), F.lit(default)))
-    leaves = durable(_batch_leaves(filled, batch))
-    proofs = merkle_proofs(leaves, batch)
-    return leaves.join(proofs.drop("hash"), [*batch, "pos"]).withColumn(
+    leaves = _batch_leaves(filled, batch)
+    own = [c for c in leaves.columns if c not in (*batch, "pos", "hash")]
+    proofs = merkle_proofs(leaves, batch, carry=own)
+    rest = [c for c in leaves.columns if c not in (*batch, "pos")]
+    return proofs.select(*batch, "pos", *rest, "root", "proof").withColumn(
         "batch_id", F.concat(F.lit("batch:"), F.col("root")))
 
 
@@ -262,7 +273,7 @@ def audit_batch(
     ``anchors``: batch and recorded_root. ``expected``: batch and expected_root.
     """
     batch = list(batch)
-    leaves = durable(_batch_leaves(entries, batch))
+    leaves = stored(_batch_leaves(entries, batch))
     # where a proof leads is known before anything shuffles: its end goes on, not its path
     own = merkle_proofs(leaves, batch).select(
         *batch, "pos", F.col("root").alias("recomputed_root"), proof_end(F.col("hash"), F.col("proof")).alias("_end"))
