@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from saltmarsh.operators import inventory as inv
 from saltmarsh.operators.consolidate import apply_suppressions, correlate_dependencies
 from saltmarsh.operators.detect_calls import call_sites
+from saltmarsh.operators.integrity import batch_manifest, proof_holds
 from saltmarsh.operators.resolve import look_up
 from saltmarsh.session import stored
 from saltmarsh.sources.tables import parse_suppressions
@@ -58,3 +60,55 @@ def test_labels_of_a_scan_are_dealt_by_the_scan_alone(spark):
     assert out.count() == len(rows)
     dealt = exchanges(out)
     assert not [x for x in dealt if "name#" in x or "label#" in x], dealt
+
+
+def test_a_manifest_shuffles_no_proofs(spark):
+    scans = spark.createDataFrame([(i % 3, f"s{i:02}", f"{i:064x}", "o", "") for i in range(40)], "batch int, scan_id string, merkle_root string, org_id string, scanner_version string")
+    out = batch_manifest(scans, ["batch"])
+    rows = out.collect()
+    assert len(rows) == 40 and {(r.batch, r.scan_id, r.merkle_root) for r in rows} == {(i % 3, f"s{i:02}", f"{i:064x}") for i in range(40)}
+    leaf = F.sha2(F.concat(F.lit('{"merkleRoot":"'), "merkle_root", F.lit('","orgId":"o","scanId":"'), "scan_id", F.lit('","scannerVersion":"'), "scanner_version", F.lit('"}')), 256)
+    checked = out.select(proof_holds(leaf, F.col("proof"), F.col("root")).alias("ok"), (F.col("batch_id") == F.concat(F.lit("batch:"), "root")).alias("named"))
+    assert all(r.ok and r.named for r in checked.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not [x for x in exchanges(batch_manifest(scans, ["batch"])) if "pos#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_are_shuffled_to_their_pairs_alone(spark):
+    rows = spark.createDataFrame(
+        [(f"s{i % 2}", "RSA", 2048, None, "HIGH", i, f"p{i // 4}") for i in range(8)] + [("s0", "MD5", None, None, "LOW", 9, "p0"), ("s1", "RSA", 1024, None, "LOW", 10, "q")],
+        "scan_id string, primitive string, key_size int, mode string, severity string, emit_seq int, path string").withColumns({
+            "suppressed": F.lit(False), "line": F.lit(1), "finding_id": F.col("emit_seq").cast("string"), "usage": F.lit("hash"),
+            "quantum_status": F.lit("x"), "recommendation": F.lit("y")})
+    scans = spark.createDataFrame([("s0", None), ("s1", "s0")], "scan_id string, previous_scan_id string")
+    occ = inv.occurrences(rows)
+    out = inv.diff_inventories(stored(inv.build_components(occ)), occ, scans)
+    # the size of 1024 came last, so it stands for RSA in s1; its one place is new, and the one place of two occurrences each is gone
+    got = {(r.scan_id, r["name"]): (r.status, r.added_occurrences, r.removed_occurrences) for r in out.collect()}
+    assert got == {("s0", "RSA"): ("added", None, None), ("s0", "MD5"): ("added", None, None), ("s1", "MD5"): ("removed", None, None),
+                   ("s1", "RSA"): ("changed", 1, 4)}
+    dealt = exchanges(out)
+    assert not [x for x in dealt if "place#" in x and "scan_id#" in x], dealt
+
+
+def test_stored_tables_come_back_as_they_were(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.lit("the same text in every row").alias("text"), F.struct(F.col("id").alias("a b"), F.array("id").alias("c")).alias("s"))
+    kept = stored(rows)
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(kept.collect()) == sorted(rows.collect())
+    # files of columns: what is kept is packed, and a reader is told its size
+    assert int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 5000 * len("the same text in every row")
+    assert stored(rows.where("id < 0")).count() == 0
+    assert stored(rows.withColumn("none", F.lit(None))).where("none IS NULL").count() == 5000
+
+
+def test_versions_are_numbered_from_packed_columns(spark):
+    from saltmarsh.operators.ranking import with_position
+
+    out = with_position(spark.range(100).select((F.col("id") % 3).alias("g"), "id"), ["id"], ["g"], "n")
+    assert {(r.g, r.id, r.n) for r in out.collect()} == {(i % 3, i, i // 3 + 1) for i in range(100)}
+    assert "parquet" in out._jdf.queryExecution().optimizedPlan().toString()
